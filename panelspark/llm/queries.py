@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from . import urls
 from .langid import op7
+from .packing import op9
 from .secret_scan import op2
+from .spm import op6
+from .toxicity import op10
 
 QUERIES = {
     "op2_secret_scan": op2,
+    "op5_url_filter": urls.op5,
+    "op6_sentencepiece": op6,
     "op7_language_id": op7,
+    "op9_token_packing": op9,
+    "op10_toxicity": op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_url_filter": urls.SQL}
