@@ -87,23 +87,23 @@ def hits_of(data: np.ndarray, bounds: np.ndarray, patterns: np.ndarray) -> tuple
 
 def label_model(votes: np.ndarray, count: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of class 1 for each row of votes (1 for, -1 against, 0 abstains) that occurs ``count`` times;
-    accuracies and weights of the voters."""
+    accuracies of the voters and correlations between them. Classes count as equally likely before the votes: every text has a vote."""
     cast = votes != 0
     n_cast = np.maximum(count @ cast, 1e-9)
-    accuracy, weight, prior = np.full(votes.shape[1], 0.8), np.ones(votes.shape[1]), 0.1
-    post = np.full(len(votes), prior)
+    accuracy, alike = np.full(votes.shape[1], 0.9), np.zeros((votes.shape[1],) * 2)
+    post = np.full(len(votes), 0.5)
     for step in range(rounds):
-        logit = np.log(prior / (1 - prior)) + votes @ (weight * np.log(accuracy / (1 - accuracy)))
+        logit = (votes / (1 + cast @ alike)) @ np.log(accuracy / (1 - accuracy))  # voters that are alike share one vote where both vote
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         right = np.where(votes > 0, post[:, None], 1 - post[:, None]) * cast
         accuracy = np.clip((count @ right + 0.8) / (n_cast + 1), 0.05, 0.995)
-        prior = float(np.clip(count @ post / count.sum(), 0.01, 0.6))
         if step % 10 == 4:  # correlation between voters that is left once the class is known
             expected = np.where(post[:, None] > 0.5, (count * post) @ cast / (count @ post), (count * (1 - post)) @ cast / (count @ (1 - post)))
             rest = (cast - expected) * np.sqrt(count)[:, None]
             scale = np.sqrt((rest**2).sum(0)) + 1e-9
-            weight = 1 / np.maximum(1.0, np.abs(rest.T @ rest / np.outer(scale, scale)).sum(1))
-    return post, accuracy, weight
+            alike = np.abs(rest.T @ rest / np.outer(scale, scale))
+            np.fill_diagonal(alike, 0)
+    return post, accuracy, alike
 
 
 def linear_model(x: np.ndarray, target: np.ndarray, count: np.ndarray, ridge: float = 0.05, rounds: int = 25) -> np.ndarray:
@@ -125,7 +125,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict
     drawn = known.where(draw < min(1_000_000, -(-1_000_000 * rows // max(total, 1))))
     sample = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), "doc_id").select("text", "toxic")  # about `rows` rows
     n_toxic = drawn.where("toxic = 1").count()
-    mined = pattern_counts(sample).where((F.col("toxic") >= max(3, n_toxic // 100)) & (F.col("toxic") >= MIN_PRECISION * (F.col("toxic") + F.col("clean"))))
+    mined = pattern_counts(sample).where((F.col("toxic") >= max(5, n_toxic // 60)) & (F.col("toxic") >= MIN_PRECISION * (F.col("toxic") + F.col("clean") + 1)))
     found = mined.orderBy(F.desc("toxic"), "pattern").limit(MAX_PATTERNS).toArrow()
     fixed = lexicon_hashes()
     hashes = np.concatenate([fixed, found.column("pattern").to_numpy().view(np.uint64)])
