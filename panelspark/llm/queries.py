@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import urls
+from .jaccard import op3
 from .langid import op7
 from .packing import op9
 from .secret_scan import op2
@@ -11,6 +12,7 @@ from .toxicity import op10
 
 QUERIES = {
     "op2_secret_scan": op2,
+    "op3_jaccard_join": op3,
     "op5_url_filter": urls.op5,
     "op6_sentencepiece": op6,
     "op7_language_id": op7,

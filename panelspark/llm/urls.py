@@ -73,8 +73,8 @@ class BlockedBloom:
         return ((self.lanes[block] & want) == want).all(1)
 
 
-def build_filter(listed: DataFrame, url_col: str = "canonical") -> BlockedBloom:
-    """Set the bits on the executors, OR the blocks together, bring the blocks (bounded) to the driver."""
+def build_filter(listed: DataFrame, key: Column) -> BlockedBloom:
+    """A filter of the well-mixed 64-bit ``key``. Set the bits on the executors, OR the blocks together, bring the blocks (bounded) to the driver."""
     n = listed.count()
     blocks = min(MAX_BLOCKS, max(1, -(-n * BITS_A_URL // 256)))
 
@@ -83,7 +83,7 @@ def build_filter(listed: DataFrame, url_col: str = "canonical") -> BlockedBloom:
             block, lanes = _bits(part["h"].to_numpy(), blocks)
             yield pd.DataFrame({"block": block} | {f"l{i}": lanes[:, i].view(np.int64) for i in range(4)})
 
-    rows = listed.select(F.xxhash64(url_col).alias("h")).mapInPandas(run, "block long, l0 long, l1 long, l2 long, l3 long")
+    rows = listed.select(key.alias("h")).mapInPandas(run, "block long, l0 long, l1 long, l2 long, l3 long")
     got = rows.groupBy("block").agg(*(F.bit_or(f"l{i}").alias(f"l{i}") for i in range(4))).toArrow()
     lanes = np.zeros((blocks, 4), np.uint64)
     if got.num_rows:
@@ -93,7 +93,7 @@ def build_filter(listed: DataFrame, url_col: str = "canonical") -> BlockedBloom:
 
 def on_list(rows: DataFrame, listed: DataFrame) -> DataFrame:
     """``rows`` with hit: is their ``canonical`` in ``listed`` (distinct, not null)? Each row comes out once."""
-    bloom = build_filter(listed)
+    bloom = build_filter(listed, F.xxhash64("canonical"))
     shared = rows.sparkSession.sparkContext.broadcast((bloom.blocks, bloom.lanes))  # at most 8 MB
 
     def possible(h: pd.Series) -> pd.Series:
