@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import urls
+from . import chat, decontam, topk, urls
 from .jaccard import op3
 from .langid import op7
 from .packing import op9
@@ -11,13 +11,16 @@ from .spm import op6
 from .toxicity import op10
 
 QUERIES = {
+    "op1_topk_search": topk.op1,
     "op2_secret_scan": op2,
     "op3_jaccard_join": op3,
+    "op4_decontamination": decontam.op4,
     "op5_url_filter": urls.op5,
     "op6_sentencepiece": op6,
     "op7_language_id": op7,
+    "op8_chat_perspectives": chat.op8,
     "op9_token_packing": op9,
     "op10_toxicity": op10,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_url_filter": urls.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_topk_search": topk.SQL, "op5_url_filter": urls.SQL, "op8_chat_perspectives": chat.SQL}
