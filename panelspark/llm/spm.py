@@ -32,7 +32,8 @@ from .common import table, text_slices
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Parts of a text that a task remembers at most, and the longest of them.
-REMEMBERED, LONGEST = 200_000, 48
+REMEMBERED, LONGEST = 300_000, 48
+_START = (1 << 21) - 1  # stands before the first arc
 
 
 def read_model(path: str = MODEL_FILE) -> dict:
@@ -53,11 +54,18 @@ class Transducer:
         self.byte_id = {int(p[3:5], 16): i for i, p in enumerate(pieces) if bytes[i]}
         self.byte_of = {i: b for b, i in self.byte_id.items()}
         self.silent = {i for i, s in enumerate(special) if s and i != unknown}
-        self.arcs = {p[:k]: -1 for p in self.id_of for k in range(1, len(p))} | self.id_of  # -1: only the start of a piece
+        self.arcs: list = [-1, {}]  # trie of the pieces: [id or -1, next characters]
+        for p, i in self.id_of.items():
+            node = self.arcs
+            for c in p:
+                node = node[1].setdefault(c, [-1, {}])
+            node[0] = i
         self.splittable = all(re.fullmatch(f"{MARK}*[^{MARK}]*", p) for p in self.id_of)
         alone = "" if "\n" in self.id_of or any("\n" in p for p in self.id_of) else "\n"
         self._parts = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|{alone}" if alone else ""))
-        self._fits: dict[tuple[str, str], bool] = {}
+        self._touch = {p[k : k + 2] for p in self.id_of for k in range(len(p) - 1)}  # characters that stand side by side in a piece
+        self._fits: dict[int, bool] = {}
+        self._whole: dict[str, bool] = {}
         self._trees: dict[str, tuple[str, str, bool] | None] = {}
         self._known: dict[str, tuple[int, ...]] = {}
         self._older: dict[str, tuple[int, ...]] = {}
@@ -100,7 +108,7 @@ class Transducer:
         """Do two pieces that meet stay two? Merges are undone from the last to the first; at each step the
         pieces that touch must not have had a better merge across the border. The left one wins ties."""
         id_of, score = self.id_of, self.score
-        if self._weight("", left) or self._weight("", right):
+        if not (self._is_whole(left) and self._is_whole(right)):
             return False
         a, b = self._tree(left), self._tree(right)
         if (a and not a[2]) or (b and not b[2]):
@@ -122,63 +130,105 @@ class Transducer:
                 a = self._tree(left)
         return True
 
-    def _weight(self, left: str, right: str) -> float:
-        fits = self._fits.get((left, right))
-        if fits is None:
-            if len(self._fits) > 2 * REMEMBERED:
-                self._fits.clear()
-            fits = self._fits[left, right] = self._stay_two(left, right) if left else self._merged(right) == [right]
-        return 0.0 if fits else math.inf
+    def _is_whole(self, piece: str) -> bool:
+        """Do the merges of its characters make the piece at all?"""
+        if piece not in self._whole:
+            self._whole[piece] = self._merged(piece) == [piece]
+        return self._whole[piece]
+
+    def _text_of(self, arc: int) -> str:
+        return self.pieces[arc] if arc < len(self.pieces) else chr(arc - len(self.pieces))
 
     # -- composition and shortest path
+    def lattice(self, part: str) -> list[list[tuple[int, int]]]:
+        """For each position the arcs (start, piece) that end there, longest first. A character without a
+        piece of its own gets an arc numbered after the pieces."""
+        n, root, beyond = len(part), self.arcs[1], len(self.pieces)
+        ends: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+        for start in range(n):
+            node = root.get(part[start])
+            if node is None or node[0] < 0:
+                ends[start + 1].append((start, beyond + ord(part[start])))
+            else:
+                ends[start + 1].append((start, node[0]))
+            at = start + 1
+            while node is not None and at < n:
+                node = node[1].get(part[at])
+                at += 1
+                if node is not None and node[0] >= 0:
+                    ends[at].append((start, node[0]))
+        return ends
+
     def path(self, part: str) -> list[int]:
         """Ids on the path of least weight through the lattice of one part."""
-        n, arcs, unigram = len(part), self.arcs, self.kind == "unigram"
-        starts: list[list[tuple[int, str]]] = [[] for _ in range(n + 1)]  # arcs that end at a position, longest first
-        for start in range(n):
-            for end in range(start + 1, n + 1):
-                piece = part[start:end]
-                known = arcs.get(piece)
-                if known is not None and known >= 0 or end == start + 1:
-                    starts[end].append((start, piece))
-                if known is None:
-                    break
-        cost, back = [0.0] + [math.inf] * n, [(0, "")] * (n + 1)
-        for end in range(1, n + 1):
-            for start, piece in starts[end]:
-                if unigram:
-                    weight = -self.score[arcs[piece]] if arcs.get(piece, -1) >= 0 else 1e6
-                else:
-                    weight = self._weight(back[start][1], piece)
-                if cost[start] + weight < cost[end]:
-                    cost[end], back[end] = cost[start] + weight, (start, piece)
-                    if not unigram:  # a second path of finite weight does not exist
+        ends, n = self.lattice(part), len(part)
+        back, last = [0] * (n + 1), [_START] * (n + 1)
+        if self.kind == "unigram":
+            cost = [0.0] + [math.inf] * n
+            for end in range(1, n + 1):
+                for start, arc in ends[end]:
+                    weight = cost[start] + (-self.score[arc] if arc < len(self.pieces) else 1e6)
+                    if weight < cost[end]:
+                        cost[end], back[end], last[end] = weight, start, arc
+        else:
+            fits = self._fits
+            for end in range(1, n + 1):
+                for start, arc in ends[end]:  # weight 0 or infinity; a second path of weight 0 does not exist
+                    key = last[start] << 21 | arc
+                    fit = fits.get(key)
+                    if fit is None:
+                        if len(fits) > 2 * REMEMBERED:
+                            fits.clear()
+                        left, right = last[start], self._text_of(arc)
+                        fit = fits[key] = self._is_whole(right) if left == _START else self._stay_two(self._text_of(left), right)
+                    if fit:
+                        back[end], last[end] = start, arc
                         break
         ids: list[int] = []
         while n:
-            n, piece = back[n]
-            if arcs.get(piece, -1) >= 0:
-                ids.append(arcs[piece])
+            arc = last[n]
+            if arc < len(self.pieces):
+                ids.append(arc)
             else:
-                ids += [self.byte_id.get(b, self.unknown) for b in reversed(piece.encode("utf-8", "surrogatepass"))]
+                ids += [self.byte_id.get(b, self.unknown) for b in reversed(self._text_of(arc).encode("utf-8", "surrogatepass"))]
+            n = back[n]
         return ids[::-1]
 
+    def _lookup(self, part: str) -> tuple[int, ...] | None:
+        ids = self._known.get(part)
+        return self._older.get(part) if ids is None else ids
+
+    def _remember(self, part: str, ids: tuple[int, ...]) -> None:
+        if len(part) <= LONGEST:
+            if len(self._known) >= REMEMBERED:
+                self._older, self._known = self._known, {}
+            self._known[part] = ids
+
+    def _ids_of(self, part: str) -> tuple[int, ...]:
+        """Ids of a part that is not in the newest store: cut where no piece crosses, compose what is unknown."""
+        ids = self._older.get(part)
+        if ids is None:
+            touch = self._touch
+            cuts = [0, *(k for k in range(1, len(part)) if part[k - 1 : k + 1] not in touch), len(part)]
+            if len(cuts) == 2:
+                ids = tuple(self.path(part))
+            else:
+                ids = ()
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    atom = part[a:b]
+                    own = self._lookup(atom)
+                    if own is None:
+                        own = tuple(self.path(atom))
+                        self._remember(atom, own)
+                    ids += own
+        self._remember(part, ids)
+        return ids
+
     def encode(self, text: str) -> list[int]:
         norm = self.normalise(text)
         out: list[int] = []
-        known = self._known
         for part in self._parts.findall(norm) if self.splittable else [norm] if norm else []:
-            ids = known.get(part)
-            if ids is None:
-                ids = self._older.get(part)
-                if ids is None:
-                    ids = tuple(self.path(part))
-                if len(part) <= LONGEST:
-                    if len(known) >= REMEMBERED:
-                        self._older, self._known = known, {}
-                        known = self._known
-                    known[part] = ids
-            out += ids
+            out += self._known.get(part) or self._ids_of(part)
         return out
 
     def decode(self, ids) -> str:
