@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .common import Words, fold_ascii, materialize, mix, table, text_slices, white_space
 from .urls import BlockedBloom, build_filter
@@ -32,8 +32,8 @@ from .urls import BlockedBloom, build_filter
 WORDS = 5
 #: Links have 100 * intersection >= 75 * union, that is 7 * intersection >= 3 * (sum of sizes).
 MIN_PERCENT = 75
-#: Shingles in a chunk whose shared shingles are counted, and shared shingles kept at most (8 MB each way).
-CHUNK_SHINGLES, MAX_SHARED = 4 << 20, 1 << 20
+#: Shingles in a chunk whose shared shingles are counted, and shared shingles kept at most (16 MB), by how many documents at least.
+CHUNK_SHINGLES, MAX_SHARED, MIN_SHARED = 4 << 20, 2 << 20, 3
 _PLACE = mix(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
 
@@ -67,14 +67,14 @@ def profile(docs: DataFrame) -> DataFrame:
     """doc_id, n, sig for each row (sig null without shingles), and in some rows the shared shingles of a chunk."""
     shared_type = pa.list_(pa.struct([("token", pa.int64()), ("docs", pa.int32())]))
 
-    def shared(tokens, n_docs):
+    def shared(tokens):
         value, count = np.unique(np.concatenate(tokens), return_counts=True) if tokens else (np.zeros(0, np.uint64), np.zeros(0, int))
-        some = count >= max(3, n_docs // 500)
+        some = count >= 2
         return [{"token": t, "docs": c} for t, c in zip(value[some].view(np.int64).tolist(), count[some].tolist(), strict=True)]
 
     def run(batches):
         seen: set[int] = set()
-        chunk, held, n_docs = [], 0, 0
+        chunk, held = [], 0
         for batch in batches:
             for at, sets in shingle_sets(batch.column(1)):
                 sig, report = [], []
@@ -83,13 +83,13 @@ def profile(docs: DataFrame) -> DataFrame:
                     if len(s) and sig[-1] not in seen:
                         seen.add(sig[-1])
                         chunk.append(s)
-                        held, n_docs = held + len(s), n_docs + 1
+                        held += len(s)
                     report.append(None)
                 if held >= CHUNK_SHINGLES:
-                    report[-1] = shared(chunk, n_docs)
-                    chunk, held, n_docs = [], 0, 0
+                    report[-1] = shared(chunk)
+                    chunk, held = [], 0
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.int64()), pa.array(report, shared_type), pa.array([True] * len(sets))], ["doc_id", "n", "sig", "shared", "is_doc"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([shared(chunk, n_docs)], shared_type), pa.array([False])], ["doc_id", "n", "sig", "shared", "is_doc"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([shared(chunk)], shared_type), pa.array([False])], ["doc_id", "n", "sig", "shared", "is_doc"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig long, shared array<struct<token:long,docs:int>>, is_doc boolean")
 
@@ -105,14 +105,18 @@ def ordered(tokens: np.ndarray, shared: np.ndarray, count: np.ndarray) -> tuple[
 
 
 def prefixes(docs: DataFrame, shared_tokens) -> DataFrame:
-    """token, sig, n, pos, rare: the first n // 4 + 1 shingles of each class under order 1."""
+    """token, sig, info: the first n // 4 + 1 shingles of each class under order 1.
+
+    ``info`` packs the percentage of rare shingles, the size and the place, as these rows are by far the most
+    that are shuffled: 8, 28 and 28 bits.
+    """
 
     def run(batches):
         shared, count = shared_tokens.value
         seen: set[int] = set()
         for batch in batches:
             for _, sets in shingle_sets(batch.column(0)):
-                token, sig, n, pos, rare = [], [], [], [], []
+                token, sig, info = [], [], []
                 for s in sets:
                     if not len(s) or (own := signature(s)) in seen:
                         continue
@@ -121,13 +125,19 @@ def prefixes(docs: DataFrame, shared_tokens) -> DataFrame:
                     tokens, n_rare = ordered(s, shared, count)
                     token.append(tokens[:size])
                     sig.append(np.full(size, own, np.int64))
-                    n.append(np.full(size, len(s), np.int32))
-                    pos.append(np.arange(size, dtype=np.int32))
-                    rare.append(np.full(size, n_rare / len(s), np.float32))
+                    info.append(np.arange(size) + (100 * n_rare // len(s) << 56 | len(s) << 28))
                 if token:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (sig, n, pos, rare))], ["token", "sig", "n", "pos", "rare"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (sig, info))], ["token", "sig", "info"])
+
+    return docs.select("text").mapInArrow(run, "token long, sig long, info long")
+
+
+def _size(info: Column) -> Column:
+    return F.shiftright(info, 28).bitwiseAND(F.lit((1 << 28) - 1))
 
-    return docs.select("text").mapInArrow(run, "token long, sig long, n int, pos int, rare float")
+
+def _place(info: Column) -> Column:
+    return info.bitwiseAND(F.lit((1 << 28) - 1))
 
 
 def fetch_sets(docs: DataFrame, needed: DataFrame, shared_tokens) -> DataFrame:
@@ -182,7 +192,7 @@ def _prefix(order: int, s: str) -> Column:
 def verify(pairs: DataFrame, docs: DataFrame, shared_tokens) -> DataFrame:
     """The links among pairs (a, b): the other orders must agree, then the sets are intersected."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    sets = materialize(fetch_sets(docs, needed, shared_tokens))
+    sets = fetch_sets(docs, needed, shared_tokens)
     left = sets.select(F.col("sig").alias("a"), F.struct("tokens", "rare", "middle").alias("x"))
     right = sets.select(F.col("sig").alias("b"), F.struct("tokens", "rare", "middle").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
@@ -213,39 +223,65 @@ def _can_link(n: Column, pos: Column, n2: Column, pos2: Column) -> Column:
     return (4 * F.least(n, n2) >= 3 * F.greatest(n, n2)) & (7 * F.least(n - pos, n2 - pos2) >= 3 * (n + n2))
 
 
-def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, class_size for every row."""
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Profiles of the rows (doc_id, n, sig), and of each class sig, class_size, least (doc_id), root (its component)."""
     profiles = materialize(profile(docs))
-    found = profiles.where("shared is not null").select(F.inline("shared")).groupBy("token").agg(F.sum("docs").alias("docs")).orderBy(F.desc("docs"), "token").limit(MAX_SHARED).toArrow()
+    found = profiles.where("shared is not null").select(F.inline("shared")).groupBy("token").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= MIN_SHARED).orderBy(F.desc("docs"), "token").limit(MAX_SHARED).toArrow()
     token, count = found.column("token").to_numpy().view(np.uint64), found.column("docs").to_numpy()
     by_token = np.argsort(token)
-    shared_tokens = docs.sparkSession.sparkContext.broadcast((token[by_token], count[by_token]))  # at most MAX_SHARED
+    shared_tokens = docs.sparkSession.sparkContext.broadcast((token[by_token], count[by_token].astype(np.int32)))  # at most MAX_SHARED
 
     bucket = Window.partitionBy("token")
     rows = prefixes(docs, shared_tokens).select(
-        "*", F.min("sig").over(bucket).alias("lo"), F.max("sig").over(bucket).alias("hi"), F.min(F.struct("rare", "sig", "n", "pos")).over(bucket).alias("hub"))
-    buckets = materialize(rows.where("lo < hi").select("token", "sig", "n", "pos", "hub"))
+        "*", F.min("sig").over(bucket).alias("lo"), F.max("sig").over(bucket).alias("hi"), F.min(F.struct(F.shiftright("info", 56).alias("rare"), "sig", "info")).over(bucket).alias("hub"))
+    rows = rows.where("lo < hi").select("token", "sig", _size(F.col("info")).alias("n"), _place(F.col("info")).alias("pos"), F.struct("hub.sig", _size(F.col("hub.info")).alias("n"), _place(F.col("hub.info")).alias("pos")).alias("hub"))
+    buckets = materialize(rows)
     to_hub = buckets.where(F.col("sig") != F.col("hub.sig")).where(_can_link(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))
     links = materialize(verify(materialize(to_hub.select(F.col("sig").alias("a"), F.col("hub.sig").alias("b")).distinct()), docs, shared_tokens))
 
     roots = components(links)
     known = buckets.select("token", "sig", "n", "pos").distinct().join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    mixed = known.select("*", F.min("root").over(bucket).alias("r1"), F.max("root").over(bucket).alias("r2")).where("r1 < r2").drop("r1", "r2")
-    mixed = materialize(mixed)
+    mixed = materialize(known.select("*", F.min("root").over(bucket).alias("r1"), F.max("root").over(bucket).alias("r2")).where("r1 < r2").drop("r1", "r2"))
     other = mixed.select("token", *(F.col(c).alias(f"{c}2") for c in ("sig", "n", "pos", "root")))
     apart = mixed.join(other, "token").where((F.col("sig") < F.col("sig2")) & (F.col("root") != F.col("root2"))).where(_can_link(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2")))
     more = verify(materialize(apart.select(F.col("sig").alias("a"), F.col("sig2").alias("b")).distinct()), docs, shared_tokens)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
-    rows = profiles.where("is_doc")
+    rows = profiles.where("is_doc").select("doc_id", "n", "sig")
     classes = rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size"))
-    classes = classes.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    return rows, classes.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+
+
+def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, class_size for every row."""
+    rows, classes = classes_of(documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = classes.join(least, "root").select("sig", "class_size", "component_id")
     return rows.join(classes, "sig", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
 
+def with_signature(docs: DataFrame, text_col: str = "text", out_col: str = "_sig") -> DataFrame:
+    """``docs`` with the signature of each row's shingle set; null without shingles."""
+    at_col, schema = docs.columns.index(text_col), T.StructType([*docs.schema.fields, T.StructField(out_col, T.LongType())])
+
+    def run(batches):
+        for batch in batches:
+            sigs = [signature(s) if len(s) else None for _, sets in shingle_sets(batch.column(at_col)) for s in sets]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigs, pa.int64())], [*batch.schema.names, out_col])
+
+    return docs.mapInArrow(run, schema)
+
+
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """``documents`` (doc_id, text, others) with one row of each component, the one of the smallest doc_id; rows without shingles stay."""
+    _, classes = classes_of(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    first = classes.groupBy("root").agg(F.min_by(F.struct("sig", "least"), F.struct(F.col("least").isNull(), "least", "sig")).alias("kept"))
+    kept = first.select(F.col("kept.sig").alias("_kept"), F.col("kept.least").alias("_least"))
+    rows = with_signature(documents)
+    some = rows.join(kept, (F.col("_sig") == F.col("_kept")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_least"))).dropDuplicates(["_sig"])
+    return some.select(*documents.columns).unionByName(rows.where("_sig is null").select(*documents.columns))
+
+
 def op3(spark, sf_dir):
     return jaccard_join(table(spark, sf_dir, "documents"))
