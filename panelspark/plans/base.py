@@ -117,17 +117,23 @@ SQL = {
     "benchmark_px": "SELECT date, avg(adj_close) AS close FROM bars GROUP BY date",
     "configs": "SELECT * FROM (VALUES (1, 5, 10, 0), (2, 10, 10, 0), (3, 5, 20, 2)) AS c(config_id, top_n, holding_days, rank_offset)",
     "ranked": "SELECT *, row_number() OVER (PARTITION BY date ORDER BY prob DESC, ticker) AS rk FROM scored WHERE adj_close > 0",
-    "legs": "SELECT config_id, r.date, r.ticker, 1.0 / count(*) OVER (PARTITION BY config_id, r.date) AS w0, e.date AS entry_date, x.date AS exit_date, pe.adj_close AS entry_px, px.adj_close AS exit_px FROM ranked r JOIN configs c ON r.rk > rank_offset AND r.rk <= rank_offset + top_n JOIN sessions s ON s.date = r.date JOIN sessions e ON e.session_no = s.session_no + 1 JOIN sessions x ON x.session_no = s.session_no + 1 + holding_days JOIN prices pe ON pe.date = e.date AND pe.ticker = r.ticker AND pe.adj_close > 0 JOIN prices px ON px.date = x.date AND px.ticker = r.ticker AND px.adj_close IS NOT NULL",
+    "numbered": "SELECT p.date, ticker, adj_close, session_no, ticker * 1000000 + session_no AS spot FROM prices p JOIN sessions s ON s.date = p.date WHERE adj_close IS NOT NULL",
+    "picks": "SELECT config_id, holding_days, r.date, ticker, session_no, 1.0 / count(*) OVER (PARTITION BY config_id, r.date) AS w0 FROM ranked r JOIN sessions s ON s.date = r.date JOIN configs c ON r.rk > rank_offset AND r.rk <= rank_offset + top_n",
+    "legs": "SELECT config_id, p.date, p.ticker, w0, e.date AS entry_date, x.date AS exit_date, e.adj_close AS entry_px, x.adj_close AS exit_px FROM picks p JOIN numbered e ON e.spot = p.ticker * 1000000 + p.session_no + 1 AND e.adj_close > 0 JOIN numbered x ON x.spot = p.ticker * 1000000 + p.session_no + 1 + holding_days",
     "cohorts": "SELECT config_id, date, min(entry_date) AS entry_date, min(exit_date) AS exit_date, sum(w * (exit_px / entry_px - 1)) AS gross, sum(w * (exit_px * 0.9995 / (entry_px * 1.0005) - 1)) AS net, count(*) AS names FROM (SELECT *, w0 / sum(w0) OVER (PARTITION BY config_id, date) AS w FROM legs) GROUP BY config_id, date",
-    "fills": "SELECT date, k, fill_date, lead(fill_date) OVER (ORDER BY k) AS next_fill FROM (SELECT date, CAST((session_no - 1) / 21 AS BIGINT) AS k, lead(date) OVER (ORDER BY session_no) AS fill_date, session_no FROM sessions) WHERE (session_no - 1) % 21 = 0",
+    "fills": "SELECT *, lead(fill_date) OVER (ORDER BY k) AS next_fill FROM (SELECT date, CAST(floor((session_no - 1) / 21) AS BIGINT) AS k, session_no + 1 AS fill_no, lead(date) OVER (ORDER BY session_no) AS fill_date, session_no FROM sessions) WHERE (session_no - 1) % 21 = 0",
     "book": "SELECT date, ticker, adj_close, CASE WHEN hi <= k THEN 1.0 / k ELSE 0 END - CASE WHEN lo <= k THEN 1.0 / k ELSE 0 END AS weight FROM (SELECT *, CAST(floor(count(*) OVER (PARTITION BY date) * 0.1) AS BIGINT) AS k, row_number() OVER (PARTITION BY date ORDER BY prob DESC, ticker) AS hi, row_number() OVER (PARTITION BY date ORDER BY prob, ticker DESC) AS lo FROM scored WHERE adj_close > 0) WHERE k >= 1 AND (hi <= k OR lo <= k)",
-    "periods": "SELECT k, b.ticker, weight, fill_date, next_fill, p.adj_close AS p0, q.adj_close / p.adj_close AS growth FROM book b JOIN fills f ON f.date = b.date JOIN prices p ON p.date = fill_date AND p.ticker = b.ticker AND p.adj_close > 0 JOIN prices q ON q.date = next_fill AND q.ticker = b.ticker AND q.adj_close IS NOT NULL",
+    "periods": "SELECT k, b.ticker, weight, fill_date, next_fill, p.adj_close AS p0, q.adj_close / p.adj_close AS growth FROM book b JOIN fills f ON f.date = b.date AND next_fill IS NOT NULL JOIN numbered p ON p.spot = b.ticker * 1000000 + fill_no AND p.adj_close > 0 JOIN numbered q ON q.spot = b.ticker * 1000000 + fill_no + 21",
     "bnav": "SELECT date, close AS nav FROM benchmark_px",
     "bret": "SELECT date, nav, nav / lag(nav) OVER (ORDER BY date) - 1 AS ret FROM bnav",
     "quotes": "SELECT ticker, CASE WHEN ticker % 7 = 0 THEN NULL ELSE arg_max(adj_close, date) END AS quote, CASE WHEN ticker % 14 = 0 THEN NULL ELSE arg_min(adj_close, date) END AS seen FROM bars GROUP BY ticker",
 }
 
 
+#: Tables that DuckDB should compute once; Spark's own tables stay as they are.
+_TWICE = ("sessions", "grid", "prices", "rets", "scored", "ranked", "numbered", "picks", "legs", "book", "periods")
+
+
 def closure(*names: str) -> str:
     """WITH clause of the named tables and all that they need."""
     order: list[str] = []
@@ -141,7 +147,7 @@ def closure(*names: str) -> str:
 
     for n in names:
         need(n)
-    return "WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in order)
+    return "WITH " + ", ".join(f"{n} AS {'MATERIALIZED ' if n in _TWICE else ''}({SQL[n]})" for n in order)
 
 
 def oracle(body: str) -> str:
