@@ -312,9 +312,9 @@ def _periods(t):
     return portfolio.long_short_periods(selection.decile_book(t.scored, 0.1), t.prices, fills)
 
 
-@query("b05_long_short", "k:big factor~ nav~", "SELECT k, factor, product(factor) OVER (ORDER BY k) AS nav FROM (SELECT k, 1 + sum(weight * (growth - 1)) AS factor FROM periods GROUP BY k)", digits=5)
+@query("b05_long_short", "k:big factor~ log_nav~", "SELECT k, factor, ln(abs(product(factor) OVER (ORDER BY k))) AS log_nav FROM (SELECT k, 1 + sum(weight * (growth - 1)) AS factor FROM periods GROUP BY k)", digits=5)
 def _(t):
-    return portfolio.long_short_nav(_periods(t))
+    return portfolio.long_short_nav(_periods(t)).withColumn("log_nav", F.ln(F.abs("nav")))
 
 
 @query("b06_turnover", "k:big turnover~ names:big", """SELECT coalesce(p.k, d.k) AS k, sum(abs(coalesce(weight, 0) - coalesce(u, 0))) AS turnover, count(*) AS names FROM periods p FULL JOIN (SELECT p.k + 1 AS k, ticker, weight * growth / g AS u FROM periods p JOIN (SELECT k, 1 + sum(weight * (growth - 1)) AS g FROM periods GROUP BY k) f ON f.k = p.k) d ON d.k = p.k AND d.ticker = p.ticker
