@@ -36,7 +36,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
 # --- vectorised words -------------------------------------------------------------------------
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -102,7 +102,7 @@ class Words:
         self.start = np.flatnonzero(starts)
         self.end = np.flatnonzero(ends) + 1
         self.doc = np.searchsorted(bounds, self.start, side="right") - 1
-        size = 1 << max(21, int(len(data)).bit_length())
+        size = 1 << max(20, int(len(data)).bit_length())
         self._up, self._down = _powers(size)
         self._sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTE_VALUE[fold[data]] * self._up[: len(data)], out=self._sums[1:])
