@@ -5,7 +5,7 @@ orders of the shingles at once. All orders put shingles that many documents shar
 count; the other shingles come by ascending hash (order 1), by descending hash (order 2), or by hash from
 the middle round (order 3). Two linked sets share a shingle among the first ``n // 4 + 1`` of each under every
 order. Order 1 makes the candidates, with size and position bounds; orders 2 and 3 must agree before a
-candidate is verified by exact intersection.
+candidate is verified by exact intersection; a sketch of counts bounds the overlap before any set is moved.
 
 A large group of near copies would give pairs by the square of its size. So each bucket (a shingle of some
 prefixes) first links its members to its most central class, the one with the least share of rare shingles.
@@ -29,11 +29,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from .common import Words, fold_ascii, materialize, mix, table, text_slices, white_space
 from .urls import BlockedBloom, build_filter
 
-WORDS = 5
+WORDS, SKETCH = 5, 128
 #: Links have 100 * intersection >= 75 * union, that is 7 * intersection >= 3 * (sum of sizes).
 MIN_PERCENT = 75
 #: Shingles in a chunk whose shared shingles are counted, and shared shingles kept at most (16 MB), by how many documents at least.
-CHUNK_SHINGLES, MAX_SHARED, MIN_SHARED = 4 << 20, 2 << 20, 3
+CHUNK_SHINGLES, MAX_SHARED, MIN_SHARED = 2 << 20, 2 << 20, 3
 _PLACE = mix(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
 
@@ -63,8 +63,14 @@ def signature(tokens: np.ndarray) -> int:
     return int(mix(np.array([mix(tokens ^ mix(place)).sum() + np.uint64(len(tokens))], np.uint64)).view(np.int64)[0])
 
 
+def sketch(tokens: np.ndarray) -> list[int] | None:
+    """How many shingles fall into each of ``SKETCH`` parts of the hashes; null if a count needs more than a byte."""
+    counts = np.bincount((tokens >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH)
+    return counts.tolist() if counts.max() < 128 else None
+
+
 def profile(docs: DataFrame) -> DataFrame:
-    """doc_id, n, sig for each row (sig null without shingles), and in some rows the shared shingles of a chunk."""
+    """doc_id, n, sig, sketch for each row (sig null without shingles), and in some rows the shared shingles of a chunk."""
     shared_type = pa.list_(pa.struct([("token", pa.int64()), ("docs", pa.int32())]))
 
     def shared(tokens):
@@ -88,10 +94,10 @@ def profile(docs: DataFrame) -> DataFrame:
                 if held >= CHUNK_SHINGLES:
                     report[-1] = shared(chunk)
                     chunk, held = [], 0
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.int64()), pa.array(report, shared_type), pa.array([True] * len(sets))], ["doc_id", "n", "sig", "shared", "is_doc"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([shared(chunk)], shared_type), pa.array([False])], ["doc_id", "n", "sig", "shared", "is_doc"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.list_(pa.int8())), pa.array(report, shared_type), pa.array([True] * len(sets))], ["doc_id", "n", "sig", "sketch", "shared", "is_doc"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.list_(pa.int8())), pa.array([shared(chunk)], shared_type), pa.array([False])], ["doc_id", "n", "sig", "sketch", "shared", "is_doc"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig long, shared array<struct<token:long,docs:int>>, is_doc boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig long, sketch array<tinyint>, shared array<struct<token:long,docs:int>>, is_doc boolean")
 
 
 def ordered(tokens: np.ndarray, shared: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, int]:
@@ -223,6 +229,12 @@ def _can_link(n: Column, pos: Column, n2: Column, pos2: Column) -> Column:
     return (4 * F.least(n, n2) >= 3 * F.greatest(n, n2)) & (7 * F.least(n - pos, n2 - pos2) >= 3 * (n + n2))
 
 
+def _overlap_allows(a: Column, b: Column, n: Column, n2: Column) -> Column:
+    """Bound from the sketches: two sets share no more of a part than the smaller count; true where a sketch is missing."""
+    most = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, v: s + v)
+    return F.coalesce(7 * most >= 3 * (n + n2), F.lit(True))
+
+
 def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Profiles of the rows (doc_id, n, sig), and of each class sig, class_size, least (doc_id), root (its component)."""
     profiles = materialize(profile(docs))
@@ -237,14 +249,19 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.where("lo < hi").select("token", "sig", _size(F.col("info")).alias("n"), _place(F.col("info")).alias("pos"), F.struct("hub.sig", _size(F.col("hub.info")).alias("n"), _place(F.col("hub.info")).alias("pos")).alias("hub"))
     buckets = materialize(rows)
     to_hub = buckets.where(F.col("sig") != F.col("hub.sig")).where(_can_link(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))
-    links = materialize(verify(materialize(to_hub.select(F.col("sig").alias("a"), F.col("hub.sig").alias("b")).distinct()), docs, shared_tokens))
+    sketches = profiles.where("sig is not null").groupBy("sig").agg(F.first("sketch").alias("sketch"))
+    one, two = sketches.select(F.col("sig").alias("a"), F.col("sketch").alias("sa")), sketches.select(F.col("sig").alias("b"), F.col("sketch").alias("sb"))
+    to_hub = to_hub.select(F.col("sig").alias("a"), F.col("hub.sig").alias("b"), "n", F.col("hub.n").alias("n2")).distinct().join(one, "a").join(two, "b")
+    to_hub = to_hub.where(_overlap_allows(F.col("sa"), F.col("sb"), F.col("n"), F.col("n2")))
+    links = materialize(verify(materialize(to_hub.select("a", "b")), docs, shared_tokens))
 
     roots = components(links)
     known = buckets.select("token", "sig", "n", "pos").distinct().join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    mixed = materialize(known.select("*", F.min("root").over(bucket).alias("r1"), F.max("root").over(bucket).alias("r2")).where("r1 < r2").drop("r1", "r2"))
-    other = mixed.select("token", *(F.col(c).alias(f"{c}2") for c in ("sig", "n", "pos", "root")))
+    mixed = materialize(known.select("*", F.min("root").over(bucket).alias("r1"), F.max("root").over(bucket).alias("r2")).where("r1 < r2").drop("r1", "r2").join(sketches, "sig"))
+    other = mixed.select("token", *(F.col(c).alias(f"{c}2") for c in ("sig", "n", "pos", "root", "sketch")))
+    allowed = _overlap_allows(F.col("sketch"), F.col("sketch2"), F.col("n"), F.col("n2"))
     apart = mixed.join(other, "token").where((F.col("sig") < F.col("sig2")) & (F.col("root") != F.col("root2"))).where(_can_link(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2")))
-    more = verify(materialize(apart.select(F.col("sig").alias("a"), F.col("sig2").alias("b")).distinct()), docs, shared_tokens)
+    more = verify(materialize(apart.where(allowed).select(F.col("sig").alias("a"), F.col("sig2").alias("b")).distinct()), docs, shared_tokens)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     rows = profiles.where("is_doc").select("doc_id", "n", "sig")
