@@ -10,7 +10,8 @@ Words are runs of characters other than white space (space and characters 9 to 1
 An item of fewer words than ``SPAN`` is compared whole, with windows of its own length.
 
 The seeds of the benchmark are broadcast while there are at most ``MAX_BROADCAST_SEEDS`` of them (counted
-first); a larger benchmark is joined by a shuffle on the seed, and texts with hits are fetched again.
+first); a larger benchmark is joined by a shuffle on the seed, and texts with hits are fetched again. Both ways
+verify every hit.
 
 Edge cases: null or empty texts, and null or empty items, match nothing. Rows are judged by id and text, so repeated rows and
 null ids keep their own verdicts. Windows cover very long texts whole. An empty benchmark flags nothing.
@@ -68,9 +69,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     windows = rows.select("doc_id", "text_key", *(["words"] if small else []), F.explode(seeds(F.col("words"), short)).alias("s")).select("*", "s.seed", "s.at").drop("s")
     hits = windows.join(hint(listed), "seed").drop("seed", "size")
     if not small:
-        hits = hits.groupBy("doc_id", "text_key", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.min_by("at", "item_at").alias("at"), F.min("item_at").alias("item_at")).drop("shift")
+        hits = hits.groupBy("doc_id", "text_key", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("places"))
         once = rows.dropDuplicates(["doc_id", "text_key"])
         hits = hits.alias("h").join(once.alias("r"), F.col("h.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("h.text_key") == F.col("r.text_key"))).select("h.*", "r.words")
+        hits = hits.select("*", F.explode("places").alias("item_at")).withColumn("at", F.col("item_at") + F.col("shift")).drop("places", "shift")
     share = share_equal(F.col("words"), F.col("item"), F.col("at"), F.col("item_at"))
     sure = hits.join(hint(items), "item_id").select("doc_id", "text_key", "item_id", "at", "item_at", share.alias("share")).where(F.col("share") >= MIN_SHARE)
     return sure.groupBy("doc_id", "text_key", "item_id").agg(F.max(F.struct("share", "at", "item_at")).alias("best")).select("doc_id", "text_key", "item_id", "best.*")

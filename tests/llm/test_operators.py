@@ -170,6 +170,15 @@ def test_decontamination_by_shuffle_gives_the_same(spark, monkeypatch):
     assert [r.item_ids for r in decontam.flag(d, bench).orderBy("doc_id").collect()] == [r.item_ids for r in one] == [[0], []]
 
 
+def test_decontamination_of_excerpts_is_the_same_both_ways(spark, monkeypatch):
+    item = [f"w{i}" for i in range(59)]
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id bigint, text string")
+    d = docs(spark, [" ".join([f"a{o}_{i}" for i in range(30)] + item[o:]) for o in range(7, 30)])
+    for limit in (decontam.MAX_BROADCAST_SEEDS, 0):
+        monkeypatch.setattr(decontam, "MAX_BROADCAST_SEEDS", limit)
+        assert decontam.flag(d, bench).where("contaminated").count() == 23
+
+
 # --- urls
 
 def test_url_rules_and_list(spark):
