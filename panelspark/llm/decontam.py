@@ -2,9 +2,9 @@
 
 A mask is a fixed pattern over ``SPAN`` neighbouring words that samples some of them and ignores the others. The
 sampled words of every window of every text are hashed and joined with the hashes of the benchmark items.
-Around a hit the text and the item are laid side by side, and the hit counts if at least ``MIN_SHARE`` of
-the words in reach (``REACH`` words on either side of the window, inside the item) are equal. So a passage
-is found although some of its words were substituted.
+Around a hit the text and the item are laid side by side, and the hit counts if some run of at least ``MIN_RUN``
+neighbouring words (within ``REACH`` words on either side of the window, inside the item) has at least ``MIN_SHARE``
+equal words. So a part of an item is found, and a passage is found although some of its words were substituted.
 
 Words are runs of characters other than white space (space and characters 9 to 13), A-Z lower-cased.
 An item of fewer words than ``SPAN`` is compared whole, with windows of its own length.
@@ -25,7 +25,9 @@ from .common import table
 
 #: Offsets of the sampled words. Fixed masks.
 MASKS = ((0, 1, 2, 4, 7, 8, 10), (0, 2, 3, 6, 8, 9, 10))
-SPAN, REACH, MIN_SHARE, MAX_BROADCAST_SEEDS = 11, 9, 0.75, 1_000_000
+SPAN, MIN_SHARE, MAX_BROADCAST_SEEDS = 11, 0.75, 1_000_000
+#: A run of twice MIN_RUN words falls into two, one of them with as great a share, so shorter ones are enough.
+MIN_RUN, REACH = 11, 20
 
 
 def word_hashes(text: Column) -> Column:
@@ -48,11 +50,39 @@ def seeds(hashes: Column, short: list[int]) -> Column:
 
 
 def share_equal(words: Column, item: Column, at: Column, item_at: Column) -> Column:
-    """Share of equal words when the item's word ``item_at`` lies on the text's word ``at``, in reach of the window."""
+    """Share of equal words in the best run near a hit, 0 if none is good enough, when the item's word ``item_at`` lies on the text's word ``at``.
+
+    A run is ``MIN_RUN`` or more neighbouring words of the item, or the whole of a shorter item; words of the item
+    outside the text count as unequal. The best run has the greatest score: 1 for each equal word, less 3 for
+    each other one, so that 0 stands for a share of 0.75. MIN_RUN equal words in a row at the hit are 1.0 at once.
+    """
+    least = F.least(F.size(item), F.lit(MIN_RUN))
     low = F.greatest(F.lit(0), item_at - REACH)
     high = F.least(F.size(item), item_at + SPAN + REACH) - 1
-    same = F.filter(F.sequence(low, high), lambda i: (at - item_at + i >= 0) & (F.get(words, F.greatest(F.lit(0), at - item_at + i)) == F.get(item, i)))
-    return F.size(same) / (high - low + 1)
+    unit = 1 << 20  # a run as one number: score * unit + equal words
+    loss = round(MIN_SHARE / (1 - MIN_SHARE))
+    step = lambda i: F.when((at - item_at + i >= 0) & (F.get(words, F.greatest(F.lit(0), at - item_at + i)) == F.get(item, i)), F.lit(unit + 1).cast("long")).otherwise(F.lit(-loss * unit).cast("long"))
+
+    def best_run(steps):
+        def add(s, k):
+            last = s["last"] + F.get(steps, k) - F.when(k >= least, F.get(steps, F.greatest(F.lit(0), k - least))).otherwise(F.lit(0).cast("long"))
+            ending = F.greatest(s["ending"] + F.get(steps, k), F.when(k >= least - 1, last))
+            return F.struct(last.alias("last"), ending.alias("ending"), F.greatest(s["best"], ending).alias("best"))
+
+        none = F.struct(F.lit(0).cast("long").alias("last"), F.lit(None).cast("long").alias("ending"), F.lit(None).cast("long").alias("best"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(steps) - 1), none, add)["best"]
+
+    best = F.transform(F.array(F.transform(F.sequence(low, high), step)), best_run)  # an array of one, so that its parts are made once
+
+    def share(code):
+        equal = F.pmod(code, F.lit(unit))
+        score = (code - equal) / unit
+        return F.when(score >= 0, equal / (((1 + loss) * equal - score) / loss)).otherwise(0.0)
+
+    first = F.least(item_at, F.size(item) - least)
+    from_word = at - item_at + first
+    plain = (from_word >= 0) & (F.slice(words, F.greatest(F.lit(0), from_word) + 1, least) == F.slice(item, first + 1, least))
+    return F.when(plain, 1.0).otherwise(F.get(F.transform(best, share), 0))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

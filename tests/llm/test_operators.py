@@ -179,6 +179,16 @@ def test_decontamination_of_excerpts_is_the_same_both_ways(spark, monkeypatch):
         assert decontam.flag(d, bench).where("contaminated").count() == 23
 
 
+def test_decontamination_finds_exact_excerpts_of_every_length(spark, monkeypatch):
+    item = [f"w{i}" for i in range(59)]
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id bigint, text string")
+    spots = [(n, o) for n in [8, *range(11, 60)] for o in range(60 - n)]
+    d = docs(spark, [" ".join([f"a{i}" for i in range(9)] + item[o : o + n] + [f"b{i}" for i in range(30)]) for n, o in spots])
+    for limit in (decontam.MAX_BROADCAST_SEEDS, 0):
+        monkeypatch.setattr(decontam, "MAX_BROADCAST_SEEDS", limit)
+        assert [spots[r.doc_id] for r in decontam.flag(d, bench).where("not contaminated").orderBy("doc_id").collect()] == [(8, o) for o in range(52)]
+
+
 # --- urls
 
 def test_url_rules_and_list(spark):
