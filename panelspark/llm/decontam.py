@@ -1,13 +1,13 @@
 """Benchmark decontamination by spaced-seed hashing, with DataFrame functions only.
 
-A mask is a fixed pattern over ``SPAN`` neighbouring words that samples some of them and ignores the others. The
+A mask is a fixed pattern over at most ``SPAN`` neighbouring words that samples some of them and ignores the others. The
 sampled words of every window of every text are hashed and joined with the hashes of the benchmark items.
 Around a hit the text and the item are laid side by side, and the hit counts if some run of at least ``MIN_RUN``
 neighbouring words (within ``REACH`` words on either side of the window, inside the item) has at least ``MIN_SHARE``
-equal words. So a part of an item is found, and a passage is found although some of its words were substituted.
+equal words. The masks hit every such run, so what is in no run is all that is left out. An item of fewer words
+than ``MIN_RUN`` is compared whole, with masks of its own that hit every share from ``MIN_SHARE``.
 
 Words are runs of characters other than white space (space and characters 9 to 13), A-Z lower-cased.
-An item of fewer words than ``SPAN`` is compared whole, with windows of its own length.
 
 The seeds of the benchmark are broadcast while there are at most ``MAX_BROADCAST_SEEDS`` of them (counted
 first); a larger benchmark is joined by a shuffle on the seed, and texts with hits are fetched again. Both ways
@@ -19,17 +19,27 @@ null ids keep their own verdicts. Windows cover very long texts whole. An empty
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import table
 
-#: Offsets of the sampled words. Fixed masks.
-MASKS = ((0, 1, 2, 4, 7, 8, 10), (0, 2, 3, 6, 8, 9, 10))
-SPAN, MIN_SHARE, MAX_BROADCAST_SEEDS = 11, 0.75, 1_000_000
+#: Offsets of the sampled words. A search over all masks of five words found these: of 11 to 21 words (see REACH) with any
+#: quarter unequal, rounded down, one of them samples equal words only.
+MASKS = ((0, 1, 2, 6, 8), (0, 3, 4, 5, 6), (0, 1, 2, 4, 5), (0, 1, 4, 6, 9))
+SPAN, MIN_SHARE, MAX_BROADCAST_SEEDS = 10, 0.75, 1_000_000
 #: A run of twice MIN_RUN words falls into two, one of them with as great a share, so shorter ones are enough.
 MIN_RUN, REACH = 11, 20
 
 
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks for an item of n words, fewer than MIN_RUN: of four blocks, all but as many as words may be unequal."""
+    blocks = [range(n * k // 4, n * (k + 1) // 4) for k in range(4)]
+    kept = (sorted(i for block in some for i in block) for some in combinations(blocks, 4 - n // 4))
+    return sorted({tuple(i - offsets[0] for i in offsets) for offsets in kept})
+
+
 def word_hashes(text: Column) -> Column:
     """64-bit hashes of the words; null for a text without words."""
     low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz     ")
@@ -38,15 +48,13 @@ def word_hashes(text: Column) -> Column:
     return F.when(F.size(hashes) > 0, hashes)
 
 
-def seeds(hashes: Column, short: list[int]) -> Column:
-    """(seed, at) of every window: one for each mask, and whole windows of the lengths in ``short``."""
+def seeds(df: DataFrame, hashes: str, masks: list[tuple[int, ...]], only: dict[int, Column] | None = None) -> DataFrame:
+    """One row for each window of each row of ``df``: its columns, at and seed. A mask in ``only`` has the condition where it counts."""
     n = F.size(hashes)
-
-    def windows(span, offsets, kind):
-        steps = F.when(n >= span, F.sequence(F.lit(0), n - span)).otherwise(F.array().cast("array<int>"))
-        return F.transform(steps, lambda i: F.struct(F.xxhash64(F.lit(kind), *(F.get(hashes, i + k) for k in offsets)).alias("seed"), i.alias("at")))
-
-    return F.concat(*(windows(SPAN, m, k) for k, m in enumerate(MASKS)), *(windows(length, range(length), -length) for length in short))
+    places = df.select("*", F.explode_outer(F.sequence(F.lit(0), n - 1)).alias("at"))
+    fits = [(F.col("at") + m[-1] < n) & (only or {}).get(k, F.lit(True)) for k, m in enumerate(masks)]
+    made = [F.when(fit, F.xxhash64(F.lit(k), *(F.get(hashes, F.col("at") + i) for i in m))) for k, (fit, m) in enumerate(zip(fits, masks, strict=True))]
+    return places.select("*", F.explode_outer(F.array(*made)).alias("seed")).where("seed is not null")
 
 
 def share_equal(words: Column, item: Column, at: Column, item_at: Column) -> Column:
@@ -88,16 +96,19 @@ def share_equal(words: Column, item: Column, at: Column, item_at: Column) -> Col
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, text_key, item_id, at, item_at, share: the best verified overlap of each row and item."""
     items = benchmark.select(F.col(item_col).alias("item_id"), word_hashes(F.col(item_text_col)).alias("item")).where("item is not null")
-    sizes = items.groupBy(F.least(F.size("item"), F.lit(SPAN)).alias("n")).agg(F.sum(F.size("item")).alias("words")).collect()  # at most SPAN rows
-    short = sorted(r["n"] for r in sizes if r["n"] < SPAN)
-    small = sum(r["words"] for r in sizes) * (len(MASKS) + len(short)) <= MAX_BROADCAST_SEEDS
+    sizes = items.groupBy(F.least(F.size("item"), F.lit(MIN_RUN)).alias("n")).agg(F.sum(F.size("item")).alias("words")).collect()  # at most MIN_RUN rows
+    masks_of = {r["n"]: list(MASKS) if r["n"] == MIN_RUN else short_masks(r["n"]) for r in sizes}
+    masks = sorted({m for some in masks_of.values() for m in some})
+    small = sum(r["words"] * len(masks_of[r["n"]]) for r in sizes) <= MAX_BROADCAST_SEEDS
     hint = F.broadcast if small else lambda df: df
-    found = F.explode(seeds(F.col("item"), short))
-    listed = items.select("item_id", F.size("item").alias("size"), found.alias("s")).select("item_id", "size", "s.seed", F.col("s.at").alias("item_at"))
+    own = {k: F.least(F.size("item"), F.lit(MIN_RUN)).isin([n for n, some in masks_of.items() if m in some]) for k, m in enumerate(masks)}
+    if not masks:
+        masks, own = [MASKS[0]], {}
+    listed = seeds(items, "item", masks, own).select("item_id", "seed", F.col("at").alias("item_at"))
     key = F.xxhash64(text_col).alias("text_key")
     rows = docs.select(F.col(id_col).alias("doc_id"), key, word_hashes(F.col(text_col)).alias("words")).where("words is not null")
-    windows = rows.select("doc_id", "text_key", *(["words"] if small else []), F.explode(seeds(F.col("words"), short)).alias("s")).select("*", "s.seed", "s.at").drop("s")
-    hits = windows.join(hint(listed), "seed").drop("seed", "size")
+    windows = seeds(rows, "words", masks).select("doc_id", "text_key", *(["words"] if small else []), "seed", "at")
+    hits = windows.join(hint(listed), "seed").drop("seed")
     if not small:
         hits = hits.groupBy("doc_id", "text_key", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("places"))
         once = rows.dropDuplicates(["doc_id", "text_key"])

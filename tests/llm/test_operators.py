@@ -4,6 +4,7 @@ Every table holds nulls, an empty text, repeated rows and an extra column; empty
 """
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -189,6 +190,32 @@ def test_decontamination_finds_exact_excerpts_of_every_length(spark, monkeypatch
         assert [spots[r.doc_id] for r in decontam.flag(d, bench).where("not contaminated").orderBy("doc_id").collect()] == [(8, o) for o in range(52)]
 
 
+def test_masks_hit_every_run_of_the_least_share():
+    for n in range(1, 22):
+        masks = decontam.MASKS if n >= decontam.MIN_RUN else decontam.short_masks(n)
+        placed = [{i + o for o in m} for m in masks for i in range(n - m[-1])]
+        assert all(any(not p & set(bad) for p in placed) for bad in itertools.combinations(range(n), n // 4)), n
+
+
+def test_decontamination_finds_substitutions_down_to_the_least_share(spark, monkeypatch):
+    items = [[f"w{n}_{i}" for i in range(n)] for n in (60, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10)]
+    bench = spark.createDataFrame([(len(i), " ".join(i)) for i in items], "item_id bigint, text string")
+    cases = [(n, {i for i in range(n) if i % period == phase}, True) for n in (15, 30, 60) for period in (4, 5) for phase in range(period)]
+    cases += [(11, set(bad), True) for k in (1, 2) for bad in itertools.combinations(range(11), k)] + [(11, {2, 5, 8}, False), (11, {0, 5, 10}, False)]
+    spoilt = [" ".join("x" if i in bad else f"w60_{i + (20 if n == 11 else 0)}" for i in range(n)) for n, bad, _ in cases]
+    for item in items[1:]:
+        for k in (len(item) // 4, len(item) // 4 + 1):
+            for bad in itertools.combinations(range(len(item)), k):
+                spoilt.append(" ".join("x" if i in bad else w for i, w in enumerate(item)))
+                cases.append((len(item), set(bad), k == len(item) // 4))
+    d = docs(spark, [f"a b {t} c d" for t in spoilt] + ["w10_2 w10_3 w10_4 w10_5 w10_6 w10_7 w10_8 w10_9", "w10_0 w10_1 w10_2 w10_3 w10_4 w10_5 w10_6"])
+    for limit in (decontam.MAX_BROADCAST_SEEDS, 0):
+        monkeypatch.setattr(decontam, "MAX_BROADCAST_SEEDS", limit)
+        got = [r.contaminated for r in decontam.flag(d, bench).orderBy("doc_id").collect()]
+        assert [c for c, g in zip(cases, got, strict=False) if c[2] != g] == []
+        assert got[len(cases) :] == [True, False]
+
+
 # --- urls
 
 def test_url_rules_and_list(spark):
