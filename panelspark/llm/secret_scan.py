@@ -3,7 +3,8 @@
 Base spans come from three patterns (assign, access, hex). The novelty method takes every string of token
 characters in a sensitive context (a word such as key or credential shortly before it) and measures how many
 bytes it adds to the compressed surrounding text, with zstandard primed by a dictionary of the corpus's
-identifiers. A string that hardly compresses against both is reported as a span of kind ``novel``.
+identifiers. A string that hardly compresses against both is reported as a span of kind ``novel``. The context
+carries on from a reported string to the next string or line, so that a key of many lines is reported whole.
 
 The identifier dictionary is made of the words that occur beside candidates in most documents, counted over
 all documents; at most ``DICTIONARY_WORDS`` of them reach the driver.
@@ -17,6 +18,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -32,8 +35,10 @@ KINDS = ("assign", "access", "hex", "novel")
 
 SENSITIVE = ("key", "token", "secret", "passw", "passphrase", "credential", "auth", "bearer", "private", "signature", "session", "login")
 _SENSITIVE = re.compile("|".join(SENSITIVE), re.I | re.A)
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,256}")
-_MARK = re.compile(r"[0-9+/_=-]")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16}")
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
+#: The next string or line after a string: only quotes, punctuation and white space lie between. The last line of a key block may be short.
+_NEXT = re.compile(r"""(?:[\s"'`,;:.\\|>\#*(){}\[\]]|\+(?=\s)){1,48}([A-Za-z0-9+/_=-]{16,}|[A-Za-z0-9+/=]{1,15}(?=[\s"'\\]{1,8}(?:[rn]\\?){0,2}-----END))""")
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z_]{2,23}")
 #: How far before a string a sensitive word counts, how much text on either side primes the compressor,
 #: and how many bytes a character must add at least.
@@ -54,23 +59,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[dict]:
-    """Strings in a sensitive context that touch no base span, with the text around them."""
-    found, last = [], -1
+    """Strings in a sensitive context that touch no base span, with the text around them, by start.
+
+    ``after`` is -1 for a string near a sensitive word. The strings that follow it or a base span one by one
+    have in ``after`` the end of the string before: they count if that one is reported.
+    """
+    found, last, starts, furthest = {}, -1, [a for a, _, _ in taken], list(accumulate((b for _, _, b in taken), max))
+
+    def add(start, end, after):
+        k = bisect_left(starts, end)
+        if k and furthest[k - 1] > start:
+            return False
+        found[start] = {"start": start, "end": end, "after": after, "value": text[start:end], "around": text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND]}
+        return True
+
     for word in _SENSITIVE.finditer(text):
-        for m in _CANDIDATE.finditer(text, max(word.end(), last), min(len(text), word.end() + REACH + 256)):
-            start, end = m.span()
-            if start - word.end() > REACH:
-                break
-            while end < len(text) and end - start < 4096 and _CANDIDATE.match(text[end] * 16):  # the rest of a long run
-                end += 1
-            last = end
-            if not _MARK.search(text, start, end) or any(a < end and start < b for a, _, b in taken):
-                continue
-            found.append({"start": start, "end": end, "value": text[start:end], "around": text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND]})
-    return found
+        at = max(word.end(), last)
+        while m := _CANDIDATE.search(text, at, min(len(text), word.end() + REACH + 16)):
+            last = at = _RUN.match(text, m.start()).end()
+            add(m.start(), last, -1)
+    for end in sorted({b for _, _, b in taken} | {x["end"] for x in found.values()}):
+        while (m := _NEXT.match(text, end)) and m.start(1) not in found and add(*m.span(1), end):
+            end = m.end(1)
+    return [found[k] for k in sorted(found)]
 
 
-_FOUND = "array<struct<start:int,end:int,value:string,around:string>>"
+_FOUND = "array<struct<start:int,end:int,after:int,value:string,around:string>>"
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -78,7 +92,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     def run(batches):
         kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-        cand = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("around", pa.string())]))
+        cand = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("after", pa.int32()), ("value", pa.string()), ("around", pa.string())]))
         for batch in batches:
             base, found = [], []
             for text in batch.column(1):
@@ -110,6 +124,19 @@ class Novelty:
         return (len(self._c.compress(text + own)) - len(self._c.compress(text))) / len(own)
 
 
+def novel_spans(novelty: Novelty, base: list[tuple[int, int, int]], found: list[dict], min_rate: float = MIN_RATE) -> list[tuple[int, int]]:
+    """(start, end) of the candidates to report; spans that overlap become one."""
+    ends, spans = {b for _, _, b in base}, []
+    for x in found:
+        if (x["after"] < 0 or x["after"] in ends) and (x["end"] - x["start"] < 16 or novelty.rate(x["value"], x["around"]) >= min_rate):
+            ends.add(x["end"])
+            if spans and x["start"] < spans[-1][1]:
+                spans[-1] = (spans[-1][0], max(spans[-1][1], x["end"]))
+            else:
+                spans.append((x["start"], x["end"]))
+    return spans
+
+
 def digest(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
@@ -123,7 +150,7 @@ def judge(scanned: DataFrame, dictionary: bytes, min_rate: float = MIN_RATE) ->
             out = []
             for row in batch.to_pylist():
                 base = [(x["start"], x["kind"], x["end"]) for x in row["base"]]
-                novel = [(x["start"], 3, x["end"]) for x in row["found"] if novelty.rate(x["value"], x["around"]) >= min_rate]
+                novel = [(s, 3, e) for s, e in novel_spans(novelty, base, row["found"], min_rate)]
                 n = [sum(k == i for _, k, _ in base) for i in range(3)]
                 out.append((row["doc_id"], *n, len(novel), hashlib.sha256(digest(base).encode()).hexdigest(), digest(sorted(base + novel))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(),) * 5 + (pa.string(),) * 2, strict=True)] if out else [pa.array([], t) for t in (pa.int64(),) * 5 + (pa.string(),) * 2], ["doc_id", "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"])
@@ -151,7 +178,7 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]"
                 text = text.as_py()
                 if text:
                     base = base_spans(text)
-                    spans = sorted([(s, e) for s, _, e in base] + [(x["start"], x["end"]) for x in candidates(text, base) if novelty.rate(x["value"], x["around"]) >= MIN_RATE])
+                    spans = sorted([(s, e) for s, _, e in base] + novel_spans(novelty, base, candidates(text, base)))
                     done, parts = 0, []
                     for s, e in spans:
                         if s >= done:
