@@ -13,8 +13,10 @@ from panelspark.llm.common import materialize, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose language is told; rejected ones (``und``: null text or no letters) go."""
+    """Keep the documents whose language is told; rejected ones (``und``: null text or no letters) go. Without any label, those with letters stay."""
     model = langid.fit(docs)
+    if not model.languages:
+        return langid.with_letters(docs)
     return langid.predict(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
 
 

@@ -20,12 +20,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .common import table, text_slices
 
 ORDER = 3
-#: Bounds of the training sample: so many texts of each language, and so many contexts kept.
+#: Bounds of the training sample: so many texts and grams of each language, and so many contexts kept.
 TRAIN_TEXTS_PER_LANGUAGE, MAX_CONTEXTS, MAX_GRAMS = 3000, 20_000, 400_000
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -91,16 +91,15 @@ def gram_counts(labelled: DataFrame, text_col: str = "text", lang_col: str = "la
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_TEXTS_PER_LANGUAGE) -> PpmModel:
     """Fit on a bounded sample of labelled rows: about ``per_language`` whole texts of each language, drawn by a hash of the id.
 
-    At most ``MAX_GRAMS`` grams, the most frequent, come to the driver.
+    Every language is learned. At most ``MAX_GRAMS`` grams of each, the most frequent, come to the driver.
     """
     known = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(64).collect()}
+    sizes = known.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_size"))
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000))
-    keep = F.lit(False)
-    for lang, size in sizes.items():
-        keep = keep | ((F.col(lang_col) == lang) & (draw < min(1_000_000, -(-1_000_000 * per_language // size))))
-    grams = gram_counts(known.where(keep), text_col, lang_col)
-    rows = grams.orderBy(F.desc("n"), "lang", "gram").limit(MAX_GRAMS).toArrow()
+    drawn = known.join(F.broadcast(sizes), F.col(lang_col) == F.col("_lang")).where(draw < F.floor((F.lit(1_000_000 * per_language) + F.col("_size") - 1) / F.col("_size")))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    grams = gram_counts(drawn, text_col, lang_col).select("*", place.alias("place")).where(F.col("place") <= MAX_GRAMS)
+    rows = grams.orderBy(F.desc("n"), "lang", "gram").toArrow()
     return build(*(rows.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "gram", "n")))
 
 
@@ -202,6 +201,17 @@ def predict(docs: DataFrame, model: PpmModel, text_col: str = "text") -> DataFra
     return docs.mapInArrow(run, schema)
 
 
+def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows whose text has a letter: those that ``predict`` gives a language if it knows any."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([bool(t and _LETTER.search(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold_of(id_col: str, folds: int):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 

@@ -162,6 +162,24 @@ def test_words_and_signatures_do_not_depend_on_place():
     assert sets[0] == sets[3] and len(sets[0]) == 3
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    rows = [(i, f"{chr(0x4E00 + i)}{chr(0x5E00 + i)} " * 20, f"l{i:02d}") for i in range(70)]
+    rows += [(1000 + i, words(i, 60), "big") for i in range(70)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    monkeypatch.setattr(langid, "MAX_GRAMS", 30)  # for each language, so that the rare ones keep theirs
+    model = langid.fit(d)
+    assert len(model.languages) == 71
+    assert langid.predict(d, model).where("lang <> lang_pred").count() == 0
+
+
+def test_pipeline_keeps_documents_without_labels(spark):
+    import corpus_pipeline
+
+    d = docs(spark, ["some text", None, "", "12 _ 3", "é"]).withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.language_id(spark, d, "")
+    assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [0, 4]
+
+
 # --- decontamination
 
 def test_decontamination_finds_substituted_passages_and_keeps_clean(spark):
