@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import tempfile
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,23 +18,66 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores after it as it needs to be no column of ``df``, whose own columns stay as they are."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder, or one of our own if unset."""
+    """The folder that driver and executors share: the session's checkpoint folder, or in local mode one of our own if unset."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local") or sc.master.startswith("local-cluster") and not folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
+#: Bytes and rows that pass to or from Python at once at most.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 4000
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Bound the Arrow batches of the session, as a task holds one or two with their copies; smaller settings stay."""
+    for name, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        now = int(re.sub(r"\D", "", spark.conf.get(name)))
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
+    return spark
+
+
+def worker_state(key: Hashable, make: Callable):
+    """What ``make`` returns, made once in each Python worker and kept for its later tasks; the newest four are kept."""
+    held = sys.modules.setdefault("_panelspark_worker", types.ModuleType("_panelspark_worker")).__dict__.setdefault("held", {})
+    if key not in held:
+        while len(held) >= 4:
+            held.pop(next(iter(held)))
+        held[key] = make()
+    return held[key]
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it again.
 
-    The files survive lost executors, and later reads prune columns.
+    The files survive lost executors, and later reads prune columns. ``release`` deletes them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._table_path = path
+    return made
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialised tables that no lazy result reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._table_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 # --- vectorised words -------------------------------------------------------------------------

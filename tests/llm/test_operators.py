@@ -286,15 +286,74 @@ def test_pieces_equal_the_library(pieces):
         assert fst.decode(ids) == lib.decode(ids) == t.replace("▁", " ")
 
 
-def test_unigram_path_is_the_cheapest():
-    model = {"pieces": ["▁", "a", "b", "ab", "▁a"], "scores": [-1.0, -2.0, -2.0, -3.5, -2.5], "bytes": [False] * 5, "special": [False] * 5, "unknown": 0, "kind": "unigram"}
-    fst = spm.Transducer(**model)
-    assert sum(-model["scores"][i] for i in fst.encode("ab")) == min(2.5 + 2.0, 1.0 + 3.5, 1.0 + 2 + 2)
+def model_file(tmp_path, kind, pieces, **normaliser):
+    """A small model file made by hand; nothing is trained."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    m = sentencepiece_model_pb2.ModelProto()
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback = kind, any(t == 6 for _, _, t in pieces)
+    m.normalizer_spec.name, m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces = "identity", True, False
+    for k, v in normaliser.items():
+        setattr(m.normalizer_spec, k, v)
+    for piece, score, t in pieces:
+        m.pieces.add(piece=piece, score=score, type=t)
+    path = tmp_path / f"{len(list(tmp_path.iterdir()))}.model"
+    path.write_bytes(m.SerializeToString())
+    return str(path)
+
+
+SPECIAL = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+UNIGRAM = [(p, -1.0 - 0.37 * k % 5 - 0.0101 * k, 1) for k, p in enumerate(["▁", "a", "b", "c", "ab", "▁a", "bc", "abc", "▁ab", "ca", "cab", "▁▁", "bab", "é"])]
+BYTES = [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
+
+
+@pytest.mark.parametrize("fallback", [True, False])
+@pytest.mark.parametrize("normaliser", [{}, {"add_dummy_prefix": False}, {"remove_extra_whitespaces": True}])
+def test_unigram_pieces_equal_the_library(tmp_path, fallback, normaliser):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    path = model_file(tmp_path, 1, SPECIAL + (BYTES if fallback else []) + UNIGRAM, **normaliser)
+    lib, fst = sentencepiece.SentencePieceProcessor(model_file=path), spm.Transducer(**spm.read_model(path))
+    r = random.Random(2)
+    texts = ["", "abc", " a  b ", "x" * 100] + ["".join(r.choice("abcabc éx😀") for _ in range(r.randint(1, 70))) for _ in range(800)]
+    for t, ids in zip(texts, fst.encode_all(texts), strict=True):
+        assert np.frombuffer(ids, np.int32).tolist() == lib.encode(t), t
+    least = fst.encode("abcab")
+    every = [[p for p in cut] for cut in (["▁a", "bc", "ab"], ["▁ab", "cab"], ["▁", "abc", "ab"], ["▁ab", "c", "ab"], ["▁a", "b", "cab"])]
+    if fst.prefix:
+        assert -sum(fst.score[i] for i in least) <= min(-sum(fst.score[fst.id_of[p]] for p in cut) for cut in every) + 1e-9
+
+
+def test_bpe_without_byte_pieces_and_refused_models(tmp_path):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    bpe = [(p, -float(k), 1) for k, p in enumerate(["ab", "▁a", "bc", "▁ab", "abc"])] + [(c, -20.0 - k, 1) for k, c in enumerate("▁abc")]
+    path = model_file(tmp_path, 2, SPECIAL + bpe)
+    lib, fst = sentencepiece.SentencePieceProcessor(model_file=path), spm.Transducer(**spm.read_model(path))
+    r = random.Random(3)
+    for t in ["".join(r.choice("abc xé") for _ in range(r.randint(0, 60))) for _ in range(500)]:
+        assert fst.encode(t) == lib.encode(t), t
+    for bad in (model_file(tmp_path, 3, SPECIAL + bpe), model_file(tmp_path, 1, [*SPECIAL, ("user", 0.0, 4), *UNIGRAM]), model_file(tmp_path, 1, SPECIAL + UNIGRAM, precompiled_charsmap=b"1234")):
+        with pytest.raises(ValueError, match="not supported"):
+            spm.read_model(bad)
+
+
+def test_pieces_do_not_depend_on_what_is_remembered(pieces, monkeypatch):
+    lib, _ = pieces
+    monkeypatch.setattr(spm, "REMEMBERED", 5)
+    monkeypatch.setattr(spm, "PAIRS", 50)
+    fst = spm.Transducer(**spm.read_model())
+    texts = [words(k % 7, 30) + (" " if k % 3 else "  ") + "x" * (k * 13) + " Tail\nnext" for k in range(20)] + [None]
+    for _ in range(2):
+        for t, ids in zip(texts, fst.encode_all(texts), strict=True):
+            assert np.frombuffer(ids, np.int32).tolist() == (lib.encode(t) if t else [])
+            assert fst.returns(t, ids) is (None if t is None else True)
 
 
 def test_encode_and_decode_frames(spark):
-    got = spm.decode(spm.encode(docs(spark, [None, "", "héllo  wörld\n😀", "x" * 5000]))).orderBy("doc_id").collect()
-    assert got[0].piece_ids is None and got[1].piece_ids == [] and [r.decoded for r in got[1:]] == ["", "héllo  wörld\n😀", "x" * 5000]
+    texts = [None, "", "héllo  wörld\n😀", "x" * 5000, words(7, 60_000)]
+    rows = docs(spark, texts).withColumns({"piece_ids": F.lit("mine"), "_pieces": F.lit(1)})
+    got = spm.decode(spm.encode(rows), "piece_ids_").orderBy("doc_id").collect()
+    assert got[0].piece_ids_ is None and got[1].piece_ids_ == [] and [r.decoded for r in got[1:]] == texts[1:]
+    assert {r.piece_ids for r in got} == {"mine"} and {r._pieces for r in got} == {1}
     assert spm.encode(empty(spark)).count() == 0
 
 
