@@ -1,28 +1,33 @@
 """Language identification by prediction by partial matching (PPM).
 
 For each language a context tree over bytes holds how often each byte followed each context of up to
-``ORDER`` bytes. An unseen byte escapes to the next shorter context (escape method C); below order 0 all
-256 bytes are equally likely. After training the counts are frozen, so the code length of a byte is a
-function of its context alone and is tabulated: one row for each context that the trees keep, one column
-for each byte, one value for each language. A text's code length is the exact sum of these values; the
-language of the least code length wins.
+``ORDER`` bytes. A byte seen in its context is coded there, with its share of the context's count and kinds of
+bytes; any other escapes to the next shorter context (escape method C), where the bytes seen in the longer one
+are left out of all counts (exclusion); below order 0 all bytes left are equally likely. After training the
+counts are frozen, so the code length of a byte is a function of its context alone and is tabulated: one row
+for each context that the trees keep, one column for each byte seen in training, one value for each language.
+A text's code length is the exact sum of these values; the language of the least code length wins.
+
+The trees keep the ``MAX_CONTEXTS`` commonest contexts of each order, a bound on what is broadcast; a byte after
+any other context is coded in the longest one kept.
 
 Nulls and edge cases: a null, empty or letterless text is ``und`` with score 0; training skips rows with a
 null text or language; with no training rows at all every text is ``und``. Ties go to the language that
 sorts first. Very long texts are read whole. Repeated rows are judged alike. Columns of the input other than
-the named ones are passed through by ``predict`` and never read.
+the named ones are passed through by ``predict`` and never read; its own columns get an underscore where a name is taken.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import table, text_slices
+from .common import free_name, small_batches, table, text_slices
 
 ORDER = 3
 #: Bounds of the training sample: so many texts and grams of each language, and so many contexts kept.
@@ -107,13 +112,12 @@ def build(lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> PpmModel:
     """Tabulate PPM code lengths from counts n of grams of languages."""
     languages = sorted(set(lang))
     if not languages:
-        return PpmModel([], np.zeros(256, np.uint8), 1, np.zeros(2**ORDER, np.int32), np.zeros((1, 0), np.float32))
+        return PpmModel([], np.zeros(256, np.int16), 1, np.zeros(2**ORDER, np.int32), np.zeros((1, 0), np.float32))
     lang, gram, count = np.searchsorted(languages, lang), gram.astype(np.int64), n.astype(np.float64)
     parts = [(gram >> (9 * k)) & 511 for k in range(ORDER + 1)]  # parts[0] is the byte coded
-    # bytes are symbols by frequency; at most 120 keep a column of their own, so that the tables stay small
-    totals = np.bincount(parts[0], weights=count, minlength=257)[:256]
-    kept = np.argsort(-totals, kind="stable")[: min(120, int((totals > 0).sum()))]
-    symbol = np.zeros(256, np.uint8)
+    # every byte seen has a column; column 0 stands for each of the others
+    kept = np.unique(parts[0])
+    symbol = np.zeros(256, np.int16)
     symbol[kept] = np.arange(1, len(kept) + 1)
     width = len(kept) + 1
     as_symbol = np.append(symbol.astype(np.int64), width)  # 256: before the text
@@ -126,11 +130,10 @@ def build(lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> PpmModel:
         return k
 
     n_lang = len(languages)
-    # order -1: equal shares of 256 bytes; column 0 holds all bytes without a column, each at its own share
+    before = None  # of the order below: counts, and shares of the bytes that escape
     below = None
     all_rows: list[np.ndarray] = []
     n_rows = 0
-    base = np.full((1, width, n_lang), 1 / 256)
     row_of_context = np.zeros(1, np.int64)  # row of each context of the order below
     for order in range(ORDER + 1):
         k = keys(order)
@@ -145,14 +148,21 @@ def build(lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> PpmModel:
             chosen = np.ones(len(gram), bool)
         counts = np.zeros((len(contexts), width, n_lang), np.float32)
         np.add.at(counts, (where, sym[0][chosen], lang[chosen]), count[chosen])
-        total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-        if order == 0:
-            lower = np.broadcast_to(base, counts.shape)
+        seen = counts > 0
+        total, kinds = counts.sum(1, keepdims=True, dtype=np.float64), seen.sum(1, keepdims=True)
+        if before is None:
+            escaped = np.broadcast_to(1 / np.maximum(256 - kinds, 1), counts.shape)
         else:
-            suffix = contexts % (width + 1) ** (order - 1)
-            lower = all_rows[-1][below[suffix]] if order > 1 else np.broadcast_to(all_rows[-1][0], counts.shape)
-        escape = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
-        p = counts / np.maximum(total + kinds, 1) + escape * lower
+            # a context that is not kept has no children that are kept: its count is no less than theirs
+            suffix = below[contexts % (width + 1) ** (order - 1)]
+            lower, lower_escaped = (x[suffix] for x in before)
+            left = np.where(seen, 0, lower)
+            left_total, left_kinds = left.sum(1, keepdims=True, dtype=np.float64), (left > 0).sum(1, keepdims=True)
+            room = np.maximum(left_total + left_kinds, 1)
+            escaped = np.where(left > 0, left / room, np.where(left_kinds > 0, left_kinds / room, 1.0) * lower_escaped)
+        room = np.maximum(total + kinds, 1)
+        p = np.where(seen, counts / room, np.where(total > 0, kinds / room, 1.0) * escaped)
+        before = counts, escaped.astype(np.float32)
         all_rows.append(p.astype(np.float32))
         # where each full key finds its row: longer contexts overwrite shorter ones
         size = (width + 1) ** order
@@ -171,17 +181,15 @@ def build(lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> PpmModel:
 
 
 def predict(docs: DataFrame, model: PpmModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score (posterior under equal priors), bits_per_byte under that language."""
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # its size is bounded by MAX_CONTEXTS and 120 symbols
-    names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
+    """``docs`` with lang_pred, score (posterior under equal priors), bits_per_byte under that language; see ``free_name`` for names that ``docs`` has."""
+    spark = small_batches(docs.sparkSession)
+    shared = spark.sparkContext.broadcast(vars(model))  # its size is bounded by MAX_CONTEXTS, 256 bytes and the languages
 
-    def run(batches):
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = PpmModel(**shared.value)
-        for batch in batches:
-            column = batch.column(names.index(text_col))
-            lang, score, rate = [], [], []
-            for at, to, data, bounds in text_slices(column, 1 << 20):
+        for column in texts:
+            lang, score, rate = [], [np.zeros(0)], [np.zeros(0)]
+            for at, to, data, bounds in text_slices(column):
                 letters = np.array([bool(t and _LETTER.search(t)) for t in column.slice(at, to - at).to_pylist()])
                 if m.languages:
                     bits = m.score(data, bounds)
@@ -195,21 +203,27 @@ def predict(docs: DataFrame, model: PpmModel, text_col: str = "text") -> DataFra
                     lang += ["und"] * (to - at)
                     score.append(np.zeros(to - at))
                     rate.append(np.zeros(to - at))
-            joined = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), joined(score), joined(rate)], [*batch.schema.names, "lang_pred", "score", "bits_per_byte"])
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(np.concatenate(score)), pa.array(np.concatenate(rate))], ["lang_pred", "score", "bits_per_byte"])
+
+    told = free_name(docs, "_told")
+    named = {free_name(docs, c): F.col(f"{told}.{c}") for c in ("lang_pred", "score", "bits_per_byte")}
+    return docs.withColumn(told, F.arrow_udf(run, "lang_pred string, score double, bits_per_byte double")(F.col(text_col))).withColumns(named).drop(told)
 
-    return docs.mapInArrow(run, schema)
+
+def with_language(docs: DataFrame, model: PpmModel, text_col: str = "text") -> DataFrame:
+    """The rows to which ``predict`` gives a language, with their own columns only."""
+    told = predict(docs, model, text_col)
+    return told.where(F.col(told.columns[len(docs.columns)]) != "und").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows whose text has a letter: those that ``predict`` gives a language if it knows any."""
-    at = docs.columns.index(text_col)
 
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array([bool(t and _LETTER.search(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([bool(t and _LETTER.search(t)) for t in texts.to_pylist()], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    small_batches(docs.sparkSession)
+    return docs.where(F.arrow_udf(run, "boolean")(F.col(text_col)))
 
 
 def fold_of(id_col: str, folds: int):

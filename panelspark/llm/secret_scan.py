@@ -19,13 +19,14 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, table
+from .common import materialize, release, small_batches, table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 #: A run of 20 or more characters of the class that starts with AKIA; equal to matching all runs and dropping short ones.
@@ -159,38 +160,36 @@ def judge(scanned: DataFrame, dictionary: bytes, min_rate: float = MIN_RATE) ->
 
 
 def secret_scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    small_batches(documents.sparkSession)
     scanned = materialize(scan(documents, id_col, text_col))
     return judge(scanned, identifier_dictionary(scanned))
 
 
+def masked(text: str, novelty: Novelty, mask: str = "[SECRET]") -> str:
+    """The text with every reported span replaced."""
+    base = base_spans(text)
+    spans = sorted([(s, e) for s, _, e in base] + novel_spans(novelty, base, candidates(text, base)))
+    done, parts = 0, []
+    for s, e in spans:
+        if s >= done:
+            parts += [text[done:s], mask]
+        done = max(done, e)
+    return "".join([*parts, text[done:]])
+
+
 def mask_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every reported span of its text replaced; rows and columns stay. A null text stays null."""
-    spark = docs.sparkSession
-    names, schema = docs.columns, docs.schema
-    dictionary = identifier_dictionary(materialize(scan(docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())).where(F.size("found") > 0)))
-    shared = spark.sparkContext.broadcast(dictionary)  # at most DICTIONARY_WORDS words
+    spark = small_batches(docs.sparkSession)
+    scanned = materialize(scan(docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())).where(F.size("found") > 0))
+    shared = spark.sparkContext.broadcast(identifier_dictionary(scanned))  # at most DICTIONARY_WORDS words
+    release(scanned)
 
-    def run(batches):
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         novelty = Novelty(shared.value)
-        for batch in batches:
-            at, out = names.index(text_col), []
-            for text in batch.column(at):
-                text = text.as_py()
-                if text:
-                    base = base_spans(text)
-                    spans = sorted([(s, e) for s, _, e in base] + novel_spans(novelty, base, candidates(text, base)))
-                    done, parts = 0, []
-                    for s, e in spans:
-                        if s >= done:
-                            parts += [text[done:s], mask]
-                        done = max(done, e)
-                    text = "".join([*parts, text[done:]])
-                out.append(text)
-            columns = list(batch.columns)
-            columns[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
-
-    return docs.mapInArrow(run, schema)
+        for column in texts:
+            yield pa.array([masked(t, novelty, mask) if t else t for t in (x.as_py() for x in column)], pa.string())
+
+    return docs.withColumn(text_col, F.arrow_udf(run, "string")(F.col(text_col)))
 
 
 def op2(spark, sf_dir):

@@ -133,16 +133,33 @@ def brute_components(texts):
             if sets[i] and 100 * common >= 75 * (len(sets[i]) + len(sets[j]) - common):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    return [find(i) for i in range(len(texts))], [len(s) for s in sets]
+    linked = lambda i, j: sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])
+    links = [sum(bool(linked(i, j)) for j in range(len(texts)) if j != i) for i in range(len(texts))]
+    return [find(i) for i in range(len(texts))], [len(s) for s in sets], links
 
 
-def test_jaccard_components_equal_brute_force(spark):
+@pytest.mark.parametrize("hot,block", [(jaccard.HOT, jaccard.BLOCK_CLASSES), (2, 5)])
+def test_jaccard_components_and_links_equal_brute_force(spark, monkeypatch, hot, block):
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", block)
     texts = near_copies()
-    want, sizes = brute_components(texts)
-    got = jaccard.jaccard_join(docs(spark, texts)).orderBy("doc_id").collect()
-    assert [r.component_id for r in got] == want and [r.n_shingles for r in got] == sizes
-    kept = jaccard.one_of_each(docs(spark, texts))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({w for w in want}) and kept.columns == docs(spark, texts).columns
+    want, sizes, links = brute_components(texts)
+    rows = docs(spark, texts).withColumns({"_sig": F.lit("mine"), "key": F.lit(1), "first": F.lit(2), "_hit": F.lit(True)})
+    got = jaccard.jaccard_join(rows).orderBy("doc_id").collect()
+    assert [r.component_id for r in got] == want and [r.n_shingles for r in got] == sizes and [r.n_links for r in got] == links
+    if hot > 2:
+        kept = jaccard.one_of_each(rows)
+        assert sorted(r.doc_id for r in kept.collect()) == sorted({w for w in want}) and kept.columns == rows.columns
+
+
+def test_sketches_bound_the_overlap():
+    r = np.random.default_rng(5)
+    for n, m in ((40, 50), (600, 500), (5000, 4100), (9000, 8000)):
+        a, b = r.integers(0, 1 << 63, n).astype(np.uint64), r.integers(0, 1 << 63, m).astype(np.uint64)
+        apart = jaccard._overlap_bound([jaccard.sketch(a)], [jaccard.sketch(b)])[0]
+        b[: m // 2] = a[: m // 2]
+        bound = jaccard._overlap_bound([jaccard.sketch(a), None], [jaccard.sketch(b), jaccard.sketch(b)])
+        assert m // 2 <= bound[0] <= m and 7 * apart < 3 * (n + m) and bound[1] > 1 << 30
 
 
 def test_jaccard_of_nothing_and_of_null_ids(spark):
@@ -387,17 +404,19 @@ def test_code_lengths_are_those_of_frozen_counts():
             c = counts[o].setdefault(tuple(keys[i - o : i]), {})
             c[keys[i]] = c.get(keys[i], 0) + 1
 
-    def p(context, s):
+    def p(context, s, out=frozenset()):
         if context is None:
-            return 1 / 256
+            return 1 / (256 - len(out))
         shorter = context[1:] if context else None
-        c = counts[len(context)].get(context)
-        if c is None:
-            return p(shorter, s)
+        c = {x: n for x, n in counts[len(context)].get(context, {}).items() if x not in out}
+        if not c:
+            return p(shorter, s, out)
         total, kinds = sum(c.values()), len(c)
-        return c.get(s, 0) / (total + kinds) + kinds / (total + kinds) * p(shorter, s)
+        return c[s] / (total + kinds) if s in c else kinds / (total + kinds) * p(shorter, s, out | c.keys())
 
-    text = np.frombuffer(b"cadabrab", np.uint8)
+    for context in [(), (97,), (97, 98), (97, 98, 114), (1, 2, 3)]:
+        assert sum(p(context, s) for s in range(256)) == pytest.approx(1)  # whole probabilities
+    text = np.frombuffer(b"cadabrab zz\xffcadra", np.uint8)
     own = [256] * langid.ORDER + list(text)
     want = -sum(np.log2(p(tuple(own[i - langid.ORDER : i]), own[i])) for i in range(langid.ORDER, len(own)))
     assert m.score(text, np.array([0, len(text)]))[0, 0] == pytest.approx(want, rel=1e-4)
