@@ -1,7 +1,8 @@
 """A cleaning pipeline over the documents table: each stage works on all rows that the stage before kept.
 
 Every stage takes nulls in any column, empty and very long texts, repeated rows and empty tables; what it
-does with them is stated with the operator that it calls. Extra columns pass through all stages.
+does with them is stated with the operator that it calls. Extra columns pass through all stages, whatever their
+names; what the last stage adds gets an underscore where a name is taken.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs)
     if not model.languages:
         return langid.with_letters(docs)
-    return langid.predict(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+    return langid.with_language(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
