@@ -1,19 +1,22 @@
 """Exact top-k search over an impact-ordered index, score at a time.
 
 Vectors of integer components are indexed in blocks. A posting is a (vector, dimension) with its impact, the
-component; a block's postings lie in segments by quantised impact (the component's magnitude in steps),
-largest first. A batch of queries is scored segment by segment: after each one a vector's score is known up
-to what its remaining postings can add, at most the product of the norms of the query and of the vector's
-rest. Scoring stops when that proves for all but a few vectors that they cannot reach the k-th best score,
-whose lower bound comes from exact scores of the most promising ones. The possible members are scored again
-exactly, and the best of each block meet in a final top-k for each query.
-
-Blocks have ``BLOCK`` vectors and batches ``BATCH`` queries, dealt by hashes, so tasks stay even and bounded
-however large the tables are or how often a vector is repeated.
-
-Edge cases: vectors that are null, or hold null or non-finite components, take no part, nor do null ids, vectors of
-another length than most, and components beyond 2**24 in magnitude once scaled (so that sums are exact). Ties go to the
-smaller vec_id, rows of one id to the later batch order; a query never finds its own id.
+component. A block keeps its postings by dimension in segments of like quantised impact (quantiles of the
+magnitudes in the block); zeros have no posting. A query walks the segments by descending ``|q_d| * impact`` and adds
+the products of their postings to the scores of the vectors. What a vector can still gain or lose is at most the
+norm of the query over the dimensions not yet met in that vector times the norm of the vector there. A vector is
+left out only when its score with that bound stays below the k-th best of the others' least scores, or below the
+threshold that the query brings along; a query stops when few vectors are possible, and those are scored again exactly.
+
+The first block is searched first; the k-th best score that a query finds there is its threshold in all others.
+
+Blocks have about ``BLOCK`` different rows and batches ``BATCH`` queries, dealt by hashes; equal rows are counted
+before, so tasks stay even and bounded however often a row is repeated.
+
+Edge cases: vectors that are null, or hold null or non-finite components, take no part, nor do null ids. Of vectors of
+different lengths the shorter one counts as 0 beyond its end. Scores beyond 2**53 are summed as whole numbers; components
+and scores stop at the range of a long. Equal rows (id and vector) are one query, and as candidates as many as they are;
+rows of one id with other vectors are queries of their own. Ties go to the smaller vec_id; a query never finds its own id.
 """
 
 from __future__ import annotations
@@ -22,81 +25,129 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import table
+from .common import materialize, small_batches, table
 
-K, SCALE, EVERY, BLOCK, BATCH = 20, 64, 20, 4096, 1024
-#: Impacts are quantised in steps; segments from the largest impacts to the smallest.
-STEPS, MAX_COMPONENT = (12, 8, 5, 3, 0), 1 << 24
+K, SCALE, EVERY, BLOCK, BATCH = 20, 64, 20, 8192, 1024
+#: Shares of a block's magnitudes at which a new segment begins, and shares of the postings after which bounds are looked at.
+QUANTILES, LOOKS = (0.25, 0.5, 0.75, 0.9, 0.97), (0.25, 0.5, 0.75, 0.9, 1.0)
+MAX_TASKS = 20_000
+#: A query stops when at most this share of the block, or twice k, is possible.
+FEW = 0.05
 
 
 def quantised(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """vec_id, v (array of int): floor(scale * x) of each component of the vectors that take part."""
-    wide = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale))
-    fine = F.forall(F.col(vector_col), lambda x: x.isNotNull() & (F.abs(x.cast("double") * scale) < MAX_COMPONENT))  # false for NaN and infinities
+    """vec_id, v (array of long): floor(scale * x) of each component of the vectors that take part."""
+    top = float(1 << 62)
+    wide = F.transform(F.col(vector_col), lambda x: F.floor(F.least(F.greatest(x.cast("double") * scale, F.lit(-top)), F.lit(top))))
+    fine = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     rows = embeddings.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(F.coalesce(fine, F.lit(False)))
-    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), wide.cast("array<int>").alias("v")).where(F.size("v") > 0)
-    common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1)
-    return rows.join(F.broadcast(common.select("n")), F.size("v") == F.col("n"), "left_semi")
-
-
-def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of one block for each query: row of the query, vec_id, score. Exact."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order].astype(np.float64)
-    q = q.astype(np.float64)
-    size = np.abs(x)
-    norm = np.sqrt((q**2).sum(1))
-    scores = np.zeros((len(q), len(ids)))
-    own = q_ids[:, None] == ids[None, :]
-    floor = np.full(len(q), -np.inf)
-    possible = ~own
-    upper = np.inf
-    for step in STEPS:
-        segment = np.where((size >= step) & (size < upper), x, 0.0)  # postings of this quantised impact
-        upper = step
-        scores += q @ segment.T
-        rest = np.sqrt((np.where(size < step, x, 0.0) ** 2).sum(1))
-        if step == 0 or not rest.any():
-            break
-        slack = norm[:, None] * rest[None, :] + 1e-6
-        low = np.where(own, -np.inf, scores - slack)
-        if len(ids) > k:
-            floor = np.maximum(floor, np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k])
-        possible = ~own & (scores + slack >= floor[:, None])
-        if possible.sum() <= 0.05 * possible.size:  # proven: all others stay below the k-th best
-            break
-    rows, cols = np.nonzero(possible)
-    exact = np.einsum("ij,ij->i", q[rows], x[cols]) if len(rows) < 0.5 * possible.size or upper > 0 else scores[rows, cols]
-    best = np.lexsort((ids[cols], -exact, rows))
-    rows, cols, exact = rows[best], cols[best], exact[best]
-    first = np.searchsorted(rows, rows)
-    keep = np.arange(len(rows)) - first < k
-    return rows[keep], ids[cols[keep]], np.rint(exact[keep]).astype(np.int64)
+    return rows.select(F.col(id_col).cast("long").alias("vec_id"), wide.cast("array<long>").alias("v"))
+
+
+class Block:
+    """Postings of some vectors by dimension and segment."""
+
+    def __init__(self, ids: np.ndarray, vectors: list[np.ndarray]):
+        self.ids, self.vectors = ids, [np.asarray(v, np.int64) for v in vectors]
+        size = np.array([len(v) for v in self.vectors])
+        row = np.repeat(np.arange(len(ids)), size)
+        dim = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        value = np.concatenate(self.vectors).astype(np.float64) if len(ids) else np.zeros(0)
+        self.largest = float(np.abs(value).max(initial=0))
+        some = value != 0
+        row, dim, value = row[some], dim[some], value[some]
+        bounds = np.quantile(np.abs(value), QUANTILES) if len(value) else np.zeros(len(QUANTILES))
+        level = np.searchsorted(bounds, np.abs(value), side="right")
+        order = np.lexsort((level, dim))
+        self.row, self.value, dim, level = row[order], value[order], dim[order], level[order]
+        self.start = np.flatnonzero(np.append(True, (dim[1:] != dim[:-1]) | (level[1:] != level[:-1]))) if len(dim) else np.zeros(0, np.int64)
+        self.size = np.diff(np.append(self.start, len(dim)))
+        self.dim = dim[self.start]
+        self.impact = np.maximum.reduceat(np.abs(self.value), self.start) if len(dim) else np.zeros(0)
+        self.square = np.bincount(self.row, self.value**2, len(ids))
+
+    def exact(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Whole scores of some vectors."""
+        if len(q) * float(np.abs(q).astype(np.float64).max(initial=0)) * self.largest < 1 << 53:
+            return np.array([q[: len(self.vectors[r])] @ self.vectors[r][: len(q)] for r in rows.tolist()], np.int64)
+        sums = (sum(int(a) * int(b) for a, b in zip(q, self.vectors[r], strict=False)) for r in rows.tolist())
+        return np.array([max(-(1 << 63), min((1 << 63) - 1, s)) for s in sums], np.int64)
+
+    def search(self, q_id: int, q: np.ndarray, k: int, threshold: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and whole scores of the k best vectors, of those not below the threshold."""
+        q = np.asarray(q, np.int64)
+        n, wide = len(self.ids), np.zeros(max(len(q), int(self.dim.max(initial=-1)) + 1))
+        wide[: len(q)] = q
+        impact = np.abs(wide[self.dim]) * self.impact
+        walk = np.argsort(-impact, kind="stable")
+        walk = walk[impact[walk] > 0]
+        upto = np.cumsum(self.size[walk])
+        score, met, spent = np.zeros(n), np.zeros(n), np.zeros(n)
+        possible, least, done = self.ids != q_id, threshold, 0
+        norm = float(wide @ wide)
+        error = 1e-9 * (np.sqrt(norm * self.square.max(initial=0)) + 1)  # of sums of floats
+        for look in LOOKS:
+            until = int(np.searchsorted(upto, look * upto[-1], side="left")) + 1 if len(upto) else 0
+            some, done = walk[done:until], max(done, until)
+            size = self.size[some]
+            at = np.arange(size.sum()) + np.repeat(self.start[some] - np.cumsum(size) + size, size)
+            row, value, weight = self.row[at], self.value[at], np.repeat(wide[self.dim[some]], size)
+            score += np.bincount(row, weight * value, n)
+            met += np.bincount(row, weight * weight, n)
+            spent += np.bincount(row, value * value, n)
+            slack = np.sqrt(np.maximum(norm - met, 0) * np.maximum(self.square - spent, 0)) + error if done < len(walk) else np.full(n, error)
+            low = (score - slack)[possible]
+            if len(low) > k:
+                least = max(least, np.partition(low, len(low) - k)[len(low) - k])
+            possible &= score + slack >= least
+            if possible.sum() <= max(2 * k, FEW * n):  # proven: no other vector is among the k best
+                break
+        rows = np.flatnonzero(possible)
+        whole = self.exact(q, rows)
+        best = np.lexsort((self.ids[rows], -whole.astype(object) if (whole == -(1 << 63)).any() else -whole))[:k]
+        best = best[whole[best] >= threshold]
+        return rows[best], whole[best]
+
+
+def _search(vectors: DataFrame, batches: DataFrame, k: int, tasks: int) -> DataFrame:
+    """query_id, q_key, vec_id, score: the best of each block for each query that meets it."""
 
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            right = right.sort_values("vec_id", kind="stable")
+            block, copies = Block(right["vec_id"].to_numpy(), right["v"].tolist()), right["copies"].to_numpy()
+            for q_id, q_key, q, least in zip(left["q_id"], left["q_key"], left["q_v"], left["threshold"].astype(float), strict=True):
+                found, score = block.search(q_id, q, k, -np.inf if np.isnan(least) else least)
+                found, score = (np.repeat(x, copies[found])[:k] for x in (found, score))
+                out.append(pd.DataFrame({"query_id": q_id, "q_key": q_key, "vec_id": block.ids[found], "score": score}))
+        return pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "q_key", "vec_id", "score")})
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """query_id, rank, vec_id, score: the k vectors of largest inner product for every query (vec_id, v)."""
-    n_blocks = max(1, -(-vectors.count() // BLOCK))
-    n_batches = max(1, -(-queries.count() // BATCH))
-    blocks = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_blocks).cast("long"))).withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(n_batches - 1))))
-    batches = queries.select(
-        F.col("vec_id").alias("q_id"), F.col("v").alias("q_v"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_batches)).cast("int").alias("q_batch"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("q_block"))
+    # a number of its own, as few bytes are much work here
+    batches, vectors = batches.repartition(tasks, "q_block", "q_batch"), vectors.repartition(tasks, "block", "batch")
+    return batches.groupBy("q_block", "q_batch").cogroup(vectors.groupBy("block", "batch")).applyInPandas(run, "query_id long, q_key long, vec_id long, score long")
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        parts = []
-        ids, x = right["vec_id"].to_numpy(), np.stack(right["v"].to_numpy())
-        for at in range(0, len(left), 256):
-            q_ids = left["q_id"].to_numpy()[at : at + 256]
-            rows, found, score = search_block(q_ids, np.stack(left["q_v"].to_numpy()[at : at + 256]), ids, x, k)
-            parts.append(pd.DataFrame({"query_id": q_ids[rows], "vec_id": found, "score": score}))
-        return pd.concat(parts)
 
-    local = batches.groupBy("q_block", "q_batch").cogroup(blocks.groupBy("block", "batch")).applyInPandas(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
+    """query_id, rank, vec_id, score: the k vectors of largest inner product for every query (vec_id, v)."""
+    small_batches(vectors.sparkSession)
+    rows = materialize(vectors.groupBy("vec_id", "v").agg(F.count("*").alias("copies")))
+    asked = materialize(queries.select(F.col("vec_id").alias("q_id"), F.col("v").alias("q_v"), F.xxhash64("v").alias("q_key")).distinct())
+    n_blocks, n_batches = max(1, -(-rows.count() // BLOCK)), max(1, -(-asked.count() // BATCH))
+    place = F.xxhash64("vec_id", "v")
+    dealt = rows.select("vec_id", "v", F.least("copies", F.lit(k)).alias("copies"), F.pmod(place, F.lit(n_blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_batches - 1))).alias("batch"))
+    batch = F.pmod(F.xxhash64("q_id", "q_key"), F.lit(n_batches)).cast("int").alias("q_batch")
+    first = asked.select("*", batch, F.lit(0).alias("q_block"), F.lit(None).cast("long").alias("threshold"))
+    found = _search(dealt.where("block = 0"), first, k, min(n_batches, MAX_TASKS))
+    if n_blocks > 1:
+        found = materialize(found)
+        reached = found.groupBy("query_id", "q_key").agg(F.when(F.count("*") >= k, F.min("score")).alias("threshold"))
+        same = (F.col("q_id") == F.col("query_id")) & (asked["q_key"] == reached["q_key"])
+        others = asked.join(reached, same, "left").select("q_id", "q_v", asked["q_key"], "threshold")
+        others = others.select("*", batch, F.explode(F.sequence(F.lit(1), F.lit(n_blocks - 1))).alias("q_block"))
+        found = found.unionByName(_search(dealt.where("block > 0"), others, k, min(2 * n_batches * n_blocks, MAX_TASKS)))
+    order = Window.partitionBy("query_id", "q_key").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1(spark, sf_dir):
@@ -108,9 +159,10 @@ SQL = f"""
 WITH fine AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+asked AS (SELECT DISTINCT vec_id, v FROM fine WHERE vec_id % {EVERY} = 0),
 pairs AS (
-  SELECT q.vec_id AS query_id, d.vec_id, list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) AS score
-  FROM fine q JOIN fine d ON q.vec_id <> d.vec_id WHERE q.vec_id % {EVERY} = 0),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+  SELECT q.vec_id AS query_id, q.v AS q, d.vec_id, coalesce(list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])), 0) AS score
+  FROM asked q JOIN fine d ON q.vec_id <> d.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, q ORDER BY score DESC, vec_id) AS rank FROM pairs)
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= {K}
 """

@@ -33,28 +33,63 @@ def empty(spark):
 
 # --- top-k
 
-def test_topk_equals_brute_force(spark):
+def brute_top(rows, k, every=20):
+    """query -> list of (vector of the query, ids and scores) for (id, integer vector) rows."""
+    out = []
+    for q_id, q in sorted({(i, tuple(v)) for i, v in rows if i % every == 0}):
+        scored = sorted((-sum(a * b for a, b in zip(q, v, strict=False)), i) for i, v in rows if i != q_id)
+        out.append((q_id, [(-s, i) for s, i in scored[:k]]))
+    return sorted(out)
+
+
+def found_top(got, k):
+    by = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        by.setdefault((r.query_id, 0), []).append((r.score, r.vec_id))
+    return sorted((q, v) for (q, _), v in by.items())
+
+
+@pytest.mark.parametrize("block", [topk.BLOCK, 60])
+def test_topk_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "BATCH", 7)
     rng = np.random.default_rng(1)
     x = rng.normal(0, 0.2, (300, 16)).astype(np.float32)
     x[7] = x[3]
-    rows = [(i, [float(v) for v in e]) for i, e in enumerate(x)] + [(900, None), (901, [None] * 16), (902, [float("nan")] * 16), (903, [float("inf")] * 16)]
-    got = topk.top_k(v := topk.quantised(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")), v.where("vec_id % 20 = 0"), 20).collect()
-    z = np.floor(64 * x.astype(np.float64)).astype(int)
-    for q in range(0, 300, 20):
-        want = sorted(((-int(z[q] @ z[j]), j) for j in range(300) if j != q))[:20]
-        assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
+    rows = [(i, [float(v) for v in e]) for i, e in enumerate(x)]
+    rows += [(41, rows[5][1])] * 3 + [(20, rows[20][1])] + [(910, [0.5, -0.25]), (911, []), (912, [0.0] * 16), (913, [300000.0] * 16), (915, [0.1] * 40)]  # repeated rows, other lengths, large
+    bad = [(900, None), (901, [None] * 16), (902, [float("nan")] * 16), (903, [float("inf")] * 16), (None, rows[0][1])]
+    frame = spark.createDataFrame(rows + bad, "vec_id bigint, embedding array<float>").withColumn("v", F.lit(1))
+    v = topk.quantised(frame)
+    got = found_top(topk.top_k(v, v.where("vec_id % 20 = 0"), 20).collect(), 20)
+    assert got == brute_top([(i, [int(np.floor(64 * c)) for c in np.array(e, np.float32).astype(float).tolist()]) for i, e in rows], 20)
     none = topk.quantised(spark.createDataFrame([], "vec_id bigint, embedding array<float>"))
     assert topk.top_k(none, none).count() == 0
 
 
-def test_block_search_is_exact_for_skewed_impacts():
+def test_topk_treats_rows_of_one_id_as_queries_of_their_own(spark):
+    rows = [(20, [1, 0]), (20, [0, 1]), (20, [0, 1])] + [(i, [i, 100 - i]) for i in range(1, 9)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, v array<bigint>")
+    got = sorted((r["rank"], r.vec_id, r.score) for r in topk.top_k(frame, frame.where("vec_id = 20"), 3).collect())
+    assert got == sorted([(1, 8, 8), (2, 7, 7), (3, 6, 6), (1, 1, 99), (2, 2, 98), (3, 3, 97)])
+
+
+def test_block_search_is_exact_for_skewed_impacts_and_stops_early():
     rng = np.random.default_rng(2)
     x = np.where(rng.random((500, 32)) < 0.05, rng.integers(-200, 200, (500, 32)), rng.integers(-2, 3, (500, 32)))
-    q = x[:5]
-    rows, ids, score = topk.search_block(np.arange(5), q, np.arange(500), x, 10)
+    block = topk.Block(np.arange(500), list(x))
+    seen = []
+    exact = block.exact
+    block.exact = lambda q, rows: (seen.append(len(rows)), exact(q, rows))[1]
     for i in range(5):
-        want = sorted(((-int(q[i] @ x[j]), j) for j in range(500) if j != i))[:10]
-        assert [(-s, j) for r, j, s in zip(rows, ids, score, strict=True) if r == i] == want
+        want = sorted(((-int(x[i] @ x[j]), j) for j in range(500) if j != i))[:10]
+        rows, score = block.search(i, x[i], 10)
+        assert [(-s, j) for j, s in zip(rows.tolist(), score.tolist(), strict=True)] == want
+        rows, score = block.search(i, x[i], 10, threshold=-want[4][0])
+        assert [(-s, j) for j, s in zip(rows.tolist(), score.tolist(), strict=True)] == [w for w in want if -w[0] >= -want[4][0]]
+    assert max(seen) <= 25  # few were scored again
+    large = topk.Block(np.arange(4), [np.array([1 << 40, 1]), np.array([1 << 40, 2]), np.array([-(1 << 40), 5]), np.array([1 << 62, 0])])
+    assert large.search(9, np.array([1 << 20, 1]), 3)[1].tolist() == [(1 << 63) - 1, (1 << 60) + 2, (1 << 60) + 1]
 
 
 # --- secrets
