@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import Words, fold_ascii, free_name, materialize, mix, release, small_batches, table, text_slices, white_space
 from .urls import BlockedBloom, build_filter
 
-WORDS, SKETCH = 5, 128
+WORDS, SKETCH, MAX_SKETCH = 5, 128, 1 << 16
 #: Links have 100 * intersection >= 75 * union, that is 7 * intersection >= 3 * (sum of sizes).
 MIN_PERCENT = 75
 #: Shingles in a chunk whose shared shingles are counted, and shared shingles kept at most (16 MB), by how many documents at least.
@@ -47,7 +47,7 @@ CHUNK_SHINGLES, MAX_SHARED, MIN_SHARED = 1 << 20, 2 << 20, 3
 #: Documents that share a shingle from which its bucket is dealt over so many tasks.
 HOT, SALTS = 20_000, 64
 #: Classes and shingles in a block of a component whose links are counted; bins of sizes, so that linked classes are at most one apart.
-BLOCK_CLASSES, BLOCK_SHINGLES, BIN = 512, 1 << 20, 1.34
+BLOCK_CLASSES, BLOCK_SHINGLES, BIN = 256, 1 << 18, 1.34
 _PLACE = mix(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
 
@@ -78,8 +78,10 @@ def signature(tokens: np.ndarray) -> int:
 
 
 def sketch(tokens: np.ndarray) -> bytes | None:
-    """How many shingles fall into each of ``SKETCH`` parts of the hashes; null if a count needs more than a byte."""
-    counts = np.bincount((tokens >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH)
+    """How many shingles fall into each part of the hashes, a byte each; null if a count needs more. Parts are a power
+    of two, ``SKETCH`` or about a fourth of the shingles, as unrelated sets fill large parts alike."""
+    parts = min(MAX_SKETCH, max(SKETCH, 1 << (len(tokens) // 4).bit_length()))
+    counts = np.bincount(((tokens >> np.uint64(20)) % np.uint64(parts)).astype(np.int64), minlength=parts)
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
 
 
@@ -239,11 +241,12 @@ def _can_link(n: Column, pos: Column, n2: Column, pos2: Column) -> Column:
 
 def _overlap_bound(a: pd.Series, b: pd.Series) -> pd.Series:
     """From sketches: two sets share no more of a part than the smaller count; a missing sketch bounds nothing."""
-    known = (a.notna() & b.notna()).to_numpy()
     out = np.full(len(a), 1 << 40)
-    if known.any():
-        x, y = (np.frombuffer(b"".join(s[known]), np.uint8).reshape(-1, SKETCH) for s in (a, b))
-        out[known] = np.minimum(x, y).sum(1, dtype=np.int64)
+    for at, (x, y) in enumerate(zip(a, b, strict=True)):
+        if x is not None and y is not None:
+            few = min(len(x), len(y))  # the finer sketch is summed to the parts of the other
+            x, y = (np.frombuffer(v, np.uint8).reshape(-1, few).sum(0, dtype=np.int32) for v in (x, y))
+            out[at] = np.minimum(x, y).sum()
     return pd.Series(out)
 
 

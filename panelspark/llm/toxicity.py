@@ -3,8 +3,8 @@
 Voters are a fixed lexicon of insults, patterns mined from labelled training rows (words and word beginnings
 of 5 to 8 bytes that occur almost only in toxic texts, dealt into several lists of each kind), shouting, and
 two that vote against: no pattern at all, and a long text with none. A voter votes for, against or abstains. A
-generative label model estimates each voter's accuracy by expectation maximisation without looking at labels;
-correlations that remain between voters given the class lower the weight of their votes. The posteriors are
+generative label model (``label_model``) estimates the voters' accuracies and correlations by expectation maximisation
+without looking at labels; only the share of toxic texts comes from them. The posteriors are
 the targets of a linear classifier (logistic regression) over the single patterns, which scores every text.
 
 The training sample is bounded: ``TRAIN_ROWS`` labelled rows drawn by a hash of the id, of any length.
@@ -16,18 +16,22 @@ rows are scored alike; very long texts are scored whole; labels of unknown docum
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
-from .common import Words, fold_ascii, non_letters, table, text_slices
+from .common import Words, fold_ascii, free_name, non_letters, small_batches, table, text_slices
 from .langid import fold_of
 
 #: Fixed lexicon of English insults.
 LEXICON = ("idiot", "stupid", "moron", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "imbecile", "dumb", "retard", "filth", "vermin")
 TRAIN_ROWS, MAX_PATTERNS, PREFIXES, LISTS = 8000, 512, (5, 6, 7, 8), 3
 KINDS = len(PREFIXES) + 1
-MIN_PRECISION = 0.8
+#: Least share of toxic texts among those with a mined pattern; share of toxic texts where no label tells it.
+MIN_PRECISION, DEFAULT_SHARE = 0.8, 0.05
 
 
 def patterns_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,25 +89,78 @@ def hits_of(data: np.ndarray, bounds: np.ndarray, patterns: np.ndarray) -> tuple
     return pairs // len(patterns), pairs % len(patterns)
 
 
-def label_model(votes: np.ndarray, count: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of class 1 for each row of votes (1 for, -1 against, 0 abstains) that occurs ``count`` times;
-    accuracies of the voters and correlations between them. Classes count as equally likely before the votes: every text has a vote."""
-    cast = votes != 0
-    n_cast = np.maximum(count @ cast, 1e-9)
-    accuracy, alike = np.full(votes.shape[1], 0.9), np.zeros((votes.shape[1],) * 2)
-    post = np.full(len(votes), 0.5)
+@dataclass
+class LabelModel:
+    """Fitted label model: posterior of class 1 for each row of votes, accuracy of each voter (how often the class is
+    what it votes, where it votes), and for each voter its parent (-1: none) and the correlation with it given the class."""
+
+    post: np.ndarray
+    accuracy: np.ndarray
+    parent: np.ndarray
+    correlation: np.ndarray
+
+
+def _tree(tables: np.ndarray, least: float) -> np.ndarray:
+    """Parents of the voters in the tree of greatest mutual information given the class; links below ``least`` are cut.
+
+    ``tables`` [class, voter, vote, voter, vote] are joint shares."""
+    single = np.einsum("yjvjv->yjv", tables)
+    share = single.sum(2)[:, 0]
+    apart = single[:, :, :, None, None] * single[:, None, None, :, :] / np.maximum(share, 1e-12)[:, None, None, None, None]
+    gain = np.where(tables > 1e-12, tables * np.log(np.maximum(tables, 1e-12) / np.maximum(apart, 1e-12)), 0).sum((0, 2, 4))
+    m = len(gain)
+    parent, best, near, out = np.full(m, -1), gain[0].copy(), np.zeros(m, int), set(range(1, m))
+    while out:
+        j = max(out, key=lambda i: (best[i], -i))
+        parent[j] = near[j] if best[j] >= least else -1
+        out.discard(j)
+        closer = gain[j] > best
+        best, near = np.where(closer, gain[j], best), np.where(closer, j, near)
+    return parent
+
+
+def label_model(votes: np.ndarray, count: np.ndarray, balance: float = 0.5, rounds: int = 40) -> LabelModel:
+    """Generative model of votes (1 for, -1 against, 0 abstains) that occur ``count`` times, fitted without labels.
+
+    A class is drawn with probability ``balance``; each voter then votes by a table of its own, which depends on the class
+    and on the vote of one other voter, its parent. Parents are the tree of greatest mutual information given the class, and
+    voters that know no more of each other than chance explains have none, so voters that are alike are not counted as
+    witnesses of their own. Expectation maximisation starts from the majority of the votes.
+    """
+    n, m = votes.shape
+    one_hot = (votes[:, :, None] == np.array([-1, 0, 1])).reshape(n, 3 * m).astype(float)
+    index = votes.astype(int) + 1
+    total = count.sum()
+    post = np.where(votes.sum(1) > 0, 0.9, np.where((votes > 0).any(1), 0.5, 0.05))
+    parent = np.full(m, -1)
     for step in range(rounds):
-        logit = (votes / (1 + cast @ alike)) @ np.log(accuracy / (1 - accuracy))  # voters that are alike share one vote where both vote
-        post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        right = np.where(votes > 0, post[:, None], 1 - post[:, None]) * cast
-        accuracy = np.clip((count @ right + 0.8) / (n_cast + 1), 0.05, 0.995)
-        if step % 10 == 4:  # correlation between voters that is left once the class is known
-            expected = np.where(post[:, None] > 0.5, (count * post) @ cast / (count @ post), (count * (1 - post)) @ cast / (count @ (1 - post)))
-            rest = (cast - expected) * np.sqrt(count)[:, None]
-            scale = np.sqrt((rest**2).sum(0)) + 1e-9
-            alike = np.abs(rest.T @ rest / np.outer(scale, scale))
-            np.fill_diagonal(alike, 0)
-    return post, accuracy, alike
+        weight = np.stack([count * (1 - post), count * post])
+        tables = np.stack([(one_hot * w[:, None]).T @ one_hot for w in weight]).reshape(2, m, 3, m, 3)
+        single = np.einsum("yjvjv->yjv", tables)
+        if step % 5 == 3:
+            parent = _tree(tables / total, 4 * np.log(total + 2) / total)
+        logit = np.full(n, np.log(balance / (1 - balance)))
+        for j in range(m):
+            own = (single[:, j] + 0.5) / (single[:, j].sum(1, keepdims=True) + 1.5)  # class, vote
+            if parent[j] < 0:
+                p = own[:, index[:, j]]
+            else:  # rare cases of the parent lean on the table without it
+                given = (tables[:, parent[j], :, j, :] + 2 * own[:, None, :]) / (tables[:, parent[j], :, j, :].sum(2, keepdims=True) + 2)
+                p = given[:, index[:, parent[j]], index[:, j]]
+            logit += np.log(p[1]) - np.log(p[0])
+        new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        if step > 10 and np.abs(new - post).max() < 1e-6:
+            break
+        post = new
+    cast = votes != 0
+    right = np.where(votes > 0, post[:, None], 1 - post[:, None]) * cast
+    correlation = np.zeros(m)
+    for j in np.flatnonzero(parent >= 0):
+        rest = [(v - np.average(v, weights=w)) for w in (count * post + 1e-9, count * (1 - post) + 1e-9) for v in (votes[:, j], votes[:, parent[j]])]
+        mixed = [post * a + (1 - post) * b for a, b in ((rest[0], rest[2]), (rest[1], rest[3]))]
+        spread = np.sqrt((count * mixed[0] ** 2).sum() * (count * mixed[1] ** 2).sum())
+        correlation[j] = (count * mixed[0] * mixed[1]).sum() / spread if spread > 0 else 0.0
+    return LabelModel(post, (count @ right) / np.maximum(count @ cast, 1e-9), parent, correlation)
 
 
 def linear_model(x: np.ndarray, target: np.ndarray, count: np.ndarray, ridge: float = 0.05, rounds: int = 25) -> np.ndarray:
@@ -124,7 +181,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000))
     drawn = known.where(draw < min(1_000_000, -(-1_000_000 * rows // max(total, 1))))
     sample = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), "doc_id").select("text", "toxic")  # about `rows` rows
-    n_toxic = drawn.where("toxic = 1").count()
+    drawn_rows, n_toxic = drawn.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     mined = pattern_counts(sample).where((F.col("toxic") >= max(5, n_toxic // 60)) & (F.col("toxic") >= MIN_PRECISION * (F.col("toxic") + F.col("clean") + 1)))
     found = mined.orderBy(F.desc("toxic"), "pattern").limit(MAX_PATTERNS).toArrow()
     fixed = lexicon_hashes()
@@ -157,29 +214,32 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict
     votes[:, -1] = -(none & np.array(seen["long"], bool)).astype(float)
     votes = votes[:, votes.any(0)]
     if not votes.size:
-        return {"patterns": patterns, "weights": np.append(np.full(size, 4.0), -2.5)}
-    post, _, _ = label_model(votes, count)
-    weights = linear_model(x, post, count)
-    weights[:-1] = np.where(x.any(0), weights[:-1], 4.0)  # words of the lexicon that the sample lacks
+        base = np.log(DEFAULT_SHARE / (1 - DEFAULT_SHARE))
+        return {"patterns": patterns, "weights": np.append(np.full(size, np.log(MIN_PRECISION / (1 - MIN_PRECISION)) - base), base)}
+    balance = n_toxic / drawn_rows if n_toxic else DEFAULT_SHARE
+    model = label_model(votes, count, min(max(balance, 0.005), 0.5))
+    weights = linear_model(x, model.post, count)
+    alone = np.log(MIN_PRECISION / (1 - MIN_PRECISION)) - weights[-1]  # a word of the lexicon that the sample lacks counts as the least precise pattern
+    weights[:-1] = np.where(x.any(0), weights[:-1], alone)
     return {"patterns": patterns, "weights": weights}
 
 
-def score(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
-    """``docs`` with toxicity, the probability of label 1."""
-    names = docs.columns
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_PATTERNS patterns and the lexicon
+def score(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
+    """``docs`` with the probability of label 1; see ``free_name`` for a name that ``docs`` has."""
+    spark = small_batches(docs.sparkSession)
+    shared = spark.sparkContext.broadcast(model)  # at most MAX_PATTERNS patterns and the lexicon
 
-    def run(batches):
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         patterns, weights = shared.value["patterns"], shared.value["weights"]
-        for batch in batches:
+        for column in texts:
             parts = [np.zeros(0)]
-            for at, to, data, bounds in text_slices(batch.column(names.index(text_col))):
+            for at, to, data, bounds in text_slices(column):
                 doc, k = hits_of(data, bounds, patterns)
                 logit = weights[-1] + np.bincount(doc, weights=weights[k], minlength=to - at)
                 parts.append(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts))], [*batch.schema.names, "toxicity"])
+            yield pa.array(np.concatenate(parts))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())]))
+    return docs.withColumn(free_name(docs, out_col), F.arrow_udf(run, "double")(F.col(text_col)))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:

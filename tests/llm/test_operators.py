@@ -508,6 +508,33 @@ def test_best_fit_chooses_the_fullest_row():
 
 # --- toxicity
 
+def test_label_model_finds_accuracies_and_correlations():
+    r = np.random.default_rng(4)
+    n, accuracy, cast = 6000, [0.9, 0.85, 0.8, 0.75], [0.5, 0.6, 0.7, 0.6]
+    y = r.random(n) < 0.3
+    votes = np.zeros((n, 6), int)
+    for j, (a, c) in enumerate(zip(accuracy, cast, strict=True)):
+        right = np.where(r.random(n) < a, y, ~y)
+        votes[:, j] = np.where(r.random(n) < c, np.where(right, 1, -1), 0)
+    votes[:, 4] = np.where(r.random(n) < 0.97, votes[:, 3], 0)  # two that copy the weakest voter
+    votes[:, 5] = np.where(r.random(n) < 0.97, votes[:, 3], 0)
+    rows, count = np.unique(votes, axis=0, return_counts=True)
+    m = toxicity.label_model(rows, count.astype(float), 0.3)
+    assert np.abs(m.accuracy[:4] - accuracy).max() < 0.04
+    links = {frozenset((j, int(p))) for j, p in enumerate(m.parent) if p >= 0}
+    assert links <= {frozenset(x) for x in itertools.combinations((3, 4, 5), 2)} and len(links) == 2 and max(m.correlation) > 0.8
+
+    def best(row):  # the true posterior, in which copies say nothing new
+        p = [0.7, 0.3]
+        for j in range(4):
+            for k in (0, 1):
+                p[k] *= (1 - cast[j]) if row[j] == 0 else cast[j] * (accuracy[j] if (row[j] > 0) == bool(k) else 1 - accuracy[j])
+        return p[1] / sum(p)
+
+    gap = [abs(best(row) - q) for row, q in zip(rows, m.post, strict=True)]
+    assert np.average(gap, weights=count) < 0.03
+
+
 def test_toxicity_learns_from_training_rows_only(spark):
     r = random.Random(5)
     rows, labels = [], []
@@ -523,3 +550,6 @@ def test_toxicity_learns_from_training_rows_only(spark):
     assert all(0 <= x.score <= 1 for x in got.values()) and len(got) == 402
     plain = {x.doc_id: x.predicted for x in toxicity.toxicity(d, l.limit(0)).collect()}
     assert len(plain) == 402 and toxicity.toxicity(d.limit(0), l).count() == 0
+    bad = spark.createDataFrame([(1, "you idiot " + words(1, 9000)), (2, words(1, 9000)), (2, words(1, 9000)), (None, None)], "doc_id bigint, text string").withColumn("toxicity", F.lit("mine"))
+    model = toxicity.fit(bad.limit(0).select("doc_id", "text"), l.limit(0))
+    assert [(r.toxicity, r.toxicity_ >= 0.5) for r in toxicity.score(bad, model).orderBy("doc_id").collect()] == [("mine", False), ("mine", True), ("mine", False), ("mine", False)]
