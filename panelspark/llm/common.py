@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import sys
 import tempfile
@@ -50,6 +53,17 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def lean_worker(keep: Hashable = None) -> None:
+    """Give memory back that this Python worker holds from the tasks before: kept state other than ``keep``, and free memory."""
+    held = sys.modules["_panelspark_worker"].held if "_panelspark_worker" in sys.modules else {}
+    for key in [k for k in held if k != keep]:
+        del held[key]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not in every C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def worker_state(key: Hashable, make: Callable):
     """What ``make`` returns, made once in each Python worker and kept for its later tasks; the newest four are kept."""
     held = sys.modules.setdefault("_panelspark_worker", types.ModuleType("_panelspark_worker")).__dict__.setdefault("held", {})

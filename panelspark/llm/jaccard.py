@@ -36,7 +36,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import Words, fold_ascii, free_name, materialize, mix, release, small_batches, table, text_slices, white_space
+from .common import Words, fold_ascii, free_name, lean_worker, materialize, mix, release, small_batches, table, text_slices, white_space
 from .urls import BlockedBloom, build_filter
 
 WORDS, SKETCH, MAX_SKETCH = 5, 128, 1 << 16
@@ -99,6 +99,7 @@ def profile(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], list(types))
 
     def run(batches):
+        lean_worker()
         seen: set[int] = set()
         chunk, held = [], 0
         for batch in batches:
@@ -140,6 +141,7 @@ def prefixes(docs: DataFrame, shared_tokens) -> DataFrame:
     """
 
     def run(batches):
+        lean_worker()
         shared, count = shared_tokens.value
         seen: set[int] = set()
         for batch in batches:
@@ -209,6 +211,7 @@ def sets_of(docs: DataFrame, needed: DataFrame, shared_tokens) -> DataFrame:
     as_list = lambda some: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, some)]).astype(np.int32)), pa.array(np.concatenate(some).view(np.int64)))
 
     def run(batches):
+        lean_worker()
         shared, count = shared_tokens.value
         wanted = BlockedBloom(*lanes.value)
         seen: set[int] = set()

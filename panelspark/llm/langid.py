@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import free_name, small_batches, table, text_slices
+from .common import free_name, lean_worker, small_batches, table, text_slices
 
 ORDER = 3
 #: Bounds of the training sample: so many texts and grams of each language, and so many contexts kept.
@@ -80,6 +80,7 @@ def gram_counts(labelled: DataFrame, text_col: str = "text", lang_col: str = "la
     """lang, gram, n: counts of (ORDER + 1)-byte sequences, summed on the map side first."""
 
     def run(batches):
+        lean_worker()
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), dtype=object)
             for lang in sorted(set(langs)):
@@ -186,6 +187,7 @@ def predict(docs: DataFrame, model: PpmModel, text_col: str = "text") -> DataFra
     shared = spark.sparkContext.broadcast(vars(model))  # its size is bounded by MAX_CONTEXTS, 256 bytes and the languages
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        lean_worker()
         m = PpmModel(**shared.value)
         for column in texts:
             lang, score, rate = [], [np.zeros(0)], [np.zeros(0)]

@@ -26,7 +26,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, release, small_batches, table
+from .common import lean_worker, materialize, release, small_batches, table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 #: A run of 20 or more characters of the class that starts with AKIA; equal to matching all runs and dropping short ones.
@@ -92,6 +92,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """doc_id, base (kind, start, end), found (candidates of the novelty method) for every row."""
 
     def run(batches):
+        lean_worker()
         kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
         cand = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("after", pa.int32()), ("value", pa.string()), ("around", pa.string())]))
         for batch in batches:
@@ -185,6 +186,7 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]"
     release(scanned)
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        lean_worker()
         novelty = Novelty(shared.value)
         for column in texts:
             yield pa.array([masked(t, novelty, mask) if t else t for t in (x.as_py() for x in column)], pa.string())

@@ -33,12 +33,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import free_name, small_batches, table, text_slices, worker_state
+from .common import free_name, lean_worker, small_batches, table, text_slices, worker_state
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Parts that a task remembers at most in each of two generations, and the longest of them; pairs of pieces it remembers.
-REMEMBERED, LONGEST, PAIRS, SLICE = 120_000, 48, 400_000, 1 << 20
+REMEMBERED, LONGEST, PAIRS, SLICE = 60_000, 48, 250_000, 1 << 20
 _START = (1 << 21) - 1  # stands before the first arc
 #: What an unknown character costs in a unigram model beyond the least score of a piece. Fixed value.
 UNKNOWN_PENALTY = 10.0
@@ -69,9 +69,9 @@ class Transducer:
         self.byte_of = {i: b for b, i in self.byte_id.items()}
         self.silent = {i for i, t in enumerate(types) if t == 3}
         self.unknown_weight = UNKNOWN_PENALTY - min((scores[i] for i in self.id_of.values()), default=0.0)
-        self._ending: dict = {}  # trie of the pieces read backwards: characters, and the piece at ""
+        ending: dict = {}  # trie of the pieces read backwards: characters, and the piece at ""
         for p, i in self.id_of.items():
-            node = self._ending
+            node = ending
             for c in reversed(p):
                 node = node.setdefault(c, {})
             node[""] = i
@@ -88,7 +88,7 @@ class Transducer:
         self._older: dict[bool, dict[str, bytes]] = {False: {}, True: {}}
         self._arc_cost = np.append(-np.array(scores), self.unknown_weight)
         step, self._piece_at = [], [-1]  # the trie as arrays: (node, character, next node), and the piece at each node
-        waiting = [(0, self._ending)]
+        waiting = [(0, ending)]
         for at, node in waiting:
             for c, below in node.items():
                 if c:
@@ -133,6 +133,7 @@ class Transducer:
         if w is None:
             if len(self._weights) >= PAIRS:
                 self._weights.clear()
+                self._sorted = (np.zeros(0, np.int64), np.zeros(0))
             right = self._text_of(arc)
             fits = self._is_whole(right) if last == _START else self._stay_two(self._text_of(last), right)
             w = self._weights[key] = 0.0 if fits else math.inf
@@ -391,6 +392,7 @@ def encode(docs: DataFrame, text_col: str = "text", model_file: str = MODEL_FILE
     shared = spark.sparkContext.broadcast(read_model(model_file))
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        lean_worker(keep=("spm", model_file))
         fst = worker_state(("spm", model_file), lambda: Transducer(**shared.value))
         for column in texts:
             flat, sizes, same, null = [b""], [0], [], []

@@ -32,6 +32,8 @@ TRAIN_ROWS, MAX_PATTERNS, PREFIXES, LISTS = 8000, 512, (5, 6, 7, 8), 3
 KINDS = len(PREFIXES) + 1
 #: Least share of toxic texts among those with a mined pattern; share of toxic texts where no label tells it.
 MIN_PRECISION, DEFAULT_SHARE = 0.8, 0.05
+#: How often a voter is believed to be right before any text is seen.
+BELIEF = 0.9
 
 
 def patterns_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,15 +102,22 @@ class LabelModel:
     correlation: np.ndarray
 
 
-def _tree(tables: np.ndarray, least: float) -> np.ndarray:
-    """Parents of the voters in the tree of greatest mutual information given the class; links below ``least`` are cut.
+def _tree(tables: np.ndarray, least: float | None) -> np.ndarray:
+    """Parents of the voters in the tree of greatest mutual information given the class; links below ``least`` are cut,
+    or without it those of voters that tell less than half of each other.
 
     ``tables`` [class, voter, vote, voter, vote] are joint shares."""
     single = np.einsum("yjvjv->yjv", tables)
     share = single.sum(2)[:, 0]
+    if least is None:
+        whole = single.sum(0)
+        entropy = -np.where(whole > 0, whole * np.log(np.maximum(whole, 1e-12)), 0).sum(1)
     apart = single[:, :, :, None, None] * single[:, None, None, :, :] / np.maximum(share, 1e-12)[:, None, None, None, None]
     gain = np.where(tables > 1e-12, tables * np.log(np.maximum(tables, 1e-12) / np.maximum(apart, 1e-12)), 0).sum((0, 2, 4))
     m = len(gain)
+    if least is None:
+        least = 0.0
+        gain = np.where(gain >= 0.5 * np.minimum(entropy[:, None], entropy[None, :]) + 1e-9, gain, -1.0)
     parent, best, near, out = np.full(m, -1), gain[0].copy(), np.zeros(m, int), set(range(1, m))
     while out:
         j = max(out, key=lambda i: (best[i], -i))
@@ -119,27 +128,27 @@ def _tree(tables: np.ndarray, least: float) -> np.ndarray:
     return parent
 
 
-def label_model(votes: np.ndarray, count: np.ndarray, balance: float = 0.5, rounds: int = 40) -> LabelModel:
-    """Generative model of votes (1 for, -1 against, 0 abstains) that occur ``count`` times, fitted without labels.
-
-    A class is drawn with probability ``balance``; each voter then votes by a table of its own, which depends on the class
-    and on the vote of one other voter, its parent. Parents are the tree of greatest mutual information given the class, and
-    voters that know no more of each other than chance explains have none, so voters that are alike are not counted as
-    witnesses of their own. Expectation maximisation starts from the majority of the votes.
-    """
+def _fit_votes(votes: np.ndarray, count: np.ndarray, balance: float, rounds: int, first_tree: int) -> LabelModel:
+    """The fitted model of one start, whose first tree comes in the round ``first_tree``."""
     n, m = votes.shape
     one_hot = (votes[:, :, None] == np.array([-1, 0, 1])).reshape(n, 3 * m).astype(float)
     index = votes.astype(int) + 1
     total = count.sum()
-    post = np.where(votes.sum(1) > 0, 0.9, np.where((votes > 0).any(1), 0.5, 0.05))
+    tables = ((one_hot * count[:, None]).T @ one_hot).reshape(1, m, 3, m, 3) / total
+    parent = _tree(tables, None)
+    group = np.arange(m)
+    for j in np.flatnonzero(parent >= 0).tolist() * m:  # the group of a voter is that of its topmost ancestor
+        group[j] = group[parent[j]]
+    vote = votes @ (1 / np.bincount(group, minlength=m)[group])
+    post = np.where(vote > 0, 0.9, np.where((votes > 0).any(1), 0.5, 0.05))
     parent = np.full(m, -1)
     for step in range(rounds):
         weight = np.stack([count * (1 - post), count * post])
         tables = np.stack([(one_hot * w[:, None]).T @ one_hot for w in weight]).reshape(2, m, 3, m, 3)
         single = np.einsum("yjvjv->yjv", tables)
-        if step % 5 == 3:
+        if step % 5 == first_tree:
             parent = _tree(tables / total, 4 * np.log(total + 2) / total)
-        logit = np.full(n, np.log(balance / (1 - balance)))
+        joint = np.log([1 - balance, balance])[:, None] + np.zeros(n)
         for j in range(m):
             own = (single[:, j] + 0.5) / (single[:, j].sum(1, keepdims=True) + 1.5)  # class, vote
             if parent[j] < 0:
@@ -147,8 +156,8 @@ def label_model(votes: np.ndarray, count: np.ndarray, balance: float = 0.5, roun
             else:  # rare cases of the parent lean on the table without it
                 given = (tables[:, parent[j], :, j, :] + 2 * own[:, None, :]) / (tables[:, parent[j], :, j, :].sum(2, keepdims=True) + 2)
                 p = given[:, index[:, parent[j]], index[:, j]]
-            logit += np.log(p[1]) - np.log(p[0])
-        new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+            joint += np.log(p)
+        new = 1 / (1 + np.exp(-np.clip(joint[1] - joint[0], -30, 30)))
         if step > 10 and np.abs(new - post).max() < 1e-6:
             break
         post = new
@@ -163,6 +172,27 @@ def label_model(votes: np.ndarray, count: np.ndarray, balance: float = 0.5, roun
     return LabelModel(post, (count @ right) / np.maximum(count @ cast, 1e-9), parent, correlation)
 
 
+def label_model(votes: np.ndarray, count: np.ndarray, balance: float = 0.5, rounds: int = 40) -> LabelModel:
+    """Generative model of votes (1 for, -1 against, 0 abstains) that occur ``count`` times, fitted without labels.
+
+    A class is drawn with probability ``balance``; each voter then votes by a table of its own, which depends on the class
+    and on the vote of one other voter, its parent. Parents are the tree of greatest mutual information given the class, and
+    voters that know no more of each other than chance explains have none, so voters that are alike are not counted as
+    witnesses of their own. Expectation maximisation starts from the majority of the votes, in which voters that all but
+    copy each other share one vote, twice: with
+    the tree at once, and after some rounds without. A class can be many things; the fit stays that believes the voters more.
+    """
+    models = [_fit_votes(votes, count, balance, rounds, first_tree) for first_tree in (3, 0)]
+    cast = count @ (votes != 0)
+
+    def disbelief(m: LabelModel) -> float:
+        """How far the accuracies lie below ``BELIEF``: divergence, for each vote."""
+        a = np.clip(m.accuracy, 1e-3, BELIEF)
+        return float(cast @ (BELIEF * np.log(BELIEF / a) + (1 - BELIEF) * np.log((1 - BELIEF) / (1 - a))))
+
+    return min(models, key=disbelief)
+
+
 def linear_model(x: np.ndarray, target: np.ndarray, count: np.ndarray, ridge: float = 0.05, rounds: int = 25) -> np.ndarray:
     """Logistic regression on soft targets by Newton steps; the last coefficient is the intercept."""
     x = np.hstack([x, np.ones((len(x), 1))])
