@@ -45,11 +45,11 @@ def mark_price(quote: Column, seen: Column, entry: Column) -> Column:
 
 
 def step_schedule(pct: Column, steps: list[tuple[float, float]]) -> Column:
-    """Rate of the first step whose bound is not below the percentile; bounds ascend."""
+    """Rate of the first step whose bound is not below the percentile; bounds ascend. An unknown one takes the first rate."""
     out = F.lit(steps[-1][1])
     for bound, rate in reversed(steps[:-1]):
         out = F.when(pct <= bound, F.lit(rate)).otherwise(out)
-    return F.when(pct.isNotNull(), out)
+    return F.coalesce(F.when(pct.isNotNull(), out), F.lit(steps[0][1]))
 
 
 def calendar_parts(date: Column) -> dict[str, Column]:
@@ -57,5 +57,5 @@ def calendar_parts(date: Column) -> dict[str, Column]:
     month = F.month(date)
     quarter_end = F.last_day(F.make_date(F.year(date), (3 * F.ceil(month / 3)).cast("int"), F.lit(1)))
     return {
-        "month_sin": F.sin(2 * math.pi * month / 12), "month_cos": F.cos(2 * math.pi * month / 12),
+        "month_sin": F.sin(2 * math.pi * (month - 1) / 12), "month_cos": F.cos(2 * math.pi * (month - 1) / 12),
         "quarter_end_month": (month % 3 == 0).cast("int"), "days_to_quarter_end": F.datediff(quarter_end, date)}

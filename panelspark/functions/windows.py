@@ -28,9 +28,9 @@ def ratio_change(x: Column, n: int) -> Column:
 
 def pct_rank_avg(x: Column, *keys: str) -> Column:
     """Percent rank within the keys; ties share their average rank, nulls have none and do not count."""
-    group = Window.partitionBy(*keys, x.isNull())
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, x))
-    return F.when(x.isNotNull(), (F.rank().over(group.orderBy(x)) + (ties - 1) / 2) / F.count(F.lit(1)).over(group))
+    group = Window.partitionBy(*keys)  # one shuffle for any number of columns
+    known, up, down = F.count(x).over(group), F.rank().over(group.orderBy(x.asc_nulls_last())), F.rank().over(group.orderBy(x.desc_nulls_last()))
+    return F.when(x.isNotNull(), (up + known + 1 - down) / 2 / known)
 
 
 def last_known(x: Column, *keys: str, order: str = "date") -> Column:

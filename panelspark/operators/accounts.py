@@ -30,7 +30,8 @@ def cohort_pnl(positions: DataFrame, quotes: DataFrame, as_of) -> DataFrame:
     """account_id, entry_date, pnl, names of expired cohorts."""
     p = expiring(positions, as_of).join(quotes.select("ticker", "quote", "seen"), "ticker", "left")
     gain = F.col("shares") * (mark_price(F.col("quote"), F.col("seen"), F.col("entry_price")) - F.col("entry_price"))
-    return p.groupBy("account_id", "entry_date").agg(F.sum(gain).alias("pnl"), F.count("*").alias("names"))
+    whole = F.sum(F.floor(gain * 10000 + 0.5))  # a sum that does not depend on the order
+    return p.groupBy("account_id", "entry_date").agg((whole / 10000.0).alias("pnl"), F.count("*").alias("names"))
 
 
 def size_orders(targets: DataFrame, capital: DataFrame, slippage: float, per_share: float, per_order: float) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.scalars import step_schedule
 from ..functions.windows import pct_rank_avg, rolling
 
-#: Annual rate up to each percentile of same-date volatility. Fixed values.
-SCHEDULE = [(0.50, 0.003), (0.80, 0.010), (0.95, 0.030), (1.0, 0.100)]
+#: Annual rate up to each percentile of same-date volatility; an unknown one counts as general collateral, the first. Fixed values.
+SCHEDULE = [(0.80, 0.005), (0.90, 0.015), (0.95, 0.03), (0.99, 0.08), (1.00, 0.20)]
 
 
 def realised_volatility(panel: DataFrame, n: int = 63) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.windows import lag, last_known, pct_rank_avg, ratio_change, rolling
+from .pit import days_to_next
 
 LAGS = (1, 5, 10, 21, 63, 252)
 
@@ -139,3 +140,8 @@ def feature_panel(bars: DataFrame, stints: DataFrame, sectors: DataFrame, macro:
     df = cross_ranks(df, ("ret_21d", "vol_21d"))
     df = sector_spread(market_regime(join_sectors(df, sectors)))
     return join_macro(df, macro_features(macro) if macro is not None else None)
+
+
+def event_countdown(dates: DataFrame, events: DataFrame, event_date: str, cap: int = 60, near: int = 5) -> DataFrame:
+    """date, days_to_event (capped, also where none is ahead), within_5d (is it at most ``near`` days ahead?)."""
+    return days_to_next(dates, events, event_date, cap).withColumn("within_5d", (F.col("days_to_event") <= near).cast("int"))

@@ -42,11 +42,16 @@ def vintages(facts: DataFrame, flows: list[str]) -> DataFrame:
 
 
 def trailing_year(facts: DataFrame) -> DataFrame:
-    """Sums of four consecutive quarterly rows (spans of 80 to 100 days), known when the last of the four is filed."""
-    q = facts.where(F.datediff("period_end", "period_start").between(80, 100))
+    """Twelve-month sums of flows: four quarters in a row (spans of 80 to 100 days, the fourth one derived where it is not filed),
+    known when the last of the four is filed; and annual rows (350 to 380 days), which are twelve months themselves."""
+    days = F.datediff("period_end", "period_start")
+    quarters, years = facts.where(days.between(80, 100)), facts.where(days.between(350, 380))
+    names = ["ticker", "concept", "period_end", "filed", "value"]
+    rows = quarters.select(*names).unionByName(derive_q4(quarters, years).select(*names))
+    first = F.row_number().over(Window.partitionBy("ticker", "concept", "period_end").orderBy("filed", F.desc("value")))
     w = Window.partitionBy("ticker", "concept").orderBy("period_end").rowsBetween(-3, 0)
-    q = q.select("ticker", "concept", "period_end", F.sum("value").over(w).alias("ttm"), F.max("filed").over(w).alias("filed"), F.count("*").over(w).alias("n"))
-    return q.where("n = 4").drop("n")
+    rows = rows.withColumn("_r", first).where("_r = 1").select("ticker", "concept", "period_end", F.sum("value").over(w).alias("ttm"), F.max("filed").over(w).alias("filed"), F.count("*").over(w).alias("n"))
+    return rows.where("n = 4").drop("n").unionByName(years.select("ticker", "concept", "period_end", F.col("value").alias("ttm"), "filed"))
 
 
 def asof_fundamentals(panel: DataFrame, facts: DataFrame, concepts: list[str]) -> DataFrame:
@@ -61,18 +66,26 @@ def growth(panel: DataFrame, column: str, out: str, rows: int = 252) -> DataFram
     return panel.withColumn(out, safe_ratio(F.col(column) - old, F.abs(old)))
 
 
-def ratios(df: DataFrame) -> DataFrame:
-    """Ratios from revenue, cost, gross_profit, operating_income, net_income, assets, liabilities, equity, debt, cash,
-    shares, adj_close. Missing gross profit and liabilities follow from their identities; negative equity gives null."""
-    c = F.col
-    gross = F.coalesce(c("gross_profit"), c("revenue") - c("cost"))
-    implied = c("assets") - c("equity")
-    liabilities = F.coalesce(c("liabilities"), F.when(implied >= 0, implied))
-    equity = F.when(c("equity") > 0, c("equity"))
-    cap = c("adj_close") * c("shares")
+#: What a panel needs for ``ratios``, beside its price.
+RATIO_INPUTS = ("revenue", "net_income", "equity", "assets", "gross_profit", "cost_of_revenue", "operating_income", "liabilities", "cash_ops", "capex", "shares_diluted", "eps_diluted")
+
+
+def ratios(panel: DataFrame, price: str = "adj_close", out: str = "fund_") -> DataFrame:
+    """The eleven ratios of a panel with trailing sums and balances (``RATIO_INPUTS``; a missing column is unknown).
+
+    Missing gross profit and liabilities follow from their identities, negative equity has no valuation, missing capital
+    expenditure counts as none, and growth is against the value in force 252 rows before.
+    """
+    panel = panel.withColumns({c: F.lit(None).cast("double") for c in RATIO_INPUTS if c not in panel.columns})
+    c = {name: F.col(name).cast("double") for name in RATIO_INPUTS}
+    implied = c["assets"] - c["equity"]
+    known = {
+        "gross": F.coalesce(c["gross_profit"], c["revenue"] - c["cost_of_revenue"]), "owed": F.coalesce(c["liabilities"], F.when(implied >= 0, implied)),
+        "free_cash": c["cash_ops"] - F.coalesce(c["capex"], F.lit(0.0))}
+    a_share = lambda x: safe_ratio(safe_ratio(x, c["shares_diluted"], True), F.col(price), True)
     made = {
-        "gross_margin": safe_ratio(gross, c("revenue"), True), "operating_margin": safe_ratio(c("operating_income"), c("revenue"), True), "net_margin": safe_ratio(c("net_income"), c("revenue"), True),
-        "roa": safe_ratio(c("net_income"), c("assets"), True), "roe": safe_ratio(c("net_income"), equity, True), "leverage": safe_ratio(liabilities, c("assets"), True),
-        "debt_to_equity": safe_ratio(c("debt"), equity, True), "cash_to_assets": safe_ratio(c("cash"), c("assets"), True), "asset_turnover": safe_ratio(c("revenue"), c("assets"), True),
-        "earnings_yield": safe_ratio(c("net_income"), cap, True), "book_to_market": safe_ratio(equity, cap, True)}
-    return df.withColumns(made)
+        "earnings_yield": a_share(c["net_income"]), "book_to_price": a_share(F.when(c["equity"] > 0, c["equity"])), "sales_to_price": a_share(c["revenue"]), "fcf_yield": a_share(known["free_cash"]),
+        "roe": safe_ratio(c["net_income"], c["equity"], True), "gross_margin": safe_ratio(known["gross"], c["revenue"], True), "operating_margin": safe_ratio(c["operating_income"], c["revenue"], True),
+        "debt_to_equity": safe_ratio(known["owed"], c["equity"], True), "accruals": safe_ratio(c["net_income"] - c["cash_ops"], c["assets"], True)}
+    panel = panel.withColumns({out + name: x for name, x in made.items()})
+    return growth(growth(panel, "revenue", out + "revenue_growth_yoy"), "eps_diluted", out + "eps_growth_yoy")

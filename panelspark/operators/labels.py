@@ -24,6 +24,13 @@ def forward_returns(grid: DataFrame, horizon: int, price: str = "adj_close") ->
     return grid.withColumn("fwd_ret", F.try_divide(F.lead(price, horizon).over(over_time()), F.col(price)) - 1)
 
 
+def forward_by_session(bars: DataFrame, sessions: DataFrame, horizon: int, price: str = "adj_close") -> DataFrame:
+    """``bars`` with ``fwd_ret``, the return over ``horizon`` sessions; null where the name has no bar then. The dense grid is not built."""
+    numbered = bars.join(sessions.select("date", "session_no"), "date")
+    later = numbered.select("ticker", (F.col("session_no") - horizon).alias("session_no"), F.col(price).alias("_later"))
+    return numbered.join(later, ["ticker", "session_no"], "left").withColumn("fwd_ret", F.try_divide(F.col("_later"), F.col(price)) - 1).drop("_later", "session_no")
+
+
 def terminal_returns(df: DataFrame, price: str = "adj_close") -> DataFrame:
     """Fill ``fwd_ret`` of names that stop trading with the return to their last quote."""
     ticker, everything = Window.partitionBy("ticker"), df.agg(F.max(F.when(F.col(price).isNotNull(), F.col("date"))).alias("_end"))

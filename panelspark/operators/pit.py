@@ -55,12 +55,14 @@ def days_to_next(dates: DataFrame, events: DataFrame, event_date: str, cap: int)
 def next_session(rows: DataFrame, sessions: DataFrame, date: str, strict: bool = False) -> DataFrame:
     """``rows`` with the session on or after (strictly after) their date; rows past the last session drop.
 
-    Sessions become intervals (previous, session], so this is a range join with a calendar dimension.
+    Each distinct date is mapped to its session over the calendar, then rows are joined by equality.
     """
-    w = Window.orderBy("date")
-    spans = sessions.select(F.col("date").alias("session"), F.coalesce(F.lag("date").over(w), F.lit("0001-01-01").cast("date")).alias("_prev"))
-    d = F.date_add(F.col(date), 1) if strict else F.col(date)
-    return rows.join(spans, (d > F.col("_prev")) & (d <= F.col("session"))).drop("_prev")
+    day = F.date_add(F.col(date), 1) if strict else F.col(date)
+    days = rows.select(day.alias("_day")).distinct().select("_day", F.lit(None).cast("date").alias("session"))
+    both = days.unionByName(sessions.select(F.col("date").alias("_day"), F.col("date").alias("session")))
+    ahead = F.first("session", ignorenulls=True).over(Window.orderBy("_day").rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    mapped = both.select("_day", ahead.alias("session")).where("session is not null").distinct()
+    return rows.withColumn("_day", day).join(mapped, "_day").drop("_day")
 
 
 def shift_sessions(rows: DataFrame, sessions: DataFrame, n: int, out: str, date: str = "date") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.windows import last_known, next_known
 from .selection import SelectionRules, targets
-from .stats import performance
+from .stats import downside_deviation, performance
 
 
 def cohort_legs(signals: DataFrame, prices: DataFrame, sessions: DataFrame, hold: int | Column, keys: tuple[str, ...] = (), slippage: float = 0.0) -> DataFrame:
@@ -56,13 +56,20 @@ def admit(cohorts: DataFrame, slots: int, capital: float, keys: tuple[str, ...]
     return path.select(*keys, F.explode(F.aggregate("cs", start, step)["done"]).alias("c")).select(*keys, "c.date", "c.exit_date", "c.amount", "c.net")
 
 
+def held_days(legs: DataFrame, prices: DataFrame, start: str, end: str) -> DataFrame:
+    """A row for each leg and day with a price from ``start`` to before ``end``: the leg with day and mark. Joined by ticker and
+    month, so that a leg meets the months it is held and not the whole history of its ticker."""
+    month = F.explode(F.sequence(F.trunc(start, "month"), F.trunc(end, "month"), F.expr("interval 1 month"))).alias("_month")
+    px = prices.select("ticker", F.trunc("date", "month").alias("_month"), F.col("date").alias("day"), F.col("adj_close").alias("mark"))
+    return legs.select("*", month).join(px, ["ticker", "_month"]).where((F.col("day") >= F.col(start)) & (F.col("day") < F.col(end))).drop("_month")
+
+
 def daily_nav(legs: DataFrame, amounts: DataFrame, sessions: DataFrame, prices: DataFrame, capital: float, keys: tuple[str, ...] = ()) -> DataFrame:
     """NAV of each session: cash after all flows to date plus marks of the open legs. A leg's exit day is cash already."""
     held = legs.join(amounts.select(*keys, "date", "amount"), [*keys, "date"]).withColumn("units", F.col("amount") * F.col("weight") / F.col("entry_px"))
     flows = held.select(*keys, F.col("entry_date").alias("day"), (-F.col("units") * F.col("entry_px")).alias("flow")).unionByName(held.select(*keys, F.col("exit_date").alias("day"), (F.col("units") * F.col("entry_px") * (1 + F.col("net"))).alias("flow")))
     flows = flows.groupBy(*keys, "day").agg(F.sum("flow").alias("flow"))
-    px = prices.select(F.col("ticker").alias("_t"), F.col("date").alias("day"), F.col("adj_close").alias("mark"))
-    marks = held.join(px, (F.col("ticker") == F.col("_t")) & (F.col("day") >= F.col("entry_date")) & (F.col("day") < F.col("exit_date"))).groupBy(*keys, "day").agg(F.sum(F.col("units") * F.col("mark")).alias("marks"))
+    marks = held_days(held, prices, "entry_date", "exit_date").groupBy(*keys, F.col("day")).agg(F.sum(F.col("units") * F.col("mark")).alias("marks"))
     days = sessions.select(F.col("date").alias("day"))
     if keys:
         days = legs.select(*keys).distinct().join(F.broadcast(days))
@@ -93,11 +100,13 @@ def long_short_periods(book: DataFrame, prices: DataFrame, fills: DataFrame) ->
 
 
 def long_short_nav(periods: DataFrame, cost: float = 0.0, turnover: DataFrame | None = None) -> DataFrame:
-    """k, factor, nav: equity after each period for a full reconstitution at every fill (see ``book_turnover`` for costs)."""
+    """k, factor, nav, ruined: equity after each period for a full reconstitution at every fill (see ``book_turnover`` for costs). Equity that is spent stays 0."""
     f = periods.groupBy("k").agg((1 + F.sum(F.col("weight") * (F.col("growth") - 1))).alias("factor"))
     if turnover is not None:
         f = f.join(turnover, "k", "left").withColumn("factor", F.col("factor") - F.coalesce("turnover", F.lit(0.0)) * cost).drop("turnover", "names")
-    return f.withColumn("nav", F.product("factor").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)))
+    so_far = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    ruined = F.min("factor").over(so_far) <= 0
+    return f.withColumns({"ruined": ruined, "nav": F.when(ruined, 0.0).otherwise(F.product("factor").over(so_far))})
 
 
 def book_turnover(periods: DataFrame) -> DataFrame:
@@ -112,8 +121,7 @@ def book_turnover(periods: DataFrame) -> DataFrame:
 def borrow_accrual(periods: DataFrame, prices: DataFrame, rates: DataFrame, flat: float) -> DataFrame:
     """k, borrow: cost of the short legs over a period, by the daily mark of each and its rate (a flat one if unknown)."""
     short = periods.where("weight < 0").select("k", "ticker", "weight", "fill_date", "next_fill", "p0")
-    px = prices.select(F.col("ticker").alias("_t"), "date", "adj_close")
-    days = short.join(px, (F.col("ticker") == F.col("_t")) & (F.col("date") >= F.col("fill_date")) & (F.col("date") < F.col("next_fill"))).drop("_t")
+    days = held_days(short, prices, "fill_date", "next_fill").select("k", "ticker", "weight", "p0", F.col("day").alias("date"), F.col("mark").alias("adj_close"))
     days = days.join(rates.select("date", "ticker", "rate"), ["date", "ticker"], "left")
     cost = -F.col("weight") * F.col("adj_close") / F.col("p0") * F.coalesce("rate", F.lit(flat)) / 252
     return days.groupBy("k").agg(F.sum(cost).alias("borrow"))
@@ -160,7 +168,12 @@ def sweep(scored: DataFrame, configs: list[tuple[int, int, int, int]], prices: D
     """One row for each configuration: cohorts, mean and deviation of net returns, share of gains."""
     legs = cohort_legs(sweep_signals(scored, configs), prices, sessions, F.col("holding_days"), ("config_id",), slippage)
     c = cohort_returns(legs, ("config_id",))
-    return c.groupBy("config_id").agg(F.count("*").alias("n_cohorts"), F.avg("net").alias("mean_net"), F.stddev_samp("net").alias("std_net"), F.avg((F.col("net") > 0).cast("double")).alias("win_rate"))
+    return c.groupBy("config_id").agg(F.count("*").alias("n_cohorts"), F.avg("net").alias("mean_net"), F.stddev_samp("net").alias("std_net"), F.avg((F.col("net") > 0).cast("double")).alias("win_rate"), downside_deviation(F.col("net")).alias("downside"))
+
+
+def cohort_costs(cohorts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, cost (what trading takes from the gross returns, in parts of capital), win_rate (share of cohorts that gain after it)."""
+    return cohorts.groupBy(*keys).agg(F.sum(F.col("gross") - F.col("net")).alias("cost"), F.avg((F.col("net") > 0).cast("double")).alias("win_rate"))
 
 
 def realised_rate(panel: DataFrame, column: str = "irx_yield") -> DataFrame:

@@ -25,10 +25,9 @@ def thin_names(bars: DataFrame, sessions: int, least: float) -> DataFrame:
 
 
 def universe_digest(tickers: DataFrame) -> DataFrame:
-    """16 hex digits that do not depend on the order; made of one digest for each ticker, combined by exclusive or of its parts."""
-    names = tickers.select(F.col("ticker").cast("string").alias("t")).distinct()
-    part = F.conv(F.substring(F.md5("t"), 1, 15), 16, 10).cast("long")
-    return names.agg(F.lpad(F.lower(F.hex(F.bit_xor(part))), 16, "0").alias("digest"), F.count("*").alias("n"))
+    """16 hex digits of the sorted tickers, and how many they are; a dimension, so that all fit into one value."""
+    names = F.collect_set(F.col("ticker").cast("string"))
+    return tickers.agg(F.substring(F.sha2(F.array_join(F.array_sort(names), "|"), 256), 1, 16).alias("digest"), F.size(names).alias("n"))
 
 
 def universe_drift(trained: DataFrame, current: DataFrame) -> DataFrame:

@@ -68,7 +68,9 @@ def rank_exits(held: DataFrame, ranking: DataFrame, exit_rank: int) -> DataFrame
 
 
 def best_configs(results: DataFrame, least_cohorts: int, n: int = 10) -> DataFrame:
-    return results.where(F.col("n_cohorts") >= least_cohorts).orderBy(F.desc_nulls_last("sharpe"), F.desc_nulls_last("sortino"), "config_id").limit(n)
+    order = (F.desc_nulls_last("sharpe"), F.desc_nulls_last("sortino"), F.asc("config_id"))
+    best = results.where(F.col("n_cohorts") >= least_cohorts).orderBy(*order).limit(n)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # a row for each configuration
 
 
 def seeded_sample(tickers: DataFrame, n: int, seed: int) -> DataFrame:

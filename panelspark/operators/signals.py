@@ -21,11 +21,19 @@ def bucket_returns(df: DataFrame, buckets: list[int], bottom: bool = False, scor
     return ranked.withColumn("bucket", F.explode(sizes)).groupBy("date", "bucket").agg(F.avg(fwd).alias("ret"), (F.avg(fwd) - F.first("universe")).alias("excess"))
 
 
-def depth_table(df: DataFrame, buckets: list[int], horizon: int) -> DataFrame:
-    """bucket, mean_ret, mean_excess, t_stat (HAC, overlap = horizon), days."""
-    daily = bucket_returns(df, buckets)
-    means = daily.groupBy("bucket").agg(F.avg("ret").alias("mean_ret"))
-    return hac_mean(daily, "excess", ["bucket"], overlap=horizon).join(means, "bucket").select("bucket", "mean_ret", F.col("mean").alias("mean_excess"), "t_stat", F.col("n").alias("days"))
+def depth_table(df: DataFrame, buckets: list[int], horizon: int, score: str = "prob", fwd: str = "fwd_ret") -> DataFrame:
+    """label, n_names, mean_ret, mean_excess, t_stat (HAC, overlap = horizon), days: the top buckets, the bottom one of the
+    largest size, and the universe. Names are ranked once from both ends."""
+    known, date, most = df.where(F.col(fwd).isNotNull() & F.col(score).isNotNull()), Window.partitionBy("date"), max(buckets)
+    low = F.row_number().over(date.orderBy(F.asc(score), "ticker"))
+    ranked = rank_within_date(known, score).withColumns({"_low": low, "_u": F.avg(fwd).over(date)})
+    tops = F.filter(F.array(*map(F.lit, sorted(buckets))), lambda k: k >= F.col("rk"))
+    sizes = F.concat(tops, F.when(F.col("_low") <= most, F.array(F.lit(-most))).otherwise(F.array().cast("array<int>")), F.array(F.lit(0)))  # 0 stands for all names
+    daily = ranked.select("date", fwd, "_u", F.explode(sizes).alias("bucket")).groupBy("date", "bucket").agg(F.avg(fwd).alias("ret"), (F.avg(fwd) - F.first("_u")).alias("excess"), F.count("*").alias("_n"))
+    means = daily.groupBy("bucket").agg(F.avg("ret").alias("mean_ret"), F.floor(F.avg("_n")).alias("_size"))
+    rows, k = hac_mean(daily, "excess", ["bucket"], overlap=horizon).join(means, "bucket"), F.col("bucket")
+    label = F.when(k == 0, "universe").when(k < 0, F.concat(F.lit("bottom "), (-k).cast("string"))).otherwise(F.concat(F.lit("top "), k.cast("string")))
+    return rows.select(label.alias("label"), F.when(k == 0, F.col("_size")).otherwise(F.abs(k)).alias("n_names"), "mean_ret", F.when(k == 0, 0.0).otherwise(F.col("mean")).alias("mean_excess"), F.when(k != 0, F.col("t_stat")).alias("t_stat"), F.col("n").alias("days"))
 
 
 def daily_rank_ic(df: DataFrame, score: str = "prob", fwd: str = "fwd_ret") -> DataFrame:

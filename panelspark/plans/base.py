@@ -67,7 +67,7 @@ class Tables:
     @cached_property
     def scored(self) -> DataFrame:
         """Baseline scores: same-date percent rank of 21-row momentum, with the forward return on the grid."""
-        fwd = labels.forward_returns(self.grid, HORIZON).select("date", "ticker", "fwd_ret")
+        fwd = labels.forward_by_session(self.bars, self.sessions, HORIZON).select("date", "ticker", "fwd_ret")
         r = features.returns(self.bars, lags=(21,)).where("ret_21d is not null")
         return r.select("date", "ticker", "adj_close", pct_rank_avg(F.col("ret_21d"), "date").alias("prob")).join(fwd, ["date", "ticker"], "left")
 
@@ -96,7 +96,7 @@ def pct_rank(x: str, keys: str = "date") -> str:
 
 #: Named tables as SQL; the first ones run in Spark and DuckDB alike, the others are for DuckDB only.
 SQL = {
-    "bars": "SELECT CAST(l_shipdate AS DATE) AS date, l_suppkey AS ticker, sum(l_extendedprice)/sum(l_quantity) AS adj_close, sum(l_quantity) AS volume FROM lineitem GROUP BY CAST(l_shipdate AS DATE), l_suppkey",
+    "bars": "SELECT CAST(l_shipdate AS DATE) AS date, l_suppkey AS ticker, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100 / sum(l_quantity) AS adj_close, sum(l_quantity) AS volume FROM lineitem GROUP BY CAST(l_shipdate AS DATE), l_suppkey",
     "sectors": "SELECT s_suppkey AS ticker, r_name AS sector FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "stints": "SELECT s_suppkey AS ticker, DATE '1995-01-01' + CAST((s_suppkey % 40) * 30 AS INT) AS start_date, CASE WHEN s_suppkey % 3 = 0 THEN DATE '1999-01-01' + CAST((s_suppkey % 20) * 15 AS INT) END AS end_date FROM supplier UNION ALL SELECT s_suppkey, DATE '2000-06-01', CAST(NULL AS DATE) FROM supplier WHERE s_suppkey % 6 = 0",
     "macro": "SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice)/10000 AS vix, avg(CASE WHEN o_orderpriority LIKE '1%' THEN o_totalprice END)/50000 AS tnx_yield, avg(CASE WHEN o_orderpriority LIKE '5%' THEN o_totalprice END)/60000 AS irx_yield FROM orders GROUP BY CAST(o_orderdate AS DATE)",
@@ -104,7 +104,7 @@ SQL = {
     "insider": "SELECT o_custkey % (SELECT count(*) FROM supplier) + 1 AS ticker, CAST(o_orderdate AS DATE) AS filed, o_totalprice AS value, o_custkey AS owner, o_orderpriority LIKE '1%' AS planned FROM orders",
     "facts": "SELECT o_custkey % (SELECT count(*) FROM supplier) + 1 AS ticker, CASE WHEN o_orderkey % 3 = 0 THEN 'assets' ELSE 'revenue' END AS concept, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS period_start, last_day(CAST(date_trunc('quarter', o_orderdate) AS DATE) + 70) AS period_end, last_day(CAST(date_trunc('quarter', o_orderdate) AS DATE) + 70) + CAST(15 + o_orderkey % 3 * 20 AS INT) AS filed, sum(o_totalprice) AS value, '10-Q' AS form, CAST(extract(year FROM o_orderdate) AS INT) AS fy, concat('Q', CAST(extract(quarter FROM o_orderdate) AS STRING)) AS fp FROM orders GROUP BY 1, 2, 3, 4, 5, 7, 8, 9",
     "accounts": "SELECT c_custkey AS account_id, 100000 + c_acctbal AS cash, CAST(120000.0 AS DOUBLE) AS high_watermark FROM customer",
-    "positions": "SELECT o_custkey AS account_id, l_suppkey AS ticker, sum(l_quantity) AS shares, sum(l_extendedprice)/sum(l_quantity) AS entry_price, CAST(min(o_orderdate) AS DATE) AS entry_date, CAST(min(o_orderdate) AS DATE) + 60 AS expiry_date FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey",
+    "positions": "SELECT o_custkey AS account_id, l_suppkey AS ticker, sum(l_quantity) AS shares, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100 / sum(l_quantity) AS entry_price, CAST(min(o_orderdate) AS DATE) AS entry_date, CAST(min(o_orderdate) AS DATE) + 60 AS expiry_date FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey",
     # DuckDB only
     "sessions": "SELECT date, row_number() OVER (ORDER BY date) AS session_no FROM (SELECT DISTINCT date FROM bars)",
     "grid": "SELECT s.date, t.ticker, b.adj_close, b.volume FROM sessions s CROSS JOIN (SELECT DISTINCT ticker FROM bars) t LEFT JOIN bars b ON b.date = s.date AND b.ticker = t.ticker",

@@ -14,8 +14,8 @@ _TYPES = {"int": ("int", "INTEGER"), "big": ("bigint", "BIGINT"), "str": ("strin
 
 
 def query(name: str, columns: str, sql: str | None = None, digits: int = 6):
-    """Register a function of ``Tables``. ``columns`` lists ``name`` (as it is), ``name:type``, or ``name~`` (a double,
-    rounded to ``digits``, as the engines add in different orders)."""
+    """Register a function of ``Tables``. ``columns`` lists ``name`` (as it is), ``name:type``, ``name~`` (a double,
+    rounded to ``digits``, as the engines add in different orders), or ``name%`` (a double of any size, nine digits of it as text)."""
 
     def wrap(make: Callable[[Tables], DataFrame]):
         spark_side, sql_side = [], []
@@ -24,6 +24,10 @@ def query(name: str, columns: str, sql: str | None = None, digits: int = 6):
                 c = c[:-1]
                 spark_side.append((c, digits))
                 sql_side.append(f'round(CAST("{c}" AS DOUBLE), {digits}) + 0.0 AS "{c}"')
+            elif c.endswith("%"):
+                c = c[:-1]
+                spark_side.append((c, "%"))
+                sql_side.append(f"""printf('%.8e', CAST("{c}" AS DOUBLE)) AS "{c}\"""")
             elif c.endswith("^"):
                 c = c[:-1]
                 spark_side.append((c, -digits))
@@ -40,6 +44,9 @@ def query(name: str, columns: str, sql: str | None = None, digits: int = 6):
             df = make(Tables(spark, sf_dir))
             out = []
             for c, how in spark_side:
+                if how == "%":
+                    out.append(F.format_string("%.8e", F.col(c).cast("double")).alias(c))
+                    continue
                 x = F.ln(F.col(c)) if isinstance(how, int) and how < 0 else F.col(c)
                 how = abs(how) if isinstance(how, int) else how
                 out.append((F.round(x.cast("double"), how) + F.lit(0.0)).alias(c) if isinstance(how, int) else x.cast(how).alias(c) if how else x)

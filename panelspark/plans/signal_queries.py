@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 
 from pyspark.sql import Window, functions as F
 
@@ -79,7 +80,12 @@ def _(t):
     return signals.bucket_returns(t.scored, [5], bottom=True)
 
 
-@query("a11_depth_table", "bucket:int mean_ret~ mean_excess~ t_stat~ days:big", f"SELECT h.bucket, m.mean_ret, h.mean AS mean_excess, h.t_stat, h.n AS days FROM {hac(_DAILY, 'excess', 'bucket', HORIZON)} h JOIN (SELECT bucket, avg(ret) AS mean_ret FROM {_DAILY} GROUP BY 1) m ON m.bucket = h.bucket")
+_DEPTH = f"""(SELECT date, label, avg(fwd_ret) AS ret, avg(fwd_ret) - any_value(u) AS excess, count(*) AS n FROM (SELECT *, unnest(list_concat(list_filter({BUCKETS}, lambda x: x >= hi), CASE WHEN lo <= {max(BUCKETS)} THEN [-{max(BUCKETS)}] ELSE [] END, [0])) AS label FROM (
+SELECT *, row_number() OVER (PARTITION BY date ORDER BY prob DESC, ticker) AS hi, row_number() OVER (PARTITION BY date ORDER BY prob, ticker) AS lo, avg(fwd_ret) OVER (PARTITION BY date) AS u FROM scored WHERE fwd_ret IS NOT NULL AND prob IS NOT NULL)) GROUP BY date, label)"""
+
+
+@query("a11_depth_table", "label n_names:big mean_ret~ mean_excess~ t_stat~ days:big", f"""SELECT CASE WHEN h.label = 0 THEN 'universe' WHEN h.label < 0 THEN 'bottom ' || -h.label ELSE 'top ' || h.label END AS label, CASE WHEN h.label = 0 THEN CAST(floor(size) AS BIGINT) ELSE abs(h.label) END AS n_names, mean_ret, CASE WHEN h.label = 0 THEN 0 ELSE h.mean END AS mean_excess, CASE WHEN h.label <> 0 THEN h.t_stat END AS t_stat, h.n AS days
+FROM {hac(_DEPTH, 'excess', 'label', HORIZON)} h JOIN (SELECT label, avg(ret) AS mean_ret, avg(n) AS size FROM {_DEPTH} GROUP BY 1) m ON m.label = h.label""")
 def _(t):
     return signals.depth_table(t.scored, BUCKETS, HORIZON)
 
@@ -118,12 +124,13 @@ def _(t):
 _PERF_COLUMNS = "total_return~ cagr~ sharpe~ sortino~ max_drawdown~ calmar~"
 
 
-def perf(source: str, keys: str = "") -> str:
+def perf(source: str, keys: str = "", cash: str | None = None) -> str:
     """SQL of the performance metrics of NAV series (keys, date, nav)."""
     k, part = (f"{keys}, " if keys else ""), (f"PARTITION BY {keys} " if keys else "")
+    x = "ret" if cash is None else "ret - rf"
     return f"""(SELECT *, CASE WHEN sx > 1e-12 THEN mx / sx * sqrt(252) END AS sharpe, CASE WHEN dx > 1e-12 THEN mx / dx * sqrt(252) END AS sortino, CASE WHEN max_drawdown < -1e-12 THEN cagr / -max_drawdown END AS calmar FROM (
-SELECT *, pow(1 + total_return, 252.0 / days) - 1 AS cagr FROM (SELECT {k}arg_max(nav, date) / arg_min(nav, date) - 1 AS total_return, count(ret) AS days, avg(ret) AS mx, stddev_samp(ret) AS sx, sqrt(avg(CASE WHEN ret IS NOT NULL THEN pow(least(ret, 0), 2) END)) AS dx, min(dd) AS max_drawdown FROM (
-SELECT *, nav / lag(nav) OVER ({part}ORDER BY date) - 1 AS ret, nav / max(nav) OVER ({part}ORDER BY date) - 1 AS dd FROM {source}) {'GROUP BY ' + keys if keys else ''})))"""
+SELECT *, pow(1 + total_return, 252.0 / days) - 1 AS cagr FROM (SELECT {k}arg_max(nav, date) / arg_min(nav, date) - 1 AS total_return, count(ret) AS days, avg({x}) AS mx, stddev_samp({x}) AS sx, sqrt(avg(CASE WHEN {x} IS NOT NULL THEN pow(least({x}, 0), 2) END)) AS dx, min(dd) AS max_drawdown FROM (
+SELECT n.*, nav / lag(nav) OVER ({part}ORDER BY n.date) - 1 AS ret, nav / max(nav) OVER ({part}ORDER BY n.date) - 1 AS dd{', rf' if cash else ''} FROM {source} n {f'LEFT JOIN {cash} c ON c.date = n.date' if cash else ''}) {'GROUP BY ' + keys if keys else ''})))"""
 
 
 @query("a17_performance", _PERF_COLUMNS, f"SELECT * FROM {perf('bnav')}")
@@ -131,6 +138,20 @@ def _(t):
     return stats.performance(t.benchmark.withColumnRenamed("close", "nav"), [])
 
 
+_CASH = "(SELECT date, pow(1 + coalesce(last_value(v IGNORE NULLS) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING), first_value(v IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) / 100, 1 / 252.0) - 1 AS rf FROM (SELECT date, min(irx_yield) AS v FROM macro GROUP BY date))"
+
+
+@query("a17_performance_over_cash", _PERF_COLUMNS, f"SELECT * FROM {perf('bnav', '', _CASH)}")
+def _(t):
+    return stats.performance(t.benchmark.withColumnRenamed("close", "nav"), [], cash=portfolio.realised_rate(t.macro))
+
+
+@query("a17_cohort_costs", "config_id:int cost~ win_rate~", "SELECT config_id, sum(gross - net) AS cost, avg(CAST(net > 0 AS INT)) AS win_rate FROM cohorts GROUP BY 1", digits=5)
+def _(t):
+    legs = portfolio.cohort_legs(portfolio.sweep_signals(t.scored, t.configs), t.prices, t.sessions, F.col("holding_days"), ("config_id",), 0.0005)
+    return portfolio.cohort_costs(portfolio.cohort_returns(legs, ("config_id",)), ("config_id",))
+
+
 @query("a18_downside_deviation", "dd~", "SELECT sqrt(avg(pow(least(ret - 0.001, 0), 2))) AS dd FROM bret WHERE ret IS NOT NULL")
 def _(t):
     r = stats.nav_returns(t.benchmark, [], "close").where("ret is not null")
@@ -168,9 +189,15 @@ def _(t):
     return stats.market_exposure(pair(t), "y", "x", [], 5)
 
 
-@query("a23_relative", "active_return~ tracking_error~ information_ratio~ beta~ up_capture~ down_capture~", f"SELECT avg(y - x) * 252 AS active_return, stddev_samp(y - x) * sqrt(252) AS tracking_error, avg(y - x) / stddev_samp(y - x) * sqrt(252) AS information_ratio, covar_samp(y, x) / var_samp(x) AS beta, avg(y) FILTER (x > 0) / avg(x) FILTER (x > 0) AS up_capture, avg(y) FILTER (x < 0) / avg(x) FILTER (x < 0) AS down_capture FROM {_PAIR} WHERE x IS NOT NULL AND y IS NOT NULL", digits=5)
+_REL = f"""SELECT r.*, o.alpha * 252 AS alpha_annual, o.t_alpha, o.alpha / sqrt((syy - o.beta * sxy) / (o.n - 1)) * sqrt(o.n) AS t_alpha_iid, overlay_return, overlay_drawdown FROM (
+SELECT avg(y - x) * 252 AS active_return, stddev_samp(y - x) * sqrt(252) AS tracking_error, avg(y - x) / stddev_samp(y - x) * sqrt(252) AS information_ratio, covar_samp(y, x) / var_samp(x) AS beta, avg(y) FILTER (x > 0) / avg(x) FILTER (x > 0) AS up_capture, avg(y) FILTER (x < 0) / avg(x) FILTER (x < 0) AS down_capture,
+var_pop(y) * count(*) AS syy, covar_pop(y, x) * count(*) AS sxy FROM {_PAIR} WHERE x IS NOT NULL AND y IS NOT NULL) r CROSS JOIN {_OLS} o CROSS JOIN (
+SELECT arg_max(v, date) - 1 AS overlay_return, min(v / top - 1) AS overlay_drawdown FROM (SELECT date, v, max(v) OVER (ORDER BY date) AS top FROM (SELECT date, product(1 + y - x) OVER (ORDER BY date) AS v FROM {_PAIR} WHERE x IS NOT NULL AND y IS NOT NULL)))"""
+
+
+@query("a23_relative", "active_return~ tracking_error~ information_ratio~ beta~ up_capture~ down_capture~ alpha_annual~ t_alpha~ t_alpha_iid~ overlay_return% overlay_drawdown~", _REL, digits=5)
 def _(t):
-    return stats.relative(pair(t), [], "y", "x")
+    return stats.relative(pair(t), [], "y", "x", 5)
 
 
 @query("a24_monthly_returns", "year:int " + " ".join(f"m{k:02d}~" for k in range(1, 13)), "SELECT year(m) AS year, " + ", ".join(f"max(r) FILTER (month(m) = {k}) AS m{k:02d}" for k in range(1, 13)) + " FROM (SELECT m, v / lag(v) OVER (ORDER BY m) - 1 AS r FROM (SELECT date_trunc('month', date) AS m, arg_max(nav, date) AS v FROM bnav GROUP BY 1)) GROUP BY 1")
@@ -178,7 +205,7 @@ def _(t):
     return stats.monthly_returns(t.benchmark.withColumnRenamed("close", "nav"))
 
 
-@query("a25_universe_digest", "digest n:big", "SELECT lpad(lower(printf('%X', bit_xor(CAST('0x' || left(md5(CAST(ticker AS VARCHAR)), 15) AS BIGINT)))), 16, '0') AS digest, count(*) AS n FROM (SELECT DISTINCT ticker FROM sectors)")
+@query("a25_universe_digest", "digest n:big", "SELECT left(sha256(string_agg(t, '|' ORDER BY t)), 16) AS digest, count(*) AS n FROM (SELECT DISTINCT CAST(ticker AS VARCHAR) AS t FROM sectors)")
 def _(t):
     return quality.universe_digest(t.sectors)
 
@@ -253,10 +280,12 @@ def _(t):
     return selection.rank_exits(t.sql("positions"), selection.full_ranking(t.scored), 5)
 
 
-@query("k07_best_configs", "config_id:int n_cohorts:big", "SELECT config_id, n_cohorts FROM (SELECT config_id, count(*) AS n_cohorts FROM cohorts GROUP BY 1) WHERE n_cohorts >= 10")
+@query("k07_best_configs", "place:int config_id:int n_cohorts:big sharpe~ sortino~", "SELECT *, row_number() OVER (ORDER BY sharpe DESC NULLS LAST, sortino DESC NULLS LAST, config_id) AS place FROM (SELECT config_id, count(*) AS n_cohorts, avg(net) / nullif(stddev_samp(net), 0) * sqrt(252 / max(days)) AS sharpe, avg(net) / nullif(sqrt(avg(pow(least(net, 0), 2))), 0) * sqrt(252 / max(days)) AS sortino FROM (SELECT c.*, CASE c.config_id WHEN 3 THEN 20.0 ELSE 10.0 END AS days FROM cohorts c) GROUP BY 1) WHERE n_cohorts >= 10 LIMIT 10", digits=5)
 def _(t):
     r = portfolio.sweep(t.scored, t.configs, t.prices, t.sessions)
-    return selection.best_configs(r.withColumns({"sharpe": F.try_divide("mean_net", "std_net"), "sortino": F.col("mean_net")}), 10)
+    days = F.create_map(*(F.lit(v) for c in t.configs for v in (c[0], float(c[2]))))[F.col("config_id")]
+    a_year = F.sqrt(252 / days)
+    return selection.best_configs(r.withColumns({"sharpe": F.try_divide("mean_net", "std_net") * a_year, "sortino": F.try_divide("mean_net", "downside") * a_year}), 10)
 
 
 @query("k08_seeded_sample", "ticker", "SELECT ticker FROM sectors ORDER BY md5('7|' || CAST(ticker AS VARCHAR)) LIMIT 10")
@@ -312,9 +341,9 @@ def _periods(t):
     return portfolio.long_short_periods(selection.decile_book(t.scored, 0.1), t.prices, fills)
 
 
-@query("b05_long_short", "k:big factor~ log_nav~", "SELECT k, factor, ln(abs(product(factor) OVER (ORDER BY k))) AS log_nav FROM (SELECT k, 1 + sum(weight * (growth - 1)) AS factor FROM periods GROUP BY k)", digits=5)
+@query("b05_long_short", "k:big factor~ nav~ ruined", "SELECT k, factor, CASE WHEN min(factor) OVER (ORDER BY k) <= 0 THEN 0 ELSE product(factor) OVER (ORDER BY k) END AS nav, min(factor) OVER (ORDER BY k) <= 0 AS ruined FROM (SELECT k, 1 + sum(weight * (growth - 1)) AS factor FROM periods GROUP BY k)", digits=5)
 def _(t):
-    return portfolio.long_short_nav(_periods(t)).withColumn("log_nav", F.ln(F.abs("nav")))
+    return portfolio.long_short_nav(_periods(t))
 
 
 @query("b06_turnover", "k:big turnover~ names:big", """SELECT coalesce(p.k, d.k) AS k, sum(abs(coalesce(weight, 0) - coalesce(u, 0))) AS turnover, count(*) AS names FROM periods p FULL JOIN (SELECT p.k + 1 AS k, ticker, weight * growth / g AS u FROM periods p JOIN (SELECT k, 1 + sum(weight * (growth - 1)) AS g FROM periods GROUP BY k) f ON f.k = p.k) d ON d.k = p.k AND d.ticker = p.ticker
@@ -339,17 +368,21 @@ def _(t):
     return portfolio.sweep(t.scored, t.configs, t.prices, t.sessions)
 
 
-@query("b15_alpha_ladder", "config_id beta~ alpha_annual~", digits=5)
+@query("b15_alpha_ladder", "config_id beta~ alpha_annual~ t_alpha~", digits=5)
 def _(t):
-    c = portfolio.cohort_returns(portfolio.cohort_legs(portfolio.sweep_signals(t.scored, t.configs), t.prices, t.sessions, F.col("holding_days"), ("config_id",)), ("config_id",))
-    b = stats.nav_returns(t.benchmark, [], "close").select("date", F.col("ret").alias("bench"))
-    return stats.market_exposure(c.join(b, "date"), "gross", "bench", ["config_id"], 10)
+    """Each cohort's return against the benchmark's over the same days, a regression for each configuration."""
+    held = portfolio.cohort_returns(portfolio.cohort_legs(portfolio.sweep_signals(t.scored, t.configs), t.prices, t.sessions, F.col("holding_days"), ("config_id",)), ("config_id",))
+    held = held.select("config_id", "date", "entry_date", "exit_date", "gross")
+    a, b = (t.benchmark.select(F.col("date").alias(d), F.col("close").alias(c)) for d, c in (("entry_date", "b0"), ("exit_date", "b1")))
+    both = held.join(a, "entry_date").join(b, "exit_date").withColumn("bench", F.col("b1") / F.col("b0") - 1)
+    ladder = [stats.market_exposure(both.where(F.col("config_id") == c[0]), "gross", "bench", ["config_id"], c[2], 252 / c[2]) for c in t.configs]
+    return functools.reduce(lambda x, y: x.unionByName(y), ladder)
 
 
 @query("b16_borrow_curve", "annual~ borrow~", "SELECT annual, sum(-weight * x.adj_close / p0 * annual / 252) AS borrow FROM periods p JOIN prices x ON x.ticker = p.ticker AND x.date >= fill_date AND x.date < next_fill CROSS JOIN (VALUES (0.01), (0.1), (0.2)) v(annual) WHERE weight < 0 GROUP BY annual", digits=5)
 def _(t):
     none = t.prices.select("date", "ticker", F.lit(None).cast("double").alias("rate")).where("date is null")
-    unit = portfolio.borrow_accrual(_periods(t), t.prices, none, 1.0).agg(F.sum("borrow").alias("b"))
+    unit = portfolio.borrow_accrual(_periods(t), t.prices, none, 1.0).agg(F.sum("borrow").alias("b")).where("b is not null")
     return unit.select(F.explode(F.array(F.lit(0.01), F.lit(0.1), F.lit(0.2))).alias("annual"), "b").withColumn("borrow", F.col("b") * F.col("annual"))
 
 
@@ -382,7 +415,7 @@ def _(t):
     return accounts.halts(valued(t), 0.15)
 
 
-@query("b11_expired_pnl", "account_id:big entry_date pnl~ names:big", "SELECT account_id, entry_date, sum(shares * (coalesce(CASE WHEN quote > 0 THEN quote END, CASE WHEN seen > 0 THEN seen END, entry_price) - entry_price)) AS pnl, count(*) AS names FROM positions p LEFT JOIN quotes q ON q.ticker = p.ticker WHERE expiry_date <= DATE '1998-01-01' GROUP BY 1, 2", digits=2)
+@query("b11_expired_pnl", "account_id:big entry_date pnl~ names:big", "SELECT account_id, entry_date, sum(CAST(floor(shares * (coalesce(CASE WHEN quote > 0 THEN quote END, CASE WHEN seen > 0 THEN seen END, entry_price) - entry_price) * 10000 + 0.5) AS BIGINT)) / 10000.0 AS pnl, count(*) AS names FROM positions p LEFT JOIN quotes q ON q.ticker = p.ticker WHERE expiry_date <= DATE '1998-01-01' GROUP BY 1, 2", digits=4)
 def _(t):
     return accounts.cohort_pnl(t.sql("positions"), quotes(t), dt.date(1998, 1, 1))
 

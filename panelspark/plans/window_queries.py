@@ -105,13 +105,23 @@ def _(t):
 
 _DEDUPED = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker, concept, period_end, filed ORDER BY period_start DESC NULLS LAST, value DESC) AS r FROM facts) WHERE r = 1)"
 _EARLIEST = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker, concept, period_end ORDER BY filed, value DESC) AS v FROM {_DEDUPED}) WHERE concept <> 'revenue' OR v = 1)"
-_TTM = f"""(SELECT * FROM (SELECT ticker, concept, period_end, sum(value) OVER w AS ttm, max(filed) OVER w AS filed, count(*) OVER w AS n FROM {_EARLIEST} WHERE concept = 'revenue' AND period_end - period_start BETWEEN 80 AND 100
-WINDOW w AS (PARTITION BY ticker, concept ORDER BY period_end ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)) WHERE n = 4)"""
+# names divisible by 4 file no fourth quarter but a year
+_FILED = f"""(SELECT ticker, concept, period_start, period_end, filed, value, fy, fp FROM {_EARLIEST} WHERE concept = 'revenue' AND NOT (ticker % 4 = 0 AND fp = 'Q4')
+UNION ALL SELECT ticker, concept, min(period_start), max(period_end), max(filed), sum(value), fy, 'FY' FROM {_EARLIEST} WHERE concept = 'revenue' AND ticker % 4 = 0 GROUP BY ticker, concept, fy HAVING count(*) = 4)"""
+_TTM = f"""(WITH f AS (SELECT *, period_end - period_start AS days FROM {_FILED}),
+q4 AS (SELECT y.ticker, y.concept, y.period_end, y.filed, y.value - q.s AS value FROM f y JOIN (SELECT ticker, concept, fy, sum(value) AS s FROM f WHERE days BETWEEN 80 AND 100 AND fp IN ('Q1', 'Q2', 'Q3') GROUP BY 1, 2, 3 HAVING count(DISTINCT fp) = 3) q ON q.ticker = y.ticker AND q.concept = y.concept AND q.fy = y.fy WHERE y.days BETWEEN 350 AND 380),
+u AS (SELECT *, row_number() OVER (PARTITION BY ticker, concept, period_end ORDER BY filed, value DESC) AS r FROM (SELECT ticker, concept, period_end, filed, value FROM f WHERE days BETWEEN 80 AND 100 UNION ALL SELECT * FROM q4))
+SELECT ticker, concept, period_end, filed, ttm FROM (SELECT ticker, concept, period_end, sum(value) OVER w AS ttm, max(filed) OVER w AS filed, count(*) OVER w AS n FROM u WHERE r = 1 WINDOW w AS (PARTITION BY ticker, concept ORDER BY period_end ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)) WHERE n = 4
+UNION ALL SELECT ticker, concept, period_end, filed, value FROM f WHERE days BETWEEN 350 AND 380)"""
 
 
 def revenue_ttm(t):
-    f = fundamentals.vintages(fundamentals.dedupe_filings(t.facts), ["revenue"])
-    return fundamentals.trailing_year(f.where("concept = 'revenue'"))
+    """Names divisible by 4 file no fourth quarter but a year."""
+    f = fundamentals.vintages(fundamentals.dedupe_filings(t.facts), ["revenue"]).where("concept = 'revenue'")
+    annual = f.where("ticker % 4 = 0").groupBy("ticker", "concept", "fy").agg(
+        F.min("period_start").alias("period_start"), F.max("period_end").alias("period_end"), F.max("filed").alias("filed"), F.sum("value").alias("value"), F.count("*").alias("n")).where("n = 4").withColumn("fp", F.lit("FY"))
+    names = ["ticker", "concept", "period_start", "period_end", "filed", "value", "fy", "fp"]
+    return fundamentals.trailing_year(f.where("not (ticker % 4 = 0 and fp = 'Q4')").select(*names).unionByName(annual.select(*names)))
 
 
 @query("w16_trailing_year", "ticker concept period_end filed ttm~", f"SELECT * FROM {_TTM}", digits=2)
@@ -127,7 +137,7 @@ def _(t):
     return borrow.realised_volatility(features.returns(t.bars, lags=(1,)))
 
 
-_RATE = f"(SELECT *, CASE WHEN p IS NULL THEN NULL WHEN p <= 0.5 THEN 0.003 WHEN p <= 0.8 THEN 0.01 WHEN p <= 0.95 THEN 0.03 ELSE 0.1 END AS rate FROM (SELECT *, {pct_rank('rv')} AS p FROM {_RV}))"
+_RATE = f"(SELECT *, CASE WHEN p IS NULL OR p <= 0.8 THEN 0.005 WHEN p <= 0.9 THEN 0.015 WHEN p <= 0.95 THEN 0.03 WHEN p <= 0.99 THEN 0.08 ELSE 0.2 END AS rate FROM (SELECT *, {pct_rank('rv')} AS p FROM {_RV}))"
 
 
 @query("w18_borrow_rate", KEY + "rate~", f"SELECT * FROM {_RATE}")
@@ -234,31 +244,44 @@ def _(t):
 
 # --- scalar functions
 
-@query("f01_calendar_parts", "date month_sin~ month_cos~ quarter_end_month:int days_to_quarter_end:int", "SELECT date, sin(2 * pi() * month(date) / 12) AS month_sin, cos(2 * pi() * month(date) / 12) AS month_cos, CAST(month(date) % 3 = 0 AS INT) AS quarter_end_month, last_day(make_date(year(date), 3 * CAST(ceil(month(date) / 3.0) AS BIGINT), 1)) - date AS days_to_quarter_end FROM sessions")
+@query("f01_calendar_parts", "date month_sin~ month_cos~ quarter_end_month:int days_to_quarter_end:int", "SELECT date, sin(2 * pi() * (month(date) - 1) / 12) AS month_sin, cos(2 * pi() * (month(date) - 1) / 12) AS month_cos, CAST(month(date) % 3 = 0 AS INT) AS quarter_end_month, last_day(make_date(year(date), 3 * CAST(ceil(month(date) / 3.0) AS BIGINT), 1)) - date AS days_to_quarter_end FROM sessions")
 def _(t):
     return t.sessions.withColumns(scalars.calendar_parts(F.col("date")))
 
 
+_NEXT = "SELECT date, least(60, coalesce((SELECT min(e) FROM (SELECT DISTINCT date AS e FROM macro WHERE day(date) = 15) v WHERE e >= s.date) - date, 60)) AS days_to_event FROM sessions s"
+
+
+@query("f01_event_countdown", "date days_to_event:int within_5d:int", f"SELECT *, CAST(days_to_event <= 5 AS INT) AS within_5d FROM ({_NEXT})")
+def _(t):
+    return features.event_countdown(t.sessions, t.macro.where("day(date) = 15").select(F.col("date").alias("e")), "e")
+
+
 @query("f02_safe_ratio", KEY + "x^", "SELECT date, ticker, CASE WHEN volume - 30 > 1e-9 THEN adj_close / (volume - 30) END AS x FROM bars")
 def _(t):
     return t.bars.withColumn("x", scalars.safe_ratio(F.col("adj_close"), F.col("volume") - 30, True))
 
 
-_RATIO_INPUTS = {"revenue": "volume * 10", "cost": "CASE WHEN ticker % 3 = 0 THEN volume * 6 END", "gross_profit": "CASE WHEN ticker % 2 = 0 THEN volume * 5 END", "operating_income": "volume * 2", "net_income": "volume - 20", "assets": "volume * 100", "liabilities": "CASE WHEN ticker % 5 = 0 THEN volume * 40 END", "equity": "volume * 55 - 500", "debt": "volume * 9", "cash": "volume * 3", "shares": "volume + 5"}
-_RATIOS = ("gross_margin operating_margin net_margin roa roe leverage debt_to_equity cash_to_assets asset_turnover earnings_yield book_to_market").split()
+_RATIO_INPUTS = {"revenue": "volume * 10", "cost_of_revenue": "CASE WHEN ticker % 3 = 0 THEN volume * 6 END", "gross_profit": "CASE WHEN ticker % 2 = 0 THEN volume * 5 END", "operating_income": "volume * 2", "net_income": "volume - 20", "assets": "volume * 100", "liabilities": "CASE WHEN ticker % 5 = 0 THEN volume * 40 END", "equity": "volume * 55 - 500", "cash_ops": "volume * 3", "capex": "CASE WHEN ticker % 7 = 0 THEN volume END", "shares_diluted": "volume + 5", "eps_diluted": "adj_close / 10 - 100"}
 
 
 def _sr(n, d):
     return f"CASE WHEN ({d}) > 1e-9 THEN ({n}) / ({d}) END"
 
 
-_EQ = "CASE WHEN equity > 0 THEN equity END"
-_RATIO_SQL = "SELECT date, ticker, " + ", ".join(f"{_sr(n, d)} AS {name}" for name, (n, d) in zip(_RATIOS, [
-    ("coalesce(gross_profit, revenue - cost)", "revenue"), ("operating_income", "revenue"), ("net_income", "revenue"), ("net_income", "assets"), ("net_income", _EQ),
-    ("coalesce(liabilities, CASE WHEN assets - equity >= 0 THEN assets - equity END)", "assets"), ("debt", _EQ), ("cash", "assets"), ("revenue", "assets"), ("net_income", "adj_close * shares"), (_EQ, "adj_close * shares")], strict=True)) + " FROM (SELECT *, " + ", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in _RATIO_INPUTS.items()) + " FROM bars)"
+def _share(n):
+    return _sr(_sr(n, "shares_diluted"), "adj_close")
+
+
+_RATIOS = {
+    "earnings_yield": _share("net_income"), "book_to_price": _share("CASE WHEN equity > 0 THEN equity END"), "sales_to_price": _share("revenue"), "fcf_yield": _share("cash_ops - coalesce(capex, 0)"),
+    "roe": _sr("net_income", "equity"), "gross_margin": _sr("coalesce(gross_profit, revenue - cost_of_revenue)", "revenue"), "operating_margin": _sr("operating_income", "revenue"),
+    "debt_to_equity": _sr("coalesce(liabilities, CASE WHEN assets - equity >= 0 THEN assets - equity END)", "equity"), "accruals": _sr("net_income - cash_ops", "assets")}
+_RATIOS |= {out: f"CASE WHEN abs(lag({c}, 252) OVER ({T})) > 1e-9 THEN ({c} - lag({c}, 252) OVER ({T})) / abs(lag({c}, 252) OVER ({T})) END" for out, c in (("revenue_growth_yoy", "revenue"), ("eps_growth_yoy", "eps_diluted"))}
+_RATIO_SQL = "SELECT date, ticker, " + ", ".join(f"{x} AS fund_{name}" for name, x in _RATIOS.items()) + " FROM (SELECT *, " + ", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in _RATIO_INPUTS.items()) + " FROM bars)"
 
 
-@query("f03_fundamental_ratios", KEY + " ".join(f"{r}~" for r in _RATIOS), _RATIO_SQL)
+@query("f03_fundamental_ratios", KEY + " ".join(f"fund_{r}~" for r in _RATIOS), _RATIO_SQL)
 def _(t):
     return fundamentals.ratios(t.bars.selectExpr("*", *(f"CAST({e} AS DOUBLE) AS {c}" for c, e in _RATIO_INPUTS.items())))
 

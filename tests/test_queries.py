@@ -1,4 +1,4 @@
-"""Registered queries against their SQL twins on the smallest tables, a few of each kind."""
+"""Registered queries against their SQL twins on the smallest tables."""
 
 import os
 
@@ -8,7 +8,12 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-PICKED = ["weekly_top", "w01_returns", "w09_pct_rank", "w14_macro_features", "w16_trailing_year", "j01_members_at", "j04_asof_fundamentals", "j06_days_to_next_event", "a12_daily_rank_ic", "a16_monthly_ap_auc", "a21_hac_ols", "k02_targets", "m02_purged_folds", "b10_halts", "s06_extract_concepts"]
+#: All queries with a twin, but for those of the training-data operators, which have tests of their own.
+PICKED = sorted(n for n in entry.oracle_sql() if not n.startswith("op"))
+
+
+#: Queries with no rows on the smallest tables.
+EMPTY = {"b16_borrow_curve"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -16,7 +21,7 @@ PICKED = ["weekly_top", "w01_returns", "w09_pct_rank", "w14_macro_features", "w1
 def test_query_equals_sql(spark, name):
     got = entry.queries()[name](spark, SF)
     rows = sorted(map(str, (tuple(r) for r in got.collect())))
-    assert rows
+    assert rows or name in EMPTY
     sql = entry.oracle_sql().get(name)
     if sql:
         con = duckdb.connect()
