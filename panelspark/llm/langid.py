@@ -106,7 +106,10 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     grams = gram_counts(drawn, text_col, lang_col).select("*", place.alias("place")).where(F.col("place") <= MAX_GRAMS)
     rows = grams.orderBy(F.desc("n"), "lang", "gram").toArrow()
-    return build(*(rows.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "gram", "n")))
+    model = build(rows.column("lang").to_numpy(zero_copy_only=False), rows.column("gram").to_numpy(), rows.column("n").to_numpy())
+    del rows
+    lean_worker()  # this is the driver, which goes on to other work
+    return model
 
 
 def build(lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> PpmModel:
@@ -149,22 +152,25 @@ def build(lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> PpmModel:
             chosen = np.ones(len(gram), bool)
         counts = np.zeros((len(contexts), width, n_lang), np.float32)
         np.add.at(counts, (where, sym[0][chosen], lang[chosen]), count[chosen])
-        seen = counts > 0
-        total, kinds = counts.sum(1, keepdims=True, dtype=np.float64), seen.sum(1, keepdims=True)
-        if before is None:
-            escaped = np.broadcast_to(1 / np.maximum(256 - kinds, 1), counts.shape)
-        else:
-            # a context that is not kept has no children that are kept: its count is no less than theirs
-            suffix = below[contexts % (width + 1) ** (order - 1)]
-            lower, lower_escaped = (x[suffix] for x in before)
-            left = np.where(seen, 0, lower)
-            left_total, left_kinds = left.sum(1, keepdims=True, dtype=np.float64), (left > 0).sum(1, keepdims=True)
-            room = np.maximum(left_total + left_kinds, 1)
-            escaped = np.where(left > 0, left / room, np.where(left_kinds > 0, left_kinds / room, 1.0) * lower_escaped)
-        room = np.maximum(total + kinds, 1)
-        p = np.where(seen, counts / room, np.where(total > 0, kinds / room, 1.0) * escaped)
-        before = counts, escaped.astype(np.float32)
-        all_rows.append(p.astype(np.float32))
+        p, escaped = np.empty_like(counts), np.empty_like(counts)
+        suffix = below[contexts % (width + 1) ** (order - 1)] if order else None
+        for k in range(n_lang):  # one at a time, as the driver holds all of it
+            own = counts[:, :, k].astype(np.float64)
+            seen = own > 0
+            total, kinds = own.sum(1, keepdims=True), seen.sum(1, keepdims=True)
+            if before is None:
+                rest = np.broadcast_to(1 / np.maximum(256 - kinds, 1), own.shape)
+            else:
+                # a context that is not kept has no children that are kept: its count is no less than theirs
+                left = np.where(seen, 0, before[0][:, :, k][suffix])
+                left_total, left_kinds = left.sum(1, keepdims=True, dtype=np.float64), (left > 0).sum(1, keepdims=True)
+                room = np.maximum(left_total + left_kinds, 1)
+                rest = np.where(left > 0, left / room, np.where(left_kinds > 0, left_kinds / room, 1.0) * before[1][:, :, k][suffix])
+            room = np.maximum(total + kinds, 1)
+            escaped[:, :, k] = rest
+            p[:, :, k] = np.where(seen, own / room, np.where(total > 0, kinds / room, 1.0) * rest)
+        before = counts, escaped
+        all_rows.append(p)
         # where each full key finds its row: longer contexts overwrite shorter ones
         size = (width + 1) ** order
         own = np.full(size, -1, np.int64)
@@ -177,7 +183,9 @@ def build(lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> PpmModel:
         local[contexts] = np.arange(len(contexts))
         below = local
         n_rows += len(contexts)
-    bits = -np.log2(np.concatenate([x.reshape(-1, n_lang) for x in all_rows])).astype(np.float32)
+    before = counts = p = escaped = None
+    bits = np.concatenate([x.reshape(-1, n_lang) for x in all_rows])
+    np.negative(np.log2(bits, out=bits), out=bits)
     return PpmModel(languages, symbol, width, row_of_context.astype(np.int32), bits)
 
 
