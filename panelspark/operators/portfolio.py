@@ -33,12 +33,19 @@ def cohort_returns(legs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return legs.groupBy(*keys, "date").agg(F.min("entry_date").alias("entry_date"), F.min("exit_date").alias("exit_date"), F.sum(w * F.col("gross")).alias("gross"), F.sum(w * F.col("net")).alias("net"), F.count("*").alias("names"))
 
 
-def admit(cohorts: DataFrame, slots: int, capital: float, keys: tuple[str, ...] = ("config_id",)) -> DataFrame:
-    """Which cohorts are opened, and with how much: exits before a signal are settled, a free slot gets cash / free slots.
+def exposure_scale(percentile: Column) -> Column:
+    """Share of the capital to use: whole up to the middle percentile (0 to 1) of the volatility index, none at the top; whole if unknown."""
+    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * (1 - percentile)))
+    return F.when(percentile.isNotNull() & ~F.isnan(percentile), share).otherwise(1.0)
+
+
+def admit(cohorts: DataFrame, slots: int, capital: float, keys: tuple[str, ...] = ("config_id",), scale: str | None = None) -> DataFrame:
+    """Which cohorts are opened, and with how much: exits before a signal are settled, a free slot gets cash / free slots,
+    times the column ``scale`` of the cohort if there is one.
 
     One fold over the array of a configuration's cohorts (some dozens a year); open cohorts are at most ``slots``.
     """
-    c = F.struct("date", "entry_date", "exit_date", "net")
+    c = F.struct("date", "entry_date", "exit_date", "net", (F.col(scale) if scale else F.lit(1.0)).alias("scale"))
     path = cohorts.groupBy(*keys).agg(F.sort_array(F.collect_list(c)).alias("cs"))
     empty = F.expr("cast(array() as array<struct<date:date,exit_date:date,amount:double,net:double>>)")
 
@@ -47,7 +54,7 @@ def admit(cohorts: DataFrame, slots: int, capital: float, keys: tuple[str, ...]
         still = F.filter(state["open"], lambda o: o["exit_date"] >= x["date"])
         cash = state["cash"] + F.aggregate(settled, F.lit(0.0), lambda a, o: a + o["amount"] * (1 + o["net"]))
         free = F.lit(slots) - F.size(still)
-        amount = F.when((free > 0) & (cash > 0), cash / F.greatest(free, F.lit(1))).otherwise(0.0)
+        amount = F.when((free > 0) & (cash > 0), cash / F.greatest(free, F.lit(1)) * x["scale"]).otherwise(0.0)
         opened = F.struct(x["date"].alias("date"), x["exit_date"].alias("exit_date"), amount.alias("amount"), x["net"].alias("net"))
         taken = amount > 0
         return F.struct((cash - amount).alias("cash"), F.when(taken, F.concat(still, F.array(opened))).otherwise(still).alias("open"), F.when(taken, F.concat(state["done"], F.array(opened))).otherwise(state["done"]).alias("done"))

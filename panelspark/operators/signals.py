@@ -49,12 +49,35 @@ def rank_ic(df: DataFrame, horizon: int) -> DataFrame:
     return hac_mean(ic, "ic", [], overlap=horizon)
 
 
-def top_n_excess(df: DataFrame, n: int) -> DataFrame:
-    """Mean of the per-date excess of the top n, and that over its deviation; a date of n names or fewer counts as 0."""
-    size = Window.partitionBy("date")
-    daily = rank_within_date(df.where("fwd_ret is not null and prob is not null")).withColumns({"n": F.count("*").over(size), "u": F.avg("fwd_ret").over(size)})
-    daily = daily.groupBy("date").agg(F.when(F.first("n") > n, F.avg(F.when(F.col("rk") <= n, F.col("fwd_ret"))) - F.first("u")).otherwise(0.0).alias("x"))
-    return daily.agg(F.avg("x").alias("mean_excess"), F.coalesce(F.try_divide(F.avg("x"), F.stddev_samp("x")), F.lit(0.0)).alias("information_ratio"))
+def top_n_excess(df: DataFrame, n: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Mean of the per-date excess of the top n, and that over its deviation, of each key; a date of n names or fewer counts as 0."""
+    size = Window.partitionBy(*keys, "date")
+    daily = df.where("fwd_ret is not null and prob is not null").withColumns({"rk": F.row_number().over(size.orderBy(F.desc("prob"), "ticker")), "n": F.count("*").over(size), "u": F.avg("fwd_ret").over(size)})
+    daily = daily.groupBy(*keys, "date").agg(F.when(F.first("n") > n, F.avg(F.when(F.col("rk") <= n, F.col("fwd_ret"))) - F.first("u")).otherwise(0.0).alias("x"))
+    return daily.groupBy(*keys).agg(F.avg("x").alias("mean_excess"), F.coalesce(F.try_divide(F.avg("x"), F.stddev_samp("x")), F.lit(0.0)).alias("information_ratio"))
+
+
+def ndcg(df: DataFrame, n: int, keys: tuple[str, ...] = (), grade: str = "grade") -> DataFrame:
+    """Mean over dates of the discounted gain of the top n scores over that of the n best grades; a date without any gain counts as 1."""
+    day = Window.partitionBy(*keys, "date")
+    gain = F.pow(F.lit(2.0), F.col(grade)) - 1
+    ranked = df.where(F.col(grade).isNotNull() & F.col("prob").isNotNull()).withColumns({"_by_score": F.row_number().over(day.orderBy(F.desc("prob"), "ticker")), "_by_grade": F.row_number().over(day.orderBy(F.desc(grade), "ticker"))})
+    sums = ranked.groupBy(*keys, "date").agg(*(F.sum(F.when(F.col(rk) <= n, gain / F.log2(F.col(rk) + 1)).otherwise(0.0)).alias(c) for rk, c in (("_by_score", "_got"), ("_by_grade", "_best"))))
+    return sums.groupBy(*keys).agg(F.avg(F.when(F.col("_best") > 0, F.col("_got") / F.col("_best")).otherwise(1.0)).alias("ndcg"))
+
+
+def average_precision(df: DataFrame, keys: tuple[str, ...] = (), target: str = "target") -> DataFrame:
+    """Average precision of each key, a step for each distinct score. Sums run within bands of scores, then over the bands,
+    so that no task holds all scores of a key; scores are probabilities."""
+    known = df.where(F.col(target).isNotNull() & F.col("prob").isNotNull())
+    steps = known.groupBy(*keys, F.floor(F.col("prob") * 1000).alias("_band"), "prob").agg(F.sum(target).alias("pos"), F.count("*").alias("n"))
+    down = Window.partitionBy(*keys).orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1)
+    bands = steps.groupBy(*keys, "_band").agg(F.sum("pos").alias("_p"), F.sum("n").alias("_n"))
+    bands = bands.select(*keys, "_band", *(F.coalesce(F.sum(c).over(down), F.lit(0)).alias(c + "_above") for c in ("_p", "_n")))
+    inside = Window.partitionBy(*keys, "_band").orderBy(F.desc("prob"))
+    steps = steps.withColumns({"tp": F.sum("pos").over(inside), "seen": F.sum("n").over(inside)}).join(bands, [*keys, "_band"])
+    precision = (F.col("tp") + F.col("_p_above")) / (F.col("seen") + F.col("_n_above"))
+    return steps.groupBy(*keys).agg(F.try_divide(F.sum(F.col("pos") * precision), F.sum("pos")).alias("pr_auc"))
 
 
 def weekly_precision(df: DataFrame, k: int, target: str = "target") -> DataFrame:

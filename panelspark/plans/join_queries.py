@@ -258,11 +258,10 @@ def _(t):
     return quality.content_hash(t.sectors)
 
 
-@query("s14_wide_to_long", "date ticker adj_close^ volume~", "SELECT date, CAST(ticker AS VARCHAR) AS ticker, adj_close, volume FROM bars WHERE ticker BETWEEN 1 AND 5")
+@query("s14_wide_to_long", "date ticker adj_close^ volume~", "SELECT date, CAST(ticker AS VARCHAR) AS ticker, adj_close, volume FROM bars")
 def _(t):
-    names = [str(i) for i in range(1, 6)]
-    wide = lambda c: labels.to_wide(t.bars.where("ticker <= 5"), list(range(1, 6)), c)
-    return tables.wide_to_long(wide("adj_close"), wide("volume"), names)
+    names = [r[0] for r in t.sectors.select("ticker").distinct().orderBy("ticker").collect()]
+    return tables.wide_to_long(labels.to_wide(t.bars, names, "adj_close"), labels.to_wide(t.bars, names, "volume"), [str(n) for n in names])
 
 
 @query("s16_work_list", "ticker", "SELECT ticker FROM sectors WHERE ticker % 2 = 1 OR ticker % 4 = 0")

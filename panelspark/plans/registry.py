@@ -15,12 +15,16 @@ _TYPES = {"int": ("int", "INTEGER"), "big": ("bigint", "BIGINT"), "str": ("strin
 
 def query(name: str, columns: str, sql: str | None = None, digits: int = 6):
     """Register a function of ``Tables``. ``columns`` lists ``name`` (as it is), ``name:type``, ``name~`` (a double,
-    rounded to ``digits``, as the engines add in different orders), or ``name%`` (a double of any size, nine digits of it as text)."""
+    rounded to ``digits``, as the engines add in different orders), or ``name%`` (a double of any size, nine digits of it as text). A last ``*~`` stands for all other columns, doubles."""
 
     def wrap(make: Callable[[Tables], DataFrame]):
         spark_side, sql_side = [], []
         for c in columns.split():
-            if c.endswith("~"):
+            if c == "*~":
+                spark_side.append((c, digits))
+                named = ", ".join(f'"{n}"' for n, _ in spark_side[:-1])
+                sql_side.append(f"round(CAST(COLUMNS(* EXCLUDE ({named})) AS DOUBLE), {digits}) + 0.0")
+            elif c.endswith("~"):
                 c = c[:-1]
                 spark_side.append((c, digits))
                 sql_side.append(f'round(CAST("{c}" AS DOUBLE), {digits}) + 0.0 AS "{c}"')
@@ -43,7 +47,8 @@ def query(name: str, columns: str, sql: str | None = None, digits: int = 6):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = make(Tables(spark, sf_dir))
             out = []
-            for c, how in spark_side:
+            named = {c for c, _ in spark_side}
+            for c, how in [(n, how) for c, how in spark_side for n in ([c] if c != "*~" else [n for n in df.columns if n not in named])]:
                 if how == "%":
                     out.append(F.format_string("%.8e", F.col(c).cast("double")).alias(c))
                     continue

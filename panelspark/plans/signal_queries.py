@@ -312,6 +312,13 @@ def _(t):
     return portfolio.admit(_weekly_cohorts(t)[1], 2, 100000.0)
 
 
+@query("b02_scaled_admission", "config_id date exit_date amount~ net~", digits=2)
+def _(t):
+    vix = t.macro.select("date", portfolio.exposure_scale(F.percent_rank().over(Window.orderBy("vix"))).alias("scale"))
+    cohorts = _weekly_cohorts(t)[1].join(F.broadcast(vix), "date", "left").fillna(1.0, "scale")
+    return portfolio.admit(cohorts, 2, 100000.0, scale="scale")
+
+
 _NAV_LEGS = "(SELECT *, 1000.0 * w0 / sum(w0) OVER (PARTITION BY date) / entry_px AS units, exit_px * 0.9995 / (entry_px * 1.0005) - 1 AS net FROM legs WHERE config_id = 1 AND date IN (SELECT date FROM sessions WHERE session_no % 21 = 0))"
 
 
@@ -448,20 +455,48 @@ def _(t):
 
 # --- models (no SQL twin)
 
+def _frame(t):
+    """The training frame, kept, as every fit reads it."""
+    return ml.training_frame(t).persist()
+
+
 @query("m04_fit_rank_model", "feature importance~")
 def _(t):
-    return ml.importances(ml.fit_ranker(ml.training_frame(t), ml.FEATURES), ml.FEATURES, t.spark)
+    return ml.importances(ml.fit_final(_frame(t), ml.FEATURES, top_n=5, purge=HORIZON)[0], ml.FEATURES, t.spark)
+
+
+@query("m04_fit_classifier", "feature importance~")
+def _(t):
+    return ml.importances(ml.fit_final(_frame(t), ml.FEATURES, "binary", purge=HORIZON)[0], ml.FEATURES, t.spark)
 
 
 @query("m05_search", "params metric~")
 def _(t):
-    return ml.search(ml.training_frame(t), ml.FEATURES, top_n=5)
+    return ml.search(_frame(t), ml.FEATURES, top_n=5, purge=HORIZON)
+
+
+@query("m05_search_ir", "params metric~")
+def _(t):
+    return ml.search(_frame(t), ml.FEATURES, top_n=5, metric="topn_ir", purge=HORIZON)
+
+
+@query("m06_walk_forward", "month n:big mean_score~ average_precision~ auc~")
+def _(t):
+    return ml.month_metrics(ml.walk_forward(_frame(t), ml.FEATURES, start=dt.date(1998, 1, 1), purge=HORIZON))
+
+
+@query("m10_early_stop", "metric n_trees:int value~")
+def _(t):
+    df = _frame(t)
+    curves = [ml.choose_trees(df, ml.FEATURES, objective, metric, 5, HORIZON).withColumn("metric", F.lit(metric)) for objective, metric in (("rank", "ndcg"), ("rank", "topn_ir"), ("binary", "pr_auc"))]
+    return functools.reduce(lambda x, y: x.unionByName(y), curves)
 
 
-@query("m06_walk_forward", "month n:big mean_score~")
+@query("d05_model_scores", KEY + "prob~")
 def _(t):
-    scored = ml.walk_forward(ml.training_frame(t), ml.FEATURES, start=dt.date(2001, 7, 1), purge=HORIZON, months=2)
-    return scored.groupBy(F.trunc("date", "month").alias("month")).agg(F.count("*").alias("n"), F.avg("prob").alias("mean_score"))
+    df = _frame(t)
+    model = ml.fit_model(df.where("date < date'1998-01-01'"), ml.FEATURES, "binary")
+    return ml.score(model, df.where("date >= date'1998-01-01'"), ml.FEATURES)
 
 
 @query("d03_evaluator", "metric~")

@@ -193,9 +193,9 @@ def _(t):
     return t.grid.withColumn("has_bar", F.col("adj_close").isNotNull())
 
 
-@query("p02_wide", "date 1^ 2^ 3^", 'SELECT date, max(adj_close) FILTER (ticker = 1) AS "1", max(adj_close) FILTER (ticker = 2) AS "2", max(adj_close) FILTER (ticker = 3) AS "3" FROM bars GROUP BY date')
+@query("p02_wide", "date *~", "SELECT * FROM (PIVOT (SELECT date, ticker, adj_close FROM bars) ON ticker USING max(adj_close) GROUP BY date)", digits=8)
 def _(t):
-    return labels.to_wide(t.bars, [1, 2, 3], "adj_close")
+    return labels.to_wide(t.bars, [r[0] for r in t.sectors.select("ticker").distinct().orderBy("ticker").collect()], "adj_close")
 
 
 @query("p03_row_roles", KEY + "is_tradable has_label target~", "SELECT date, ticker, coalesce(adj_close > 0, false) AS is_tradable, fwd_ret IS NOT NULL AS has_label, CASE WHEN fwd_ret IS NOT NULL THEN CAST(fwd_ret >= 0.05 AS DOUBLE) END AS target FROM fwd")

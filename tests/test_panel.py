@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import scalars
 from panelspark.functions.windows import pct_rank_avg
-from panelspark.operators import accounts, features, fundamentals, labels, pit, portfolio, quality, selection, stats
+from panelspark.operators import accounts, features, fundamentals, labels, ml, pit, portfolio, quality, selection, signals, stats
 from panelspark.sources import tables
 
 D = dt.date
@@ -157,3 +157,63 @@ def test_feature_plan_filters_after_time_windows(spark):
     s = spark.createDataFrame([(1, day(6), None)], "ticker bigint, start_date date, end_date date")
     got = pit.members_at(features.returns(b, lags=(5,)), s).orderBy("date").collect()
     assert [r.ret_5d is not None for r in got] == [True, True]
+
+
+def test_exposure_scale_and_scaled_admission(spark):
+    rows = spark.createDataFrame([(0.2,), (0.75,), (1.0,), (None,), (float("nan"),)], "p double")
+    assert [r[0] for r in rows.select(portfolio.exposure_scale(rows.p)).collect()] == [1.0, 0.5, 0.0, 1.0, 1.0]
+    c = spark.createDataFrame([(1, day(0), day(1), day(5), 0.1, 0.5), (1, day(2), day(3), day(7), 0.0, 0.0), (1, day(6), day(7), day(9), 0.0, 1.0)], "config_id int, date date, entry_date date, exit_date date, net double, s double")
+    got = {r.date: r.amount for r in portfolio.admit(c, 2, 100.0, scale="s").collect()}
+    assert got == {day(0): 25.0, day(6): pytest.approx(51.25)}
+
+
+def test_ranking_metrics_match_direct_sums(spark):
+    import math
+    import random
+
+    rng = random.Random(1)
+    rows = [(k, day(d), i, rng.choice([0.1, 0.2, 0.55, 0.551, 0.9]), rng.randint(0, 4), float(rng.random() < 0.4)) for k in (1, 2) for d in range(4) for i in range(12)]
+    df = spark.createDataFrame(rows, "k int, date date, ticker int, prob double, grade int, target double")
+    got = {r.k: r.pr_auc for r in signals.average_precision(df, ("k",)).collect()}
+    for k in (1, 2):
+        mine, want = [r for r in rows if r[0] == k], 0.0
+        for p in {r[3] for r in mine}:
+            above = [r[5] for r in mine if r[3] >= p]
+            want += sum(r[5] for r in mine if r[3] == p) * sum(above) / len(above)
+        assert got[k] == pytest.approx(want / sum(r[5] for r in mine))
+    got = {r.k: r.ndcg for r in signals.ndcg(df, 5, ("k",)).collect()}
+    for k in (1, 2):
+        days = []
+        for d in range(4):
+            mine = [r for r in rows if r[0] == k and r[1] == day(d)]
+            dcg = lambda rs: sum((2 ** r[4] - 1) / math.log2(i + 2) for i, r in enumerate(rs[:5]))
+            days.append(dcg(sorted(mine, key=lambda r: (-r[3], r[2]))) / dcg(sorted(mine, key=lambda r: -r[4])))
+        assert got[k] == pytest.approx(sum(days) / len(days))
+
+
+@pytest.mark.parametrize("objective", ["rank", "binary"])
+def test_staged_scores_end_in_the_whole_model(spark, objective):
+    rows = [(day(d), i, float((i * 7 + d) % 11), None if i == 3 else float(i), 0.1 * ((i * 7 + d) % 11), (i * 7 + d) % 5, float((i * 7 + d) % 11 > 6)) for d in range(30) for i in range(10)]
+    df = spark.createDataFrame(rows, "date date, ticker int, a double, b double, fwd_ret double, grade int, target double")
+    model = ml.fit_model(df, ["a", "b"], objective, trees=3, depth=2)
+    whole = {(r.date, r.ticker): r.prob for r in ml.score(model, df, ["a", "b"]).collect()}
+    staged = ml.staged_scores(model, df, ["a", "b"])
+    assert staged.count() == 3 * len(rows)
+    assert {(r.date, r.ticker): r.prob for r in staged.where("n_trees = 3").collect()} == pytest.approx(whole)
+    final, n = ml.fit_final(df, ["a", "b"], objective, top_n=3, purge=1, most=3, depth=2)
+    assert 1 <= n <= 3 and final.stages[-1].getNumTrees == n
+
+
+def test_metric_must_fit_the_objective():
+    assert ml.resolve_metric("auto", "rank") == "topn_excess" and ml.resolve_metric("auto", "binary") == "pr_auc"
+    for metric, objective in (("ndcg", "binary"), ("pr_auc", "rank"), ("rmse", "rank")):
+        with pytest.raises(ValueError):
+            ml.resolve_metric(metric, objective)
+
+
+def test_walk_forward_scores_every_month_that_has_a_past(spark):
+    rows = [(day(d), i, float(i), 0.01 * i, i % 5, float(i > 5)) for d in range(120) for i in range(6)]
+    df = spark.createDataFrame(rows, "date date, ticker int, a double, fwd_ret double, grade int, target double")
+    scored = ml.walk_forward(df, ["a"], start=day(0), purge=5, trees=1)
+    months = {(r.date.year, r.date.month) for r in scored.collect()}
+    assert len(months) >= 2 and scored.count() == sum((day(d).year, day(d).month) in months for d in range(120)) * 6
