@@ -106,11 +106,14 @@ def long_short_periods(book: DataFrame, prices: DataFrame, fills: DataFrame) ->
     return legs.join(a, ["ticker", "fill_date"]).join(b, ["ticker", "next_fill"]).where("p0 > 0 and p1 is not null").select("k", "ticker", "weight", "fill_date", "next_fill", "p0", (F.col("p1") / F.col("p0")).alias("growth"))
 
 
-def long_short_nav(periods: DataFrame, cost: float = 0.0, turnover: DataFrame | None = None) -> DataFrame:
-    """k, factor, nav, ruined: equity after each period for a full reconstitution at every fill (see ``book_turnover`` for costs). Equity that is spent stays 0."""
+def long_short_nav(periods: DataFrame, cost: float = 0.0, turnover: DataFrame | None = None, borrow: DataFrame | None = None) -> DataFrame:
+    """k, factor, nav, ruined: equity after each period for a full reconstitution at every fill, less trading costs (see
+    ``book_turnover``) and borrow fees (see ``borrow_accrual``), both shares of the period's first equity. Equity that is spent stays 0."""
     f = periods.groupBy("k").agg((1 + F.sum(F.col("weight") * (F.col("growth") - 1))).alias("factor"))
     if turnover is not None:
         f = f.join(turnover, "k", "left").withColumn("factor", F.col("factor") - F.coalesce("turnover", F.lit(0.0)) * cost).drop("turnover", "names")
+    if borrow is not None:
+        f = f.join(borrow, "k", "left").withColumn("factor", F.col("factor") - F.coalesce("borrow", F.lit(0.0))).drop("borrow")
     so_far = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     ruined = F.min("factor").over(so_far) <= 0
     return f.withColumns({"ruined": ruined, "nav": F.when(ruined, 0.0).otherwise(F.product("factor").over(so_far))})

@@ -55,9 +55,13 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) ->
 
 
 def freshness(tables: DataFrame, sessions: DataFrame, as_of, max_age_years: float = 1.0, max_sessions: int = 5) -> DataFrame:
-    """name, kind, severity, amount for tables (name, built, last_date): findings, the severest first."""
-    t = tables.withColumn("age", F.datediff(F.lit(as_of).cast("date"), F.col("built")) / 365.25)
-    behind = t.join(sessions.select(F.col("date").alias("_d")), (F.col("_d") > F.col("last_date")) & (F.col("_d") <= F.lit(as_of).cast("date")), "left").groupBy("name").agg(F.count("_d").cast("double").alias("amount"))
+    """name, kind, severity, amount for tables (name, built, last_date): findings, the severest first. The calendar is one
+    broadcast row, so no row meets it day by day in a join."""
+    as_of = F.lit(as_of).cast("date")
+    t = tables.withColumn("age", F.datediff(as_of, F.col("built")) / 365.25)
+    days = sessions.where(F.col("date") <= as_of).agg(F.collect_list("date").alias("_days"))
+    missed = F.size(F.filter("_days", lambda d: d > F.col("last_date"))).cast("double")
+    behind = t.join(F.broadcast(days)).select("name", missed.alias("amount"))
     old = t.where(F.col("age") > max_age_years).select("name", F.lit("model_age").alias("kind"), F.lit("error").alias("severity"), F.col("age").alias("amount"))
     late = behind.where(F.col("amount") > 0).select("name", F.lit("data_age").alias("kind"), F.when(F.col("amount") > max_sessions, "error").otherwise("warning").alias("severity"), "amount")
     return old.unionByName(late).orderBy(F.when(F.col("severity") == "error", 0).otherwise(1), "name", "kind")

@@ -353,8 +353,11 @@ def _(t):
     return portfolio.long_short_nav(_periods(t))
 
 
-@query("b06_turnover", "k:big turnover~ names:big", """SELECT coalesce(p.k, d.k) AS k, sum(abs(coalesce(weight, 0) - coalesce(u, 0))) AS turnover, count(*) AS names FROM periods p FULL JOIN (SELECT p.k + 1 AS k, ticker, weight * growth / g AS u FROM periods p JOIN (SELECT k, 1 + sum(weight * (growth - 1)) AS g FROM periods GROUP BY k) f ON f.k = p.k) d ON d.k = p.k AND d.ticker = p.ticker
-WHERE coalesce(p.k, d.k) IN (SELECT k FROM periods) GROUP BY 1""", digits=5)
+_TURNOVER = """SELECT coalesce(p.k, d.k) AS k, sum(abs(coalesce(weight, 0) - coalesce(u, 0))) AS turnover, count(*) AS names FROM periods p FULL JOIN (SELECT p.k + 1 AS k, ticker, weight * growth / g AS u FROM periods p JOIN (SELECT k, 1 + sum(weight * (growth - 1)) AS g FROM periods GROUP BY k) f ON f.k = p.k) d ON d.k = p.k AND d.ticker = p.ticker
+WHERE coalesce(p.k, d.k) IN (SELECT k FROM periods) GROUP BY 1"""
+
+
+@query("b06_turnover", "k:big turnover~ names:big", _TURNOVER, digits=5)
 def _(t):
     return portfolio.book_turnover(_periods(t))
 
@@ -365,6 +368,27 @@ def _(t):
     return portfolio.borrow_accrual(_periods(t), t.prices, none, 0.01)
 
 
+_BY_NAME = "SELECT k, sum(-weight * x.adj_close / p0 * CASE WHEN p.ticker % 4 = 0 THEN 0.08 ELSE 0.01 END / 252) AS borrow FROM periods p JOIN prices x ON x.ticker = p.ticker AND x.date >= fill_date AND x.date < next_fill WHERE weight < 0 GROUP BY k"
+
+
+def _borrow_by_name(t):
+    hard = t.prices.where("ticker % 4 = 0").select("date", "ticker", F.lit(0.08).alias("rate"))
+    return portfolio.borrow_accrual(_periods(t), t.prices, hard, 0.01)
+
+
+@query("b07_borrow_by_name", "k:big borrow~", _BY_NAME, digits=7)
+def _(t):
+    return _borrow_by_name(t)
+
+
+@query("b05_net_long_short", "k:big factor~ nav~ ruined", f"""SELECT k, factor, CASE WHEN min(factor) OVER (ORDER BY k) <= 0 THEN 0 ELSE product(factor) OVER (ORDER BY k) END AS nav, min(factor) OVER (ORDER BY k) <= 0 AS ruined FROM (
+SELECT g.k, g.f - 0.001 * coalesce(turnover, 0) - coalesce(borrow, 0) AS factor FROM (SELECT k, 1 + sum(weight * (growth - 1)) AS f FROM periods GROUP BY k) g LEFT JOIN ({_TURNOVER}) c ON c.k = g.k LEFT JOIN ({_BY_NAME}) b ON b.k = g.k)""", digits=5)
+def _(t):
+    """The book's equity after trading costs and borrow fees by name."""
+    periods = _periods(t)
+    return portfolio.long_short_nav(periods, 0.001, portfolio.book_turnover(periods), _borrow_by_name(t))
+
+
 @query("b08_hedge", KEY + "weight~", "SELECT date, ticker, weight FROM book UNION ALL SELECT DISTINCT b.date, -1, -0.29 FROM book b JOIN benchmark_px x ON x.date = b.date")
 def _(t):
     return portfolio.with_hedge(selection.decile_book(t.scored, 0.1), t.benchmark, 0.29)
@@ -447,10 +471,13 @@ def _(t):
     return accounts.signal_summary(t.sql("positions"), t.sql("accounts").select("account_id").join(F.broadcast(top)))
 
 
-@query("f10_freshness", "name kind severity amount~", "SELECT 'bars' AS name, 'data_age' AS kind, CASE WHEN n > 5 THEN 'error' ELSE 'warning' END AS severity, CAST(n AS DOUBLE) AS amount FROM (SELECT count(*) AS n FROM sessions WHERE date > DATE '1998-08-01' AND date <= DATE '1998-08-09') WHERE n > 0 UNION ALL SELECT 'model', 'model_age', 'error', (DATE '1998-08-09' - DATE '1996-08-01') / 365.25")
+@query("f10_freshness", "name kind severity amount~", """SELECT name, 'data_age' AS kind, CASE WHEN n > 5 THEN 'error' ELSE 'warning' END AS severity, CAST(n AS DOUBLE) AS amount FROM (SELECT CAST(ticker AS VARCHAR) AS name, (SELECT count(*) FROM sessions s WHERE s.date > b.last AND s.date <= DATE '2001-06-30') AS n FROM (SELECT ticker, max(date) AS last FROM bars WHERE date <= DATE '2001-06-30' GROUP BY 1) b) WHERE n > 0
+UNION ALL SELECT CAST(ticker AS VARCHAR), 'model_age', 'error', (DATE '2001-06-30' - min(date)) / 365.25 FROM bars WHERE date <= DATE '2001-06-30' GROUP BY ticker HAVING (DATE '2001-06-30' - min(date)) / 365.25 > 1.0""")
 def _(t):
-    rows = t.spark.createDataFrame([("bars", dt.date(1998, 8, 1), dt.date(1998, 8, 1)), ("model", dt.date(1996, 8, 1), dt.date(1998, 8, 9))], "name string, built date, last_date date")
-    return quality.freshness(rows, t.sessions, dt.date(1998, 8, 9))
+    """Every ticker as a landed file: built on its first day, last filled on its last one."""
+    as_of = dt.date(2001, 6, 30)
+    files = t.bars.where(F.col("date") <= F.lit(as_of)).groupBy(F.col("ticker").cast("string").alias("name")).agg(F.min("date").alias("built"), F.max("date").alias("last_date"))
+    return quality.freshness(files, t.sessions, as_of)
 
 
 # --- models (no SQL twin)
