@@ -8,8 +8,8 @@ into groups; every stretch between neighbouring ends of either is a link of one
 A text falls apart before a space that starts a pre-token of A and a word of B, so both tokenizers' results for a text
 are those of its parts, one after another. Parts are encoded once in a worker and kept while they are used.
 
-Two passes over the texts, none of which is shuffled: the first adds up how often ids are linked, in each task before the
-shuffle; the second gives each text its counts. The counts travel to the tasks as arrays of at most ``SENT_PAIRS`` pairs, the
+Texts are read once and not shuffled. Their token ids are written to the shared folder with how often each task linked a pair
+of ids; after these counts are added up, the ids are read again and give each text its counts. The counts travel to the tasks as arrays of at most ``SENT_PAIRS`` pairs, the
 commonest ones; what is rarer is joined by pair, and a rare pair has few rows.
 
 Edge cases: texts that are null, empty or not given back by both tokenizers (a space mark U+2581 in the text) have no
@@ -80,54 +80,47 @@ class Pair:
         self.a = Tokenizer.from_str(models[0].decode())
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_proto=models[1])
-        byte = _byte_alphabet()
-        self.a_bytes = {i: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        byte, names = _byte_alphabet(), self.a.get_vocab()
+        self.a_bytes = [b""] * (max(names.values()) + 1)
+        for name, i in names.items():
+            self.a_bytes[i] = bytes(byte[c] for c in name) if all(c in byte for c in name) else name.encode()
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.IsByte(i) else p.replace("▁", " ").encode() for i, p in ((i, self.b.IdToPiece(i)) for i in range(self.b.GetPieceSize()))]
+        if max(len(self.a_bytes), len(self.b_bytes)) > 1 << 16:
+            raise ValueError("vocabularies of more than 65,536 tokens are not supported")
+        self.sizes = tuple(np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int], list[int], list[int]] | None]:
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None]:
         """Ids of A, ids of B, and the byte ends of both in space + text; None for a text that either does not give back."""
         for text, x, y in zip(texts, self.a.encode_batch([" " + t for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1, return_type="proto"), strict=True):
             whole = (" " + text).encode()
             a, b = x.ids, [p.id for p in y.pieces]
             if b"".join([self.a_bytes[i] for i in a]) == whole == b"".join([self.b_bytes[i] for i in b]):
-                yield a, b, self._ends_a(a, x.offsets, text, len(whole)), self._ends_b(b, [(p.begin, p.end) for p in y.pieces])
+                a, b = np.array(a, np.int64), np.array(b, np.int64)
+                spans_a = np.array(x.offsets, np.int64).reshape(-1, 2)
+                if len(whole) != len(text) + 1:  # from characters to bytes
+                    code = np.frombuffer((" " + text).encode("utf-32-le"), np.uint32)
+                    spans_a = np.concatenate(([0], np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))))[spans_a]
+                shared = np.append(spans_a[1:, 0] < spans_a[:-1, 1], False)
+                spans_b = np.array([(p.begin, p.end) for p in y.pieces], np.int64).reshape(-1, 2)
+                yield a, b, self._ends(a, spans_a[:, 1], shared, 0), self._ends(b, spans_b[:, 1] + 1, spans_b[:, 0] == spans_b[:, 1], 1)
             else:
                 yield None
 
-    def _ends_a(self, ids: list[int], spans: list[tuple[int, int]], text: str, size: int) -> list[int]:
-        """Byte ends: a token's last character ends it, unless the next token has a share of that character."""
-        if size == len(text) + 1:
-            return [end for _, end in spans]
-        at = np.concatenate(([0, 1], 1 + np.cumsum([len(c.encode()) for c in text]))).tolist()  # of each character of space + text
-        ends, last = [], 0
-        for k, (_, end) in enumerate(spans):
-            shared = k + 1 < len(spans) and spans[k + 1][0] < end
-            last = last + len(self.a_bytes[ids[k]]) if shared else at[end]
-            ends.append(last)
-        return ends
-
-    def _ends_b(self, ids: list[int], spans: list[tuple[int, int]]) -> list[int]:
-        """Byte ends: a piece's span ends it (the space before the text is not in it), unless it is a byte with an empty span."""
-        ends, last = [], 0
-        for i, (begin, end) in zip(ids, spans, strict=True):
-            last = end + 1 if end > begin else last + len(self.b_bytes[i])
-            ends.append(last)
-        return ends
-
-
-def aligned(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> tuple[str, int, list[int]]:
-    """Groups as text (``a1,a2|b1;a3|b2,b3``), their number, and the links as a << 32 | b in order."""
-    i = j = from_a = from_b = 0
-    groups, links = [], []
-    while i < len(a):
-        links.append(a[i] << 32 | b[j])
-        x, y = ends_a[i], ends_b[j]
-        i += x <= y
-        j += y <= x
-        if x == y:
-            groups.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
-            from_a, from_b = i, j
-    return ";".join(groups), len(groups), links
+    def _ends(self, ids: np.ndarray, coarse: np.ndarray, unsure: np.ndarray, side: int) -> np.ndarray:
+        """Byte ends of tokens: those of their spans, and where a span does not tell (``unsure``: the next token has a share of the
+        last character, or a byte of a character has an empty span) the end of the last sure token and the bytes decoded since."""
+        if not unsure.any():
+            return coarse
+        decoded = np.cumsum(self.sizes[side][ids])
+        last = np.maximum.accumulate(np.where(unsure, -1, np.arange(len(ids))))
+        base = np.where(last >= 0, coarse[last] - decoded[last], 0)
+        return np.where(unsure, base + decoded, coarse)
+
+
+def links_of(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links in order as a << 32 | b, and where each ends: every stretch between neighbouring ends of either side is one."""
+    ends = np.union1d(ends_a, ends_b)
+    return a[np.searchsorted(ends_a, ends)] << 32 | b[np.searchsorted(ends_b, ends)], ends
 
 
 class Parts:
@@ -135,33 +128,64 @@ class Parts:
 
     def __init__(self, models: tuple[bytes, bytes], kept: int = KEPT_PARTS):
         self.pair, self.kept = Pair(models), kept
-        self.counts = None  # pairs, how often, whether best of their B id
+        self.name_a, self.name_b = ([str(i) for i in range(len(x))] for x in self.pair.sizes)
         self._start()
 
     def _start(self) -> None:
         self.code: dict[str, int] = {}
         self.groups: list[str] = []
-        self.links = array("q")
-        self.at, self.sizes = array("q", [0]), array("i")  # bounds of the links of each part; n_a, n_b, n_groups, or -1s
+        self.n_groups = array("i")  # -1: a part that is not given back
+        self.flat = (array("H"), array("H"), array("q"))  # ids of A, ids of B, links of all parts
+        self.at = (array("q", [0]), array("q", [0]), array("q", [0]))  # and where each part's begin
         self.used = np.zeros(0, np.int64)
-        self.values = np.zeros((0, 3), np.int64)  # n_best, count_sum, rare links of each part under ``counts``
+
+    def _append(self, part: str, groups: str, n_groups: int, *values) -> None:
+        self.code[part] = len(self.groups)
+        self.groups.append(groups)
+        self.n_groups.append(n_groups)
+        for flat, at, more in zip(self.flat, self.at, values, strict=True):
+            flat.extend(more)
+            at.append(len(flat))
 
     def _add(self, parts: list[str]) -> None:
-        for part, made in zip(parts, self.pair.encode(parts), strict=True):
-            self.code[part] = len(self.groups)
-            if made is None:
-                text, sizes, links = "", (-1, -1, -1), []
+        """Encode parts, many at once as one text: joined, they fall apart where they were joined, unless white space or a space mark is at their ends."""
+        plain = [p for p in parts if p and p == p.strip() and p[0] != "\u180e" != p[-1] and "▁" not in p]
+        joined = [plain[k : k + 2000] for k in range(0, len(plain), 2000)]
+        odd = sorted(set(parts).difference(plain))
+        for k in range(0, len(joined), 10):
+            self._add_chunks(joined[k : k + 10])
+        for k in range(0, len(odd), 2000):
+            self._add_chunks([[p] for p in odd[k : k + 2000]])
+
+    def _add_chunks(self, chunks: list[list[str]]) -> None:
+        for chunk, made in zip(chunks, self.pair.encode([" ".join(c) for c in chunks]), strict=True):
+            if made is None and len(chunk) > 1:
+                self._add_chunks([[p] for p in chunk])
+            elif made is None:
+                self._append(chunk[0], "", -1, [], [], [])
             else:
-                text, n, links = aligned(*made)
-                sizes = (len(made[0]), len(made[1]), n)
-            self.groups.append(text)
-            self.sizes.extend(sizes)
-            self.links.extend(links)
-            self.at.append(len(self.links))
-
-    def linked(self) -> tuple[np.ndarray, np.ndarray]:
-        """The links of all parts, and the bounds of each part's links."""
-        return np.array(self.links, np.int64), np.array(self.at, np.int64)
+                self._add_made(chunk, *made)
+
+    def _add_made(self, chunk: list[str], a, b, ends_a, ends_b) -> None:
+        ends = np.cumsum([1 + len(p.encode()) for p in chunk])
+        links, link_ends = links_of(a, b, ends_a, ends_b)
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        x, y = ([self.name_a[i] for i in a.tolist()], [self.name_b[i] for i in b.tolist()])
+        to_a, to_b = (np.searchsorted(e, cuts) + 1 for e in (ends_a, ends_b))
+        groups, i, j = [], 0, 0
+        for p, q in zip(to_a.tolist(), to_b.tolist()):
+            groups.append((x[i] if p == i + 1 else ",".join(x[i:p])) + "|" + (y[j] if q == j + 1 else ",".join(y[j:q])))
+            i, j = p, q
+        first, g = len(self.groups), 0
+        to = (np.searchsorted(cuts, ends) + 1).tolist()
+        for k, (part, h) in enumerate(zip(chunk, to)):
+            self.code[part] = first + k
+            self.groups.append(";".join(groups[g:h]))
+            self.n_groups.append(h - g)
+            g = h
+        for flat, at, values, value_ends, kind in zip(self.flat, self.at, (a, b, links), (ends_a, ends_b, link_ends), (np.uint16, np.uint16, np.int64), strict=True):
+            at.frombytes((len(flat) + np.searchsorted(value_ends, ends) + 1).astype(np.int64).tobytes())
+            flat.frombytes(values.astype(kind).tobytes())
 
     def shrink(self) -> None:
         """If there are too many parts, keep short ones that were used more than once, half of the allowed number at most."""
@@ -169,26 +193,20 @@ class Parts:
             return
         names = [p for p, c in self.code.items() if self.used[c] > 1 and len(p) <= LONGEST_PART]
         names = sorted(names, key=lambda p: -self.used[self.code[p]])[: self.kept // 2]
-        old = [(p, self.groups[c], self.sizes[3 * c : 3 * c + 3], self.links[self.at[c] : self.at[c + 1]]) for p in names for c in [self.code[p]]]
+        old = [(p, self.groups[c], self.n_groups[c], *(flat[at[c] : at[c + 1]] for flat, at in zip(self.flat, self.at))) for p in names for c in [self.code[p]]]
         self._start()
-        for p, text, sizes, links in old:
-            self.code[p] = len(self.groups)
-            self.groups.append(text)
-            self.sizes.extend(sizes)
-            self.links.extend(links)
-            self.at.append(len(self.links))
+        for row in old:
+            self._append(*row)
+        self.used = np.zeros(len(self.groups), np.int64)
 
     def codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Part codes of all texts one after another, and the bounds of each text; texts that are not given back have none."""
         split = [parts_of(t) if t else [] for t in texts]
-        new = {p for parts in split for p in parts if p not in self.code}
-        waiting = sorted(new)
-        for k in range(0, len(waiting), 20_000):
-            self._add(waiting[k : k + 20_000])
+        self._add(sorted({p for parts in split for p in parts if p not in self.code}))
         codes = np.fromiter((self.code[p] for parts in split for p in parts), np.int64)
         bounds = np.concatenate(([0], np.cumsum([len(p) for p in split]))).astype(np.int64)
         self.used = np.concatenate((self.used, np.zeros(len(self.groups) - len(self.used), np.int64)))
-        odd = np.array(self.sizes, np.int64)[::3][codes] < 0
+        odd = np.array(self.n_groups, np.int64)[codes] < 0
         if odd.any():
             keep = np.ones(len(codes), bool)
             for d in np.unique(np.searchsorted(bounds, np.flatnonzero(odd), side="right") - 1):
@@ -198,57 +216,55 @@ class Parts:
         self.used += np.bincount(codes, minlength=len(self.used))
         return codes, bounds
 
-    def judged(self) -> np.ndarray:
-        """n_best, count_sum and the number of rare links of every part under ``counts``."""
-        done = len(self.values)
-        if done < len(self.groups):
-            links, at = self.linked()
-            mine = links[at[done] :]
-            pairs, times, best = self.counts
-            k = np.minimum(np.searchsorted(pairs, mine), max(len(pairs) - 1, 0))
-            known = pairs[k] == mine if len(pairs) else np.zeros(len(mine), bool)
-            each = np.zeros((len(mine) + 1, 3), np.int64)
-            if len(pairs):
-                each[1:, 0], each[1:, 1] = known & best[k], np.where(known, times[k], 0)
-            each[1:, 2] = ~known
-            sums = np.cumsum(each, axis=0)
-            cut = at[done:] - at[done]
-            self.values = np.concatenate((self.values, sums[cut[1:]] - sums[cut[:-1]]))
-        return self.values
-
-
-def _workers_parts(key: str, models: tuple[bytes, bytes], kept: int) -> Parts:
-    lean_worker(key)
-    return worker_state(key, lambda: Parts(models, kept))
-
-
-def pair_counts(docs: DataFrame, models: tuple[bytes, bytes], kept: int = KEPT_PARTS) -> DataFrame:
-    """pair (A id << 32 | B id), n: how many links of the column ``text`` hold it. Each task adds up what it has before rows are shuffled."""
+    def ids(self, side: int, codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts one after another, and the bounds of each text."""
+        at, flat = np.array(self.at[side], np.int64), np.array(self.flat[side], np.uint16)
+        n = at[codes + 1] - at[codes]
+        to = np.concatenate(([0], np.cumsum(n)))
+        return flat[np.repeat(at[codes] - to[:-1], n) + np.arange(to[-1])], to[bounds]
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """How often pairs were linked since the counters were set to 0."""
+        pairs, place = np.unique(np.array(self.flat[2], np.int64), return_inverse=True)
+        n = np.bincount(place, np.repeat(self.used, np.diff(np.array(self.at[2]))), len(pairs)).astype(np.int64)
+        return pairs[n > 0], n[n > 0]
+
+
+_DOCS = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, a binary, b binary, groups string, pair long, n long"
+
+
+def tokens(docs: DataFrame, models: tuple[bytes, bytes], kept: int = KEPT_PARTS, with_groups: bool = False) -> DataFrame:
+    """A row for each row of ``docs`` (doc_id, text) with its token ids (two bytes each) and the digest of its groups; and rows with a
+    ``pair`` (A id << 32 | B id) and how often a task's texts link it."""
     key = uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast(models)
+    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups")), ("groups_sha256", pa.string()), ("a", pa.binary()), ("b", pa.binary()), ("groups", pa.string()), ("pair", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
-        known = _workers_parts(key, shared.value, kept)
+        lean_worker(key)
+        known = worker_state(key, lambda: Parts(shared.value, kept))
         known.used[:] = 0
 
-        def counted():
-            links, at = known.linked()
-            pairs, place = np.unique(links, return_inverse=True)
-            n = np.bincount(place, np.repeat(known.used, np.diff(at)), len(pairs)).astype(np.int64)
-            known.used[:] = 0
-            return pa.RecordBatch.from_arrays([pa.array(pairs[n > 0]), pa.array(n[n > 0])], ["pair", "n"])
+        def counts():
+            pairs, n = known.counted()
+            for k in range(0, len(pairs), 100_000):
+                part = [pa.array(x[k : k + 100_000]) for x in (pairs, n)]
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(part[0]), f.type) for f in list(schema)[:8]), *part], schema=schema)
 
         for batch in batches:
-            known.codes(batch.column(0).to_pylist())
+            codes, bounds = known.codes(batch.column(1).to_pylist())
+            texts = [";".join([known.groups[c] for c in codes[i:j].tolist()]) for i, j in zip(bounds, bounds[1:])]
+            sums = np.concatenate(([0], np.cumsum(np.array(known.n_groups, np.int64)[codes])))[bounds]
+            sides = [known.ids(k, codes, bounds) for k in (0, 1)]
+            binary = [pa.array([flat[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary()) for flat, at in sides]
+            digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.diff(at)) for _, at in sides), pa.array(np.diff(sums)), pa.array(digests, pa.string()), *binary, pa.array(texts if with_groups else [None] * len(texts), pa.string()), *(pa.nulls(len(texts), pa.int64()) for _ in range(2))], schema=schema)
             if len(known.code) > known.kept:
-                used = known.used.copy()
-                yield counted()
-                known.used = used
+                yield from counts()
                 known.shrink()
-                known.used = np.zeros(len(known.groups), np.int64)
-        yield counted()
+        yield from counts()
 
-    return docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, _DOCS)
 
 
 def with_best(counts: DataFrame) -> DataFrame:
@@ -280,45 +296,51 @@ def align(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """For every row: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256; and the groups themselves as text if asked for."""
     spark = small_batches(documents.sparkSession)
     models = models or read_models()
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    counts = materialize(with_best(pair_counts(docs, models, kept_parts)))
+    made = materialize(tokens(documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), models, kept_parts, with_groups))
+    counts = materialize(with_best(made.where("pair is not null").groupBy("pair").agg(F.sum("n").alias("n"))))
     sent, least = _sent(counts, sent_pairs)
-    shared = spark.sparkContext.broadcast((models, sent))
-    key = uuid.uuid4().hex
+    sizes = Pair(models).sizes
+    shared = spark.sparkContext.broadcast((sizes, sent))
 
     def run(batches):
-        known = _workers_parts(key, shared.value[0], kept_parts)
-        known.counts = shared.value[1]
+        lean_worker()
+        sizes, (pairs, times, best) = shared.value
         for batch in batches:
-            codes, bounds = known.codes(batch.column(1).to_pylist())
-            sizes = np.array(known.sizes, np.int64).reshape(-1, 3)
-            each = np.concatenate((sizes, np.diff(np.array(known.at))[:, None], known.judged()), axis=1)
-            sums = np.zeros((len(codes) + 1, each.shape[1]), np.int64)
-            np.cumsum(each[codes], axis=0, out=sums[1:])
-            out = sums[bounds[1:]] - sums[bounds[:-1]]
-            texts = [";".join([known.groups[c] for c in codes[a:b]]) for a, b in zip(bounds, bounds[1:])]
-            digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts]
-            rare = [[] for _ in texts]
-            if out[:, 6].any():
-                links, at = known.linked()
-                for d in np.flatnonzero(out[:, 6]):
-                    mine = np.concatenate([links[at[c] : at[c + 1]] for c in codes[bounds[d] : bounds[d + 1]]])
-                    pairs, times = np.unique(mine[~np.isin(mine, known.counts[0])], return_counts=True)
-                    rare[d] = [{"pair": p, "k": k} for p, k in zip(pairs.tolist(), times.tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(out[:, k]) for k in range(6)), pa.array(digests, pa.string()), pa.array(texts if with_groups else [None] * len(texts), pa.string()), pa.array(rare, pa.list_(pa.struct([("pair", pa.int64()), ("k", pa.int64())])))],
-                [*_COLUMNS, "groups", "rare"])
-            known.shrink()
-
-    made = docs.mapInArrow(run, ", ".join(f"{c} {'string' if c == 'groups_sha256' else 'long'}" for c in _COLUMNS) + ", groups string, rare array<struct<pair:long,k:long>>")
+            (a, at), (b, bt) = (_ids(batch.column(k)) for k in (5, 6))
+            links, ends = links_of(a, b, np.cumsum(sizes[0][a]), np.cumsum(sizes[1][b]))
+            to = np.concatenate(([0], np.cumsum(sizes[0][a])))[at]
+            bounds = np.searchsorted(ends, to, side="right")
+            k = np.minimum(np.searchsorted(pairs, links), max(len(pairs) - 1, 0))
+            known = pairs[k] == links if len(pairs) else np.zeros(len(links), bool)
+            values = [np.concatenate(([0], np.cumsum(v))) for v in ((known & best[k], np.where(known, times[k], 0)) if len(pairs) else (known, known))]
+            rare = [[] for _ in range(batch.num_rows)]
+            for d in np.unique(np.searchsorted(bounds, np.flatnonzero(~known), side="right") - 1):
+                i, j = bounds[d : d + 2]
+                found, n = np.unique(links[i:j][~known[i:j]], return_counts=True)
+                rare[d] = [{"pair": p, "k": m} for p, m in zip(found.tolist(), n.tolist())]
+            counted = [np.diff(bounds), *(np.diff(v[bounds]) for v in values)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(c.astype(np.int64)) for c in counted), batch.column(4), batch.column(7), pa.array(rare, pa.list_(pa.struct([("pair", pa.int64()), ("k", pa.int64())])))], [*_COLUMNS, "groups", "rare"])
+
+    kept = made.where("pair is null").drop("pair", "n")
+    done = kept.mapInArrow(run, ", ".join(f"{c} {'string' if c == 'groups_sha256' else 'long'}" for c in _COLUMNS) + ", groups string, rare array<struct<pair:long,k:long>>")
     if least:
-        made = materialize(made.withColumn("row", F.monotonically_increasing_id()))
-        rows = made.select("row", F.inline("rare")).join(counts.where(F.col("n") < least), "pair")
+        done = materialize(done.withColumn("row", F.monotonically_increasing_id()))
+        rows = done.select("row", F.inline("rare")).join(counts.where(F.col("n") < least), "pair")
         more = rows.groupBy("row").agg(F.sum(F.col("k") * F.col("best").cast("long")).alias("more_best"), F.sum(F.col("k") * F.col("n")).alias("more_sum"))
-        made = made.join(more, "row", "left").withColumns({"n_best": F.col("n_best") + F.coalesce("more_best", F.lit(0)), "count_sum": F.col("count_sum") + F.coalesce("more_sum", F.lit(0))})
+        done = done.join(more, "row", "left").withColumns({"n_best": F.col("n_best") + F.coalesce("more_best", F.lit(0)), "count_sum": F.col("count_sum") + F.coalesce("more_sum", F.lit(0))})
+        release(made)
     else:
         release(counts)
-    return made.select(*_COLUMNS, *(["groups"] if with_groups else []))
+    return done.select(*_COLUMNS, *(["groups"] if with_groups else []))
+
+
+def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all rows one after another, and the bounds of each row."""
+    column = column.cast(pa.binary())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    flat = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(np.uint16) if data is not None else np.zeros(0, np.uint16)
+    return flat.astype(np.int64), (offsets - offsets[0]).astype(np.int64) // 2
 
 
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
