@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, topk, urls
+from . import chat, decontam, topk, trie, urls
 from .alignment import op11
 from .fingerprints import op13
 from .jaccard import op3
@@ -24,7 +24,8 @@ QUERIES = {
     "op9_token_packing": op9,
     "op10_toxicity": op10,
     "op11_alignment": op11,
+    "op12_prefix_trie": trie.op12,
     "op13_fingerprints": op13,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_topk_search": topk.SQL, "op5_url_filter": urls.SQL, "op8_chat_perspectives": chat.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_topk_search": topk.SQL, "op5_url_filter": urls.SQL, "op8_chat_perspectives": chat.SQL, "op12_prefix_trie": trie.SQL}
