@@ -25,26 +25,46 @@ import re
 import uuid
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import lean_worker, materialize, release, small_batches, table, worker_state
+from .common import lean_worker, materialize, release, small_batches, table, text_slices, worker_state
 
 A_FILE, B_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
-#: Parts that a worker keeps at most, the longest of them, and pairs of ids that are sent to every task at most (17 bytes each).
-KEPT_PARTS, LONGEST_PART, SENT_PAIRS = 400_000, 64, 2_000_000
+#: Parts that a worker keeps at most, the longest of them, and pairs of ids that are sent to every task at most (41 bytes each).
+KEPT_PARTS, LONGEST_PART, SENT_PAIRS = 400_000, 64, 1_000_000
+#: Bytes of text that are handled at once.
+SLICE = 1 << 20
 
 #: White space of either regular-expression engine; a cut is made before a space only where both tokenizers begin anew.
 _WS = r"\s\u180e"
-_UNSURE = re.compile(rf" (?:[{_WS}]|\Z)|^[{_WS}]")
 _CUT = re.compile(rf"(?<=[^{_WS}]) (?=.)|(?<=[{_WS}])(?<! ) (?=[^{_WS}])", re.S)
 
 
+def _begins_blank(part: str) -> bool:
+    return not part or part[0].isspace() or part[0] == "\u180e"
+
+
 def parts_of(text: str) -> list[str]:
     """The parts of space + text without the space that each starts with."""
-    return text.split(" ") if not _UNSURE.search(text) else [p[1:] for p in _spaced(" " + text)]
+    parts = text.split(" ")
+    return [p[1:] for p in _spaced(" " + text)] if any(map(_begins_blank, parts)) else parts
+
+
+def split_all(texts: list[str | None]) -> tuple[list[list[str]], list[str], set[str]]:
+    """``parts_of`` of all texts; all parts one after another; and the different ones."""
+    split = [t.split(" ") if t else [] for t in texts]
+    parts = list(chain.from_iterable(split))
+    different = set(parts)
+    blank = {p for p in different if not p or p[0].isspace() or p[0] == "\u180e"}
+    if blank:
+        split = [[p[1:] for p in _spaced(" " + t)] if parts and not blank.isdisjoint(parts) else parts for t, parts in zip(texts, split, strict=True)]
+        parts = list(chain.from_iterable(split))
+        different = set(parts)
+    return split, parts, different
 
 
 def _spaced(text: str) -> Iterator[str]:
@@ -119,8 +139,43 @@ class Pair:
 
 def links_of(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The links in order as a << 32 | b, and where each ends: every stretch between neighbouring ends of either side is one."""
-    ends = np.union1d(ends_a, ends_b)
-    return a[np.searchsorted(ends_a, ends)] << 32 | b[np.searchsorted(ends_b, ends)], ends
+    by_a, by_b = (np.zeros(int(ends[-1]) + 1 if len(ends) else 0, bool) for ends in (ends_a, ends_b))
+    by_a[ends_a], by_b[ends_b] = True, True
+    ends = np.flatnonzero(by_a | by_b)
+    by_a, by_b = by_a[ends], by_b[ends]
+    return a[np.cumsum(by_a) - by_a] << 32 | b[np.cumsum(by_b) - by_b], ends
+
+
+class Lookup:
+    """Places of pairs in an array of different ones: open addressing, for whole arrays at once."""
+
+    def __init__(self, pairs: np.ndarray):
+        self.bits = max(4, int(4 * len(pairs)).bit_length())
+        self.key, self.place = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        waiting, at = np.arange(len(pairs)), self._slot(pairs)
+        while len(waiting):
+            free = self.key[at] == -1
+            self.key[at[free]] = pairs[waiting[free]]  # of several for one slot the last stays
+            done = self.key[at] == pairs[waiting]
+            self.place[at[done]] = waiting[done]
+            waiting, at = waiting[~done], (at[~done] + 1) & (len(self.key) - 1)
+
+    def _slot(self, pairs: np.ndarray) -> np.ndarray:
+        return (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, pairs: np.ndarray) -> np.ndarray:
+        """The place of each pair, -1 if it has none."""
+        at, waiting = self._slot(pairs), slice(None)
+        found = np.full(len(pairs), -1, np.int32)
+        while True:
+            key = self.key[at]
+            hit = key == pairs[waiting]
+            found[waiting] = np.where(hit, self.place[at], -1)
+            on = np.flatnonzero(~hit & (key != -1))
+            if not len(on):
+                return found
+            waiting = on if isinstance(waiting, slice) else waiting[on]
+            at = (at[on] + 1) & (len(self.key) - 1)
 
 
 class Parts:
@@ -201,12 +256,12 @@ class Parts:
 
     def codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Part codes of all texts one after another, and the bounds of each text; texts that are not given back have none."""
-        split = [parts_of(t) if t else [] for t in texts]
-        self._add(sorted({p for parts in split for p in parts if p not in self.code}))
-        codes = np.fromiter((self.code[p] for parts in split for p in parts), np.int64)
+        split, parts, different = split_all(texts)
+        self._add(sorted(different.difference(self.code)))
+        codes = np.fromiter(map(self.code.__getitem__, parts), np.int64, len(parts))
         bounds = np.concatenate(([0], np.cumsum([len(p) for p in split]))).astype(np.int64)
         self.used = np.concatenate((self.used, np.zeros(len(self.groups) - len(self.used), np.int64)))
-        odd = np.array(self.n_groups, np.int64)[codes] < 0
+        odd = np.frombuffer(self.n_groups, np.int32)[codes] < 0 if len(codes) else np.zeros(0, bool)
         if odd.any():
             keep = np.ones(len(codes), bool)
             for d in np.unique(np.searchsorted(bounds, np.flatnonzero(odd), side="right") - 1):
@@ -218,7 +273,9 @@ class Parts:
 
     def ids(self, side: int, codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts one after another, and the bounds of each text."""
-        at, flat = np.array(self.at[side], np.int64), np.array(self.flat[side], np.uint16)
+        if not len(codes):
+            return np.zeros(0, np.uint16), np.zeros(len(bounds), np.int64)
+        at, flat = np.frombuffer(self.at[side], np.int64), np.frombuffer(self.flat[side], np.uint16)
         n = at[codes + 1] - at[codes]
         to = np.concatenate(([0], np.cumsum(n)))
         return flat[np.repeat(at[codes] - to[:-1], n) + np.arange(to[-1])], to[bounds]
@@ -251,7 +308,7 @@ def tokens(docs: DataFrame, models: tuple[bytes, bytes], kept: int = KEPT_PARTS,
                 part = [pa.array(x[k : k + 100_000]) for x in (pairs, n)]
                 yield pa.RecordBatch.from_arrays([*(pa.nulls(len(part[0]), f.type) for f in list(schema)[:8]), *part], schema=schema)
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             codes, bounds = known.codes(batch.column(1).to_pylist())
             texts = [";".join([known.groups[c] for c in codes[i:j].tolist()]) for i, j in zip(bounds, bounds[1:])]
             sums = np.concatenate(([0], np.cumsum(np.array(known.n_groups, np.int64)[codes])))[bounds]
@@ -267,6 +324,12 @@ def tokens(docs: DataFrame, models: tuple[bytes, bytes], kept: int = KEPT_PARTS,
     return docs.mapInArrow(run, _DOCS)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of about ``SLICE`` bytes of text at a time."""
+    for at, to, _, _ in text_slices(batch.column(1), SLICE):
+        yield batch.slice(at, to - at)
+
+
 def with_best(counts: DataFrame) -> DataFrame:
     """pair, n, best: is it the most frequent one of its B id? Ties are."""
     b = F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))
@@ -300,19 +363,21 @@ def align(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = materialize(with_best(made.where("pair is not null").groupBy("pair").agg(F.sum("n").alias("n"))))
     sent, least = _sent(counts, sent_pairs)
     sizes = Pair(models).sizes
-    shared = spark.sparkContext.broadcast((sizes, sent))
+    shared, key = spark.sparkContext.broadcast((sizes, sent)), uuid.uuid4().hex
 
     def run(batches):
         lean_worker()
         sizes, (pairs, times, best) = shared.value
+        lookup = worker_state(key, lambda: Lookup(pairs))
+        times, best = np.append(times, 0), np.append(best, False)  # what is not known
         for batch in batches:
             (a, at), (b, bt) = (_ids(batch.column(k)) for k in (5, 6))
-            links, ends = links_of(a, b, np.cumsum(sizes[0][a]), np.cumsum(sizes[1][b]))
-            to = np.concatenate(([0], np.cumsum(sizes[0][a])))[at]
-            bounds = np.searchsorted(ends, to, side="right")
-            k = np.minimum(np.searchsorted(pairs, links), max(len(pairs) - 1, 0))
-            known = pairs[k] == links if len(pairs) else np.zeros(len(links), bool)
-            values = [np.concatenate(([0], np.cumsum(v))) for v in ((known & best[k], np.where(known, times[k], 0)) if len(pairs) else (known, known))]
+            ends_a = np.cumsum(sizes[0][a])
+            links, ends = links_of(a, b, ends_a, np.cumsum(sizes[1][b]))
+            bounds = np.searchsorted(ends, np.concatenate(([0], ends_a))[at], side="right")
+            k = lookup.find(links)
+            known = k >= 0
+            values = [np.concatenate(([0], np.cumsum(v[k]))) for v in (best, times)]
             rare = [[] for _ in range(batch.num_rows)]
             for d in np.unique(np.searchsorted(bounds, np.flatnonzero(~known), side="right") - 1):
                 i, j = bounds[d : d + 2]
