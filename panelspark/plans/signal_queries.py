@@ -8,6 +8,7 @@ import functools
 from pyspark.sql import Window, functions as F
 
 from ..operators import accounts, features, ml, pit, portfolio, quality, selection, signals, stats
+from ..sources.stored import stored
 from .base import HORIZON, pct_rank
 from .join_queries import _TWO, two_navs
 from .registry import query
@@ -483,8 +484,8 @@ def _(t):
 # --- models (no SQL twin)
 
 def _frame(t):
-    """The training frame, kept, as every fit reads it."""
-    return ml.training_frame(t).persist()
+    """The training frame, written once, as every fit reads it."""
+    return stored(ml.training_frame(t))
 
 
 @query("m04_fit_rank_model", "feature importance~")
@@ -507,6 +508,16 @@ def _(t):
     return ml.search(_frame(t), ml.FEATURES, top_n=5, metric="topn_ir", purge=HORIZON)
 
 
+@query("m05_search_ndcg", "params metric~")
+def _(t):
+    return ml.search(_frame(t), ml.FEATURES, top_n=5, metric="ndcg", purge=HORIZON)
+
+
+@query("m05_search_classifier", "params metric~")
+def _(t):
+    return ml.search(_frame(t), ml.FEATURES, top_n=5, objective="binary", metric="pr_auc", purge=HORIZON)
+
+
 @query("m06_walk_forward", "month n:big mean_score~ average_precision~ auc~")
 def _(t):
     return ml.month_metrics(ml.walk_forward(_frame(t), ml.FEATURES, start=dt.date(1998, 1, 1), purge=HORIZON))
