@@ -35,7 +35,7 @@ from .common import lean_worker, materialize, release, small_batches, table, tex
 
 A_FILE, B_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Parts that a worker keeps at most, the longest of them, and pairs of ids that are sent to every task at most (41 bytes each).
-KEPT_PARTS, LONGEST_PART, SENT_PAIRS = 400_000, 64, 1_000_000
+KEPT_PARTS, LONGEST_PART, SENT_PAIRS = 700_000, 64, 1_000_000
 #: Bytes of text that are handled at once.
 SLICE = 1 << 20
 
@@ -121,8 +121,8 @@ class Pair:
                     code = np.frombuffer((" " + text).encode("utf-32-le"), np.uint32)
                     spans_a = np.concatenate(([0], np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))))[spans_a]
                 shared = np.append(spans_a[1:, 0] < spans_a[:-1, 1], False)
-                spans_b = np.array([(p.begin, p.end) for p in y.pieces], np.int64).reshape(-1, 2)
-                yield a, b, self._ends(a, spans_a[:, 1], shared, 0), self._ends(b, spans_b[:, 1] + 1, spans_b[:, 0] == spans_b[:, 1], 1)
+                to = np.array([p.end for p in y.pieces], np.int64)  # each span begins where the last one ends
+                yield a, b, self._ends(a, spans_a[:, 1], shared, 0), self._ends(b, to + 1, np.diff(to, prepend=-1) == 0, 1)
             else:
                 yield None
 
@@ -233,11 +233,11 @@ class Parts:
             i, j = p, q
         first, g = len(self.groups), 0
         to = (np.searchsorted(cuts, ends) + 1).tolist()
-        for k, (part, h) in enumerate(zip(chunk, to)):
-            self.code[part] = first + k
+        self.code.update(zip(chunk, range(first, first + len(chunk))))
+        for h in to:
             self.groups.append(";".join(groups[g:h]))
-            self.n_groups.append(h - g)
             g = h
+        self.n_groups.extend(np.diff(to, prepend=0).tolist())
         for flat, at, values, value_ends, kind in zip(self.flat, self.at, (a, b, links), (ends_a, ends_b, link_ends), (np.uint16, np.uint16, np.int64), strict=True):
             at.frombytes((len(flat) + np.searchsorted(value_ends, ends) + 1).astype(np.int64).tobytes())
             flat.frombytes(values.astype(kind).tobytes())
@@ -258,7 +258,8 @@ class Parts:
         """Part codes of all texts one after another, and the bounds of each text; texts that are not given back have none."""
         split, parts, different = split_all(texts)
         self._add(sorted(different.difference(self.code)))
-        codes = np.fromiter(map(self.code.__getitem__, parts), np.int64, len(parts))
+        own = {p: self.code[p] for p in different}  # small, so it stays in the processor's cache
+        codes = np.fromiter(map(own.__getitem__, parts), np.int64, len(parts))
         bounds = np.concatenate(([0], np.cumsum([len(p) for p in split]))).astype(np.int64)
         self.used = np.concatenate((self.used, np.zeros(len(self.groups) - len(self.used), np.int64)))
         odd = np.frombuffer(self.n_groups, np.int32)[codes] < 0 if len(codes) else np.zeros(0, bool)

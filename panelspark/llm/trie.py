@@ -107,8 +107,10 @@ def nodes_of(blocks: DataFrame) -> DataFrame:
     """depth, k1, k2, u1, u2 (the parent), chars, conv_id (smallest member), n_convs of every node but the root."""
     classes = blocks.groupBy("block", "k1", "k2", F.size("turns").alias("size")).agg(F.count("*").alias("n_convs"), F.min("conv").alias("conv_id"), F.min("p1").alias("p1"), F.min("p2").alias("p2"), F.min("turns").alias("turns"))
     classes = materialize(classes)
-    siblings = classes.groupBy("block", "p1", "p2").agg(F.count("*").alias("siblings"))
-    turned = classes.join(siblings, ["block", "p1", "p2"]).select("siblings", "conv_id", "n_convs", F.inline(_nodes_in("turns", "p1", "p2")))
+    later = classes.where("block > 0")  # the first blocks have one parent, the root: they are refined, whatever their number
+    siblings = later.groupBy("block", "p1", "p2").agg(F.count("*").alias("siblings"))
+    both = later.join(siblings, ["block", "p1", "p2"]).select(*classes.columns, "siblings").unionByName(classes.where("block = 0").withColumn("siblings", F.lit(2).cast("long")))
+    turned = both.select("siblings", "conv_id", "n_convs", F.inline(_nodes_in("turns", "p1", "p2")))
     alone = turned.where("siblings = 1")
     split = turned.where("siblings > 1").groupBy(*NODE).agg(F.min("u1").alias("u1"), F.min("u2").alias("u2"), F.min("chars").alias("chars"), F.min("conv_id").alias("conv_id"), F.sum("n_convs").alias("n_convs"))
     return alone.select(*split.columns).unionByName(split)
