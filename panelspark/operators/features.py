@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.scalars import calendar_parts
 from ..functions.windows import lag, last_known, pct_rank_avg, ratio_change, rolling
 from .pit import days_to_next
 
@@ -132,14 +133,48 @@ def price_panel(bars: DataFrame) -> DataFrame:
     return df
 
 
-def feature_panel(bars: DataFrame, stints: DataFrame, sectors: DataFrame, macro: DataFrame | None) -> DataFrame:
-    """The whole panel in stage order."""
+def known_at(bars: DataFrame, facts: DataFrame, earnings: DataFrame, concepts: tuple[str, ...]) -> DataFrame:
+    """``bars`` with the last value of each concept known at its date, and ``days_since_earnings``.
+
+    ``facts`` has ticker, concept, period_end, filed, value; ``earnings`` ticker, earnings_date. Bars, filings and earnings are one
+    stream of events of a ticker: one union, one shuffle, one ordering for any number of concepts. What is filed on a date
+    is known on it; of one filing date the newest period counts.
+    """
+    names = bars.columns
+    a = bars.select("*", F.col("date").alias("_at"), F.lit(1).alias("_bar"))
+    b = facts.select("ticker", F.col("filed").alias("_at"), F.lit(0).alias("_bar"), F.col("period_end").alias("_period"), F.col("concept").alias("_concept"), F.col("value").alias("_value"))
+    c = earnings.select("ticker", F.col("earnings_date").alias("_at"), F.lit(0).alias("_bar"), F.col("earnings_date").alias("_event"))
+    w = Window.partitionBy("ticker").orderBy("_at", "_bar", "_period").rowsBetween(Window.unboundedPreceding, 0)
+    both = a.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
+    values = {n: F.last(F.when(F.col("_concept") == n, F.col("_value")), ignorenulls=True).over(w) for n in concepts}
+    both = both.withColumns({**values, "_last": F.last("_event", ignorenulls=True).over(w)}).where("_bar = 1")
+    return both.select(*names, *concepts, F.datediff("date", "_last").alias("days_since_earnings"))
+
+
+def feature_panel(bars: DataFrame, stints: DataFrame, sectors: DataFrame, macro: DataFrame | None, facts: DataFrame | None = None, earnings: DataFrame | None = None, events: DataFrame | None = None) -> DataFrame:
+    """The whole panel in stage order: time windows on the full history of a ticker, membership, ratios of what was known (facts as
+    ``fundamentals.known_values``), same-date features of the members, and what depends on the date alone (macro, calendar)."""
+    from . import fundamentals
     from .pit import members_at
 
+    if facts is not None:
+        bars = known_at(bars, facts, earnings, fundamentals.RATIO_INPUTS)
     df = members_at(price_panel(bars), stints)
-    df = cross_ranks(df, ("ret_21d", "vol_21d"))
+    if facts is not None:
+        df = fundamentals.ratios(df).drop(*fundamentals.RATIO_INPUTS)
+    df = cross_ranks(df, ("ret_21d", "vol_10d", "vol_z"))
     df = sector_spread(market_regime(join_sectors(df, sectors)))
-    return join_macro(df, macro_features(macro) if macro is not None else None)
+    df = join_macro(df, None if macro is None else macro_features(macro))
+    return df if events is None else with_calendar(df, events, "date")
+
+
+def with_calendar(df: DataFrame, events: DataFrame, event_date: str, cap: int = 60, near: int = 5) -> DataFrame:
+    """``df`` with ``event_countdown`` and the parts of its date. An event names the ``cap`` days up to it, so dates are met by equality
+    and rows without an event ahead need no list of all dates."""
+    days = F.explode(F.sequence(F.date_sub(event_date, cap), F.col(event_date))).alias("date")
+    ahead = events.where(F.col(event_date).isNotNull()).select(F.col(event_date).alias("_event"), days).groupBy("date").agg(F.min(F.datediff("_event", "date")).alias("days_to_event"))
+    df = df.join(ahead, "date", "left").withColumn("days_to_event", F.coalesce("days_to_event", F.lit(cap)))
+    return df.withColumns({"within_5d": (F.col("days_to_event") <= near).cast("int"), **calendar_parts(F.col("date"))})
 
 
 def event_countdown(dates: DataFrame, events: DataFrame, event_date: str, cap: int = 60, near: int = 5) -> DataFrame:

@@ -8,6 +8,11 @@ from ..functions.scalars import safe_ratio
 from ..functions.windows import over_time
 from .pit import asof_backward
 
+#: Concepts that are sums over a period; the others are balances.
+FLOWS = ("revenue", "net_income", "gross_profit", "cost_of_revenue", "operating_income", "cash_ops", "capex", "eps_diluted")
+#: What a panel needs for ``ratios``, beside its price.
+RATIO_INPUTS = ("revenue", "net_income", "equity", "assets", "gross_profit", "cost_of_revenue", "operating_income", "liabilities", "cash_ops", "capex", "shares_diluted", "eps_diluted")
+
 FACTS_JSON = "facts struct<`us-gaap`: map<string, struct<units: map<string, array<struct<start:date, `end`:date, val:double, filed:date, form:string, fy:int, fp:string>>>>>>"
 
 
@@ -41,17 +46,36 @@ def vintages(facts: DataFrame, flows: list[str]) -> DataFrame:
     return facts.withColumn("_r", r).where(~F.col("concept").isin(*flows) | (F.col("_r") == 1)).drop("_r")
 
 
-def trailing_year(facts: DataFrame) -> DataFrame:
-    """Twelve-month sums of flows: four quarters in a row (spans of 80 to 100 days, the fourth one derived where it is not filed),
-    known when the last of the four is filed; and annual rows (350 to 380 days), which are twelve months themselves."""
-    days = F.datediff("period_end", "period_start")
-    quarters, years = facts.where(days.between(80, 100)), facts.where(days.between(350, 380))
-    names = ["ticker", "concept", "period_end", "filed", "value"]
-    rows = quarters.select(*names).unionByName(derive_q4(quarters, years).select(*names))
-    first = F.row_number().over(Window.partitionBy("ticker", "concept", "period_end").orderBy("filed", F.desc("value")))
-    w = Window.partitionBy("ticker", "concept").orderBy("period_end").rowsBetween(-3, 0)
-    rows = rows.withColumn("_r", first).where("_r = 1").select("ticker", "concept", "period_end", F.sum("value").over(w).alias("ttm"), F.max("filed").over(w).alias("filed"), F.count("*").over(w).alias("n"))
-    return rows.where("n = 4").drop("n").unionByName(years.select("ticker", "concept", "period_end", F.col("value").alias("ttm"), "filed"))
+def trailing_year(facts: DataFrame, flows: tuple[str, ...] | None = None) -> DataFrame:
+    """Twelve-month sums of flows: four successive known quarters (spans of 80 to 100 days), known when the last of the four is
+    filed; and annual rows (350 to 380 days), which are twelve months themselves. A fourth quarter that is not filed is the
+    year less its first three quarters, known when the year is. Concepts beside ``flows`` (if given) are balances and stay as they are.
+
+    One pass: the quarters of a year are summed beside its annual row, which gives out both itself and the missing quarter.
+    All windows lie within a ticker, so facts that are dealt by ticker are not dealt again.
+    """
+    days, names = F.datediff("period_end", "period_start"), ["ticker", "concept", "kind", "period_end", "filed", "value"]
+    balance = F.lit(False) if flows is None else ~F.col("concept").isin(*flows)
+    rows = facts.withColumn("kind", F.when(balance, "balance").when(days.between(80, 100), "quarter").when(days.between(350, 380), "year")).where("kind is not null")
+    year = Window.partitionBy("ticker", "concept", "fy")
+    first_three = F.when((F.col("kind") == "quarter") & F.col("fp").isin("Q1", "Q2", "Q3"), F.struct("fp", "value"))
+    rows = rows.withColumns({"_three": F.size(F.collect_set(first_three["fp"]).over(year)), "_sum": F.sum(first_three["value"]).over(year)})
+    itself = F.struct("kind", "period_end", "filed", "value")
+    fourth = F.struct(F.lit("quarter").alias("kind"), "period_end", "filed", (F.col("value") - F.col("_sum")).alias("value"))
+    both = F.array_compact(F.array(itself, F.when((F.col("kind") == "year") & (F.col("_three") == 3), fourth)))
+    rows = rows.select("ticker", "concept", F.inline(both)).select(*names)
+    first = F.row_number().over(Window.partitionBy("ticker", "concept", "kind", "period_end").orderBy("filed", F.desc("value")))
+    w = Window.partitionBy("ticker", "concept", "kind").orderBy("period_end").rowsBetween(-3, 0)
+    annual = F.col("kind") != "quarter"
+    rows = rows.withColumn("_r", first).where(annual | (F.col("_r") == 1)).withColumns({"_ttm": F.sum("value").over(w), "_filed": F.max("filed").over(w), "_n": F.count("*").over(w)})
+    return rows.where(annual | (F.col("_n") == 4)).select("ticker", "concept", "period_end", F.when(annual, F.col("value")).otherwise(F.col("_ttm")).alias("ttm"), F.when(annual, F.col("filed")).otherwise(F.col("_filed")).alias("filed"))
+
+
+def known_values(facts: DataFrame, flows: tuple[str, ...] = FLOWS) -> DataFrame:
+    """ticker, concept, period_end, filed, value as a panel may know them: twelve-month sums of flows, every vintage of balances.
+    Facts are dealt by ticker once."""
+    kept = vintages(dedupe_filings(facts.repartition("ticker")), list(flows))
+    return trailing_year(kept, flows).select("ticker", "concept", "period_end", "filed", F.col("ttm").alias("value"))
 
 
 def asof_fundamentals(panel: DataFrame, facts: DataFrame, concepts: list[str]) -> DataFrame:
@@ -66,15 +90,12 @@ def growth(panel: DataFrame, column: str, out: str, rows: int = 252) -> DataFram
     return panel.withColumn(out, safe_ratio(F.col(column) - old, F.abs(old)))
 
 
-#: What a panel needs for ``ratios``, beside its price.
-RATIO_INPUTS = ("revenue", "net_income", "equity", "assets", "gross_profit", "cost_of_revenue", "operating_income", "liabilities", "cash_ops", "capex", "shares_diluted", "eps_diluted")
-
-
 def ratios(panel: DataFrame, price: str = "adj_close", out: str = "fund_") -> DataFrame:
     """The eleven ratios of a panel with trailing sums and balances (``RATIO_INPUTS``; a missing column is unknown).
 
-    Missing gross profit and liabilities follow from their identities, negative equity has no valuation, missing capital
-    expenditure counts as none, and growth is against the value in force 252 rows before.
+    Where a filing has no gross profit or no liabilities, revenue less its cost and assets less equity stand in. A company
+    that owes more than it has gets no book value, one that reports no capital expenditure counts as having none, and growth
+    compares with the value that was in force 252 rows before.
     """
     panel = panel.withColumns({c: F.lit(None).cast("double") for c in RATIO_INPUTS if c not in panel.columns})
     c = {name: F.col(name).cast("double") for name in RATIO_INPUTS}

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.windows import pct_rank_avg
-from ..operators import features, labels, pit
+from ..operators import features, fundamentals, labels, pit
 
 HORIZON = 10
 
@@ -94,6 +94,9 @@ def pct_rank(x: str, keys: str = "date") -> str:
     return f"CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY {keys}, {x} IS NULL ORDER BY {x}) + (count(*) OVER (PARTITION BY {keys}, {x}) - 1) / 2.0) / count(*) OVER (PARTITION BY {keys}, {x} IS NULL) END"
 
 
+#: A concept for each order, so that filings hold all inputs of the ratios.
+_CONCEPTS = "CASE o_custkey % 12 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(fundamentals.RATIO_INPUTS)) + " END"
+
 #: Named tables as SQL; the first ones run in Spark and DuckDB alike, the others are for DuckDB only.
 SQL = {
     "bars": "SELECT CAST(l_shipdate AS DATE) AS date, l_suppkey AS ticker, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100 / sum(l_quantity) AS adj_close, sum(l_quantity) AS volume FROM lineitem GROUP BY CAST(l_shipdate AS DATE), l_suppkey",
@@ -103,6 +106,7 @@ SQL = {
     "earnings": "SELECT DISTINCT o_custkey % (SELECT count(*) FROM supplier) + 1 AS ticker, CAST(o_orderdate AS DATE) AS earnings_date FROM orders WHERE o_orderkey % 20 = 0",
     "insider": "SELECT o_custkey % (SELECT count(*) FROM supplier) + 1 AS ticker, CAST(o_orderdate AS DATE) AS filed, o_totalprice AS value, o_custkey AS owner, o_orderpriority LIKE '1%' AS planned FROM orders",
     "facts": "SELECT o_custkey % (SELECT count(*) FROM supplier) + 1 AS ticker, CASE WHEN o_orderkey % 3 = 0 THEN 'assets' ELSE 'revenue' END AS concept, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS period_start, last_day(CAST(date_trunc('quarter', o_orderdate) AS DATE) + 70) AS period_end, last_day(CAST(date_trunc('quarter', o_orderdate) AS DATE) + 70) + CAST(15 + o_orderkey % 3 * 20 AS INT) AS filed, sum(o_totalprice) AS value, '10-Q' AS form, CAST(extract(year FROM o_orderdate) AS INT) AS fy, concat('Q', CAST(extract(quarter FROM o_orderdate) AS STRING)) AS fp FROM orders GROUP BY 1, 2, 3, 4, 5, 7, 8, 9",
+    "filings": "SELECT o_custkey % (SELECT count(*) FROM supplier) + 1 AS ticker, " + _CONCEPTS + " AS concept, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS period_start, last_day(CAST(date_trunc('quarter', o_orderdate) AS DATE) + 70) AS period_end, last_day(CAST(date_trunc('quarter', o_orderdate) AS DATE) + 70) + CAST(15 + o_orderkey % 3 * 20 AS INT) AS filed, sum(o_totalprice) AS value, '10-Q' AS form, CAST(extract(year FROM o_orderdate) AS INT) AS fy, concat('Q', CAST(extract(quarter FROM o_orderdate) AS STRING)) AS fp FROM orders GROUP BY 1, 2, 3, 4, 5, 7, 8, 9",
     "accounts": "SELECT c_custkey AS account_id, 100000 + c_acctbal AS cash, CAST(120000.0 AS DOUBLE) AS high_watermark FROM customer",
     "positions": "SELECT o_custkey AS account_id, l_suppkey AS ticker, sum(l_quantity) AS shares, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100 / sum(l_quantity) AS entry_price, CAST(min(o_orderdate) AS DATE) AS entry_date, CAST(min(o_orderdate) AS DATE) + 60 AS expiry_date FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey",
     # DuckDB only

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from ..operators import borrow, features, fundamentals, labels, pit, portfolio, quality
 from ..sources import tables
-from .base import HORIZON, T, pct_rank
+from .base import HORIZON, T, pct_rank, roll
 from .registry import query
-from .window_queries import _DEDUPED, _EARLIEST, _RATE, _TTM, revenue_ttm
+from .window_queries import _DEDUPED, _EARLIEST, _RATE, _RATIOS, _TTM, revenue_ttm
 
 KEY = "date ticker "
 D = dt.date
@@ -173,16 +173,42 @@ def _(t):
     return t.scored
 
 
-@query("m09_feature_panel", KEY + "ret_21d~ rsi_14~ ret_21d_rank~ mkt_ret_5d~ ret_5d_vs_sector~ vix_percentile~", f"""SELECT p.date, p.ticker, ret_21d, x.rsi_14, {pct_rank('ret_21d', 'p.date')} AS ret_21d_rank, median(ret_5d) OVER (PARTITION BY p.date) AS mkt_ret_5d,
-ret_5d - median(ret_5d) OVER (PARTITION BY p.date, sector) AS ret_5d_vs_sector, v.vix_percentile
-FROM returns p JOIN sectors s ON s.ticker = p.ticker JOIN (SELECT date, ticker, CASE WHEN l = 0 AND g = 0 THEN 50 WHEN l = 0 THEN 100 WHEN g IS NOT NULL THEN 100 - 100 / (1 + g / l) END AS rsi_14 FROM (
-SELECT *, CASE WHEN count(up) OVER w = 14 THEN avg(up) OVER w END AS g, CASE WHEN count(up) OVER w = 14 THEN avg(down) OVER w END AS l FROM (SELECT *, CASE WHEN d IS NOT NULL THEN greatest(d, 0) END AS up, CASE WHEN d IS NOT NULL THEN greatest(-d, 0) END AS down FROM (
-SELECT *, adj_close - lag(adj_close) OVER ({T}) AS d FROM bars)) WINDOW w AS ({T} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW))) x ON x.date = p.date AND x.ticker = p.ticker
-LEFT JOIN (SELECT a.date, CASE WHEN any_value(a.vix) IS NOT NULL AND count(b.vix) + 1 >= 60 THEN count(*) FILTER (b.vix <= a.vix) / nullif(count(b.i), 0) END AS vix_percentile
-FROM (SELECT *, row_number() OVER (ORDER BY date) AS i FROM macro) a LEFT JOIN (SELECT vix, row_number() OVER (ORDER BY date) AS i FROM macro) b ON b.i < a.i AND b.i >= a.i - 251 GROUP BY a.date) v ON v.date = p.date
-WHERE EXISTS (SELECT 1 FROM stints s WHERE s.ticker = p.ticker AND p.date >= s.start_date AND (s.end_date IS NULL OR p.date < s.end_date))""", digits=4)
-def _(t):
-    return features.feature_panel(t.bars, t.stints, t.sectors, t.macro)
+_FLOWS = ", ".join(f"'{c}'" for c in fundamentals.FLOWS)
+#: What filings let a panel know: ticker, concept, period_end, filed, value.
+_KNOWN = f"""known AS MATERIALIZED (WITH d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker, concept, period_end, filed ORDER BY period_start DESC NULLS LAST, value DESC) AS r FROM filings) WHERE r = 1),
+q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker, concept, period_end ORDER BY filed, value DESC) AS v FROM d WHERE concept IN ({_FLOWS}) AND period_end - period_start BETWEEN 80 AND 100) WHERE v = 1)
+SELECT ticker, concept, period_end, filed, value FROM d WHERE concept NOT IN ({_FLOWS}) UNION ALL SELECT ticker, concept, period_end, last_filed, ttm FROM (SELECT ticker, concept, period_end, sum(value) OVER w AS ttm, max(filed) OVER w AS last_filed, count(*) OVER w AS n FROM q WINDOW w AS (PARTITION BY ticker, concept ORDER BY period_end ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)) WHERE n = 4)"""
+_ASOF = " ".join(f"ASOF LEFT JOIN (SELECT ticker AS t{i}, filed AS f{i}, arg_max(value, period_end) AS {c} FROM known WHERE concept = '{c}' GROUP BY 1, 2) k{i} ON t{i} = b.ticker AND b.date >= f{i}" for i, c in enumerate(fundamentals.RATIO_INPUTS))
+_UP = f"CASE WHEN adj_close IS NOT NULL AND lag(adj_close) OVER ({T}) IS NOT NULL THEN greatest(adj_close - lag(adj_close) OVER ({T}), 0) END"
+_DOWN = f"CASE WHEN adj_close IS NOT NULL AND lag(adj_close) OVER ({T}) IS NOT NULL THEN greatest(lag(adj_close) OVER ({T}) - adj_close, 0) END"
+_PRICE = f"""px AS MATERIALIZED (SELECT *, CASE WHEN dn = 0 AND up = 0 THEN 50 WHEN dn = 0 THEN 100 WHEN up IS NOT NULL THEN 100 - 100 / (1 + up / dn) END AS rsi_14, (adj_close - (m20 - 2 * s20)) / (4 * s20 + 1e-9) AS bb_pos,
+adj_close / m20 - 1 AS px_sma_20, ret_5d - (volume / nullif(v5, 0) - 1) AS pv_divergence FROM (SELECT *, {roll('avg', 'gain', 14)} AS up, {roll('avg', 'loss', 14)} AS dn, {roll('avg', 'adj_close', 20)} AS m20, {roll('stddev_samp', 'adj_close', 20)} AS s20,
+adj_close / {roll('avg', 'adj_close', 50)} - 1 AS px_sma_50, adj_close / {roll('max', 'adj_close', 252)} AS high_252, adj_close / {roll('max', 'adj_close', 63)} - 1 AS drawdown_63, lag(volume, 5) OVER ({T}) AS v5,
+(volume - {roll('avg', 'volume', 21)}) / nullif({roll('stddev_samp', 'volume', 21)}, 0) AS vol_z, volume / {roll('avg', 'volume', 5)} AS vol_ratio, {roll('avg', 'volume', 10)} / {roll('avg', 'volume', 21)} AS vol_trend
+FROM (SELECT *, {_UP} AS gain, {_DOWN} AS loss FROM returns)))"""
+_MEMBERS = f"""mem AS MATERIALIZED (SELECT b.*, {", ".join(fundamentals.RATIO_INPUTS)}, b.date - e.earnings_date AS days_since_earnings FROM px b {_ASOF} ASOF LEFT JOIN earnings e ON e.ticker = b.ticker AND b.date >= e.earnings_date
+WHERE EXISTS (SELECT 1 FROM stints s WHERE s.ticker = b.ticker AND b.date >= s.start_date AND (s.end_date IS NULL OR b.date < s.end_date)))"""
+_VIX = """vx AS (SELECT a.date, any_value(a.vix) AS vix, any_value(a.tnx_yield) AS tnx_yield, any_value(a.irx_yield) AS irx_yield, any_value(a.tnx_yield - a.irx_yield) AS yield_spread, any_value(a.chg) AS vix_change_5d,
+CASE WHEN any_value(a.vix) IS NOT NULL AND count(b.vix) + 1 >= 60 THEN count(*) FILTER (b.vix <= a.vix) / nullif(count(b.i), 0) END AS vix_percentile
+FROM (SELECT *, row_number() OVER (ORDER BY date) AS i, vix / nullif(lag(vix, 5) OVER (ORDER BY date), 0) - 1 AS chg FROM macro) a LEFT JOIN (SELECT vix, row_number() OVER (ORDER BY date) AS i FROM macro) b ON b.i < a.i AND b.i >= a.i - 251 GROUP BY a.date)"""
+_DAYS = f"""cal AS (SELECT date, least(60, coalesce((SELECT min(e) FROM {_EVENTS} v WHERE e >= s.date) - date, 60)) AS days_to_event, sin(2 * pi() * (month(date) - 1) / 12) AS month_sin, cos(2 * pi() * (month(date) - 1) / 12) AS month_cos,
+CAST(month(date) % 3 = 0 AS INT) AS quarter_end_month, last_day(make_date(year(date), 3 * CAST(ceil(month(date) / 3.0) AS BIGINT), 1)) - date AS days_to_quarter_end FROM sessions s)"""
+_TIMES = [*(f"ret_{n}d" for n in features.LAGS), "mom_21_5", "vol_10d", "vol_21d", "rsi_14", "px_sma_20", "px_sma_50", "bb_pos", "high_252", "drawdown_63", "vol_z", "vol_ratio", "vol_trend", "pv_divergence"]
+_RANKED, _SPREAD, _DATED = ("ret_21d", "vol_10d", "vol_z"), ("ret_5d", "ret_21d", "vol_10d"), ["vix", "vix_change_5d", "tnx_yield", "irx_yield", "yield_spread", "vix_percentile", "month_sin", "month_cos"]
+_WHOLE = f"""WITH {_KNOWN}, {_PRICE}, {_MEMBERS}, {_VIX}, {_DAYS} SELECT m.date, m.ticker, {", ".join(_TIMES)}, {", ".join(f"{pct_rank(c, 'm.date')} AS {c}_rank" for c in _RANKED)}, {", ".join(f"median({c}) OVER (PARTITION BY m.date) AS mkt_{c}" for c in _SPREAD[:2])},
+sector, {", ".join(f"{c} - median({c}) OVER (PARTITION BY m.date, sector) AS {c}_vs_sector" for c in _SPREAD)}, days_since_earnings, {", ".join(f"fund_{n}" for n in _RATIOS)}, {", ".join(_DATED)}, days_to_event, CAST(days_to_event <= 5 AS INT) AS within_5d, quarter_end_month, days_to_quarter_end
+FROM (SELECT *, {", ".join(f"{x} AS fund_{n}" for n, x in _RATIOS.items())} FROM mem) m JOIN sectors s ON s.ticker = m.ticker LEFT JOIN vx ON vx.date = m.date LEFT JOIN cal ON cal.date = m.date"""
+_WHOLE_COLUMNS = KEY + "sector days_since_earnings:int days_to_event:int within_5d:int quarter_end_month:int days_to_quarter_end:int " + " ".join(f"{c}~" for c in [*(c for c in _TIMES if c not in ("vol_ratio", "vol_trend")), *(f"{c}_rank" for c in _RANKED), "mkt_ret_5d", "mkt_ret_21d", *(f"{c}_vs_sector" for c in _SPREAD), *(f"fund_{n}" for n in _RATIOS), *_DATED[5:], "vix_change_5d"]) + " vol_ratio! vol_trend! vix! tnx_yield! irx_yield! yield_spread!"
+
+
+def whole_panel(bars, stints, sectors, macro, filings, earnings):
+    events = macro.where("day(date) = 15").select("date")
+    return features.feature_panel(bars, stints, sectors, macro, fundamentals.known_values(filings), tables.earnings_dates(earnings), events)
+
+
+@query("m09_feature_panel", _WHOLE_COLUMNS, f"SELECT * FROM ({_WHOLE})", digits=4)
+def _(t):
+    return whole_panel(t.bars, t.stints, t.sectors, t.macro, t.sql("filings"), t.sql("earnings"))
 
 
 # --- sources and set operations

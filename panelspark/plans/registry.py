@@ -15,7 +15,8 @@ _TYPES = {"int": ("int", "INTEGER"), "big": ("bigint", "BIGINT"), "str": ("strin
 
 def query(name: str, columns: str, sql: str | None = None, digits: int = 6):
     """Register a function of ``Tables``. ``columns`` lists ``name`` (as it is), ``name:type``, ``name~`` (a double,
-    rounded to ``digits``, as the engines add in different orders), or ``name%`` (a double of any size, nine digits of it as text). A last ``*~`` stands for all other columns, doubles."""
+    rounded to ``digits``, as the engines add in different orders), ``name!`` (a double to the nearest float, for values that lie
+    between two decimals), or ``name%`` (a double of any size, nine digits of it as text). A last ``*~`` stands for all other columns, doubles."""
 
     def wrap(make: Callable[[Tables], DataFrame]):
         spark_side, sql_side = [], []
@@ -28,6 +29,10 @@ def query(name: str, columns: str, sql: str | None = None, digits: int = 6):
                 c = c[:-1]
                 spark_side.append((c, digits))
                 sql_side.append(f'round(CAST("{c}" AS DOUBLE), {digits}) + 0.0 AS "{c}"')
+            elif c.endswith("!"):
+                c = c[:-1]
+                spark_side.append((c, "!"))
+                sql_side.append(f'CAST(CAST("{c}" AS FLOAT) AS DOUBLE) AS "{c}"')
             elif c.endswith("%"):
                 c = c[:-1]
                 spark_side.append((c, "%"))
@@ -49,8 +54,11 @@ def query(name: str, columns: str, sql: str | None = None, digits: int = 6):
             out = []
             named = {c for c, _ in spark_side}
             for c, how in [(n, how) for c, how in spark_side for n in ([c] if c != "*~" else [n for n in df.columns if n not in named])]:
+                if how == "!":
+                    out.append(F.col(c).cast("float").cast("double").alias(c))
+                    continue
                 if how == "%":
-                    out.append(F.format_string("%.8e", F.col(c).cast("double")).alias(c))
+                    out.append(F.when(F.col(c).isNotNull(), F.format_string("%.8e", F.col(c).cast("double"))).alias(c))
                     continue
                 x = F.ln(F.col(c)) if isinstance(how, int) and how < 0 else F.col(c)
                 how = abs(how) if isinstance(how, int) else how
