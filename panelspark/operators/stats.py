@@ -65,11 +65,11 @@ def market_exposure(df: DataFrame, portfolio: str, benchmark: str, keys: list[st
 
 def nav_returns(nav: DataFrame, keys: list[str], value: str = "nav") -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("date")
-    return nav.withColumn("ret", F.col(value) / F.lag(value).over(w) - 1)
+    return nav.withColumn("ret", F.try_divide(F.col(value), F.lag(value).over(w)) - 1)
 
 
 def drawdowns(nav: DataFrame, keys: list[str], value: str = "nav") -> DataFrame:
-    return nav.withColumn("drawdown", F.col(value) / F.max(value).over(Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    return nav.withColumn("drawdown", F.try_divide(F.col(value), F.max(value).over(Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0))) - 1)
 
 
 def downside_deviation(x: Column, target: float = 0.0) -> Column:
@@ -87,7 +87,7 @@ def performance(nav: DataFrame, keys: list[str], daily_rf: float = 0.0, cash: Da
     rows = drawdowns(nav_returns(nav, keys), keys)
     rows = rows.withColumn("x", F.col("ret") - daily_rf) if cash is None else daily_excess(rows, cash)
     m = rows.groupBy(*keys).agg(
-        (F.max_by("nav", "date") / F.min_by("nav", "date") - 1).alias("total_return"), F.count("ret").alias("days"), F.avg("x").alias("mx"), F.stddev_samp("x").alias("sx"),
+        (F.try_divide(F.max_by("nav", "date"), F.min_by("nav", "date")) - 1).alias("total_return"), F.count("ret").alias("days"), F.avg("x").alias("mx"), F.stddev_samp("x").alias("sx"),
         downside_deviation(F.col("x")).alias("dx"), F.min("drawdown").alias("max_drawdown"))
     cagr = F.pow(1 + F.col("total_return"), YEAR / F.col("days")) - 1
     return m.select(

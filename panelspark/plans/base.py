@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.windows import pct_rank_avg
 from ..operators import features, fundamentals, labels, pit
+from ..sources.stored import stored
 
 HORIZON = 10
 
@@ -60,6 +61,11 @@ class Tables:
     def prices(self) -> DataFrame:
         return labels.ffill_prices(self.grid).select("date", "ticker", "adj_close")
 
+    @cached_property
+    def stored_prices(self) -> DataFrame:
+        """``prices``, written once; for what reads them several times."""
+        return stored(self.prices)
+
     @cached_property
     def returns(self) -> DataFrame:
         return features.volatility(features.momentum(features.returns(self.bars)))

@@ -13,7 +13,7 @@ PICKED = sorted(n for n in entry.oracle_sql() if not n.startswith("op"))
 
 
 #: Books need more names than the smallest tables have; their queries run on the next larger ones.
-LARGER = {"b05_long_short", "b05_net_long_short", "b06_turnover", "b07_borrow", "b07_borrow_by_name", "b08_hedge", "b16_borrow_curve", "k04_decile_book"}
+LARGER = {"b05_long_short", "b05_net_long_short", "b06_turnover", "b07_borrow", "b07_borrow_by_name", "b08_hedge", "b16_borrow_curve", "k04_decile_book", "b16_rate_curve", "b05_cash_nav", "b07_financing"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
