@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from ..operators import cash_path as cp, selection
+from ..operators import cash_path as cp, pit, rank_hold, selection, signals
+from ..operators.stats import performance
+from ..sources.stored import stored
 from .registry import query
 from .signal_queries import perf
 
@@ -65,3 +67,53 @@ def _(t):
     """What the book traded, paid and earned; the borrow rate that its notional paid on average."""
     hard = t.stored_prices.where("ticker % 4 = 0").select("date", "ticker", F.lit(0.08).alias("rate"))
     return cp.cash_path(_periods(t), t.stored_prices, t.sessions, CASH, hard, SLIPPAGE, flat=0.01)[1]
+
+
+# --- holding by rank
+
+TOP, LEAVE, FEE_SHARE, FEE_ORDER, CAPITAL = 5, 10, 0.005, 1.0, 100_000.0
+
+_HELD = f"""rd AS (SELECT row_number() OVER (ORDER BY date) AS k, date, fill_date FROM (SELECT *, max(date) OVER (PARTITION BY isoyear(date), weekofyear(date)) AS last, lead(date) OVER (ORDER BY date) AS fill_date FROM sessions) WHERE date = last AND fill_date IS NOT NULL AND date IN (SELECT date FROM ranked)),
+rn AS MATERIALIZED (SELECT row_number() OVER (ORDER BY k) AS i, k, any_value(fill_date) AS fill_date, coalesce(list(ticker ORDER BY rk) FILTER (rk <= {LEAVE}), []) AS stay, coalesce(list(ticker ORDER BY rk) FILTER (px > 0), []) AS best FROM (SELECT rd.k, rd.fill_date, r.ticker, r.rk, p.adj_close AS px FROM rd JOIN ranked r ON r.date = rd.date LEFT JOIN prices p ON p.ticker = r.ticker AND p.date = rd.fill_date) GROUP BY k),
+mb AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS held, CAST(0 AS BIGINT) AS slots, CAST([] AS BIGINT[]) AS leave, CAST([] AS BIGINT[]) AS enter
+UNION ALL SELECT i, list_concat(kept, best[1:slots]), slots, leave, best[1:slots] FROM (SELECT i, kept, {TOP} - len(kept) AS slots, list_filter(best, lambda b: NOT list_contains(kept, b)) AS best, leave FROM (SELECT rn.i, best, list_filter(held, lambda h: list_contains(stay, h)) AS kept, list_sort(list_filter(held, lambda h: NOT list_contains(stay, h))) AS leave FROM mb JOIN rn ON rn.i = mb.i + 1))),
+ch AS MATERIALIZED (SELECT row_number() OVER (ORDER BY i, side, o) AS e, *, row_number() OVER (PARTITION BY i, side ORDER BY o) = 1 AS first FROM (SELECT i, slots, -1 AS side, unnest(leave) AS ticker, generate_subscripts(leave, 1) AS o FROM mb UNION ALL SELECT i, slots, 1, unnest(enter), generate_subscripts(enter, 1) FROM mb)),
+ev AS MATERIALIZED (SELECT ch.*, rn.k, rn.fill_date AS date, CASE WHEN p.adj_close > 0 THEN p.adj_close END AS px FROM ch JOIN rn ON rn.i = ch.i LEFT JOIN prices p ON p.ticker = ch.ticker AND p.date = rn.fill_date),
+ac AS (SELECT CAST(0 AS BIGINT) AS e, CAST({CAPITAL} AS DOUBLE) AS cash, CAST(0 AS DOUBLE) AS per, MAP([CAST(-1 AS BIGINT)], [{{'s': CAST(0 AS DOUBLE), 'p': CAST(0 AS DOUBLE)}}]) AS open, CAST(0 AS DOUBLE) AS shares, CAST(0 AS DOUBLE) AS price, CAST(0 AS DOUBLE) AS flow
+UNION ALL SELECT e, cash + flow, per, map_concat(open, MAP([ticker], [{{'s': CASE WHEN side > 0 THEN shares ELSE 0 END, 'p': price}}])), shares, price, flow FROM (SELECT *, -side * shares * price * (1 + side * {SLIPPAGE}) - CASE WHEN shares > 0 THEN shares * {FEE_SHARE} + {FEE_ORDER} ELSE 0 END AS flow FROM (
+SELECT *, CASE WHEN side > 0 THEN greatest(0, least(per / (px * (1 + {SLIPPAGE})), greatest(0, cash - {FEE_ORDER}) / (px * (1 + {SLIPPAGE}) + {FEE_SHARE}))) ELSE open[ticker].s END AS shares, coalesce(px, open[ticker].p) AS price FROM (
+SELECT ev.e, ev.side, ev.ticker, ev.px, cash, open, CASE WHEN side > 0 AND first THEN cash / slots ELSE per END AS per FROM ac JOIN ev ON ev.e = ac.e + 1)))),
+td AS MATERIALIZED (SELECT ev.e, ev.k, ev.date, ev.ticker, ev.side, shares, price, flow, shares * price * {SLIPPAGE} + CASE WHEN shares > 0 THEN shares * {FEE_SHARE} + {FEE_ORDER} ELSE 0 END AS cost FROM ac JOIN ev ON ev.e = ac.e),
+tp AS MATERIALIZED (SELECT * FROM (SELECT ticker, side, date AS entry_date, lead(date) OVER w AS exit_date, shares, -flow AS paid, lead(flow) OVER w AS received, lead(flow) OVER w / nullif(-flow, 0) - 1 AS net, cost + coalesce(lead(cost) OVER w, 0) AS cost FROM td WINDOW w AS (PARTITION BY ticker ORDER BY k, side)) WHERE side > 0),
+nv AS MATERIALIZED (SELECT s.date, {CAPITAL} + sum(coalesce(flow, 0)) OVER (ORDER BY s.date) + coalesce(marks, 0) AS nav FROM sessions s LEFT JOIN (SELECT date, sum(flow) AS flow FROM td GROUP BY 1) f ON f.date = s.date LEFT JOIN (SELECT x.date, sum(shares * x.adj_close) AS marks FROM tp JOIN prices x ON x.ticker = tp.ticker AND x.date >= entry_date AND (exit_date IS NULL OR x.date < exit_date) GROUP BY 1) m ON m.date = s.date)"""
+
+
+def _rank_hold(t):
+    k = F.row_number().over(Window.orderBy("date")).cast("long")
+    ranked = signals.rank_within_date(t.scored.where("adj_close > 0")).select("date", "ticker", "rk")
+    weekly = pit.rebalance_dates(t.sessions).join(pit.shift_sessions(t.sessions.select("date"), t.sessions, 1, "fill_date"), "date").where("fill_date is not null")
+    weekly = stored(ranked.join(F.broadcast(weekly), "date"))  # read by ranks, prices and numbers of the dates
+    fills = weekly.select("date", "fill_date").distinct().withColumn("k", k)
+    changes = stored(rank_hold.membership(weekly.select("date", "ticker", "rk"), fills, t.stored_prices, TOP, LEAVE))
+    return stored(rank_hold.trades(changes, t.stored_prices, CAPITAL, SLIPPAGE, FEE_SHARE, FEE_ORDER))
+
+
+@query("b04_trades", "k:big date ticker side:int shares! price! flow! cost!", f"SELECT * FROM (WITH RECURSIVE {_HELD} SELECT k, date, ticker, side, shares, price, flow, cost FROM td)")
+def _(t):
+    return _rank_hold(t)
+
+
+@query("b04_round_trips", "ticker entry_date exit_date shares! paid! received! net! cost!", f"SELECT * FROM (WITH RECURSIVE {_HELD} SELECT ticker, entry_date, exit_date, shares, paid, received, net, cost FROM tp)")
+def _(t):
+    return rank_hold.round_trips(_rank_hold(t))
+
+
+@query("b04_equity", "date nav!", f"SELECT * FROM (WITH RECURSIVE {_HELD} SELECT date, nav FROM nv)")
+def _(t):
+    return rank_hold.equity(_rank_hold(t), t.stored_prices, t.sessions, CAPITAL)
+
+
+@query("b04_metrics", "total_return! cagr! sharpe! sortino! max_drawdown! calmar! total_costs!", f"SELECT p.*, total_costs FROM (WITH RECURSIVE {_HELD} SELECT x.*, (SELECT sum(cost) FROM td) AS total_costs FROM {perf('nv')} x) p", digits=5)
+def _(t):
+    made = _rank_hold(t)
+    return performance(rank_hold.equity(made, t.stored_prices, t.sessions, CAPITAL), []).join(F.broadcast(made.agg(F.sum("cost").alias("total_costs"))))
