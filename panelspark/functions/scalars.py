@@ -31,8 +31,9 @@ def daily_rate(annual: Column) -> Column:
 
 
 def exposure_scale(pct: Column) -> Column:
-    """Full exposure up to the median of a risk percentile, none at its top; unknown counts as full."""
-    return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * (1 - pct))), F.lit(1.0))
+    """Share of the capital to use: whole up to the middle of a risk percentile (0 to 1), none at its top; whole if it is unknown."""
+    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * (1 - pct)))
+    return F.when(pct.isNotNull() & ~F.isnan(pct), share).otherwise(1.0)
 
 
 def decision_id(date: Column, names: Column, salt: str = "") -> Column:

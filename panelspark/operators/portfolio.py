@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.scalars import exposure_scale  # noqa: F401
 from ..functions.windows import last_known, next_known
 from .selection import SelectionRules, targets
 from .stats import downside_deviation, performance
 
 
-def cohort_legs(signals: DataFrame, prices: DataFrame, sessions: DataFrame, hold: int | Column, keys: tuple[str, ...] = (), slippage: float = 0.0) -> DataFrame:
+def cohort_legs(signals: DataFrame, prices: DataFrame, sessions: DataFrame, hold: int | Column, keys: tuple[str, ...] = (), slippage: float = 0.0, per_share: float = 0.0) -> DataFrame:
     """Legs of each signal's basket: entry at the next session, exit ``hold`` sessions later; names without a price at
-    either end drop out and the rest are weighed again.
+    either end drop out and the rest are weighed again. ``net`` is after slippage and a commission for each share at both ends.
 
     ``signals`` has keys, date, ticker, weight; ``prices`` are filled forward on the grid.
     """
@@ -24,7 +25,7 @@ def cohort_legs(signals: DataFrame, prices: DataFrame, sessions: DataFrame, hold
     legs = legs.join(entry, ["ticker", "entry_no"]).join(leave, ["ticker", "exit_no"]).where("entry_px > 0 and exit_px is not null")
     basket = Window.partitionBy(*keys, "date")
     gross = F.col("exit_px") / F.col("entry_px") - 1
-    net = (F.col("exit_px") * (1 - slippage)) / (F.col("entry_px") * (1 + slippage)) - 1
+    net = (F.col("exit_px") * (1 - slippage) - 2 * per_share) / (F.col("entry_px") * (1 + slippage)) - 1
     return legs.select(*keys, F.col("date"), "ticker", (F.col("weight") / F.sum("weight").over(basket)).alias("weight"), "entry_date", "exit_date", "entry_px", "exit_px", gross.alias("gross"), net.alias("net"))
 
 
@@ -33,19 +34,15 @@ def cohort_returns(legs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return legs.groupBy(*keys, "date").agg(F.min("entry_date").alias("entry_date"), F.min("exit_date").alias("exit_date"), F.sum(w * F.col("gross")).alias("gross"), F.sum(w * F.col("net")).alias("net"), F.count("*").alias("names"))
 
 
-def exposure_scale(percentile: Column) -> Column:
-    """Share of the capital to use: whole up to the middle percentile (0 to 1) of the volatility index, none at the top; whole if unknown."""
-    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * (1 - percentile)))
-    return F.when(percentile.isNotNull() & ~F.isnan(percentile), share).otherwise(1.0)
-
-
-def admit(cohorts: DataFrame, slots: int, capital: float, keys: tuple[str, ...] = ("config_id",), scale: str | None = None) -> DataFrame:
+def admit(cohorts: DataFrame, slots: int, capital: float, keys: tuple[str, ...] = ("config_id",), scale: str | None = None, per_order: float = 0.0) -> DataFrame:
     """Which cohorts are opened, and with how much: exits before a signal are settled, a free slot gets cash / free slots,
-    times the column ``scale`` of the cohort if there is one.
+    times the column ``scale`` of the cohort if there is one. ``net`` is after a commission for each order at both ends
+    (``names`` of the cohort), whose share of the amount is known only here.
 
     One fold over the array of a configuration's cohorts (some dozens a year); open cohorts are at most ``slots``.
     """
-    c = F.struct("date", "entry_date", "exit_date", "net", (F.col(scale) if scale else F.lit(1.0)).alias("scale"))
+    fees = F.col("names") * 2 * per_order if per_order else F.lit(0.0)
+    c = F.struct("date", "entry_date", "exit_date", "net", (F.col(scale) if scale else F.lit(1.0)).alias("scale"), fees.alias("fees"))
     path = cohorts.groupBy(*keys).agg(F.sort_array(F.collect_list(c)).alias("cs"))
     empty = F.expr("cast(array() as array<struct<date:date,exit_date:date,amount:double,net:double>>)")
 
@@ -55,7 +52,8 @@ def admit(cohorts: DataFrame, slots: int, capital: float, keys: tuple[str, ...]
         cash = state["cash"] + F.aggregate(settled, F.lit(0.0), lambda a, o: a + o["amount"] * (1 + o["net"]))
         free = F.lit(slots) - F.size(still)
         amount = F.when((free > 0) & (cash > 0), cash / F.greatest(free, F.lit(1)) * x["scale"]).otherwise(0.0)
-        opened = F.struct(x["date"].alias("date"), x["exit_date"].alias("exit_date"), amount.alias("amount"), x["net"].alias("net"))
+        net = x["net"] - F.coalesce(F.try_divide(x["fees"], amount), F.lit(0.0))
+        opened = F.struct(x["date"].alias("date"), x["exit_date"].alias("exit_date"), amount.alias("amount"), net.alias("net"))
         taken = amount > 0
         return F.struct((cash - amount).alias("cash"), F.when(taken, F.concat(still, F.array(opened))).otherwise(still).alias("open"), F.when(taken, F.concat(state["done"], F.array(opened))).otherwise(state["done"]).alias("done"))
 
@@ -63,6 +61,28 @@ def admit(cohorts: DataFrame, slots: int, capital: float, keys: tuple[str, ...]
     return path.select(*keys, F.explode(F.aggregate("cs", start, step)["done"]).alias("c")).select(*keys, "c.date", "c.exit_date", "c.amount", "c.net")
 
 
+def cohort_equity(legs: DataFrame, admitted: DataFrame, sessions: DataFrame, prices: DataFrame, capital: float, keys: tuple[str, ...], slippage: float = 0.0) -> DataFrame:
+    """keys, date, nav of all configurations: an admitted cohort's amount leaves cash at its entry, comes back with its net return at its
+    exit, and is marked between against what was paid for it. ``legs`` and ``admitted`` should be stored tables."""
+    held = legs.join(admitted.select(*keys, "date", "amount"), [*keys, "date"]).withColumn("units", F.col("amount") * F.col("weight") / (F.col("entry_px") * (1 + slippage)))
+    opened = legs.groupBy(*keys, "date").agg(F.min("entry_date").alias("entry_date"))
+    sides = F.array(F.struct(F.col("entry_date").alias("day"), (-F.col("amount")).alias("flow")), F.struct(F.col("exit_date").alias("day"), (F.col("amount") * (1 + F.col("net"))).alias("flow")))
+    flows = admitted.join(opened, [*keys, "date"]).select(*keys, F.inline(sides)).groupBy(*keys, "day").agg(F.sum("flow").alias("flow"))
+    marks = held_days(held, prices, "entry_date", "exit_date").groupBy(*keys, "day").agg(F.sum(F.col("units") * F.col("mark")).alias("marks"))
+    events = flows.select("*", F.lit(None).cast("double").alias("marks")).unionByName(marks.select(*keys, "day", F.lit(None).cast("double").alias("flow"), "marks"))
+    calendar = admitted.select(*keys).distinct().join(F.broadcast(sessions.select(F.col("date").alias("day")))).select(*keys, "day", F.lit(None).cast("double").alias("flow"), F.lit(None).cast("double").alias("marks"))
+    daily = events.unionByName(calendar).groupBy(*keys, "day").agg(F.sum("flow").alias("flow"), F.sum("marks").alias("marks"))
+    so_far = F.sum(F.coalesce("flow", F.lit(0.0))).over(Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
+    return daily.select(*keys, F.col("day").alias("date"), (capital + so_far + F.coalesce("marks", F.lit(0.0))).alias("nav"))
+
+
+def admitted_costs(admitted: DataFrame, legs: DataFrame, keys: tuple[str, ...], slippage: float, per_share: float, per_order: float) -> DataFrame:
+    """keys, n_cohorts, win_rate, total_costs (slippage and commissions by share and by order, at both ends) of the admitted cohorts."""
+    shares = legs.groupBy(*keys, "date").agg(F.sum(F.col("weight") / (F.col("entry_px") * (1 + slippage))).alias("_shares"), F.count("*").alias("_names"))
+    cost = F.col("amount") * (2 * slippage + 2 * per_share * F.col("_shares")) + 2 * per_order * F.col("_names")
+    return admitted.join(shares, [*keys, "date"]).groupBy(*keys).agg(F.count("*").alias("n_cohorts"), F.avg((F.col("net") > 0).cast("double")).alias("win_rate"), F.sum(cost).alias("total_costs"))
+
+
 def held_days(legs: DataFrame, prices: DataFrame, start: str, end: str) -> DataFrame:
     """A row for each leg and day with a price from ``start`` to before ``end``: the leg with day and mark. Joined by ticker and
     month, so that a leg meets the months it is held and not the whole history of its ticker."""

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..operators import cash_path as cp, pit, rank_hold, selection, signals
+from ..operators import cash_path as cp, pit, portfolio, rank_hold, selection, signals
 from ..operators.stats import performance
 from ..sources.stored import stored
 from .registry import query
-from .signal_queries import perf
+from .signal_queries import _WEEKLY, admission, perf
 
 RATES, CASH, SLIPPAGE, EVERY = [0.0, 0.005, 0.02, 0.05, 0.1], 0.045, 0.0005, 21
 #: Equity on each side; the names of the given tables move so much that larger books are soon spent.
@@ -98,22 +98,59 @@ def _rank_hold(t):
     return stored(rank_hold.trades(changes, t.stored_prices, CAPITAL, SLIPPAGE, FEE_SHARE, FEE_ORDER))
 
 
-@query("b04_trades", "k:big date ticker side:int shares! price! flow! cost!", f"SELECT * FROM (WITH RECURSIVE {_HELD} SELECT k, date, ticker, side, shares, price, flow, cost FROM td)")
+@query("b04_trades", "k:big date ticker side:int shares% price! flow% cost%", f"SELECT * FROM (WITH RECURSIVE {_HELD} SELECT k, date, ticker, side, shares, price, flow, cost FROM td)")
 def _(t):
     return _rank_hold(t)
 
 
-@query("b04_round_trips", "ticker entry_date exit_date shares! paid! received! net! cost!", f"SELECT * FROM (WITH RECURSIVE {_HELD} SELECT ticker, entry_date, exit_date, shares, paid, received, net, cost FROM tp)")
+@query("b04_round_trips", "ticker entry_date exit_date shares% paid% received% net! cost%", f"SELECT * FROM (WITH RECURSIVE {_HELD} SELECT ticker, entry_date, exit_date, shares, paid, received, net, cost FROM tp)")
 def _(t):
     return rank_hold.round_trips(_rank_hold(t))
 
 
-@query("b04_equity", "date nav!", f"SELECT * FROM (WITH RECURSIVE {_HELD} SELECT date, nav FROM nv)")
+@query("b04_equity", "date nav%", f"SELECT * FROM (WITH RECURSIVE {_HELD} SELECT date, nav FROM nv)")
 def _(t):
     return rank_hold.equity(_rank_hold(t), t.stored_prices, t.sessions, CAPITAL)
 
 
-@query("b04_metrics", "total_return! cagr! sharpe! sortino! max_drawdown! calmar! total_costs!", f"SELECT p.*, total_costs FROM (WITH RECURSIVE {_HELD} SELECT x.*, (SELECT sum(cost) FROM td) AS total_costs FROM {perf('nv')} x) p", digits=5)
+@query("b04_metrics", "total_return% cagr% sharpe! sortino! max_drawdown! calmar% total_costs%", f"SELECT p.*, total_costs FROM (WITH RECURSIVE {_HELD} SELECT x.*, (SELECT sum(cost) FROM td) AS total_costs FROM {perf('nv')} x) p", digits=5)
 def _(t):
     made = _rank_hold(t)
     return performance(rank_hold.equity(made, t.stored_prices, t.sessions, CAPITAL), []).join(F.broadcast(made.agg(F.sum("cost").alias("total_costs"))))
+
+
+# --- every configuration with admission, daily equity and metrics
+
+#: top_n, holding days and rank offset of each configuration; cohorts that may overlap.
+GRID, SLOTS = [(i + 1, n, h, o) for i, (n, h, o) in enumerate((n, h, o) for n in (3, 5, 10) for h in (5, 10, 20) for o in (0, 2))], 4
+
+_GRID_LEGS = f"""cf AS (SELECT * FROM (VALUES {", ".join(map(str, GRID))}) AS c(config_id, top_n, holding_days, rank_offset)),
+pk AS (SELECT config_id, holding_days, r.date, ticker, session_no, 1.0 / count(*) OVER (PARTITION BY config_id, r.date) AS w0 FROM ranked r JOIN sessions s ON s.date = r.date JOIN cf c ON r.rk > rank_offset AND r.rk <= rank_offset + top_n WHERE r.date IN (SELECT date FROM {_WEEKLY})),
+lg AS MATERIALIZED (SELECT config_id, p.date, p.ticker, w0 / sum(w0) OVER (PARTITION BY config_id, p.date) AS w, e.date AS entry_date, x.date AS exit_date, e.adj_close AS entry_px, x.adj_close AS exit_px FROM pk p JOIN numbered e ON e.spot = p.ticker * 1000000 + p.session_no + 1 AND e.adj_close > 0 JOIN numbered x ON x.spot = p.ticker * 1000000 + p.session_no + 1 + holding_days),
+{admission(f"SELECT config_id, date, min(exit_date) AS exit_date, min(entry_date) AS entry_date, sum(w * ((exit_px * (1 - {SLIPPAGE}) - 2 * {FEE_SHARE}) / (entry_px * (1 + {SLIPPAGE})) - 1)) AS net, count(*) AS names, sum(w / (entry_px * (1 + {SLIPPAGE}))) AS shares, 1.0 AS scale FROM lg GROUP BY 1, 2", SLOTS, CAPITAL, FEE_ORDER)},
+fw AS (SELECT config_id, day, sum(flow) AS flow FROM (SELECT a.config_id, entry_date AS day, -amount AS flow FROM ad a JOIN co ON co.config_id = a.config_id AND co.date = a.date UNION ALL SELECT config_id, exit_date, amount * (1 + net) FROM ad) GROUP BY 1, 2),
+mk AS (SELECT l.config_id, x.date AS day, sum(amount * w / (entry_px * (1 + {SLIPPAGE})) * x.adj_close) AS marks FROM lg l JOIN ad a ON a.config_id = l.config_id AND a.date = l.date JOIN prices x ON x.ticker = l.ticker AND x.date >= l.entry_date AND x.date < l.exit_date GROUP BY 1, 2),
+nv AS MATERIALIZED (SELECT c.config_id, s.date, {CAPITAL} + sum(coalesce(flow, 0)) OVER (PARTITION BY c.config_id ORDER BY s.date) + coalesce(marks, 0) AS nav FROM (SELECT DISTINCT config_id FROM ad) c CROSS JOIN sessions s LEFT JOIN fw ON fw.config_id = c.config_id AND fw.day = s.date LEFT JOIN mk ON mk.config_id = c.config_id AND mk.day = s.date)"""
+
+
+def _grid(t):
+    """Stored legs and admitted cohorts of all configurations: names are ranked once, every later step reads the stored tables."""
+    weekly = t.scored.join(pit.rebalance_dates(t.sessions), "date", "left_semi")
+    legs = stored(portfolio.cohort_legs(portfolio.sweep_signals(weekly, GRID), t.stored_prices, t.sessions, F.col("holding_days"), ("config_id",), SLIPPAGE, FEE_SHARE))
+    admitted = stored(portfolio.admit(portfolio.cohort_returns(legs, ("config_id",)), SLOTS, CAPITAL, per_order=FEE_ORDER))
+    return legs, admitted
+
+
+@query("b03_nav_of_all", "config_id:int date nav%", f"SELECT * FROM (WITH RECURSIVE {_GRID_LEGS} SELECT * FROM nv)")
+def _(t):
+    legs, admitted = _grid(t)
+    return portfolio.cohort_equity(legs, admitted, t.sessions, t.stored_prices, CAPITAL, ("config_id",), SLIPPAGE)
+
+
+@query("b14_sweep_metrics", "config_id:int total_return% cagr% sharpe! sortino! max_drawdown! calmar% n_cohorts:big win_rate! total_costs%", f"""SELECT * EXCLUDE (c2) FROM (WITH RECURSIVE {_GRID_LEGS} SELECT x.*, y.* FROM {perf('nv', 'config_id')} x JOIN (SELECT a.config_id AS c2, count(*) AS n_cohorts, avg(CAST(a.net > 0 AS INT)) AS win_rate,
+sum(amount * (2 * {SLIPPAGE} + 2 * {FEE_SHARE} * shares) + 2 * {FEE_ORDER} * names) AS total_costs FROM ad a JOIN co ON co.config_id = a.config_id AND co.date = a.date GROUP BY 1) y ON y.c2 = x.config_id) p""")
+def _(t):
+    """Return, ratios, drawdown, wins and costs of every configuration after admission and commissions."""
+    legs, admitted = _grid(t)
+    nav = stored(portfolio.cohort_equity(legs, admitted, t.sessions, t.stored_prices, CAPITAL, ("config_id",), SLIPPAGE))
+    return performance(nav, ["config_id"]).join(portfolio.admitted_costs(admitted, legs, ("config_id",), SLIPPAGE, FEE_SHARE, FEE_ORDER), "config_id")

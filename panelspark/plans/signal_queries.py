@@ -7,6 +7,7 @@ import functools
 
 from pyspark.sql import Window, functions as F
 
+from ..functions import scalars
 from ..operators import accounts, features, ml, pit, portfolio, quality, selection, signals, stats
 from ..sources.stored import stored
 from .base import HORIZON, pct_rank
@@ -308,14 +309,33 @@ def _weekly_cohorts(t):
     return legs, portfolio.cohort_returns(legs, ("config_id",))
 
 
-@query("b02_admission", "config_id date exit_date amount~ net~", digits=2)
+def admission(cohorts: str, slots: int, capital: float, per_order: float = 0.0) -> str:
+    """CTEs (recursive) ``co`` and ``ad``: config_id, date, exit_date, amount, net of what is admitted from ``cohorts`` (config_id, date,
+    exit_date, net, names, scale)."""
+    return f"""co AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY config_id ORDER BY date) AS i FROM ({cohorts})),
+st AS (SELECT DISTINCT config_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS DATE) AS date, CAST(NULL AS DATE) AS exit_date, CAST({capital} AS DOUBLE) AS cash, CAST([] AS STRUCT(x DATE, v DOUBLE)[]) AS open, CAST(0 AS DOUBLE) AS amount, CAST(0 AS DOUBLE) AS net FROM co
+UNION ALL SELECT config_id, i, date, exit_date, cash - amount, CASE WHEN amount > 0 THEN list_append(still, {{'x': exit_date, 'v': amount * (1 + net)}}) ELSE still END, amount, net FROM (SELECT *, net0 - CASE WHEN amount > 0 THEN 2 * names * {per_order} / amount ELSE 0 END AS net FROM (
+SELECT *, CASE WHEN {slots} - len(still) > 0 AND cash > 0 THEN cash / ({slots} - len(still)) * scale ELSE 0 END AS amount FROM (SELECT co.config_id, co.i, co.date, co.exit_date, co.net AS net0, co.names, co.scale, st.cash + coalesce(list_sum(list_transform(list_filter(open, lambda o: o.x < co.date), lambda o: o.v)), 0) AS cash, list_filter(open, lambda o: o.x >= co.date) AS still
+FROM st JOIN co ON co.config_id = st.config_id AND co.i = st.i + 1)))),
+ad AS MATERIALIZED (SELECT config_id, date, exit_date, amount, net FROM st WHERE amount > 0)"""
+
+
+_WEEKLY = "(SELECT max(date) AS date FROM sessions GROUP BY isoyear(date), weekofyear(date))"
+
+
+@query("b02_admission", "config_id date exit_date amount% net!", f"SELECT * FROM (WITH RECURSIVE {admission(f'SELECT *, 1.0 AS scale FROM cohorts WHERE date IN (SELECT date FROM {_WEEKLY})', 2, 100000.0)} SELECT * FROM ad)")
 def _(t):
     return portfolio.admit(_weekly_cohorts(t)[1], 2, 100000.0)
 
 
-@query("b02_scaled_admission", "config_id date exit_date amount~ net~", digits=2)
+_SCALE = """(SELECT a.date, CASE WHEN any_value(a.vix) IS NOT NULL AND count(b.vix) + 1 >= 60 THEN least(1, greatest(0, 2 * (1 - count(*) FILTER (b.vix <= a.vix) / count(b.i)))) ELSE 1 END AS scale
+FROM (SELECT *, row_number() OVER (ORDER BY date) AS i FROM macro) a LEFT JOIN (SELECT vix, row_number() OVER (ORDER BY date) AS i FROM macro) b ON b.i < a.i AND b.i >= a.i - 251 GROUP BY a.date)"""
+
+
+@query("b02_scaled_admission", "config_id date exit_date amount% net!", f"SELECT * FROM (WITH RECURSIVE {admission(f'SELECT c.*, coalesce(scale, 1) AS scale FROM cohorts c LEFT JOIN {_SCALE} s ON s.date = c.date WHERE c.date IN (SELECT date FROM {_WEEKLY})', 2, 100000.0)} SELECT * FROM ad)")
 def _(t):
-    vix = t.macro.select("date", portfolio.exposure_scale(F.percent_rank().over(Window.orderBy("vix"))).alias("scale"))
+    """The capital of a cohort falls with the trailing percentile of the volatility index."""
+    vix = features.macro_features(t.macro).select("date", scalars.exposure_scale(F.col("vix_percentile")).alias("scale"))
     cohorts = _weekly_cohorts(t)[1].join(F.broadcast(vix), "date", "left").fillna(1.0, "scale")
     return portfolio.admit(cohorts, 2, 100000.0, scale="scale")
 
@@ -452,7 +472,14 @@ def _(t):
     return accounts.cohort_pnl(t.sql("positions"), quotes(t), dt.date(1998, 1, 1))
 
 
-@query("b12_size_orders", "account_id ticker shares cost~", digits=2)
+_SIZED = f"""(WITH RECURSIVE tg AS MATERIALIZED (SELECT row_number() OVER (ORDER BY rk) AS i, ticker, 0.2 AS weight, adj_close AS price FROM ranked WHERE date = (SELECT max(date) FROM scored) AND rk <= 5),
+so AS (SELECT account_id, CAST(cash AS DOUBLE) AS capital, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS ticker, CAST(0 AS BIGINT) AS shares, CAST(0 AS DOUBLE) AS cost, CAST(0 AS DOUBLE) AS spent FROM accounts
+UNION ALL SELECT account_id, capital, i, ticker, shares, cost, spent + cost FROM (SELECT *, CASE WHEN shares > 0 THEN shares * (fill + 0.005) + 1.0 ELSE 0 END AS cost FROM (SELECT *, CAST(greatest(0, floor((least(weight * capital, capital - spent) - 1.0) / (fill + 0.005))) AS BIGINT) AS shares FROM (
+SELECT account_id, capital, tg.i, tg.ticker, tg.weight, tg.price * 1.0005 AS fill, spent FROM so JOIN tg ON tg.i = so.i + 1))))
+SELECT account_id, ticker, shares, cost FROM so WHERE shares > 0)"""
+
+
+@query("b12_size_orders", "account_id:big ticker shares cost~", f"SELECT * FROM {_SIZED}", digits=2)
 def _(t):
     top = selection.full_ranking(t.scored).where("rk <= 5").select("rk", "ticker", F.lit(0.2).alias("weight"), F.col("adj_close").alias("price"))
     a = t.sql("accounts").select("account_id", F.col("cash").alias("capital"))
