@@ -14,7 +14,8 @@ first); a larger benchmark is joined by a shuffle on the seed, and texts with hi
 verify every hit.
 
 Edge cases: null or empty texts, and null or empty items, match nothing. Rows are judged by id and text, so repeated rows and
-null ids keep their own verdicts. Windows cover very long texts whole. An empty benchmark flags nothing.
+null ids keep their own verdicts. Items are told by id and text: one without an id flags texts as any other, but no id is listed
+for it; repeated items count once. Windows cover very long texts whole. An empty benchmark flags nothing.
 """
 
 from __future__ import annotations
@@ -95,7 +96,8 @@ def share_equal(words: Column, item: Column, at: Column, item_at: Column) -> Col
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, text_key, item_id, at, item_at, share: the best verified overlap of each row and item."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), word_hashes(F.col(item_text_col)).alias("item")).where("item is not null")
+    item_key = F.xxhash64(item_col, item_text_col).alias("item_key")  # ids can be null or repeat
+    items = benchmark.select(F.col(item_col).alias("item_id"), item_key, word_hashes(F.col(item_text_col)).alias("item")).where("item is not null").dropDuplicates(["item_key"])
     sizes = items.groupBy(F.least(F.size("item"), F.lit(MIN_RUN)).alias("n")).agg(F.sum(F.size("item")).alias("words")).collect()  # at most MIN_RUN rows
     masks_of = {r["n"]: list(MASKS) if r["n"] == MIN_RUN else short_masks(r["n"]) for r in sizes}
     masks = sorted({m for some in masks_of.values() for m in some})
@@ -104,18 +106,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     own = {k: F.least(F.size("item"), F.lit(MIN_RUN)).isin([n for n, some in masks_of.items() if m in some]) for k, m in enumerate(masks)}
     if not masks:
         masks, own = [MASKS[0]], {}
-    listed = seeds(items, "item", masks, own).select("item_id", "seed", F.col("at").alias("item_at"))
+    listed = seeds(items, "item", masks, own).select("item_key", "seed", F.col("at").alias("item_at"))
     key = F.xxhash64(text_col).alias("text_key")
     rows = docs.select(F.col(id_col).alias("doc_id"), key, word_hashes(F.col(text_col)).alias("words")).where("words is not null")
     windows = seeds(rows, "words", masks).select("doc_id", "text_key", *(["words"] if small else []), "seed", "at")
     hits = windows.join(hint(listed), "seed").drop("seed")
     if not small:
-        hits = hits.groupBy("doc_id", "text_key", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("places"))
+        hits = hits.groupBy("doc_id", "text_key", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("places"))
         once = rows.dropDuplicates(["doc_id", "text_key"])
         hits = hits.alias("h").join(once.alias("r"), F.col("h.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("h.text_key") == F.col("r.text_key"))).select("h.*", "r.words")
         hits = hits.select("*", F.explode("places").alias("item_at")).withColumn("at", F.col("item_at") + F.col("shift")).drop("places", "shift")
     share = share_equal(F.col("words"), F.col("item"), F.col("at"), F.col("item_at"))
-    sure = hits.join(hint(items), "item_id").select("doc_id", "text_key", "item_id", "at", "item_at", share.alias("share")).where(F.col("share") >= MIN_SHARE)
+    sure = hits.join(hint(items), "item_key").select("doc_id", "text_key", "item_id", "at", "item_at", share.alias("share")).where(F.col("share") >= MIN_SHARE)
     return sure.groupBy("doc_id", "text_key", "item_id").agg(F.max(F.struct("share", "at", "item_at")).alias("best")).select("doc_id", "text_key", "item_id", "best.*")
 
 

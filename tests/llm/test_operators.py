@@ -246,6 +246,17 @@ def test_decontamination_finds_substituted_passages_and_keeps_clean(spark):
     assert decontam.flag(docs(spark, texts), bench.limit(0)).where("contaminated").count() == 0 and decontam.flag(empty(spark), bench).count() == 0
 
 
+def test_items_without_an_id_or_with_a_repeated_one_flag_texts(spark, monkeypatch):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(30)) for w in ("alpha", "beta", "gamma"))
+    bench = spark.createDataFrame([(None, a), (7, b), (7, c), (7, c)], "item_id long, text string")
+    d = spark.createDataFrame([(1, a), (2, b), (None, c), (4, "nothing " * 30)], "doc_id long, text string")
+    for limit in (decontam.MAX_BROADCAST_SEEDS, 0):
+        monkeypatch.setattr(decontam, "MAX_BROADCAST_SEEDS", limit)
+        got = {r.doc_id: (r.contaminated, r.item_ids) for r in decontam.flag(d, bench).collect()}
+        assert got == {1: (True, []), 2: (True, [7]), None: (True, [7]), 4: (False, [])}
+        assert [r.doc_id for r in decontam.remove(d, bench).collect()] == [4]
+
+
 def test_decontamination_by_shuffle_gives_the_same(spark, monkeypatch):
     bench = spark.createDataFrame([(0, words(100, 30))], "item_id bigint, text string")
     d = docs(spark, [words(5, 20) + " " + words(100, 30), words(7, 60)])
