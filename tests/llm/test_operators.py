@@ -139,6 +139,32 @@ def test_secrets_of_many_lines_and_long_or_letter_only_runs(spark):
     assert got == [25, 1, 1, 0]
 
 
+def test_planted_secrets_are_reported_and_identifiers_are_not(spark):
+    r = random.Random(11)
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    planted = ["".join(r.choice(alphabets[k % 4]) for _ in range(r.randint(20, 48))) for k in range(200)]
+    pool = "orchid harvest vessel planet cargo voyage patient nurse clinic grade student lesson tutor rental tenant meter sensor drone pilot cockpit bolt gear axle ferry harbor anchor session user token credential repository manager".split()
+
+    def identifier():
+        w = r.sample(pool, r.randint(3, 5))
+        return [w[0] + "".join(x.capitalize() for x in w[1:]), "".join(x.capitalize() for x in w), "_".join(w), "/".join(w)][r.randint(0, 3)]
+
+    identifiers = [x for x in (identifier() for _ in range(400)) if len(x) >= 16][:200]
+    filler = "plain text about nothing much with some words that differ from line to line such as".split()
+
+    def around(x):
+        return f"{' '.join(r.choices(filler, k=12))} the private key of it is {x} and {' '.join(r.choices(filler, k=12))}"
+
+    texts = [around(x) for x in planted + identifiers]
+    got = secret_scan.secret_scan(docs(spark, texts)).orderBy("doc_id").collect()
+    found = [any(s.startswith("novel") for s in g.spans.split(",")) for g in got]
+    for k in range(4):
+        assert sum(found[k:200:4]) >= 0.9 * 50
+    assert sum(found[200:]) <= 0.05 * 200
+    kept = secret_scan.mask_secrets(docs(spark, texts[200:])).orderBy("doc_id").collect()
+    assert sum(a.text != b for a, b in zip(kept, texts[200:], strict=True)) <= 10
+
+
 # --- n-gram join
 
 def near_copies():
