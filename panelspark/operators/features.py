@@ -120,9 +120,12 @@ def merge_macro(primary: DataFrame, fallback: DataFrame, columns=("vix", "tnx_yi
 
 
 def fill_score_date(macro: DataFrame, score_date, columns=("vix", "tnx_yield", "irx_yield")) -> DataFrame:
-    """The row of the score date, with each missing value from the last date before that knows it."""
-    upto = macro.where(F.col("date") <= score_date)
-    return upto.select("date", *(last_known(F.col(c), order="date").alias(c) for c in columns)).where(F.col("date") == score_date)
+    """One row for the score date (a value, or a one-row frame with ``date``): the last known value of each column up to it, whether
+    the table has a row of that date or not."""
+    on = score_date if isinstance(score_date, DataFrame) else macro.sparkSession.range(1).select(F.lit(score_date).cast("date").alias("date"))
+    on = on.select(F.col("date").alias("_on"))
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("date"))).alias(c) for c in columns]
+    return macro.join(F.broadcast(on), F.col("date") <= F.col("_on")).groupBy(F.col("_on").alias("date")).agg(*last)
 
 
 def price_panel(bars: DataFrame) -> DataFrame:

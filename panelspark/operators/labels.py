@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.windows import last_known, over_time, pct_rank_avg
 from ..schemas import require_columns
+from .gates import not_empty, two_dates
 
 
 def dense_grid(bars: DataFrame) -> DataFrame:
@@ -71,17 +72,18 @@ def scoring_rows(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def date_slice(df: DataFrame, start=None, end=None) -> DataFrame:
-    """Rows with start <= date <= end."""
+    """Rows with start <= date <= end; the query fails if there are none."""
     for cond in ([F.col("date") >= start] if start is not None else []) + ([F.col("date") <= end] if end is not None else []):
         df = df.where(cond)
-    return df
+    return not_empty(df, f"no row lies between {start} and {end}")
 
 
 def normalise_scored(df: DataFrame) -> DataFrame:
+    """date, ticker, prob, adj_close and the other columns of a scored panel; a missing column is refused at once, a panel of one date when it runs."""
     if "prob" not in df.columns and "probability" in df.columns:
         df = df.withColumnRenamed("probability", "prob")
     require_columns(df, "date", "ticker", "prob", "adj_close")
-    return df.withColumn("date", F.to_date("date"))
+    return two_dates(df.withColumn("date", F.to_date("date")))
 
 
 def train_test(df: DataFrame, train_end, test_start) -> DataFrame:

@@ -59,7 +59,9 @@ def decile_book(scored: DataFrame, share: float, min_side: int = 1) -> DataFrame
 
 
 def top_picks(scored: DataFrame, date, n: int, columns: list[str]) -> DataFrame:
-    return scored.where(F.col("date") == date).orderBy(F.desc("prob"), "ticker").limit(n).select("ticker", "prob", *columns)
+    """ticker, prob and ``columns`` of the n best names of a date, given as a value or as a one-row frame."""
+    of_date = scored.join(F.broadcast(date), "date", "left_semi") if isinstance(date, DataFrame) else scored.where(F.col("date") == date)
+    return of_date.orderBy(F.desc("prob"), "ticker").limit(n).select("ticker", "prob", *columns)
 
 
 def rank_exits(held: DataFrame, ranking: DataFrame, exit_rank: int) -> DataFrame:

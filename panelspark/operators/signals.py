@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.windows import pct_rank_avg
+from ..sources.stored import stored
 from .stats import hac_mean
 
 
@@ -100,6 +101,31 @@ def monthly_ap_auc(df: DataFrame, target: str = "target") -> DataFrame:
     return out.select("month", F.try_divide("s", "p").alias("average_precision"), F.try_divide("w", F.col("p") * (F.col("all") - F.col("p"))).alias("auc"))
 
 
+def overall_precision(df: DataFrame, k: int, target: str = "target") -> DataFrame:
+    """precision (mean over the weeks that have k rows), weeks."""
+    return weekly_precision(df, k, target).agg(F.avg("precision").alias("precision"), F.count("*").alias("weeks"))
+
+
+def overall_ap_auc(df: DataFrame, target: str = "target") -> DataFrame:
+    """n, base_rate, average_precision (a step for each distinct score), auc of all rows.
+
+    Scores of any scale are dealt to ranges; sums run within a range, and each range starts from the sums of the ranges above
+    it (a row a range), so that no task sorts all scores.
+    """
+    known = df.where(F.col(target).isNotNull() & F.col("prob").isNotNull())
+    steps = known.groupBy("prob").agg(F.sum(target).alias("pos"), F.count("*").alias("n"))
+    steps = stored(steps.repartitionByRange(F.desc("prob")).withColumn("part", F.spark_partition_id()))
+    above = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = steps.groupBy("part").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    parts = parts.select("part", F.coalesce(F.sum("pos").over(above), F.lit(0.0)).alias("_p"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("_n"))
+    whole = steps.agg(F.sum("pos").alias("p"), F.sum("n").alias("all"))
+    inside = Window.partitionBy("part").orderBy(F.desc("prob")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = steps.join(F.broadcast(parts), "part").join(F.broadcast(whole)).withColumns({"tp": F.sum("pos").over(inside) + F.col("_p"), "seen": F.sum("n").over(inside) + F.col("_n")})
+    lost = F.col("all") - F.col("seen") - (F.col("p") - F.col("tp"))  # negative rows with a lower score
+    out = rows.agg(F.max("all").alias("n"), F.max("p").alias("p"), F.sum(F.col("pos") * F.col("tp") / F.col("seen")).alias("s"), F.sum(F.col("pos") * (lost + (F.col("n") - F.col("pos")) / 2)).alias("w"))
+    return out.select("n", F.try_divide("p", "n").alias("base_rate"), F.try_divide("s", "p").alias("average_precision"), F.try_divide("w", F.col("p") * (F.col("n") - F.col("p"))).alias("auc"))
+
+
 def class_balance(df: DataFrame, target: str = "target") -> DataFrame:
     return df.agg(F.count_if(F.col(target) == 0).alias("n_neg"), F.count_if(F.col(target) == 1).alias("n_pos")).withColumn("weight", F.try_divide("n_neg", "n_pos"))
 

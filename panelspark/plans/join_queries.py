@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import borrow, features, fundamentals, labels, pit, portfolio, quality
-from ..sources import tables
+from ..sources import snapshots, tables
+from ..sources.stored import shared_folder
 from .base import HORIZON, T, pct_rank, roll
 from .registry import query
 from .window_queries import _DEDUPED, _EARLIEST, _RATE, _RATIOS, _TTM, revenue_ttm
@@ -279,6 +281,30 @@ def _(t):
     return t.sessions
 
 
+def _text_digest(columns: str) -> str:
+    return "CAST(sum(CAST('0x' || left(md5(concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '\\N')" for c in columns.split()) + ")), 8) AS BIGINT)) AS BIGINT)"
+
+
+@query("s13_snapshots", "name n_rows:big n_columns:int columns digest:big has_bytes", f"""SELECT 'sectors' AS name, count(*) AS n_rows, 2 AS n_columns, 'ticker,sector' AS columns, {_text_digest('ticker sector')} AS digest, true AS has_bytes FROM sectors
+UNION ALL SELECT 'stints', count(*), 3, 'ticker,start_date,end_date', {_text_digest('ticker start_date end_date')}, true FROM stints""")
+def _(t):
+    """Two tables written as audited snapshots; the log of what was committed."""
+    folder = f"{shared_folder(t.spark)}/{uuid.uuid4().hex}"
+    for name, df in (("sectors", t.sectors), ("stints", t.stints)):
+        snapshots.write_snapshot(df, folder, name)
+    return snapshots.snapshot_log(t.spark, folder).withColumn("has_bytes", F.col("bytes") > 0)
+
+
+@query("s16_landing", "ticker landed_on n:big", """SELECT s.ticker, CASE WHEN s.ticker % 3 = 0 THEN DATE '2001-07-10' ELSE DATE '2001-06-01' END AS landed_on, CASE WHEN s.ticker % 3 = 0 AND s.ticker % 2 = 0 THEN 2 WHEN s.ticker % 3 <> 0 AND s.ticker % 5 <> 0 THEN 1 ELSE 0 END AS n FROM sectors s""")
+def _(t):
+    """All tickers land once, those of a stale third again later: answers, empty answers, and what is left as it was."""
+    folder, old = f"{shared_folder(t.spark)}/{uuid.uuid4().hex}", t.sectors.select("ticker")
+    snapshots.land(old.where("ticker % 5 <> 0").withColumn("value", F.lit(1.0)), old, folder, D(2001, 6, 1))
+    stale = old.where("ticker % 3 = 0")
+    snapshots.land(stale.where("ticker % 2 = 0").select("ticker", F.explode(F.array(F.lit(2.0), F.lit(3.0))).alias("value")), stale, folder, D(2001, 7, 10))
+    return snapshots.landings(t.spark, folder)
+
+
 @query("s13_content_hash", "n_rows hash")
 def _(t):
     return quality.content_hash(t.sectors)

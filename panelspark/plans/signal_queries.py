@@ -8,7 +8,7 @@ import functools
 from pyspark.sql import Window, functions as F
 
 from ..functions import scalars
-from ..operators import accounts, features, ml, pit, portfolio, quality, selection, signals, stats
+from ..operators import accounts, features, gates, ml, pit, portfolio, quality, selection, signals, stats
 from ..sources.stored import stored
 from .base import HORIZON, pct_rank
 from .join_queries import _TWO, two_navs
@@ -50,6 +50,19 @@ def _(t):
     return quality.coverage(t.sectors, t.bars.where("date < DATE '1995-02-01'"))
 
 
+@query("a03_coverage_by_cohort", "cohort n_requested:big n_covered:big coverage~", """SELECT cohort, count(*) AS n_requested, count(*) FILTER (n > 0) AS n_covered, count(*) FILTER (n > 0) / count(*) AS coverage FROM (SELECT s.ticker, n, unnest(['all', CASE WHEN c.ticker IS NULL THEN 'departed' ELSE 'current' END]) AS cohort
+FROM (SELECT DISTINCT ticker FROM sectors) s LEFT JOIN (SELECT ticker, count(*) AS n FROM bars WHERE date < DATE '1995-02-01' GROUP BY 1) b ON b.ticker = s.ticker LEFT JOIN (SELECT DISTINCT ticker FROM stints WHERE end_date IS NULL) c ON c.ticker = s.ticker) GROUP BY 1""")
+def _(t):
+    """How much of the current members, and of those that left, a download covers."""
+    return gates.coverage_by_cohort(t.sectors, t.bars.where("date < date'1995-02-01'"), pit.current_members(t.stints))
+
+
+@query("a03_covered_bars", KEY + "adj_close^", "SELECT date, ticker, adj_close FROM bars")
+def _(t):
+    """Bars behind the gate: fails if less than nine tenths of the current members have a price."""
+    return gates.covered(t.bars, t.sectors, pit.current_members(t.stints), 0.9)
+
+
 _LAST = "(SELECT t.ticker, coalesce(k, 0) / 60 AS coverage FROM (SELECT DISTINCT ticker FROM bars) t LEFT JOIN (SELECT ticker, count(*) FILTER (adj_close > 0) AS k FROM bars WHERE date IN (SELECT date FROM sessions ORDER BY date DESC LIMIT 60) GROUP BY ticker) b ON b.ticker = t.ticker)"
 
 
@@ -123,6 +136,20 @@ def _(t):
     return signals.monthly_ap_auc(t.labelled)
 
 
+@query("a15_overall_precision", "precision~ weeks:big", "SELECT avg(precision) AS precision, count(*) AS weeks FROM (SELECT week, avg(target) AS precision FROM (SELECT *, row_number() OVER (PARTITION BY week ORDER BY prob DESC, ticker, date) AS k FROM (SELECT *, CAST(date_trunc('week', date) AS DATE) AS week FROM labelled WHERE target IS NOT NULL)) WHERE k <= 10 GROUP BY week HAVING count(*) >= 10)")
+def _(t):
+    return signals.overall_precision(t.labelled, 10)
+
+
+_ALL_STEPS = "(SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS seen, sum(pos) OVER () AS p, sum(n) OVER () AS total FROM (SELECT prob, sum(target) AS pos, count(*) AS n FROM labelled WHERE target IS NOT NULL GROUP BY 1) WINDOW w AS (ORDER BY prob DESC))"
+
+
+@query("a16_overall_ap_auc", "n:big base_rate~ average_precision~ auc~", f"SELECT any_value(total) AS n, any_value(p) / any_value(total) AS base_rate, sum(pos * tp / seen) / nullif(any_value(p), 0) AS average_precision, sum(pos * ((total - seen) - (p - tp) + (n - pos) / 2)) / nullif(any_value(p) * (any_value(total) - any_value(p)), 0) AS auc FROM {_ALL_STEPS}")
+def _(t):
+    """Over all rows, whatever the scale of the scores."""
+    return signals.overall_ap_auc(t.labelled)
+
+
 _PERF_COLUMNS = "total_return~ cagr~ sharpe~ sortino~ max_drawdown~ calmar~"
 
 
@@ -150,7 +177,7 @@ def _(t):
 
 @query("a17_cohort_costs", "config_id:int cost~ win_rate~", "SELECT config_id, sum(gross - net) AS cost, avg(CAST(net > 0 AS INT)) AS win_rate FROM cohorts GROUP BY 1", digits=5)
 def _(t):
-    legs = portfolio.cohort_legs(portfolio.sweep_signals(t.scored, t.configs), t.prices, t.sessions, F.col("holding_days"), ("config_id",), 0.0005)
+    legs = portfolio.cohort_legs(portfolio.sweep_signals(t.scored, t.configs), t.stored_prices, t.sessions, F.col("holding_days"), ("config_id",), 0.0005)
     return portfolio.cohort_costs(portfolio.cohort_returns(legs, ("config_id",)), ("config_id",))
 
 
@@ -274,7 +301,8 @@ def _(t):
 
 @query("k05_top_picks", "ticker prob~", "SELECT ticker, prob FROM ranked WHERE date = (SELECT max(date) FROM scored) AND rk <= 10", digits=5)
 def _(t):
-    return selection.top_picks(t.scored, t.scored.agg(F.max("date")).first()[0], 10, [])
+    scored = stored(t.scored)
+    return selection.top_picks(scored, scored.agg(F.max("date").alias("date")), 10, [])
 
 
 @query("k06_rank_exits", "account_id:big ticker", "SELECT account_id, p.ticker FROM positions p LEFT JOIN (SELECT * FROM ranked WHERE date = (SELECT max(date) FROM scored)) r ON r.ticker = p.ticker WHERE r.rk IS NULL OR r.rk > 5")
@@ -284,7 +312,7 @@ def _(t):
 
 @query("k07_best_configs", "place:int config_id:int n_cohorts:big sharpe~ sortino~", "SELECT *, row_number() OVER (ORDER BY sharpe DESC NULLS LAST, sortino DESC NULLS LAST, config_id) AS place FROM (SELECT config_id, count(*) AS n_cohorts, avg(net) / nullif(stddev_samp(net), 0) * sqrt(252 / max(days)) AS sharpe, avg(net) / nullif(sqrt(avg(pow(least(net, 0), 2))), 0) * sqrt(252 / max(days)) AS sortino FROM (SELECT c.*, CASE c.config_id WHEN 3 THEN 20.0 ELSE 10.0 END AS days FROM cohorts c) GROUP BY 1) WHERE n_cohorts >= 10 LIMIT 10", digits=5)
 def _(t):
-    r = portfolio.sweep(t.scored, t.configs, t.prices, t.sessions)
+    r = portfolio.sweep(t.scored, t.configs, t.stored_prices, t.sessions)
     days = F.create_map(*(F.lit(v) for c in t.configs for v in (c[0], float(c[2]))))[F.col("config_id")]
     a_year = F.sqrt(252 / days)
     return selection.best_configs(r.withColumns({"sharpe": F.try_divide("mean_net", "std_net") * a_year, "sortino": F.try_divide("mean_net", "downside") * a_year}), 10)
@@ -299,13 +327,13 @@ def _(t):
 
 @query("b01_cohorts", "config_id:int date entry_date exit_date gross~ net~ names:big", "SELECT * FROM cohorts")
 def _(t):
-    legs = portfolio.cohort_legs(portfolio.sweep_signals(t.scored, t.configs), t.prices, t.sessions, F.col("holding_days"), ("config_id",), 0.0005)
+    legs = portfolio.cohort_legs(portfolio.sweep_signals(t.scored, t.configs), t.stored_prices, t.sessions, F.col("holding_days"), ("config_id",), 0.0005)
     return portfolio.cohort_returns(legs, ("config_id",))
 
 
 def _weekly_cohorts(t):
     weekly = t.scored.join(pit.rebalance_dates(t.sessions), "date", "left_semi")
-    legs = portfolio.cohort_legs(portfolio.sweep_signals(weekly, t.configs), t.prices, t.sessions, F.col("holding_days"), ("config_id",), 0.0005)
+    legs = portfolio.cohort_legs(portfolio.sweep_signals(weekly, t.configs), t.stored_prices, t.sessions, F.col("holding_days"), ("config_id",), 0.0005)
     return legs, portfolio.cohort_returns(legs, ("config_id",))
 
 
@@ -348,8 +376,8 @@ LEFT JOIN (SELECT day, sum(flow) AS flow FROM (SELECT entry_date AS day, -units
 LEFT JOIN (SELECT p.date AS day, sum(units * p.adj_close) AS marks FROM {_NAV_LEGS} l JOIN prices p ON p.ticker = l.ticker AND p.date >= l.entry_date AND p.date < l.exit_date GROUP BY 1) m ON m.day = s.date""", digits=3)
 def _(t):
     some = t.scored.join(t.sessions.where("session_no % 21 = 0").select("date"), "date", "left_semi")
-    legs = portfolio.cohort_legs(portfolio.sweep_signals(some, t.configs[:1]), t.prices, t.sessions, F.col("holding_days"), (), 0.0005)
-    return portfolio.daily_nav(legs, legs.select("date").distinct().withColumn("amount", F.lit(1000.0)), t.sessions, t.prices, 100000.0)
+    legs = stored(portfolio.cohort_legs(portfolio.sweep_signals(some, t.configs[:1]), t.stored_prices, t.sessions, F.col("holding_days"), (), 0.0005))
+    return portfolio.daily_nav(legs, legs.select("date").distinct().withColumn("amount", F.lit(1000.0)), t.sessions, t.stored_prices, 100000.0)
 
 
 _HOLD = "(SELECT d.date, k.ticker, r.rk FROM (SELECT max(date) AS date FROM sessions GROUP BY isoyear(date), weekofyear(date)) d CROSS JOIN (SELECT DISTINCT ticker FROM scored) k LEFT JOIN ranked r ON r.date = d.date AND r.ticker = k.ticker)"
@@ -366,7 +394,7 @@ def _(t):
 def _periods(t):
     fills = pit.every_kth(t.sessions, 21).select("date", F.floor((F.col("session_no") - 1) / 21).alias("k"), "fill_date")
     fills = fills.withColumn("next_fill", F.lead("fill_date").over(Window.orderBy("k")))
-    return portfolio.long_short_periods(selection.decile_book(t.scored, 0.1), t.prices, fills)
+    return stored(portfolio.long_short_periods(selection.decile_book(t.scored, 0.1), t.stored_prices, fills))
 
 
 @query("b05_long_short", "k:big factor~ nav~ ruined", "SELECT k, factor, CASE WHEN min(factor) OVER (ORDER BY k) <= 0 THEN 0 ELSE product(factor) OVER (ORDER BY k) END AS nav, min(factor) OVER (ORDER BY k) <= 0 AS ruined FROM (SELECT k, 1 + sum(weight * (growth - 1)) AS factor FROM periods GROUP BY k)", digits=5)
@@ -385,21 +413,21 @@ def _(t):
 
 @query("b07_borrow", "k:big borrow~", "SELECT k, sum(-weight * x.adj_close / p0 * 0.01 / 252) AS borrow FROM periods p JOIN prices x ON x.ticker = p.ticker AND x.date >= fill_date AND x.date < next_fill WHERE weight < 0 GROUP BY k", digits=7)
 def _(t):
-    none = t.prices.select("date", "ticker", F.lit(None).cast("double").alias("rate")).where("date is null")
-    return portfolio.borrow_accrual(_periods(t), t.prices, none, 0.01)
+    none = t.stored_prices.select("date", "ticker", F.lit(None).cast("double").alias("rate")).where("date is null")
+    return portfolio.borrow_accrual(_periods(t), t.stored_prices, none, 0.01)
 
 
 _BY_NAME = "SELECT k, sum(-weight * x.adj_close / p0 * CASE WHEN p.ticker % 4 = 0 THEN 0.08 ELSE 0.01 END / 252) AS borrow FROM periods p JOIN prices x ON x.ticker = p.ticker AND x.date >= fill_date AND x.date < next_fill WHERE weight < 0 GROUP BY k"
 
 
-def _borrow_by_name(t):
-    hard = t.prices.where("ticker % 4 = 0").select("date", "ticker", F.lit(0.08).alias("rate"))
-    return portfolio.borrow_accrual(_periods(t), t.prices, hard, 0.01)
+def _borrow_by_name(t, periods):
+    hard = t.stored_prices.where("ticker % 4 = 0").select("date", "ticker", F.lit(0.08).alias("rate"))
+    return portfolio.borrow_accrual(periods, t.stored_prices, hard, 0.01)
 
 
 @query("b07_borrow_by_name", "k:big borrow~", _BY_NAME, digits=7)
 def _(t):
-    return _borrow_by_name(t)
+    return _borrow_by_name(t, _periods(t))
 
 
 @query("b05_net_long_short", "k:big factor~ nav~ ruined", f"""SELECT k, factor, CASE WHEN min(factor) OVER (ORDER BY k) <= 0 THEN 0 ELSE product(factor) OVER (ORDER BY k) END AS nav, min(factor) OVER (ORDER BY k) <= 0 AS ruined FROM (
@@ -407,7 +435,7 @@ SELECT g.k, g.f - 0.001 * coalesce(turnover, 0) - coalesce(borrow, 0) AS factor
 def _(t):
     """The book's equity after trading costs and borrow fees by name."""
     periods = _periods(t)
-    return portfolio.long_short_nav(periods, 0.001, portfolio.book_turnover(periods), _borrow_by_name(t))
+    return portfolio.long_short_nav(periods, 0.001, portfolio.book_turnover(periods), _borrow_by_name(t, periods))
 
 
 @query("b08_hedge", KEY + "weight~", "SELECT date, ticker, weight FROM book UNION ALL SELECT DISTINCT b.date, -1, -0.29 FROM book b JOIN benchmark_px x ON x.date = b.date")
@@ -417,24 +445,24 @@ def _(t):
 
 @query("b14_sweep", "config_id:int n_cohorts:big mean_net~ std_net~ win_rate~", "SELECT config_id, count(*) AS n_cohorts, avg(net) AS mean_net, stddev_samp(net) AS std_net, avg(CAST(net > 0 AS INT)) AS win_rate FROM cohorts GROUP BY 1")
 def _(t):
-    return portfolio.sweep(t.scored, t.configs, t.prices, t.sessions)
+    return portfolio.sweep(t.scored, t.configs, t.stored_prices, t.sessions)
 
 
 @query("b15_alpha_ladder", "config_id beta~ alpha_annual~ t_alpha~", digits=5)
 def _(t):
     """Each cohort's return against the benchmark's over the same days, a regression for each configuration."""
-    held = portfolio.cohort_returns(portfolio.cohort_legs(portfolio.sweep_signals(t.scored, t.configs), t.prices, t.sessions, F.col("holding_days"), ("config_id",)), ("config_id",))
+    held = portfolio.cohort_returns(portfolio.cohort_legs(portfolio.sweep_signals(t.scored, t.configs), t.stored_prices, t.sessions, F.col("holding_days"), ("config_id",)), ("config_id",))
     held = held.select("config_id", "date", "entry_date", "exit_date", "gross")
     a, b = (t.benchmark.select(F.col("date").alias(d), F.col("close").alias(c)) for d, c in (("entry_date", "b0"), ("exit_date", "b1")))
-    both = held.join(a, "entry_date").join(b, "exit_date").withColumn("bench", F.col("b1") / F.col("b0") - 1)
+    both = stored(held.join(a, "entry_date").join(b, "exit_date").withColumn("bench", F.col("b1") / F.col("b0") - 1))
     ladder = [stats.market_exposure(both.where(F.col("config_id") == c[0]), "gross", "bench", ["config_id"], c[2], 252 / c[2]) for c in t.configs]
     return functools.reduce(lambda x, y: x.unionByName(y), ladder)
 
 
 @query("b16_borrow_curve", "annual~ borrow~", "SELECT annual, sum(-weight * x.adj_close / p0 * annual / 252) AS borrow FROM periods p JOIN prices x ON x.ticker = p.ticker AND x.date >= fill_date AND x.date < next_fill CROSS JOIN (VALUES (0.01), (0.1), (0.2)) v(annual) WHERE weight < 0 GROUP BY annual", digits=5)
 def _(t):
-    none = t.prices.select("date", "ticker", F.lit(None).cast("double").alias("rate")).where("date is null")
-    unit = portfolio.borrow_accrual(_periods(t), t.prices, none, 1.0).agg(F.sum("borrow").alias("b")).where("b is not null")
+    none = t.stored_prices.select("date", "ticker", F.lit(None).cast("double").alias("rate")).where("date is null")
+    unit = portfolio.borrow_accrual(_periods(t), t.stored_prices, none, 1.0).agg(F.sum("borrow").alias("b")).where("b is not null")
     return unit.select(F.explode(F.array(F.lit(0.01), F.lit(0.1), F.lit(0.2))).alias("annual"), "b").withColumn("borrow", F.col("b") * F.col("annual"))
 
 

@@ -152,7 +152,7 @@ def _(t):
 
 @query("w20_fill_score_date", "date vix^ tnx_yield^ irx_yield^", "SELECT date, " + ", ".join(f"last_value({c} IGNORE NULLS) OVER (ORDER BY date) AS {c}" for c in ("vix", "tnx_yield", "irx_yield")) + " FROM macro QUALIFY date = (SELECT max(date) FROM macro)")
 def _(t):
-    return features.fill_score_date(t.macro, t.macro.agg(F.max("date")).first()[0])
+    return features.fill_score_date(t.macro, t.macro.agg(F.max("date").alias("date")))
 
 
 @query("w21_drawdown", "date drawdown~", "SELECT date, nav / max(nav) OVER (ORDER BY date) - 1 AS drawdown FROM bnav")

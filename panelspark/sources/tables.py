@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.scalars import normalise_ticker
 from ..functions.windows import last_known
+from ..operators.gates import not_empty
 from ..schemas import SCORED, STINTS
 
 
@@ -90,7 +91,8 @@ def union_later_wins(batches: list[DataFrame]) -> DataFrame:
 
 
 def live_universe(trained: DataFrame, current: DataFrame) -> DataFrame:
-    return trained.select("ticker").intersect(current.select("ticker"))
+    """Tickers of both; the query fails if there are none, as a model that old has nothing to trade."""
+    return not_empty(trained.select("ticker").intersect(current.select("ticker")), "no trained ticker is a member now")
 
 
 def departed(trained: DataFrame, current: DataFrame) -> DataFrame:
