@@ -20,6 +20,14 @@ def to_wide(df: DataFrame, tickers: list, value: str) -> DataFrame:
     return df.groupBy("date").pivot("ticker", tickers).agg(F.first(value, ignorenulls=True))
 
 
+def to_arrays(df: DataFrame, values: list[str]) -> DataFrame:
+    """A row a date: ``tickers`` in order, and an array of each of ``values`` in the same order. Like a wide frame, but no column and no
+    driver has to know the tickers."""
+    day = F.sort_array(F.collect_list(F.struct("ticker", *values)))
+    rows = df.groupBy("date").agg(day.alias("_day"))
+    return rows.select("date", F.col("_day.ticker").alias("tickers"), *(F.col(f"_day.{c}").alias(c) for c in values))
+
+
 def forward_returns(grid: DataFrame, horizon: int, price: str = "adj_close") -> DataFrame:
     """Return over the next ``horizon`` grid rows of the ticker."""
     return grid.withColumn("fwd_ret", F.try_divide(F.lead(price, horizon).over(over_time()), F.col(price)) - 1)

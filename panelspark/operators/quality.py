@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation, Window, functions as F
 
+from .gates import gated
+
 
 def coverage(requested: DataFrame, bars: DataFrame) -> DataFrame:
     """n_requested, n_covered, coverage: share of requested tickers with any price."""
@@ -67,15 +69,16 @@ def freshness(tables: DataFrame, sessions: DataFrame, as_of, max_age_years: floa
     return old.unionByName(late).orderBy(F.when(F.col("severity") == "error", 0).otherwise(1), "name", "kind")
 
 
-def gate_scores(scored: DataFrame, probability_weighted: bool, regime: str | None = None) -> None:
-    """Raise if scores are negative under probability weighting, or the regime column is absent or empty. One small aggregate."""
+def gate_scores(scored: DataFrame, probability_weighted: bool, regime: str | None = None) -> DataFrame:
+    """``scored``; the query fails if scores are negative under probability weighting, or if no value of the regime column is known.
+    A missing column is refused at once."""
     if regime is not None and regime not in scored.columns:
         raise ValueError(f"missing column: {regime}")
-    got = scored.agg(F.min("prob").alias("least"), F.count(regime or "prob").alias("known")).first()
-    if probability_weighted and got["least"] is not None and got["least"] < 0:
-        raise ValueError("negative scores cannot be weights")
-    if regime is not None and not got["known"]:
-        raise ValueError(f"no value of {regime} is known")
+    if probability_weighted:
+        scored = gated(scored, scored.agg(F.coalesce(F.min("prob"), F.lit(0.0)).alias("least")), F.col("least") >= 0, "negative scores cannot be weights")
+    if regime is not None:
+        scored = gated(scored, scored.agg(F.count(regime).alias("known")), F.col("known") > 0, f"no value of {regime} is known")
+    return scored
 
 
 def write_audited(df: DataFrame, path: str) -> dict:

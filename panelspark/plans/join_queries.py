@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import borrow, features, fundamentals, labels, pit, portfolio, quality
 from ..sources import snapshots, tables
-from ..sources.stored import shared_folder
+from ..sources.stored import shared_folder, stored
 from .base import HORIZON, T, pct_rank, roll
 from .registry import query
 from .window_queries import _DEDUPED, _EARLIEST, _RATE, _RATIOS, _TTM, revenue_ttm
@@ -310,10 +310,20 @@ def _(t):
     return quality.content_hash(t.sectors)
 
 
-@query("s14_wide_to_long", "date ticker adj_close^ volume~", "SELECT date, CAST(ticker AS VARCHAR) AS ticker, adj_close, volume FROM bars")
+@query("s14_wide_to_long", "date ticker:big adj_close^ volume~", "SELECT * FROM bars")
 def _(t):
-    names = [r[0] for r in t.sectors.select("ticker").distinct().orderBy("ticker").collect()]
-    return tables.wide_to_long(labels.to_wide(t.bars, names, "adj_close"), labels.to_wide(t.bars, names, "volume"), [str(n) for n in names])
+    return tables.arrays_to_long(labels.to_arrays(t.bars, ["adj_close"]), labels.to_arrays(t.bars, ["volume"]))
+
+
+@query("s01_read_scored", "source date ticker prob~", "SELECT source, date, ticker, prob FROM scored CROSS JOIN (VALUES ('parquet'), ('csv')) v(source)", digits=5)
+def _(t):
+    """A scored panel written as partitioned Parquet and as one CSV, and read by suffix."""
+    folder = f"{shared_folder(t.spark)}/{uuid.uuid4().hex}"
+    panel = stored(t.scored.select("date", "ticker", "prob", "adj_close"))
+    tables.write_panel(panel, f"{folder}/panel.parquet")
+    tables.write_report(panel.withColumn("ticker", F.col("ticker").cast("string")), f"{folder}/report.csv")
+    made = [tables.read_scored(t.spark, f"{folder}/{n}").select(F.lit(n.rsplit(".", 1)[1]).alias("source"), "date", F.col("ticker").cast("long").alias("ticker"), "prob") for n in ("panel.parquet", "report.csv")]
+    return made[0].unionByName(made[1])
 
 
 @query("s16_work_list", "ticker", "SELECT ticker FROM sectors WHERE ticker % 2 = 1 OR ticker % 4 = 0")

@@ -8,7 +8,7 @@ import functools
 from pyspark.sql import Window, functions as F
 
 from ..functions import scalars
-from ..operators import accounts, features, gates, ml, pit, portfolio, quality, selection, signals, stats
+from ..operators import accounts, features, gates, labels, ml, pit, portfolio, quality, selection, signals, stats
 from ..sources.stored import stored
 from .base import HORIZON, pct_rank
 from .join_queries import _TWO, two_navs
@@ -76,6 +76,18 @@ def _(t):
     return quality.thin_names(t.bars, 60, 0.2)
 
 
+@query("p12_thin_names", KEY + "prob~", f"SELECT date, ticker, prob FROM scored WHERE ticker NOT IN (SELECT ticker FROM {_LAST} WHERE coverage < 0.2)", digits=5)
+def _(t):
+    """Scores without the names that hardly trade of late."""
+    return labels.without(t.scored, quality.thin_names(t.bars, 60, 0.2))
+
+
+@query("p07_gated_scores", KEY + "prob~", "SELECT date, ticker, prob FROM scored", digits=5)
+def _(t):
+    """Scores behind the gate of probability weighting and of a known regime."""
+    return quality.gate_scores(stored(t.scored.join(F.broadcast(t.macro.select("date", "vix")), "date", "left")), True, "vix")
+
+
 @query("a06_insider_daily", "ticker date value~ buyers:big unplanned:big", "SELECT ticker, filed AS date, sum(value) AS value, count(DISTINCT owner) AS buyers, count(*) FILTER (NOT planned) AS unplanned FROM insider GROUP BY 1, 2", digits=2)
 def _(t):
     return signals.insider_daily(t.sql("insider").withColumnRenamed("filed", "date"))
@@ -592,7 +604,7 @@ def _(t):
     return ml.score(model, df.where("date >= date'1998-01-01'"), ml.FEATURES)
 
 
-@query("d03_evaluator", "metric~")
+@query("d03_evaluator", "metric~", f"SELECT avg(x) AS metric FROM (SELECT date, CASE WHEN count(*) > 5 THEN avg(fwd_ret) FILTER (k <= 5) - any_value(u) ELSE 0 END AS x FROM {_RANKS} GROUP BY date)")
 def _(t):
     value = ml.TopNExcess(top_n=5).evaluate(t.scored.withColumnRenamed("prob", "prediction"))
     return t.spark.createDataFrame([(float(value),)], "metric double")

@@ -193,9 +193,11 @@ def _(t):
     return t.grid.withColumn("has_bar", F.col("adj_close").isNotNull())
 
 
-@query("p02_wide", "date *~", "SELECT * FROM (PIVOT (SELECT date, ticker, adj_close FROM bars) ON ticker USING max(adj_close) GROUP BY date)", digits=8)
+@query("p02_wide", "date tickers prices", "SELECT date, string_agg(CAST(ticker AS VARCHAR), ',' ORDER BY ticker) AS tickers, string_agg(CAST(CAST(floor(adj_close * 10000 + 0.5) AS BIGINT) AS VARCHAR), ',' ORDER BY ticker) AS prices FROM bars GROUP BY date")
 def _(t):
-    return labels.to_wide(t.bars, [r[0] for r in t.sectors.select("ticker").distinct().orderBy("ticker").collect()], "adj_close")
+    """A row a date with the prices of all its tickers, in ten-thousandths."""
+    wide, text = labels.to_arrays(t.bars, ["adj_close"]), lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
+    return wide.select("date", text("tickers").alias("tickers"), text(F.transform("adj_close", lambda x: F.floor(x * 10000 + 0.5))).alias("prices"))
 
 
 @query("p03_row_roles", KEY + "is_tradable has_label target~", "SELECT date, ticker, coalesce(adj_close > 0, false) AS is_tradable, fwd_ret IS NOT NULL AS has_label, CASE WHEN fwd_ret IS NOT NULL THEN CAST(fwd_ret >= 0.05 AS DOUBLE) END AS target FROM fwd")

@@ -69,6 +69,12 @@ def wide_to_long(prices: DataFrame, volumes: DataFrame, tickers: list[str]) -> D
     return p.join(v, ["date", "ticker"], "full_outer")
 
 
+def arrays_to_long(prices: DataFrame, volumes: DataFrame) -> DataFrame:
+    """Two frames of a row a date (``tickers`` and an array ``adj_close`` or ``volume``) to long bars; a cell known to either stays."""
+    long = [df.select("date", F.inline(F.arrays_zip(F.col("tickers").alias("ticker"), c))).where(F.col(c).isNotNull()) for df, c in ((prices, "adj_close"), (volumes, "volume"))]
+    return long[0].join(long[1], ["date", "ticker"], "full_outer")
+
+
 def work_list(requested: DataFrame, landed: DataFrame, as_of, max_age_days: int) -> DataFrame:
     """Requested tickers that have not landed, or landed too long ago; empty landings count as landed."""
     fresh = landed.where(F.datediff(F.lit(as_of).cast("date"), F.col("landed_on")) <= max_age_days)

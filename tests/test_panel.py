@@ -132,8 +132,9 @@ def test_orders_stay_inside_the_budget(spark):
 
 def test_gates_and_audit(spark, tmp_path):
     s = spark.createDataFrame([(-1.0,)], "prob double")
-    with pytest.raises(ValueError):
-        quality.gate_scores(s, True)
+    with pytest.raises(Exception, match="negative scores"):
+        quality.gate_scores(s, True).collect()
+    assert quality.gate_scores(s, False).count() == 1
     with pytest.raises(ValueError):
         quality.gate_scores(s, False, "vix_percentile")
     assert quality.write_audited(s, str(tmp_path / "t"))["rows"] == 1
