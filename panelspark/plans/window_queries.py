@@ -299,7 +299,7 @@ def _(t):
     return t.macro.withColumn("rate", scalars.daily_rate(F.col("irx_yield") / 100))
 
 
-@query("f06_exposure_scale", "date scale~", "SELECT date, coalesce(least(1, greatest(0, 2 * (1 - tnx_yield / 5))), 1) AS scale FROM macro")
+@query("f06_exposure_scale", "date scale~", "SELECT date, CASE WHEN tnx_yield IS NULL THEN 1 ELSE least(1, greatest(0, 2 * (1 - tnx_yield / 5))) END AS scale FROM macro")
 def _(t):
     return t.macro.withColumn("scale", scalars.exposure_scale(F.col("tnx_yield") / 5))
 
