@@ -7,6 +7,9 @@ it starts and ends in the rendered dialogue (code points), and the range to lear
 end mark of the assistant's own turns. Joining a perspective's segments in order gives the dialogue; no task
 holds a whole dialogue, however long.
 
+What stands in a text or a name cannot forge a turn: a mark's opening ``<|im_`` there gets a backslash, ``<|\\im_``, and one more if it
+has some already, so that taking one away gives the text back (``unescaped``); line ends in a name become spaces.
+
 Places come from sums in two levels: within chunks of ``CHUNK`` turn numbers, then over a conversation's chunks.
 
 Edge cases: a null text is rendered as empty, a null role as ``unknown``, a null turn comes first; null conv_ids form one
@@ -16,7 +19,7 @@ conversation with system turns only has no perspective and no rows. Columns othe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import table
 
@@ -24,6 +27,14 @@ CHUNK = 256
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
+def escaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"<\|(\\*)im_", r"<|\\$1im_")
+
+
+def unescaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"<\|\\(\\*)im_", r"<|$1im_")
+
+
 def perspectives(turns: DataFrame) -> DataFrame:
     """conv_id, perspective, seq, turn, speaker, shown_role, segment, start, end, learn_from, learn_to."""
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
@@ -32,8 +43,8 @@ def perspectives(turns: DataFrame) -> DataFrame:
     seen = rows.alias("r").join(speakers.alias("p"), F.col("r.conv_id").eqNullSafe(F.col("p.conv_id"))).select("r.*", "p.perspective")
     own, system = F.col("speaker") == F.col("perspective"), F.col("speaker") == "system"
     role = F.when(own, "assistant").when(system, "system").otherwise("user")
-    head = F.concat(F.lit(OPEN), role, F.when(~own & ~system, F.concat(F.lit(" name="), "speaker")).otherwise(""), F.lit("\n"))
-    seen = seen.select("conv_id", "perspective", "chunk", "turn", "speaker", "text", role.alias("shown_role"), F.length(head).alias("head_size"), F.concat(head, "text", F.lit(CLOSE)).alias("segment"))
+    head = F.concat(F.lit(OPEN), role, F.when(~own & ~system, F.concat(F.lit(" name="), F.translate(escaped(F.col("speaker")), "\n", " "))).otherwise(""), F.lit("\n"))
+    seen = seen.select("conv_id", "perspective", "chunk", "turn", "speaker", "text", role.alias("shown_role"), F.length(head).alias("head_size"), F.concat(head, escaped(F.col("text")), F.lit(CLOSE)).alias("segment"))
     seen = seen.withColumn("size", F.length("segment").cast("long"))
     within = Window.partitionBy("conv_id", "perspective", "chunk").orderBy("turn", "speaker", "text").rowsBetween(Window.unboundedPreceding, 0)
     seen = seen.withColumns({"upto": F.sum("size").over(within), "nth": F.count("*").over(within)})
@@ -61,8 +72,8 @@ seen AS (
   SELECT r.*, perspective, CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS shown_role
   FROM rows r JOIN speakers p ON r.conv_id IS NOT DISTINCT FROM p.conv_id),
 headed AS (
-  SELECT *, '<|im_start|>' || shown_role || CASE WHEN shown_role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM seen),
-cut AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM headed),
+  SELECT *, '<|im_start|>' || shown_role || CASE WHEN shown_role = 'user' THEN ' name=' || translate(regexp_replace(speaker, '<\|(\\*)im_', '<|\\\1im_', 'g'), chr(10), ' ') ELSE '' END || chr(10) AS head FROM seen),
+cut AS (SELECT *, head || regexp_replace(text, '<\|(\\*)im_', '<|\\\1im_', 'g') || '<|im_end|>' || chr(10) AS segment FROM headed),
 placed AS (
   SELECT *, sum(length(segment)) OVER w AS ending, count(*) OVER w - 1 AS seq FROM cut
   WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text ROWS UNBOUNDED PRECEDING))
