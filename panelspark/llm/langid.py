@@ -106,31 +106,36 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     grams = gram_counts(drawn, text_col, lang_col).select("*", place.alias("place")).where(F.col("place") <= MAX_GRAMS)
     rows = grams.orderBy(F.desc("n"), "lang", "gram").toArrow()
-    model = build(rows.column("lang").to_numpy(zero_copy_only=False), rows.column("gram").to_numpy(), rows.column("n").to_numpy())
-    del rows
+    lang = rows.column("lang").combine_chunks().dictionary_encode()  # not a Python string for each row
+    languages, codes = lang.dictionary.to_pylist(), lang.indices.to_numpy()
+    gram, n = rows.column("gram").to_numpy(), rows.column("n").to_numpy()
+    del rows, lang
+    model = build(languages, codes, gram, n)
+    del codes, gram, n
     lean_worker()  # this is the driver, which goes on to other work
     return model
 
 
-def build(lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> PpmModel:
-    """Tabulate PPM code lengths from counts n of grams of languages."""
-    languages = sorted(set(lang))
+def build(names: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> PpmModel:
+    """Tabulate PPM code lengths from counts n of grams of languages (``lang``: places in ``names``)."""
+    languages = sorted(names)
     if not languages:
         return PpmModel([], np.zeros(256, np.int16), 1, np.zeros(2**ORDER, np.int32), np.zeros((1, 0), np.float32))
-    lang, gram, count = np.searchsorted(languages, lang), gram.astype(np.int64), n.astype(np.float64)
-    parts = [(gram >> (9 * k)) & 511 for k in range(ORDER + 1)]  # parts[0] is the byte coded
+    lang, count = np.searchsorted(languages, names).astype(np.int32)[lang], n.astype(np.float64)
+    parts = [((gram >> (9 * k)) & 511).astype(np.int16) for k in range(ORDER + 1)]  # parts[0] is the byte coded
     # every byte seen has a column; column 0 stands for each of the others
     kept = np.unique(parts[0])
     symbol = np.zeros(256, np.int16)
     symbol[kept] = np.arange(1, len(kept) + 1)
     width = len(kept) + 1
-    as_symbol = np.append(symbol.astype(np.int64), width)  # 256: before the text
+    as_symbol = np.append(symbol, np.int16(width))  # 256: before the text
     sym = [as_symbol[p] for p in parts]
+    del parts
 
     def keys(order: int) -> np.ndarray:
         k = np.zeros(len(gram), np.int64)
         for back in range(1, order + 1):
-            k += sym[back] * (width + 1) ** (back - 1)
+            k += sym[back].astype(np.int64) * (width + 1) ** (back - 1)
         return k
 
     n_lang = len(languages)
