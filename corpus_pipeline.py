@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelspark.llm import decontam, jaccard, langid, secret_scan, spm
-from panelspark.llm.common import materialize, table
+from panelspark.llm.common import materialize, release, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,14 +50,18 @@ STAGES = [
     ("sentencepiece", sentencepiece),
 ]
 
-#: SQL cannot express the language, secret and piece stages; each stage is tested against a brute-force version.
+#: SQL cannot express the language, secret and piece stages; tests/llm has the operators' tests and one of the whole.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after another; a stage's table is deleted when the next one's is written, the last one stays for the result."""
+    docs, held = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = materialize(docs)
+            if held is not None:
+                release(held)
+            held = docs
     return docs
