@@ -460,7 +460,15 @@ def _(t):
     return portfolio.sweep(t.scored, t.configs, t.stored_prices, t.sessions)
 
 
-@query("b15_alpha_ladder", "config_id beta~ alpha_annual~ t_alpha~", digits=5)
+_LADDER = """(WITH z AS (SELECT *, covar_pop(y, x) OVER k / nullif(var_pop(x) OVER k, 0) AS beta, row_number() OVER (PARTITION BY config_id ORDER BY date) AS i, count(*) OVER k AS n, avg(y) OVER k AS my, avg(x) OVER k AS mx FROM (
+SELECT c.config_id, c.date, c.gross AS y, b1.close / b0.close - 1 AS x, f.holding_days AS hold FROM cohorts c JOIN configs f ON f.config_id = c.config_id JOIN benchmark_px b0 ON b0.date = c.entry_date JOIN benchmark_px b1 ON b1.date = c.exit_date) q WHERE x IS NOT NULL AND y IS NOT NULL WINDOW k AS (PARTITION BY config_id)),
+e AS MATERIALIZED (SELECT *, my - beta * mx AS alpha, y - (my - beta * mx) - beta * x AS r, least(n - 1, greatest(CAST(floor(4 * pow(n / 100, 2.0 / 9)) AS BIGINT), hold - 1)) AS lags FROM z),
+s AS (SELECT a.config_id, sum(w * a.r * b.r) AS s00, sum(w * (a.r * b.x * b.r + a.x * a.r * b.r) / 2) AS s01, sum(w * a.x * a.r * b.x * b.r) AS s11 FROM (SELECT *, unnest(range(0, lags + 1)) AS j FROM e) a JOIN e b ON b.config_id = a.config_id AND b.i = a.i - a.j CROSS JOIN LATERAL (SELECT CASE WHEN a.j = 0 THEN 1 ELSE 2 * (1 - a.j / (a.lags + 1)) END AS w) GROUP BY 1),
+m AS (SELECT config_id, any_value(alpha) AS alpha, any_value(beta) AS beta, any_value(hold) AS hold, sum(x) AS sx, sum(x * x) AS sxx, count(*) * sum(x * x) - sum(x) * sum(x) AS det FROM e GROUP BY 1)
+SELECT m.config_id, beta, alpha * 252 / hold AS alpha_annual, alpha / sqrt((sxx * sxx * s00 - 2 * sxx * sx * s01 + sx * sx * s11) / (det * det)) AS t_alpha FROM m JOIN s ON s.config_id = m.config_id)"""
+
+
+@query("b15_alpha_ladder", "config_id:int beta~ alpha_annual~ t_alpha~", f"SELECT * FROM {_LADDER}", digits=5)
 def _(t):
     """Each cohort's return against the benchmark's over the same days, a regression for each configuration."""
     held = portfolio.cohort_returns(portfolio.cohort_legs(portfolio.sweep_signals(t.scored, t.configs), t.stored_prices, t.sessions, F.col("holding_days"), ("config_id",)), ("config_id",))
