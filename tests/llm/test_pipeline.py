@@ -23,6 +23,9 @@ def test_stages_on_dirty_rows(spark, tmp_path):
     assert set(got) == {0, 3, 5, 9, None} and docs.count() == 5
     assert "abcdef123456" not in got[5].text and got[5].text.startswith("words with ")
     assert all(r.roundtrip for r in got.values())
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(map(str, whole)) == sorted(map(str, docs.collect()))
 
 
 def test_run_on_an_empty_table(spark, tmp_path):
