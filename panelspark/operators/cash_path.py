@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.scalars import daily_rate
 from ..functions.windows import last_known, next_known
 from ..sources.stored import stored
-from .portfolio import held_days
+from .portfolio import held_days, priced
 from .stats import performance
 
 ROUNDS = 3
@@ -43,8 +43,7 @@ def book_periods(book: DataFrame, prices: DataFrame, sessions: DataFrame, every:
     books = book.select("date").distinct()
     fills = fills.where("fill_date < _end").join(books, "date", "left_semi").withColumn("next_fill", F.coalesce(F.lead("fill_date").over(w), F.col("_end")))
     legs = book.join(fills.select("date", (F.row_number().over(w) - 1).alias("k"), "fill_date", "next_fill"), "date").select("k", "ticker", "weight", "fill_date", "next_fill")
-    at_fill, at_end = (prices.select("ticker", F.col("date").alias(d), F.col("adj_close").alias(p)) for d, p in (("fill_date", "p0"), ("next_fill", "p1")))
-    both = legs.join(at_fill, ["ticker", "fill_date"]).join(at_end, ["ticker", "next_fill"]).where("p0 > 0 and p1 is not null")
+    both = priced(stored(legs), prices, "fill_date", "next_fill").where("p0 > 0 and p1 is not null")
     return both.select("k", "ticker", "weight", "fill_date", "next_fill", "p0", (F.col("p1") / F.col("p0")).alias("growth"))
 
 
@@ -58,12 +57,16 @@ def book_trades(periods: DataFrame) -> DataFrame:
 def book_days(periods: DataFrame, prices: DataFrame, index: DataFrame, rates: DataFrame | None = None, flat: float = 0.0) -> DataFrame:
     """k, date, value (of the legs), short (notional), fee (a day's at each name's own rate, else the flat one), index, and the discounted
     running sums of short and fee, of every day after a fill up to the next one."""
-    days = held_days(periods.withColumns({"_from": F.date_add("fill_date", 1), "_to": F.date_add("next_fill", 1)}), prices, "_from", "_to")
+    by_day = rates is not None and "date" in rates.columns
+    if rates is not None and not by_day:
+        periods = periods.join(rates.select("ticker", "rate"), "ticker", "left")
+    days = held_days(periods.withColumns({"_from": F.date_add("fill_date", 1), "_to": F.date_add("next_fill", 1)}), prices, "_from", "_to", index)
     worth = F.col("weight") * F.col("mark") / F.col("p0")
-    days = days.select("k", "fill_date", F.col("day").alias("date"), "ticker", worth.alias("worth"))
+    days = days.select("k", "fill_date", F.col("day").alias("date"), "ticker", worth.alias("worth"), *(["rate"] if rates is not None and not by_day else []))
     own = F.lit(flat)
     if rates is not None:
-        days, own = days.join(rates.select("date", "ticker", "rate"), ["date", "ticker"], "left"), F.coalesce("rate", F.lit(flat))
+        days = days.join(rates.select("date", "ticker", "rate"), ["date", "ticker"], "left") if by_day else days
+        own = F.coalesce("rate", F.lit(flat))
     short = F.greatest(-F.col("worth"), F.lit(0.0))
     sums = days.groupBy("k", "date").agg(F.first("fill_date").alias("fill_date"), F.sum("worth").alias("value"), F.sum(short).alias("short"), F.sum(short * own / YEAR).alias("fee"))
     start = index.select(F.col("date").alias("fill_date"), F.col("index").alias("index_0"))
@@ -75,7 +78,7 @@ def book_days(periods: DataFrame, prices: DataFrame, index: DataFrame, rates: Da
 def cash_path(periods: DataFrame, prices: DataFrame, sessions: DataFrame, annual_cash: float | DataFrame, borrow: list[float] | DataFrame, slippage: float = 0.0, capital: float = 100_000.0, flat: float = 0.005) -> tuple[DataFrame, DataFrame]:
     """Daily NAV (annual, date, nav) and sums (annual, traded, slippage, borrow, financing, effective_rate) of a book.
 
-    ``borrow``: flat rates, a book for each; or (date, ticker, rate), one book (annual is null) that pays each name's own rate, ``flat`` if
+    ``borrow``: flat rates, a book for each; or (date, ticker, rate) or (ticker, rate), one book (annual is null) that pays each name's own rate, ``flat`` if
     unknown. Trading is paid on the change of each position. A book whose equity is spent stays at 0.
     """
     periods, index = stored(periods), stored(cash_index(sessions, annual_cash))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import exposure_scale  # noqa: F401
 from ..functions.windows import last_known, next_known
+from ..sources.stored import stored
+from .pit import asof_backward
 from .selection import SelectionRules, targets
 from .stats import downside_deviation, performance
 
@@ -14,15 +16,15 @@ def cohort_legs(signals: DataFrame, prices: DataFrame, sessions: DataFrame, hold
     """Legs of each signal's basket: entry at the next session, exit ``hold`` sessions later; names without a price at
     either end drop out and the rest are weighed again. ``net`` is after slippage and a commission for each share at both ends.
 
-    ``signals`` has keys, date, ticker, weight; ``prices`` are filled forward on the grid.
+    ``signals`` has keys, date, ticker, weight; ``prices`` hold till the name's next one, so bars will do (see ``priced``).
     """
     s = sessions.select("date", "session_no")
     hold = F.lit(hold) if isinstance(hold, int) else hold
     legs = signals.join(s, "date").withColumns({"entry_no": F.col("session_no") + 1, "exit_no": F.col("session_no") + 1 + hold})
-    numbered = prices.join(s, "date").select("ticker", "session_no", "adj_close", "date")
-    entry = numbered.select("ticker", F.col("session_no").alias("entry_no"), F.col("adj_close").alias("entry_px"), F.col("date").alias("entry_date"))
-    leave = numbered.select("ticker", F.col("session_no").alias("exit_no"), F.col("adj_close").alias("exit_px"), F.col("date").alias("exit_date"))
-    legs = legs.join(entry, ["ticker", "entry_no"]).join(leave, ["ticker", "exit_no"]).where("entry_px > 0 and exit_px is not null")
+    for end in ("entry", "exit"):
+        legs = legs.join(F.broadcast(s.select(F.col("session_no").alias(f"{end}_no"), F.col("date").alias(f"{end}_date"))), f"{end}_no")
+    legs = stored(legs.select(*keys, "date", "ticker", "weight", "entry_date", "exit_date"))  # few, and read twice; what ranks them runs once
+    legs = priced(legs, prices, "entry_date", "exit_date").withColumnsRenamed({"p0": "entry_px", "p1": "exit_px"}).where("entry_px > 0 and exit_px is not null")
     basket = Window.partitionBy(*keys, "date")
     gross = F.col("exit_px") / F.col("entry_px") - 1
     net = (F.col("exit_px") * (1 - slippage) - 2 * per_share) / (F.col("entry_px") * (1 + slippage)) - 1
@@ -68,7 +70,7 @@ def cohort_equity(legs: DataFrame, admitted: DataFrame, sessions: DataFrame, pri
     opened = legs.groupBy(*keys, "date").agg(F.min("entry_date").alias("entry_date"))
     sides = F.array(F.struct(F.col("entry_date").alias("day"), (-F.col("amount")).alias("flow")), F.struct(F.col("exit_date").alias("day"), (F.col("amount") * (1 + F.col("net"))).alias("flow")))
     flows = admitted.join(opened, [*keys, "date"]).select(*keys, F.inline(sides)).groupBy(*keys, "day").agg(F.sum("flow").alias("flow"))
-    marks = held_days(held, prices, "entry_date", "exit_date").groupBy(*keys, "day").agg(F.sum(F.col("units") * F.col("mark")).alias("marks"))
+    marks = held_days(held, prices, "entry_date", "exit_date", sessions).groupBy(*keys, "day").agg(F.sum(F.col("units") * F.col("mark")).alias("marks"))
     events = flows.select("*", F.lit(None).cast("double").alias("marks")).unionByName(marks.select(*keys, "day", F.lit(None).cast("double").alias("flow"), "marks"))
     calendar = admitted.select(*keys).distinct().join(F.broadcast(sessions.select(F.col("date").alias("day")))).select(*keys, "day", F.lit(None).cast("double").alias("flow"), F.lit(None).cast("double").alias("marks"))
     daily = events.unionByName(calendar).groupBy(*keys, "day").agg(F.sum("flow").alias("flow"), F.sum("marks").alias("marks"))
@@ -83,9 +85,32 @@ def admitted_costs(admitted: DataFrame, legs: DataFrame, keys: tuple[str, ...],
     return admitted.join(shares, [*keys, "date"]).groupBy(*keys).agg(F.count("*").alias("n_cohorts"), F.avg((F.col("net") > 0).cast("double")).alias("win_rate"), F.sum(cost).alias("total_costs"))
 
 
-def held_days(legs: DataFrame, prices: DataFrame, start: str, end: str) -> DataFrame:
+def priced(legs: DataFrame, prices: DataFrame, start: str, end: str) -> DataFrame:
+    """``legs`` (each row once) with p0 and p1, the last known prices at two dates. ``prices`` has date, ticker, adj_close where a name trades;
+    one shuffle by ticker, and names without a leg do not take part."""
+    known = prices.where("adj_close is not null").join(legs.select("ticker").distinct(), "ticker", "left_semi").select("ticker", "date", "adj_close")
+    ends = legs.select("*", F.posexplode(F.array(start, end)).alias("_end", "_day"))
+    found = asof_backward(ends, known, ["adj_close"], "_day")
+    return found.groupBy(*legs.columns).agg(*(F.max(F.when(F.col("_end") == i, F.col("adj_close"))).alias(f"p{i}") for i in (0, 1)))
+
+
+def held_days(legs: DataFrame, prices: DataFrame, start: str, end: str, sessions: DataFrame | None = None) -> DataFrame:
     """A row for each leg and day with a price from ``start`` to before ``end``: the leg with day and mark. Joined by ticker and
-    month, so that a leg meets the months it is held and not the whole history of its ticker."""
+    month, so that a leg meets the months it is held and not the whole history of its ticker.
+
+    With ``sessions``, ``prices`` are those of the days on which a name trades, and each holds till the next one: a leg meets these spells
+    and then the days of both, so what is shuffled grows with bars and legs, not with the grid. Without, they are filled on the grid."""
+    if sessions is not None:
+        last = F.broadcast(sessions.agg(F.date_add(F.max("date"), 1).alias("_after")))
+        known = prices.where("adj_close is not null").join(legs.select("ticker").distinct(), "ticker", "left_semi")
+        until = F.coalesce(F.lead("date").over(Window.partitionBy("ticker").orderBy("date")), "_after")
+        spells = known.join(last).select("ticker", F.col("adj_close").alias("mark"), F.col("date").alias("_since"), until.alias("_until"))
+        months = [F.explode(F.sequence(F.trunc(a, "month"), F.trunc(F.date_sub(b, 1), "month"), F.expr("interval 1 month"))).alias("_month") for a, b in (("_since", "_until"), (start, end))]
+        both = legs.where(F.col(start) < F.col(end)).select("*", months[1]).join(spells.where("_since < _until").select("*", months[0]), ["ticker", "_month"])
+        both = both.where((F.col("_since") < F.col(end)) & (F.col("_until") > F.col(start)))
+        days = sessions.select(F.trunc("date", "month").alias("_month"), F.col("date").alias("day"))
+        inside = (F.col("day") >= F.greatest(start, "_since")) & (F.col("day") < F.least(end, "_until"))
+        return both.join(F.broadcast(days), "_month").where(inside).drop("_month", "_since", "_until")
     month = F.explode(F.sequence(F.trunc(start, "month"), F.trunc(end, "month"), F.expr("interval 1 month"))).alias("_month")
     px = prices.select("ticker", F.trunc("date", "month").alias("_month"), F.col("date").alias("day"), F.col("adj_close").alias("mark"))
     return legs.select("*", month).join(px, ["ticker", "_month"]).where((F.col("day") >= F.col(start)) & (F.col("day") < F.col(end))).drop("_month")
@@ -96,7 +121,7 @@ def daily_nav(legs: DataFrame, amounts: DataFrame, sessions: DataFrame, prices:
     held = legs.join(amounts.select(*keys, "date", "amount"), [*keys, "date"]).withColumn("units", F.col("amount") * F.col("weight") / F.col("entry_px"))
     flows = held.select(*keys, F.col("entry_date").alias("day"), (-F.col("units") * F.col("entry_px")).alias("flow")).unionByName(held.select(*keys, F.col("exit_date").alias("day"), (F.col("units") * F.col("entry_px") * (1 + F.col("net"))).alias("flow")))
     flows = flows.groupBy(*keys, "day").agg(F.sum("flow").alias("flow"))
-    marks = held_days(held, prices, "entry_date", "exit_date").groupBy(*keys, F.col("day")).agg(F.sum(F.col("units") * F.col("mark")).alias("marks"))
+    marks = held_days(held, prices, "entry_date", "exit_date", sessions).groupBy(*keys, F.col("day")).agg(F.sum(F.col("units") * F.col("mark")).alias("marks"))
     days = sessions.select(F.col("date").alias("day"))
     if keys:
         days = legs.select(*keys).distinct().join(F.broadcast(days))
@@ -121,9 +146,7 @@ def rank_hold_spells(ranking: DataFrame, top_n: int, exit_rank: int) -> DataFram
 def long_short_periods(book: DataFrame, prices: DataFrame, fills: DataFrame) -> DataFrame:
     """Growth of each leg between fills: k, ticker, weight, growth. ``fills`` has date (signal), k, fill_date, next_fill."""
     legs = book.join(fills, "date").select("k", "ticker", "weight", "fill_date", "next_fill")
-    a = prices.select("ticker", F.col("date").alias("fill_date"), F.col("adj_close").alias("p0"))
-    b = prices.select("ticker", F.col("date").alias("next_fill"), F.col("adj_close").alias("p1"))
-    return legs.join(a, ["ticker", "fill_date"]).join(b, ["ticker", "next_fill"]).where("p0 > 0 and p1 is not null").select("k", "ticker", "weight", "fill_date", "next_fill", "p0", (F.col("p1") / F.col("p0")).alias("growth"))
+    return priced(stored(legs.where("next_fill is not null")), prices, "fill_date", "next_fill").where("p0 > 0 and p1 is not null").select("k", "ticker", "weight", "fill_date", "next_fill", "p0", (F.col("p1") / F.col("p0")).alias("growth"))
 
 
 def long_short_nav(periods: DataFrame, cost: float = 0.0, turnover: DataFrame | None = None, borrow: DataFrame | None = None) -> DataFrame:
@@ -148,11 +171,16 @@ def book_turnover(periods: DataFrame) -> DataFrame:
     return both.groupBy("k").agg(F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("u", F.lit(0.0)))).alias("turnover"), F.count("*").alias("names"))
 
 
-def borrow_accrual(periods: DataFrame, prices: DataFrame, rates: DataFrame, flat: float) -> DataFrame:
-    """k, borrow: cost of the short legs over a period, by the daily mark of each and its rate (a flat one if unknown)."""
+def borrow_accrual(periods: DataFrame, prices: DataFrame, rates: DataFrame | None, flat: float, sessions: DataFrame | None = None) -> DataFrame:
+    """k, borrow: cost of the short legs over a period, by the daily mark of each and its rate (a flat one if unknown). ``rates`` has date,
+    ticker, rate, or ticker, rate for all days; ``prices`` and ``sessions`` are those of ``held_days``."""
     short = periods.where("weight < 0").select("k", "ticker", "weight", "fill_date", "next_fill", "p0")
-    days = held_days(short, prices, "fill_date", "next_fill").select("k", "ticker", "weight", "p0", F.col("day").alias("date"), F.col("mark").alias("adj_close"))
-    days = days.join(rates.select("date", "ticker", "rate"), ["date", "ticker"], "left")
+    by_day = rates is not None and "date" in rates.columns
+    if not by_day:
+        short = short.withColumn("rate", F.lit(None).cast("double")) if rates is None else short.join(rates.select("ticker", "rate"), "ticker", "left")
+    days = held_days(short, prices, "fill_date", "next_fill", sessions).withColumnsRenamed({"day": "date", "mark": "adj_close"})
+    if by_day:
+        days = days.join(rates.select("date", "ticker", "rate"), ["date", "ticker"], "left")
     cost = -F.col("weight") * F.col("adj_close") / F.col("p0") * F.coalesce("rate", F.lit(flat)) / 252
     return days.groupBy("k").agg(F.sum(cost).alias("borrow"))
 

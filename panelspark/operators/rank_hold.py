@@ -89,11 +89,11 @@ def round_trips(made: DataFrame) -> DataFrame:
     return nxt.where("side > 0").select("ticker", F.col("date").alias("entry_date"), F.col("_date").alias("exit_date"), "shares", (-F.col("flow")).alias("paid"), F.col("_flow").alias("received"), (F.try_divide(F.col("_flow"), -F.col("flow")) - 1).alias("net"), (F.col("cost") + F.coalesce("_cost", F.lit(0.0))).alias("cost"))
 
 
-def equity(made: DataFrame, prices: DataFrame, sessions: DataFrame, capital: float) -> DataFrame:
-    """date, nav: cash after all trades to date, and the open positions at the day's prices."""
+def equity(made: DataFrame, prices: DataFrame, sessions: DataFrame, capital: float, spells: bool = False) -> DataFrame:
+    """date, nav: cash after all trades to date, and the open positions at the day's prices; with ``spells`` a price holds till the next one."""
     after = sessions.agg(F.date_add(F.max("date"), 1).alias("_after"))
     spans = round_trips(made).select("ticker", "shares", "entry_date", "exit_date").join(F.broadcast(after)).withColumn("_end", F.coalesce("exit_date", "_after"))
-    marks = held_days(spans, prices, "entry_date", "_end").groupBy(F.col("day").alias("date")).agg(F.sum(F.col("shares") * F.coalesce("mark", F.lit(0.0))).alias("marks"))
+    marks = held_days(spans, prices, "entry_date", "_end", sessions if spells else None).groupBy(F.col("day").alias("date")).agg(F.sum(F.col("shares") * F.coalesce("mark", F.lit(0.0))).alias("marks"))
     flows = made.groupBy("date").agg(F.sum("flow").alias("flow"))
     so_far = F.sum(F.coalesce("flow", F.lit(0.0))).over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0))  # a row a session
     return sessions.select("date").join(flows, "date", "left").join(marks, "date", "left").select("date", (capital + so_far + F.coalesce("marks", F.lit(0.0))).alias("nav"))

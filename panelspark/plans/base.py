@@ -62,9 +62,20 @@ class Tables:
         return labels.ffill_prices(self.grid).select("date", "ticker", "adj_close")
 
     @cached_property
-    def stored_prices(self) -> DataFrame:
-        """``prices``, written once; for what reads them several times."""
-        return stored(self.prices)
+    def stored_bars(self) -> DataFrame:
+        """Prices of the days on which a name trades, written once; for what reads them several times. The grid is not built."""
+        return stored(self.bars.select("date", "ticker", "adj_close"))
+
+    @cached_property
+    def book_sessions(self) -> DataFrame:
+        """``sessions``, written once, of the stored bars."""
+        return stored(pit.sessions_of(self.stored_bars))
+
+    @cached_property
+    def signals(self) -> DataFrame:
+        """``scored`` of the stored bars, without the forward return, which books do not read."""
+        r = features.returns(self.stored_bars, lags=(21,)).where("ret_21d is not null")
+        return r.select("date", "ticker", "adj_close", pct_rank_avg(F.col("ret_21d"), "date").alias("prob"))
 
     @cached_property
     def returns(self) -> DataFrame:
