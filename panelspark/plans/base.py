@@ -74,7 +74,16 @@ class Tables:
     @cached_property
     def signals(self) -> DataFrame:
         """``scored`` of the stored bars, without the forward return, which books do not read."""
-        r = features.returns(self.stored_bars, lags=(21,)).where("ret_21d is not null")
+        return self._ranked(self.stored_bars)
+
+    @cached_property
+    def unlabelled(self) -> DataFrame:
+        """``scored`` without the forward return, for what reads it once."""
+        return self._ranked(self.bars)
+
+    @staticmethod
+    def _ranked(bars: DataFrame) -> DataFrame:
+        r = features.returns(bars, lags=(21,)).where("ret_21d is not null")
         return r.select("date", "ticker", "adj_close", pct_rank_avg(F.col("ret_21d"), "date").alias("prob"))
 
     @cached_property
@@ -85,8 +94,7 @@ class Tables:
     def scored(self) -> DataFrame:
         """Baseline scores: same-date percent rank of 21-row momentum, with the forward return on the grid."""
         fwd = labels.forward_by_session(self.bars, self.sessions, HORIZON).select("date", "ticker", "fwd_ret")
-        r = features.returns(self.bars, lags=(21,)).where("ret_21d is not null")
-        return r.select("date", "ticker", "adj_close", pct_rank_avg(F.col("ret_21d"), "date").alias("prob")).join(fwd, ["date", "ticker"], "left")
+        return self.unlabelled.join(fwd, ["date", "ticker"], "left")
 
     @cached_property
     def labelled(self) -> DataFrame:

@@ -317,11 +317,11 @@ def _(t):
 
 @query("s01_read_scored", "source date ticker prob~", "SELECT source, date, ticker, prob FROM scored CROSS JOIN (VALUES ('parquet'), ('csv')) v(source)", digits=5)
 def _(t):
-    """A scored panel written as partitioned Parquet and as one CSV, and read by suffix."""
+    """A scored panel written as partitioned Parquet and as CSV, each in parts, and read by suffix."""
     folder = f"{shared_folder(t.spark)}/{uuid.uuid4().hex}"
-    panel = stored(t.scored.select("date", "ticker", "prob", "adj_close"))
+    panel = stored(t.unlabelled.select("date", "ticker", "prob", "adj_close"))
     tables.write_panel(panel, f"{folder}/panel.parquet")
-    tables.write_report(panel.withColumn("ticker", F.col("ticker").cast("string")), f"{folder}/report.csv")
+    tables.write_csv(panel.withColumn("ticker", F.col("ticker").cast("string")), f"{folder}/report.csv")
     made = [tables.read_scored(t.spark, f"{folder}/{n}").select(F.lit(n.rsplit(".", 1)[1]).alias("source"), "date", F.col("ticker").cast("long").alias("ticker"), "prob") for n in ("panel.parquet", "report.csv")]
     return made[0].unionByName(made[1])
 

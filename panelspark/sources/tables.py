@@ -114,6 +114,11 @@ def write_panel(df: DataFrame, path: str) -> None:
     df.withColumn("month", F.trunc("date", "month")).write.mode("overwrite").partitionBy("month").parquet(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """A panel as CSV with headers, a file for each task; ``read_scored`` reads them all."""
+    df.write.mode("overwrite").csv(path, header=True)
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """A small ranked report as one CSV file."""
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)
