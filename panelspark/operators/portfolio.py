@@ -186,7 +186,7 @@ def borrow_accrual(periods: DataFrame, prices: DataFrame, rates: DataFrame | Non
 
 
 def with_hedge(book: DataFrame, benchmark: DataFrame, beta: float, hedge_ticker: int = -1) -> DataFrame:
-    """A short leg of the benchmark added to every book after selection."""
+    """A short leg of the benchmark added to every book after selection. ``book`` is read twice, so it should be a stored table."""
     leg = book.select("date").distinct().join(benchmark.select("date", "close"), "date").select("date", F.lit(hedge_ticker).cast("long").alias("ticker"), F.col("close").alias("adj_close"), F.lit(-beta).alias("weight"))
     return book.select("date", "ticker", "adj_close", "weight").unionByName(leg)
 

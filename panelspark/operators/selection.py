@@ -50,10 +50,12 @@ def full_ranking(scored: DataFrame) -> DataFrame:
 
 
 def decile_book(scored: DataFrame, share: float, min_side: int = 1) -> DataFrame:
-    """date, ticker, weight: the best floor(n * share) names long, the worst short, each side summing to 1 in size."""
+    """date, ticker, weight: the best floor(n * share) names long, the worst short, each side summing to 1 in size.
+
+    A name is once in a date, so its place from below follows from that from above: one ordering serves both sides."""
     day = Window.partitionBy("date")
-    df = scored.where((F.col("adj_close") > 0) & F.col("prob").isNotNull()).withColumns({
-        "k": F.floor(F.count(F.lit(1)).over(day) * share), "hi": F.row_number().over(day.orderBy(F.desc("prob"), "ticker")), "lo": F.row_number().over(day.orderBy("prob", F.desc("ticker")))})
+    df = scored.where((F.col("adj_close") > 0) & F.col("prob").isNotNull()).withColumn("hi", F.row_number().over(day.orderBy(F.desc("prob"), "ticker"))).withColumn("_n", F.count(F.lit(1)).over(day))
+    df = df.withColumns({"k": F.floor(F.col("_n") * share), "lo": F.col("_n") + 1 - F.col("hi")})
     side = F.when(F.col("hi") <= F.col("k"), 1 / F.col("k")).otherwise(0) - F.when(F.col("lo") <= F.col("k"), 1 / F.col("k")).otherwise(0)
     return df.where(F.col("k") >= min_side).where((F.col("hi") <= F.col("k")) | (F.col("lo") <= F.col("k"))).select("date", "ticker", "adj_close", side.alias("weight"))
 

@@ -29,3 +29,17 @@ def test_the_unlabelled_panel_is_the_scored_one_less_the_return(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     want = t.scored.select(t.unlabelled.columns)
     assert t.unlabelled.exceptAll(want).count() == 0 and want.exceptAll(t.unlabelled).count() == 0 and "Join" not in t.unlabelled._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_book_is_sorted_once_and_ties_go_to_opposite_names(spark):
+    rng = random.Random(2)
+    rows = [(dt.date(2020, 1, 1 + d), t, float(rng.choice([-1, 1, 2, 3])), rng.choice([None, 0.1, 0.2, 0.2, 0.3])) for d in range(5) for t in range(rng.randint(1, 40))]
+    book = selection.decile_book(spark.createDataFrame(rows, "date date, ticker long, adj_close double, prob double"), 0.3)
+    want = {}
+    for date in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == date and r[2] > 0 and r[3] is not None]
+        k = int(len(mine) * 0.3)
+        for names, sign in ((sorted(mine, key=lambda r: (-r[3], r[1]))[:k], 1), (sorted(mine, key=lambda r: (r[3], -r[1]))[:k], -1)):
+            want.update({(date, r[1]): sign / k for r in names})
+    assert {(r["date"], r["ticker"]): r["weight"] for r in book.collect()} == pytest.approx(want) and want
+    assert book._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Sort [") == 1
