@@ -38,6 +38,7 @@ def cash_index(sessions: DataFrame, annual: float | DataFrame) -> DataFrame:
 def book_periods(book: DataFrame, prices: DataFrame, sessions: DataFrame, every: int) -> DataFrame:
     """k, ticker, weight, fill_date, next_fill, p0, growth of the book of every ``every``-th session, filled at the next one. The last
     period ends with the last session. Names without a price at the fill are left out."""
+    book = stored(book)  # its dates and its legs are read; what ranks it runs once
     w = Window.orderBy("session_no")
     fills = sessions.withColumns({"fill_date": F.lead("date").over(w), "_end": F.max("date").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))}).where((F.col("session_no") - 1) % every == 0)
     books = book.select("date").distinct()
