@@ -58,8 +58,16 @@ def seeds(df: DataFrame, hashes: str, masks: list[tuple[int, ...]], only: dict[i
     return places.select("*", F.explode_outer(F.array(*made)).alias("seed")).where("seed is not null")
 
 
+def surroundings(words: Column, at: Column) -> list[Column]:
+    """near, near_at: the words that a hit at ``at`` is compared with, and the place of ``at`` among them. All hits of a text are held
+    at once, so each of them takes these few words and not the text."""
+    first = F.greatest(F.lit(0), at - REACH)
+    return [F.slice(words, first + 1, at + SPAN + REACH - first).alias("near"), (at - first).alias("near_at")]
+
+
 def share_equal(words: Column, item: Column, at: Column, item_at: Column) -> Column:
     """Share of equal words in the best run near a hit, 0 if none is good enough, when the item's word ``item_at`` lies on the text's word ``at``.
+    ``words`` are those of the text or of the ``surroundings``, with ``at`` counted in them.
 
     A run is ``MIN_RUN`` or more neighbouring words of the item, or the whole of a shorter item; words of the item
     outside the text count as unequal. The best run has the greatest score: 1 for each equal word, less 3 for
@@ -110,13 +118,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     key = F.xxhash64(text_col).alias("text_key")
     rows = docs.select(F.col(id_col).alias("doc_id"), key, word_hashes(F.col(text_col)).alias("words")).where("words is not null")
     windows = seeds(rows, "words", masks).select("doc_id", "text_key", *(["words"] if small else []), "seed", "at")
-    hits = windows.join(hint(listed), "seed").drop("seed")
-    if not small:
+    hits = windows.join(hint(listed), "seed")
+    if small:
+        hits = hits.select("doc_id", "text_key", "item_key", "at", "item_at", *surroundings(F.col("words"), F.col("at")))
+    else:
         hits = hits.groupBy("doc_id", "text_key", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("places"))
         once = rows.dropDuplicates(["doc_id", "text_key"])
         hits = hits.alias("h").join(once.alias("r"), F.col("h.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("h.text_key") == F.col("r.text_key"))).select("h.*", "r.words")
-        hits = hits.select("*", F.explode("places").alias("item_at")).withColumn("at", F.col("item_at") + F.col("shift")).drop("places", "shift")
-    share = share_equal(F.col("words"), F.col("item"), F.col("at"), F.col("item_at"))
+        at = F.col("item_at") + F.col("shift")
+        hits = hits.select("*", F.explode("places").alias("item_at")).select("doc_id", "text_key", "item_key", at.alias("at"), "item_at", *surroundings(F.col("words"), at))
+    share = share_equal(F.col("near"), F.col("item"), F.col("near_at"), F.col("item_at"))
     sure = hits.join(hint(items), "item_key").select("doc_id", "text_key", "item_id", "at", "item_at", share.alias("share")).where(F.col("share") >= MIN_SHARE)
     return sure.groupBy("doc_id", "text_key", "item_id").agg(F.max(F.struct("share", "at", "item_at")).alias("best")).select("doc_id", "text_key", "item_id", "best.*")
 

@@ -284,6 +284,13 @@ def test_items_without_an_id_or_with_a_repeated_one_flag_texts(spark, monkeypatc
         assert [r.doc_id for r in decontam.remove(d, bench).collect()] == [4]
 
 
+def test_decontamination_holds_no_text_for_each_hit(spark):
+    """All hits of a text are held at once: 32,000 of them with 8,000 words each are 2 GB a text."""
+    words = [f"w{i}" for i in range(40)]
+    d, bench = docs(spark, [" ".join(words * 200)] * 3).repartition(3), spark.createDataFrame([(0, " ".join(words))], "item_id long, text string")
+    assert [(r.item_id, r.share) for r in decontam.overlaps(d, bench).collect()] == [(0, 1.0)] * 3
+
+
 def test_decontamination_by_shuffle_gives_the_same(spark, monkeypatch):
     bench = spark.createDataFrame([(0, words(100, 30))], "item_id bigint, text string")
     d = docs(spark, [words(5, 20) + " " + words(100, 30), words(7, 60)])
