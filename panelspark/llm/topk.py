@@ -2,13 +2,15 @@
 
 Vectors of integer components are indexed in blocks. A posting is a (vector, dimension) with its impact, the
 component. A block keeps its postings by dimension in segments of like quantised impact (quantiles of the
-magnitudes in the block); zeros have no posting. A query walks the segments by descending ``|q_d| * impact`` and adds
-the products of their postings to the scores of the vectors. What a vector can still gain or lose is at most the
-norm of the query over the dimensions not yet met in that vector times the norm of the vector there. A vector is
-left out only when its score with that bound stays below the k-th best of the others' least scores, or below the
-threshold that the query brings along; a query stops when few vectors are possible, and those are scored again exactly.
+magnitudes in the block); zeros have no posting. A batch of queries walks the segments of high impact together and adds
+the products of their postings to the scores of the vectors. What a vector can still gain is at most the norm of the
+query times the norm of the vector's postings of low impact. A vector is left out only when its score with that bound
+stays below the k-th best whole score of others, or below the threshold that the query brings along; the few that are
+possible are scored again exactly, and where many are, the segments of low impact are walked too. Blocks whose scores a float
+can't hold, and very wide ones, are walked by one query at a time, by descending ``|q_d| * impact``, with a bound on either side.
 
-The first block is searched first; the k-th best score that a query finds there is its threshold in all others.
+The first block is searched first, then three, then twelve more and so on; the k-th best score that a query has found is its
+threshold in the blocks after, so that what is found grows with the logarithm of the blocks.
 
 Blocks have about ``BLOCK`` different rows and batches ``BATCH`` queries, dealt by hashes; equal rows are counted
 before, so tasks stay even and bounded however often a row is repeated.
@@ -27,12 +29,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import materialize, small_batches, table
 
-K, SCALE, EVERY, BLOCK, BATCH = 20, 64, 20, 8192, 1024
+K, SCALE, EVERY, BLOCK, BATCH = 20, 64, 20, 8192, 4096
 #: Shares of a block's magnitudes at which a new segment begins, and shares of the postings after which bounds are looked at.
 QUANTILES, LOOKS = (0.25, 0.5, 0.75, 0.9, 0.97), (0.25, 0.5, 0.75, 0.9, 1.0)
 MAX_TASKS = 20_000
 #: A query stops when at most this share of the block, or twice k, is possible.
 FEW = 0.05
+#: Segments of at least this level (by QUANTILES) are walked first by a batch, of so many queries at a time.
+HIGH, AT_ONCE = 1, 256
+#: Times as many blocks as before that are searched with one threshold, and cells of a block that batches walk at most.
+GROWTH, CELLS = 4, 1 << 25
 
 
 def quantised(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -62,7 +68,7 @@ class Block:
         self.row, self.value, dim, level = row[order], value[order], dim[order], level[order]
         self.start = np.flatnonzero(np.append(True, (dim[1:] != dim[:-1]) | (level[1:] != level[:-1]))) if len(dim) else np.zeros(0, np.int64)
         self.size = np.diff(np.append(self.start, len(dim)))
-        self.dim = dim[self.start]
+        self.dim, self.level = dim[self.start], level[self.start]
         self.impact = np.maximum.reduceat(np.abs(self.value), self.start) if len(dim) else np.zeros(0)
         self.square = np.bincount(self.row, self.value**2, len(ids))
 
@@ -73,6 +79,56 @@ class Block:
         sums = (sum(int(a) * int(b) for a, b in zip(q, self.vectors[r], strict=False)) for r in rows.tolist())
         return np.array([max(-(1 << 63), min((1 << 63) - 1, s)) for s in sums], np.int64)
 
+    def tile(self, levels: np.ndarray, width: int, kind: type) -> np.ndarray:
+        """The postings of some segments, by dimension and vector."""
+        some = np.repeat(levels, self.size)
+        out = np.zeros((width, len(self.ids)), kind)
+        out[np.repeat(self.dim, self.size)[some], self.row[some]] = self.value[some]
+        return out
+
+    def search_batch(self, q_ids: np.ndarray, queries: list[np.ndarray], k: int, thresholds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the queries (in order), and rows and whole scores of the k best vectors of each, of those not below its threshold (NaN
+        for none). The block's ids are in order."""
+        n, width = len(self.ids), int(self.dim.max(initial=-1)) + 1
+        norms = np.array([np.sqrt((v := np.asarray(q, np.float64)) @ v) for q in queries])
+        length = np.sqrt(self.square)
+        top = norms.max(initial=0.0) * length.max(initial=0.0)
+        if top >= 1 << 53 or n * width > CELLS:
+            found = [self.search(i, q, k, -np.inf if np.isnan(t) else t) for i, q, t in zip(q_ids, queries, thresholds, strict=True)]
+            return np.repeat(np.arange(len(found)), [len(rows) for rows, _ in found]), *(np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found, strict=True))
+        kind = np.float32 if top < 1 << 24 else np.float64  # holds all sums of products exactly, in any order
+        high, low = (self.tile(levels, width, kind) for levels in (self.level >= HIGH, self.level < HIGH))
+        rest = np.sqrt((low.astype(np.float64) ** 2).sum(axis=0)).astype(kind)
+        vectors, error = np.ascontiguousarray((high + low).T), 64 * np.finfo(kind).eps * top
+        first, last = np.searchsorted(self.ids, q_ids, "left"), np.searchsorted(self.ids, q_ids, "right")
+        out = []
+        for at in range(0, len(queries), AT_ONCE):
+            q = np.zeros((len(queries[at : at + AT_ONCE]), width), kind)
+            for i, v in enumerate(queries[at : at + AT_ONCE]):
+                q[i, : len(v)] = v[:width]  # beyond it there are no postings
+            own, least = q_ids[at : at + AT_ONCE], np.where(np.isnan(x := thresholds[at : at + AT_ONCE]), -np.inf, x)
+            score = q @ high
+            free = np.flatnonzero(np.isneginf(least))
+            if len(free) and n > k:  # whole scores of k others are as good a threshold
+                for i in free[first[at + free] < last[at + free]].tolist():
+                    score[i, first[at + i] : last[at + i]] = -np.inf
+                some = np.argpartition(score[free], n - k, axis=1)[:, n - k :]
+                whole = np.stack([vectors[rows] @ q[i] for i, rows in zip(free, some, strict=True)])
+                least[free] = np.where(self.ids[some] == own[free, None], -np.inf, whole).min(axis=1)
+            score += norms[at : at + AT_ONCE, None].astype(kind) * rest
+            i, rows = np.nonzero(score >= (least - error).astype(kind)[:, None])
+            if len(i) > FEW * score.size:
+                whole = (q @ high + q @ low)[i, rows]
+            else:
+                whole = np.concatenate([np.zeros(0, kind), *(np.einsum("ij,ij->i", q[i[j : j + BLOCK]], vectors[rows[j : j + BLOCK]]) for j in range(0, len(i), BLOCK))])
+            good = (whole >= least[i]) & (self.ids[rows] != own[i])
+            i, rows, whole = i[good], rows[good], whole[good]
+            order = np.lexsort((rows, -whole, i))
+            i, rows, whole = i[order], rows[order], whole[order]
+            kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+            out.append((i[kept] + at, rows[kept], whole[kept].astype(np.int64)))
+        return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*out, strict=True) if out else ((), (), ())))
+
     def search(self, q_id: int, q: np.ndarray, k: int, threshold: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
         """Rows and whole scores of the k best vectors, of those not below the threshold."""
         q = np.asarray(q, np.int64)
@@ -113,15 +169,15 @@ def _search(vectors: DataFrame, batches: DataFrame, k: int, tasks: int) -> DataF
     """query_id, q_key, vec_id, score: the best of each block for each query that meets it."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            right = right.sort_values("vec_id", kind="stable")
-            block, copies = Block(right["vec_id"].to_numpy(), right["v"].tolist()), right["copies"].to_numpy()
-            for q_id, q_key, q, least in zip(left["q_id"], left["q_key"], left["q_v"], left["threshold"].astype(float), strict=True):
-                found, score = block.search(q_id, q, k, -np.inf if np.isnan(least) else least)
-                found, score = (np.repeat(x, copies[found])[:k] for x in (found, score))
-                out.append(pd.DataFrame({"query_id": q_id, "q_key": q_key, "vec_id": block.ids[found], "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "q_key", "vec_id", "score")})
+        if not len(left) or not len(right):
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "q_key", "vec_id", "score")})
+        right = right.sort_values("vec_id", kind="stable")
+        block, copies = Block(right["vec_id"].to_numpy(), right["v"].tolist()), right["copies"].to_numpy()
+        q_id, q_key = left["q_id"].to_numpy(), left["q_key"].to_numpy()
+        at, found, score = block.search_batch(q_id, left["q_v"].tolist(), k, left["threshold"].to_numpy(np.float64, na_value=np.nan))
+        at, found, score = (np.repeat(x, copies[found]) for x in (at, found, score))
+        kept = np.arange(len(at)) - np.searchsorted(at, at) < k
+        return pd.DataFrame({"query_id": q_id[at], "q_key": q_key[at], "vec_id": block.ids[found], "score": score})[kept]
 
     # a number of its own, as few bytes are much work here
     batches, vectors = batches.repartition(tasks, "q_block", "q_batch"), vectors.repartition(tasks, "block", "batch")
@@ -137,15 +193,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     place = F.xxhash64("vec_id", "v")
     dealt = rows.select("vec_id", "v", F.least("copies", F.lit(k)).alias("copies"), F.pmod(place, F.lit(n_blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_batches - 1))).alias("batch"))
     batch = F.pmod(F.xxhash64("q_id", "q_key"), F.lit(n_batches)).cast("int").alias("q_batch")
-    first = asked.select("*", batch, F.lit(0).alias("q_block"), F.lit(None).cast("long").alias("threshold"))
-    found = _search(dealt.where("block = 0"), first, k, min(n_batches, MAX_TASKS))
-    if n_blocks > 1:
-        found = materialize(found)
-        reached = found.groupBy("query_id", "q_key").agg(F.when(F.count("*") >= k, F.min("score")).alias("threshold"))
-        same = (F.col("q_id") == F.col("query_id")) & (asked["q_key"] == reached["q_key"])
-        others = asked.join(reached, same, "left").select("q_id", "q_v", asked["q_key"], "threshold")
-        others = others.select("*", batch, F.explode(F.sequence(F.lit(1), F.lit(n_blocks - 1))).alias("q_block"))
-        found = found.unionByName(_search(dealt.where("block > 0"), others, k, min(2 * n_batches * n_blocks, MAX_TASKS)))
+    found, upto = None, 0
+    while upto < n_blocks:
+        start, upto = upto, min(n_blocks, max(1, upto * GROWTH))
+        if found is None:
+            meant = asked.withColumn("threshold", F.lit(None).cast("long"))
+        else:
+            found = materialize(found)
+            reached = found.groupBy("query_id", "q_key").agg(F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1)).alias("threshold"))
+            same = (F.col("q_id") == F.col("query_id")) & (asked["q_key"] == reached["q_key"])
+            meant = asked.join(reached, same, "left").select("q_id", "q_v", asked["q_key"], "threshold")
+        meant = meant.select("*", batch, F.explode(F.sequence(F.lit(start), F.lit(upto - 1))).alias("q_block"))
+        more = _search(dealt.where((F.col("block") >= start) & (F.col("block") < upto)), meant, k, min(max(1, 2 * n_batches * (upto - start)), MAX_TASKS))
+        found = more if found is None else found.unionByName(more)
     order = Window.partitionBy("query_id", "q_key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

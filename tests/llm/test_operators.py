@@ -93,6 +93,35 @@ def test_block_search_is_exact_for_skewed_impacts_and_stops_early():
     assert large.search(9, np.array([1 << 20, 1]), 3)[1].tolist() == [(1 << 63) - 1, (1 << 60) + 2, (1 << 60) + 1]
 
 
+@pytest.mark.parametrize("scale, width, share, copies", [(12, 24, 1.0, 1), (12, 24, 1.0, 40), (3, 300, 0.05, 1), (3000, 24, 1.0, 1), (1 << 27, 24, 1.0, 1), (2, 6, 1.0, 1)])
+def test_a_batch_finds_what_each_query_finds(monkeypatch, scale, width, share, copies):
+    """Vectors of whole numbers that a short float holds, a long one or none; sparse ones; many equal vectors and many ties."""
+    monkeypatch.setattr(topk, "AT_ONCE", 16)
+    rng = np.random.default_rng(5)
+    x = np.rint(rng.normal(0, scale, (400, width)) * (rng.random((400, width)) < share)).astype(np.int64)
+    x[-copies:] = x[0]
+    ids = np.sort(rng.choice(500, 400))  # some twice
+    block = topk.Block(ids, [v[: len(v) - i % 3] for i, v in enumerate(x)])
+    asked, queries = np.array([*range(0, 500, 13), 900]), [x[i % 400] for i in range(40)]
+    for thresholds in (np.full(40, np.nan), np.where(np.arange(40) % 2, np.nan, 2.0 * scale * scale)):
+        at, rows, score = block.search_batch(asked[:40], queries, 10, thresholds)
+        for i, (q_id, q, t) in enumerate(zip(asked[:40].tolist(), queries, thresholds.tolist(), strict=True)):
+            whole = [(-sum(int(a) * int(b) for a, b in zip(q, block.vectors[j], strict=False)), int(ids[j])) for j in range(400) if ids[j] != q_id]
+            want = [(-s, j) for s, j in sorted(whole)[:10] if not -s < t]
+            assert list(zip(score[at == i].tolist(), ids[rows[at == i]].tolist(), strict=True)) == want
+
+
+def test_what_top_k_finds_grows_with_the_logarithm_of_the_blocks(spark, monkeypatch):
+    """Each of 40 blocks gave about ten rows a query, when all had the threshold of the first one."""
+    monkeypatch.setattr(topk, "BLOCK", 50)
+    met, kept = [], topk.materialize
+    monkeypatch.setattr(topk, "materialize", lambda df: (met.append(made := kept(df)), made)[1])
+    x = np.random.default_rng(2).integers(-30, 30, (2000, 16)).tolist()
+    v = spark.createDataFrame(list(enumerate(x)), "vec_id bigint, v array<bigint>")
+    assert topk.top_k(v, v.where("vec_id < 20"), 10).count() == 200
+    assert met[-1].count() < 20 * 10 * 10
+
+
 # --- secrets
 
 KINDS = {"assign": re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), "access": re.compile(r"AKIA[A-Z0-9]+"), "hex": re.compile(r"[0-9a-f]+")}
